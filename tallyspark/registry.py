@@ -6,11 +6,12 @@ their whole extent; nothing is sampled, capped or filtered by key ranges.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.operators import business
+from tallyspark.operators import business, findings, marts
 from tallyspark.sources import star
 from tallyspark.sources.tables import Tables
 
@@ -41,11 +42,30 @@ class Star:
         """Order-grain fact with a unique order_id."""
         return star.star_orders(self.t)
 
+    @property
+    def app(self) -> DataFrame:
+        """The app's frame: orders LEFT products LEFT customers."""
+        return marts.app_view(self.orders, self.products, self.customers)
+
+    @property
+    def extract(self) -> DataFrame:
+        """The workbook's flat extract: orders JOIN customers JOIN products."""
+        return marts.flat_extract(self.orders, self.customers, self.products)
+
     @property
     def orders_dirty(self) -> DataFrame:
         return star.star_orders_line(self.t, dirty_ship_date=True)
 
 
+# Slicer settings of the registered filtered KPI (a dashboard selection).
+SLICERS = dict(
+    regions=["ASIA", "EUROPE"],
+    categories=["ECONOMY", "PROMO", "STANDARD"],
+    city_types=[],
+    date_range=(dt.date(1996, 1, 1), dt.date(1999, 12, 31)),
+)
+
+
 def _q(fn: Callable[[Star], DataFrame]) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Star(spark, sf_dir))
@@ -61,4 +81,29 @@ QUERIES: dict[str, QueryFn] = {
     "q5_discount_tiers": _q(lambda s: business.q5_discount_tiers(s.orders)),
     "q6_city_tier": _q(lambda s: business.q6_city_tier(s.orders, s.customers)),
     "q7_ship_mode": _q(lambda s: business.q7_ship_mode(s.orders)),
+    # findings (line grain unless a unique order is needed)
+    "n1_tier_share": _q(lambda s: findings.n1_tier_share(s.orders)),
+    "n2_margin_band": _q(lambda s: findings.n2_margin_band(s.orders, s.customers, s.products)),
+    "n3_repeat_profile": _q(lambda s: findings.n3_repeat_profile(s.orders_og)),
+    "n4_repeat_whatif": _q(lambda s: findings.n4_repeat_whatif(s.orders_og, 0.10)),
+    "n5_shipmode_anomaly": _q(lambda s: findings.n5_shipmode_anomaly(s.orders)),
+    "n6_weak_tier": _q(lambda s: findings.n6_weak_tier(s.orders)),
+    "orders_per_customer": _q(lambda s: findings.orders_per_customer(s.orders_og)),
+    # app / dashboard / workbook marts
+    "kpi_overall": _q(lambda s: marts.kpi(s.app)),
+    "kpi_filtered": _q(lambda s: marts.kpi(marts.apply_slicers(s.app, **SLICERS))),
+    "filter_options": _q(lambda s: marts.filter_options(s.app)),
+    "date_bounds": _q(lambda s: marts.date_bounds(s.app)),
+    "profit_by_region": _q(lambda s: marts.profit_by_region(s.app)),
+    "sales_by_quarter": _q(lambda s: marts.sales_by_quarter(s.orders)),
+    "tier_margin": _q(lambda s: marts.tier_margin(s.app)),
+    "tier_margin_filtered": _q(lambda s: marts.tier_margin(marts.apply_slicers(s.app, **SLICERS))),
+    "pivot_profit_region_year": _q(lambda s: marts.pivot_sum(s.extract, "region", "order_year", "profit")),
+    "pivot_sales_city_region": _q(lambda s: marts.pivot_sum(s.extract, "city_type", "region", "sales")),
+    "region_summary": _q(lambda s: marts.group_summary(s.extract, "region")),
+    "subcategory_summary": _q(lambda s: marts.group_summary(s.extract, "sub_category")),
+    "flat_extract": _q(lambda s: s.extract),
+    "margin_by_region_year": _q(lambda s: marts.margin_by_region_year(s.extract)),
+    "category_scatter": _q(lambda s: marts.category_scatter(s.extract)),
+    "profit_city_region": _q(lambda s: marts.profit_city_region(s.extract)),
 }
