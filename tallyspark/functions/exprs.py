@@ -66,10 +66,10 @@ def parse_mixed_date(s: str | Column, strict_first_format: bool = False) -> Colu
     which reproduces the behaviour of inferring one format from the data.
     """
     s = col(s)
-    day_first = F.try_to_date(s, F.lit("d-M-yyyy"))
+    day_first = F.try_to_date(s, "d-M-yyyy")
     if strict_first_format:
         return day_first
-    return F.coalesce(day_first, F.try_to_date(s, F.lit("yyyy/M/d")))
+    return F.coalesce(day_first, F.try_to_date(s, "yyyy/M/d"))
 
 
 def full_name(first: str | Column, last: str | Column) -> Column:

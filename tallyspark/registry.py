@@ -11,8 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.operators import business, findings, marts
-from tallyspark.sources import star
+from tallyspark.operators import business, clean, findings, marts
+from tallyspark.sources import raw, star
 from tallyspark.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -52,6 +52,14 @@ class Star:
         """The workbook's flat extract: orders JOIN customers JOIN products."""
         return marts.flat_extract(self.orders, self.customers, self.products)
 
+    @property
+    def raw_export(self) -> DataFrame:
+        """The dirty flat string export the cleaning pipeline starts from."""
+        return raw.raw_export(self.t)
+
+    def cleaned(self, strict_first_format: bool = False) -> clean.Cleaned:
+        return clean.clean(self.raw_export, strict_first_format)
+
     @property
     def orders_dirty(self) -> DataFrame:
         return star.star_orders_line(self.t, dirty_ship_date=True)
@@ -106,4 +114,9 @@ QUERIES: dict[str, QueryFn] = {
     "margin_by_region_year": _q(lambda s: marts.margin_by_region_year(s.extract)),
     "category_scatter": _q(lambda s: marts.category_scatter(s.extract)),
     "profit_city_region": _q(lambda s: marts.profit_city_region(s.extract)),
+    # cleaning pipeline on the dirty raw export
+    "clean_orders": _q(lambda s: s.cleaned().orders),
+    "clean_customers": _q(lambda s: s.cleaned().customers),
+    "clean_products": _q(lambda s: s.cleaned().products),
+    "clean_drop_counts": _q(lambda s: clean.drop_counts(s.raw_export)),
 }

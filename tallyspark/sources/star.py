@@ -118,14 +118,14 @@ def _money_columns(sales: Column, discount_raw: Column, tax_raw: Column) -> dict
     return {"sales": sales, "discount": discount, "profit": profit}
 
 
-def _finish_orders(df: DataFrame) -> DataFrame:
+def _finish_orders(df: DataFrame, extra: list[str] | None = None) -> DataFrame:
     """Date-derived and ratio columns shared by both fact grains."""
     return df.withColumns({
         "profit_margin": profit_margin("profit", "sales"),
         "order_year": F.year("order_date"),
         "order_month": F.month("order_date"),
         "order_quarter": quarter_label("order_date"),
-    }).select(*ORDER_COLUMNS)
+    }).select(*ORDER_COLUMNS, *(extra or []))
 
 
 def star_orders_line(spark_or_tables, sf_dir: str | None = None, dirty_ship_date: bool = False) -> DataFrame:
@@ -175,7 +175,7 @@ def order_grain_lines(t: Tables) -> DataFrame:
     )
 
 
-def star_orders(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
+def star_orders(spark_or_tables, sf_dir: str | None = None, keep_order_key: bool = False) -> DataFrame:
     """Order-grain fact, unique ``order_id`` = ``ORD-`` + 8-digit order key."""
     t = _t(spark_or_tables, sf_dir)
     lines = order_grain_lines(t)
@@ -197,8 +197,9 @@ def star_orders(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
         m["profit"].alias("profit"),
         F.datediff(ship_date, order_date).alias("delivery_days"),
         ((F.col("o_orderkey") % POSTAL_MISSING_MOD) == 1).alias("postal_code_missing"),
+        "o_orderkey",
     )
-    return _finish_orders(base)
+    return _finish_orders(base, ["o_orderkey"] if keep_order_key else None)
 
 
 def register_star(spark: SparkSession, sf_dir: str, grain: str = "line") -> None:
