@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyspark.operators import business, clean, findings, marts
+from tallyspark.operators import business, clean, findings, marts, profile, quality
 from tallyspark.sources import raw, star
 from tallyspark.sources.tables import Tables
 
@@ -119,4 +119,16 @@ QUERIES: dict[str, QueryFn] = {
     "clean_customers": _q(lambda s: s.cleaned().customers),
     "clean_products": _q(lambda s: s.cleaned().products),
     "clean_drop_counts": _q(lambda s: clean.drop_counts(s.raw_export)),
+    # audit / profile
+    "null_counts": _q(lambda s: profile.null_counts(s.raw_export)),
+    "duplicate_counts": _q(lambda s: profile.duplicate_counts(s.raw_export)),
+    "describe_columns": _q(lambda s: profile.describe_columns(
+        s.orders, ["sales", "profit", "profit_margin", "delivery_days"], ["order_quarter"])),
+    "describe_quartiles_approx": _q(lambda s: profile.describe_quartiles_approx(
+        s.orders, ["sales", "profit", "profit_margin", "delivery_days"])),
+    # data quality
+    "dq_clean": _q(lambda s: quality.run_checks(s.customers, s.products, s.orders_og)),
+    "dq_dirty": _q(lambda s: quality.run_checks(s.customers, s.products, s.orders_dirty)),
+    "orphan_customers": _q(lambda s: quality.orphan_keys(s.orders, s.customers, "customer_id")),
+    "orphan_products": _q(lambda s: quality.orphan_keys(s.orders, s.products, "product_id")),
 }
