@@ -10,8 +10,9 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyspark.operators import business, clean, findings, marts, profile, quality
+from tallyspark.operators import business, clean, findings, forecast, marts, profile, quality
 from tallyspark.sources import raw, star
 from tallyspark.sources.tables import Tables
 
@@ -60,6 +61,15 @@ class Star:
     def cleaned(self, strict_first_format: bool = False) -> clean.Cleaned:
         return clean.clean(self.raw_export, strict_first_format)
 
+    @property
+    def orders_region(self) -> DataFrame:
+        """(region, order_date, sales): the fact pre-aggregated per customer and
+        month, then joined to its region (hot customers collapse map-side)."""
+        part = self.orders.groupBy("customer_id", F.trunc("order_date", "MM").alias("order_date")).agg(
+            F.sum("sales").alias("sales"))
+        return part.join(self.customers.select("customer_id", "region"), "customer_id").select(
+            "region", "order_date", "sales")
+
     @property
     def orders_dirty(self) -> DataFrame:
         return star.star_orders_line(self.t, dirty_ship_date=True)
@@ -131,4 +141,11 @@ QUERIES: dict[str, QueryFn] = {
     "dq_dirty": _q(lambda s: quality.run_checks(s.customers, s.products, s.orders_dirty)),
     "orphan_customers": _q(lambda s: quality.orphan_keys(s.orders, s.customers, "customer_id")),
     "orphan_products": _q(lambda s: quality.orphan_keys(s.orders, s.products, "product_id")),
+    # forecasting
+    "monthly_series": _q(lambda s: forecast.monthly_series(s.orders)),
+    "monthly_series_by_region": _q(lambda s: forecast.monthly_series(s.orders_region, ["region"])),
+    "hw_forecast": _q(lambda s: forecast.forecast(s.orders)),
+    "hw_forecast_by_region": _q(lambda s: forecast.forecast(s.orders_region, ["region"])),
+    "hw_backtest": _q(lambda s: forecast.backtest(s.orders)),
+    "hw_metrics": _q(lambda s: forecast.backtest_metrics(forecast.backtest(s.orders))),
 }
