@@ -12,11 +12,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.operators import business, clean, findings, forecast, marts, profile, quality
+from tallyspark.operators import business, clean, findings, forecast, marts, profile, quality, regress, segment
 from tallyspark.sources import raw, star
 from tallyspark.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
+_SEGMENTATIONS: dict = {}
 
 
 class Star:
@@ -70,6 +71,15 @@ class Star:
         return part.join(self.customers.select("customer_id", "region"), "customer_id").select(
             "region", "order_date", "sales")
 
+    def order_segmentation(self) -> segment.Segmentation:
+        """Fitted once per (session, folder): the sweep, summary and segment
+        queries share one set of k-means fits over the same immutable input."""
+        key = (id(self.t.spark), self.t.sf_dir)
+        if key not in _SEGMENTATIONS:
+            _SEGMENTATIONS[key] = segment.order_segmentation(
+                self.orders_og, self.products, n_init=SEG_N_INIT, max_iter=SEG_MAX_ITER)
+        return _SEGMENTATIONS[key]
+
     @property
     def orders_dirty(self) -> DataFrame:
         return star.star_orders_line(self.t, dirty_ship_date=True)
@@ -84,6 +94,12 @@ SLICERS = dict(
 )
 
 
+# k-means restarts / iterations used by the registered segmentation queries
+# (the library default is the reference's 10 restarts).
+SEG_N_INIT = 2
+SEG_MAX_ITER = 20
+
+
 def _q(fn: Callable[[Star], DataFrame]) -> QueryFn:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return fn(Star(spark, sf_dir))
@@ -148,4 +164,20 @@ QUERIES: dict[str, QueryFn] = {
     "hw_forecast_by_region": _q(lambda s: forecast.forecast(s.orders_region, ["region"])),
     "hw_backtest": _q(lambda s: forecast.backtest(s.orders)),
     "hw_metrics": _q(lambda s: forecast.backtest_metrics(forecast.backtest(s.orders))),
+    # customers: RFM and orders per customer (order grain)
+    "rfm": _q(lambda s: segment.rfm(s.orders_og)),
+    # segmentation (order grain; sweep k = 2..8, SEG_N_INIT restarts each)
+    "scaled_features": _q(lambda s: segment.scaled_features(s.orders_og, s.products)),
+    "segment_feature_drops": _q(lambda s: segment.dropped_feature_rows(s.orders_og, s.products)),
+    "kmeans_sweep": _q(lambda s: s.order_segmentation().sweep),
+    "order_segments": _q(lambda s: s.order_segmentation().segments),
+    "segment_summary": _q(lambda s: segment.segment_summary(s.order_segmentation().segments)),
+    "segment_summary_short": _q(lambda s: segment.segment_summary_short(s.order_segmentation().segments)),
+    "rfm_segments": _q(lambda s: segment.rfm_segments(
+        s.orders_og, n_init=SEG_N_INIT, max_iter=SEG_MAX_ITER).segments),
+    # regression
+    "reg_split": _q(lambda s: regress.split_summary(regress.load_and_engineer(s.orders_og, s.products))),
+    "reg_baseline": _q(lambda s: regress.baseline(*regress.split(regress.load_and_engineer(s.orders_og, s.products)))),
+    "reg_metrics_linear": _q(lambda s: regress.run(s.orders_og, s.products, "linear")),
+    "reg_metrics_gbt": _q(lambda s: regress.run(s.orders_og, s.products, "gbt")),
 }
