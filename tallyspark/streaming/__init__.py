@@ -1 +1,8 @@
+"""Streaming.
 
+The reference has no streaming operator: no watermark, time window, stateful
+operator or late-data handling anywhere in it; its only time bucketing is the
+batch calendar-month resample, implemented in ``operators.forecast``. This
+package is therefore intentionally empty, rather than carrying operators the
+reference does not have.
+"""
