@@ -154,6 +154,15 @@ def label_segments(assigned: DataFrame, cluster_col: str = "segment_id") -> Data
     return assigned.join(F.broadcast(labels), cluster_col, "left")  # k rows: bounded by k
 
 
+def cluster_profile(segments: DataFrame, cluster_col: str = "segment_id") -> DataFrame:
+    """Mean discount, margin, sales and quantity per cluster."""
+    return segments.groupBy(cluster_col).agg(
+        *[F.round(F.avg(F.col(c).cast("double")), 6).alias(f"avg_{c}")
+          for c in ("discount", "profit_margin", "sales", "quantity")],
+        F.count(F.lit(1)).cast("bigint").alias("orders"),
+    ).orderBy(cluster_col)
+
+
 def segment_summary(segments: DataFrame) -> DataFrame:
     """Per label count, mean sales / discount / margin, total profit (3 dp)."""
     return segments.groupBy("segment_label").agg(

@@ -140,6 +140,7 @@ QUERIES: dict[str, QueryFn] = {
     "margin_by_region_year": _q(lambda s: marts.margin_by_region_year(s.extract)),
     "category_scatter": _q(lambda s: marts.category_scatter(s.extract)),
     "profit_city_region": _q(lambda s: marts.profit_city_region(s.extract)),
+    "preview_orders": _q(lambda s: marts.head_preview(s.orders_og, 500, ["order_date", "order_id"])),
     # cleaning pipeline on the dirty raw export
     "clean_orders": _q(lambda s: s.cleaned().orders),
     "clean_customers": _q(lambda s: s.cleaned().customers),
@@ -172,6 +173,7 @@ QUERIES: dict[str, QueryFn] = {
     "kmeans_sweep": _q(lambda s: s.order_segmentation().sweep),
     "order_segments": _q(lambda s: s.order_segmentation().segments),
     "segment_summary": _q(lambda s: segment.segment_summary(s.order_segmentation().segments)),
+    "cluster_profile": _q(lambda s: segment.cluster_profile(s.order_segmentation().segments)),
     "segment_summary_short": _q(lambda s: segment.segment_summary_short(s.order_segmentation().segments)),
     "rfm_segments": _q(lambda s: segment.rfm_segments(
         s.orders_og, n_init=SEG_N_INIT, max_iter=SEG_MAX_ITER).segments),
