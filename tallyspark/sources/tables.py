@@ -50,8 +50,11 @@ def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
     uses every core; the partitioning on the order key is the one the following
     join / aggregation needs anyway, so it replaces, not adds, an exchange there.
     On a large input (many splits) the scan is returned untouched."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    splits = df.rdd.getNumPartitions()
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as is
+        return df
     if splits >= cores:
         return df
     return df.repartition(cores, key)
