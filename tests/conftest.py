@@ -1,4 +1,5 @@
 import os
+import tempfile
 import sys
 
 import pytest
@@ -13,6 +14,8 @@ SF0001 = "/root/testdata/sf0.001"
 def spark():
     from tallyspark.session import get_spark
 
-    s = get_spark("tallyspark-tests", master="local[*]", shuffle_partitions=8)
+    warehouse = tempfile.mkdtemp(prefix="tallyspark-wh-")
+    s = get_spark("tallyspark-tests", master="local[*]", shuffle_partitions=8,
+                  extra_conf={"spark.sql.warehouse.dir": warehouse})
     yield s
     s.stop()
