@@ -73,6 +73,29 @@ def filter_options(df: DataFrame, fields: Sequence[str] = ("region", "category",
     return out.orderBy("field", "value")
 
 
+def slicer_options(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
+    """P15 over the app's left-joined frame, computed from distinct keys: the
+    fact is reduced to its distinct customer / product keys map-side, and only
+    those are joined to the dimensions. Same values as ``filter_options(app_view)``."""
+    cust = orders.select("customer_id").distinct().join(
+        customers.select("customer_id", "region", "city_type"), "customer_id")
+    prod = orders.select("product_id").distinct().join(
+        products.select("product_id", "category"), "product_id")
+    parts = [cust.select(F.lit("region").alias("field"), F.col("region").alias("value")),
+             prod.select(F.lit("category").alias("field"), F.col("category").alias("value")),
+             cust.select(F.lit("city_type").alias("field"), F.col("city_type").alias("value"))]
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return out.where(F.col("value").isNotNull()).distinct().orderBy("field", "value")
+
+
+def profit_by_region_keys(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """A10 over the app's left join, pre-aggregated per customer first (orphan
+    customers land in the NULL region, as with the left join)."""
+    part = orders.groupBy("customer_id").agg(F.sum("profit").alias("p"))
+    j = part.join(customers.select("customer_id", "region"), "customer_id", "left")
+    return j.groupBy("region").agg(money(F.sum("p"), 2).alias("total_profit")).orderBy("total_profit")
+
+
 def date_bounds(df: DataFrame) -> DataFrame:
     """Min and max order date for the date-range control."""
     return df.agg(F.min("order_date").alias("min_order_date"), F.max("order_date").alias("max_order_date"))

@@ -126,9 +126,9 @@ QUERIES: dict[str, QueryFn] = {
     # app / dashboard / workbook marts
     "kpi_overall": _q(lambda s: marts.kpi(s.app)),
     "kpi_filtered": _q(lambda s: marts.kpi(marts.apply_slicers(s.app, **SLICERS))),
-    "filter_options": _q(lambda s: marts.filter_options(s.app)),
-    "date_bounds": _q(lambda s: marts.date_bounds(s.app)),
-    "profit_by_region": _q(lambda s: marts.profit_by_region(s.app)),
+    "filter_options": _q(lambda s: marts.slicer_options(s.orders, s.customers, s.products)),
+    "date_bounds": _q(lambda s: marts.date_bounds(s.orders)),
+    "profit_by_region": _q(lambda s: marts.profit_by_region_keys(s.orders, s.customers)),
     "sales_by_quarter": _q(lambda s: marts.sales_by_quarter(s.orders)),
     "tier_margin": _q(lambda s: marts.tier_margin(s.app)),
     "tier_margin_filtered": _q(lambda s: marts.tier_margin(marts.apply_slicers(s.app, **SLICERS))),
