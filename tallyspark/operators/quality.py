@@ -2,11 +2,10 @@
 of ``(check, violations, passed)`` rows.
 
 * Schema checks compare column sets on the driver (metadata only).
-* The fact is read once: one GROUPING SETS aggregation yields order-id
-  multiplicities, the distinct customer / product keys and the summed
-  row-check flags (map-side partial aggregation first, so a hot key costs one
-  row per task); it is written once to the checkpoint folder and every fact
-  check reads that.
+* Every other check comes from ONE GROUPING SETS aggregation over the fact
+  stacked with the dimensions' keys (see ``key_and_row_checks``): each input
+  is scanned once and there is one shuffle, with map-side partial
+  aggregation first, so a hot key costs one row per task.
 * The NULL behaviour of each check follows the reference (a NULL fails a
   range check but passes an ordering / ratio check).
 """
@@ -17,7 +16,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import fails_if, fails_unless, quarter_label
-from tallyspark.plans.materialize import materialize
 
 CUSTOMER_REQUIRED = ["customer_id", "customer_name", "last_name", "segment", "city_type", "region", "state"]
 PRODUCT_REQUIRED = ["product_id", "category", "sub_category"]
@@ -95,61 +93,58 @@ _FACT_KEYS = ["order_id", "customer_id", "product_id"]
 _GID = {"order_id": 0b011, "customer_id": 0b101, "product_id": 0b110, "all": 0b111}
 
 
-def fact_pass(orders: DataFrame) -> DataFrame:
-    """One scan of the fact for every fact-side check.
+def key_and_row_checks(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
+    """Uniqueness, foreign-key and row checks in ONE aggregation.
 
-    GROUPING SETS ((order_id), (customer_id), (product_id), ()) give, in one
-    aggregation, the multiplicity of each order id, the distinct customer and
-    product keys (NULL kept as a key), and over () the summed row-check flags.
-    Map-side partial aggregation shrinks each set before the single shuffle.
+    Fact rows (with their row-check flags) and the two dimensions' key columns
+    are stacked with a source tag, then grouped once with GROUPING SETS
+    ((order_id), (customer_id), (product_id), ()). Per key the counts by source
+    answer every key check: an order id seen twice in the fact, a dimension key
+    seen twice in its dimension, a fact key never seen in its dimension (NULL
+    groups with NULL, i.e. set semantics). The grand-total set sums the flags.
+    One scan of each input, one shuffle (partial aggregation first, so a hot
+    key costs one row per task), one consumer.
     """
     checks = row_checks(orders)
-    flagged = orders.select(*_FACT_KEYS, *[
-        (flag if name == "no_null_core_fields" else flag.cast("int")).alias(name)
-        for name, flag in checks.items()])
-    g = flagged.groupingSets([[k] for k in _FACT_KEYS] + [[]], *_FACT_KEYS).agg(
-        F.count(F.lit(1)).alias("n"),
+    fact = orders.select(
+        *_FACT_KEYS, F.lit("f").alias("src"),
+        *[(flag if name == "no_null_core_fields" else flag.cast("int")).alias(name)
+          for name, flag in checks.items()])
+    nulls = [F.lit(None).cast("int").alias(name) for name in checks]
+    cust = customers.select(F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"),
+                            F.col("customer_id").cast(orders.schema["customer_id"].dataType).alias("customer_id"),
+                            F.lit(None).cast(orders.schema["product_id"].dataType).alias("product_id"),
+                            F.lit("c").alias("src"), *nulls)
+    prod = products.select(F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"),
+                           F.lit(None).cast(orders.schema["customer_id"].dataType).alias("customer_id"),
+                           F.col("product_id").cast(orders.schema["product_id"].dataType).alias("product_id"),
+                           F.lit("p").alias("src"), *nulls)
+    g = fact.unionByName(cust).unionByName(prod).groupingSets(
+        [[k] for k in _FACT_KEYS] + [[]], *_FACT_KEYS).agg(
+        F.count_if(F.col("src") == "f").alias("nf"),
+        F.count_if(F.col("src") == "c").alias("nc"),
+        F.count_if(F.col("src") == "p").alias("np"),
         *[F.sum(name).alias(name) for name in checks],
         F.grouping_id().alias("gid"),
     )
-    # flag totals matter only on the grand-total row; NULL elsewhere keeps the
-    # written key rows narrow
-    total = F.col("gid") == _GID["all"]
-    return g.select(*_FACT_KEYS, "n", "gid", *[F.when(total, F.col(n)).alias(n) for n in checks])
-
-
-def _fact_checks(orders: DataFrame, customers: DataFrame, products: DataFrame) -> list[DataFrame]:
-    # Written once to the shared checkpoint folder: the four consumers below
-    # prune different columns, so without the cut each would recompute the fact.
-    g = materialize(fact_pass(orders), "dq_fact_pass")
-    names = list(row_checks(orders))
-    dup = g.where(F.col("gid") == _GID["order_id"]).agg(
-        F.count_if(F.col("n") > 1).cast("bigint").alias("violations")).select(
-        F.lit("order_id_unique").alias("check"), "violations")
-    parts = [dup]
-    for key, dim, name in (("customer_id", customers, "orders_customer_fk"),
-                           ("product_id", products, "orders_product_fk")):
-        keys = g.where(F.col("gid") == _GID[key]).select(F.col(key).alias("k"))
-        dk = dim.select(F.col(key).alias("d")).distinct()
-        orphans = keys.join(dk, keys["k"].eqNullSafe(dk["d"]), "left_anti")
-        parts.append(orphans.agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
-            F.lit(name).alias("check"), "violations"))
-    totals = g.where(F.col("gid") == _GID["all"]).select(
-        *[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
-    parts.append(totals.unpivot([], names, "check", "violations"))
-    return parts
+    gid = F.col("gid")
+    wide = g.agg(
+        F.count_if((gid == _GID["customer_id"]) & (F.col("nc") > 1)).alias("customer_id_unique"),
+        F.count_if((gid == _GID["product_id"]) & (F.col("np") > 1)).alias("product_id_unique"),
+        F.count_if((gid == _GID["order_id"]) & (F.col("nf") > 1)).alias("order_id_unique"),
+        F.count_if((gid == _GID["customer_id"]) & (F.col("nf") > 0) & (F.col("nc") == 0)).alias("orders_customer_fk"),
+        F.count_if((gid == _GID["product_id"]) & (F.col("nf") > 0) & (F.col("np") == 0)).alias("orders_product_fk"),
+        *[F.sum(F.when(gid == _GID["all"], F.col(name))).alias(name) for name in checks],
+    )
+    names = ["customer_id_unique", "product_id_unique", "order_id_unique",
+             "orders_customer_fk", "orders_product_fk", *checks]
+    wide = wide.select(*[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
+    return wide.unpivot([], names, "check", "violations")
 
 
 def run_checks(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
-    """All checks as ``(check, violations, passed)``. The fact is read once
-    (``fact_pass``); each dimension is read for its own uniqueness and key set."""
-    parts = [
-        _schema_checks(customers, products, orders),
-        _unique_check(customers, "customer_id", "customer_id_unique"),
-        _unique_check(products, "product_id", "product_id_unique"),
-        *_fact_checks(orders, customers, products),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+    """All checks as ``(check, violations, passed)``: schema checks from
+    metadata, everything else from one aggregation (``key_and_row_checks``)."""
+    out = _schema_checks(customers, products, orders).unionByName(
+        key_and_row_checks(customers, products, orders))
     return out.withColumn("passed", F.col("violations") == 0).orderBy("check")

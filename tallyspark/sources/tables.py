@@ -34,7 +34,7 @@ class Tables:
         df = self.spark.read.parquet(self.path(name))
         key = FACT_KEYS.get(name)
         if key is not None:
-            df = spread_small_scan(df, key)
+            df = spread_small_scan(df, key, memo_key=self.path(name))
         return df
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -44,15 +44,24 @@ class Tables:
 
 
 
-def spread_small_scan(df: DataFrame, key: str) -> DataFrame:
+_SPLITS: dict[str, int] = {}
+
+
+def spread_small_scan(df: DataFrame, key: str, memo_key: str | None = None) -> DataFrame:
     """Hash-partition a fact scan on ``key`` when it has fewer input splits than
     the cluster has cores (a few large row groups), so the per-row work after it
     uses every core; the partitioning on the order key is the one the following
     join / aggregation needs anyway, so it replaces, not adds, an exchange there.
-    On a large input (many splits) the scan is returned untouched."""
+    On a large input (many splits) the scan is returned untouched. The split
+    count of an (immutable) input file is looked up once per path."""
     try:
         cores = df.sparkSession.sparkContext.defaultParallelism
-        splits = df.rdd.getNumPartitions()
+        if memo_key is not None and memo_key in _SPLITS:
+            splits = _SPLITS[memo_key]
+        else:
+            splits = df.rdd.getNumPartitions()  # planning only, no job
+            if memo_key is not None:
+                _SPLITS[memo_key] = splits
     except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as is
         return df
     if splits >= cores:

@@ -130,3 +130,29 @@ def test_duplicate_null_keys_count_as_duplicates(spark):
     assert quality._unique_check(cust, "customer_id", "customer_id_unique").first()["violations"] == 1
     schema = {r["check"]: r["violations"] for r in quality._schema_checks(cust, prods, orders).collect()}
     assert schema == {"customers_schema": 6, "products_schema": 0, "orders_schema": 13}
+
+
+def _orders_frame(spark, rows):
+    """Minimal star orders rows: (order_id, customer_id, product_id), other fields valid."""
+    full = [(o, c, p, D(2020, 1, 1), D(2020, 1, 2), "Standard Class", Decimal("10.00"), 1, Decimal("0.10"),
+             Decimal("1.00"), Decimal("0.1000"), 1, 2020, 1, "2020Q1", False) for o, c, p in rows]
+    return spark.createDataFrame(full, "order_id string, customer_id string, product_id string, order_date date, "
+                                       "ship_date date, ship_mode string, sales decimal(12,2), quantity int, "
+                                       "discount decimal(4,2), profit decimal(12,2), profit_margin decimal(6,4), "
+                                       "delivery_days int, order_year int, order_month int, order_quarter string, "
+                                       "postal_code_missing boolean")
+
+
+def test_one_pass_key_checks(spark):
+    orders = _orders_frame(spark, [("O1", "C1", "P1"), ("O1", "C9", "P1"), ("O3", None, "P2")])
+    prods = spark.createDataFrame([("P1", "a", "b"), ("P1", "a", "c")], "product_id string, category string, sub_category string")
+    cust = spark.createDataFrame([("C1",), ("C1",)], "customer_id string")
+    res = {r["check"]: r["violations"] for r in quality.key_and_row_checks(cust, prods, orders).collect()}
+    assert res["order_id_unique"] == 1
+    assert res["customer_id_unique"] == 1 and res["product_id_unique"] == 1
+    assert res["orders_customer_fk"] == 2          # C9 and NULL
+    assert res["orders_product_fk"] == 1           # P2
+    assert res["sales_positive"] == 0 and res["no_null_core_fields"] == 1
+    cust_null = spark.createDataFrame([("C1",), (None,)], "customer_id string")
+    res = {r["check"]: r["violations"] for r in quality.key_and_row_checks(cust_null, prods, orders).collect()}
+    assert res["orders_customer_fk"] == 1          # NULL matches the dimension's NULL
