@@ -74,7 +74,11 @@ class Star:
     def order_segmentation(self) -> segment.Segmentation:
         """Fitted once per (session, folder): the sweep, summary and segment
         queries share one set of k-means fits over the same immutable input."""
-        key = (id(self.t.spark), self.t.sf_dir)
+        try:
+            app = self.t.spark.sparkContext.applicationId
+        except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
+            app = id(self.t.spark)
+        key = (app, self.t.sf_dir)
         if key not in _SEGMENTATIONS:
             _SEGMENTATIONS[key] = segment.order_segmentation(
                 self.orders_og, self.products, n_init=SEG_N_INIT, max_iter=SEG_MAX_ITER)
