@@ -58,3 +58,31 @@ def forecast_job(orders: DataFrame, out_dir: str, periods: int = forecast.DEFAUL
 def regression_job(orders: DataFrame, products: DataFrame, model_type: str = "gbt") -> DataFrame:
     """One-row metrics DataFrame."""
     return regress.run(orders, products, model_type)
+
+
+def star_job(spark, sf_dir: str, out_dir: str, buckets: int | None = None) -> dict[str, str]:
+    """Build the star tables once from the driver tables and write them as
+    Parquet: customers, products, and the line-grain fact partitioned by
+    ``order_year`` (year slicers prune whole folders). With ``buckets`` the fact
+    is first hash-clustered on (order_year, customer_id), so each year folder
+    holds ``buckets`` files with customers grouped, rather than one file per
+    write task."""
+    from tallyspark.sources.star import star_customers, star_orders_line, star_products
+    from tallyspark.sources.tables import Tables
+
+    t = Tables(spark, sf_dir)
+    paths = {name: os.path.join(out_dir, name) for name in ("customers", "products", "orders")}
+    write_parquet(star_customers(t), paths["customers"])
+    write_parquet(star_products(t), paths["products"])
+    fact = star_orders_line(t)
+    if buckets:
+        fact = fact.repartition(buckets, "order_year", "customer_id")
+    write_parquet(fact, paths["orders"], partition_by=["order_year"])
+    return paths
+
+
+def extract_job(orders: DataFrame, customers: DataFrame, products: DataFrame, out_dir: str) -> None:
+    """The flat extract (inner 3-way join), replaced in full at each refresh."""
+    from tallyspark.operators.marts import flat_extract
+
+    write_parquet(flat_extract(orders, customers, products), os.path.join(out_dir, "flat_extract"))

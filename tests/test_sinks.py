@@ -37,3 +37,14 @@ def test_upper_case_and_key_first(spark):
     out = io.key_first(df, "month", {"forecast": "forecast_sales"})
     assert out.columns == ["month", "forecast_sales"]
     assert out.select(F.col("forecast_sales")).first()[0] == 1.0
+
+
+def test_star_job_writes_partitioned_fact(spark):
+    from tallyspark.plans.jobs import star_job
+
+    out = tempfile.mkdtemp(prefix="star-")
+    paths = star_job(spark, "/root/testdata/sf0.001", out)
+    orders = spark.read.parquet(paths["orders"])
+    assert "order_year" in orders.columns
+    assert any(name.startswith("order_year=") for name in os.listdir(paths["orders"]))
+    assert orders.count() == spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
