@@ -46,3 +46,20 @@ def test_dimension_join_not_forced_to_broadcast(spark):
     assert "SortMergeJoin" in plan
     # customers are pre-aggregated per key before the join
     assert "partial_sum" in plan
+
+
+def test_small_scan_spread_only_when_under_split(spark):
+    import tempfile
+
+    from tallyspark.sources.tables import spread_small_scan
+
+    cores = spark.sparkContext.defaultParallelism
+    many = tempfile.mkdtemp(prefix="splits-")
+    spark.range(0, 10_000, numPartitions=cores * 2).withColumnRenamed("id", "k") \
+        .write.mode("overwrite").parquet(many)
+    big = spark.read.parquet(many)
+    assert "REPARTITION_BY_NUM" not in _plan(spread_small_scan(big, "k"))
+    one = tempfile.mkdtemp(prefix="splits1-")
+    spark.range(0, 100, numPartitions=1).withColumnRenamed("id", "k").write.mode("overwrite").parquet(one)
+    small = spark.read.parquet(one)
+    assert "hashpartitioning(k" in _plan(spread_small_scan(small, "k"))
