@@ -46,18 +46,6 @@ def row_checks(orders: DataFrame) -> dict[str, Column]:
     }
 
 
-def _row_check_results(orders: DataFrame) -> DataFrame:
-    checks = row_checks(orders)
-    aggs = []
-    for name, flag in checks.items():
-        if name == "no_null_core_fields":
-            aggs.append(F.sum(flag).alias(name))
-        else:
-            aggs.append(F.count_if(flag).alias(name))
-    wide = orders.agg(*aggs).select(*[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in checks])
-    return wide.unpivot([], list(checks), "check", "violations")
-
-
 def _unique_check(df: DataFrame, key: str, name: str) -> DataFrame:
     """Number of key values (NULL included as one value) that appear more than once."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
@@ -73,11 +61,6 @@ def orphan_keys(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     return fk.join(dk, fk["k"].eqNullSafe(dk["d"]), "left_anti").select(F.col("k").alias(key))
 
 
-def _fk_check(fact: DataFrame, dim: DataFrame, key: str, name: str) -> DataFrame:
-    return orphan_keys(fact, dim, key).agg(F.count(F.lit(1)).cast("bigint").alias("violations")).select(
-        F.lit(name).alias("check"), "violations")
-
-
 def _schema_checks(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
     rows = []
     for name, df, required in (("customers_schema", customers, CUSTOMER_REQUIRED),

@@ -31,12 +31,6 @@ def bounded_broadcast(df: DataFrame, max_rows: int, memo_key: str | None = None)
     return F.broadcast(df) if fits(df, max_rows, memo_key) else df
 
 
-def one_row(df: DataFrame) -> DataFrame:
-    """Broadcast a global aggregate. A groupBy-free ``agg`` always returns
-    exactly one row, so its size bound is structural, not data-dependent."""
-    return F.broadcast(df)
-
-
 def join_dim(
     fact: DataFrame,
     dim: DataFrame,
