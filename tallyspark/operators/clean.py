@@ -27,7 +27,6 @@ from tallyspark.functions.exprs import (
     quarter_label,
     snake_case,
 )
-from tallyspark.plans.joins import bounded_broadcast
 from tallyspark.plans.materialize import materialize as write_and_read
 
 REQUIRED = ["Order Date", "Ship Date", "Sales", "Profit", "Region"]
@@ -37,7 +36,6 @@ ORDER_FIELDS = [
     "Sales", "Quantity", "Discount", "Profit", "Profit Margin", "Delivery Days",
     "Order Year", "Order Month", "Order Quarter", "Postal Code Missing",
 ]
-PRODUCT_PAIR_MAX_ROWS = 1_000_000  # broadcast the product dimension only below this
 
 
 def to_snake_case(df: DataFrame) -> DataFrame:
@@ -122,8 +120,9 @@ def clean(
         "Category", "Sub-Category",
     )
 
-    lookup = bounded_broadcast(
-        products.withColumnsRenamed({"Category": "_cat", "Sub-Category": "_sub"}), PRODUCT_PAIR_MAX_ROWS)
+    # The lookup is the output of an aggregate + window, i.e. a measured shuffle
+    # stage: AQE broadcasts it when small, and keeps a shuffle join otherwise.
+    lookup = products.withColumnsRenamed({"Category": "_cat", "Sub-Category": "_sub"})
     orders = (
         df.drop("Product ID", "Product Name")
         .join(lookup, F.col("Category").eqNullSafe(F.col("_cat"))
