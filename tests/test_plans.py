@@ -63,3 +63,22 @@ def test_small_scan_spread_only_when_under_split(spark):
     spark.range(0, 100, numPartitions=1).withColumnRenamed("id", "k").write.mode("overwrite").parquet(one)
     small = spark.read.parquet(one)
     assert "hashpartitioning(k" in _plan(spread_small_scan(small, "k"))
+
+
+def test_bounded_broadcast_checks_size(spark):
+    from tallyspark.plans.joins import bounded_broadcast, fits
+
+    small = spark.range(10)
+    big = spark.range(1000)
+    assert fits(small, 10) and not fits(big, 10)
+    fact = spark.range(100_000).withColumnRenamed("id", "k")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        hinted = _plan(fact.join(bounded_broadcast(small.withColumnRenamed("id", "k"), 10), "k"))
+        plain = _plan(fact.join(bounded_broadcast(big.withColumnRenamed("id", "k"), 10), "k"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", str(32 * 1024 * 1024))
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert "BroadcastHashJoin" in hinted
+    assert "BroadcastHashJoin" not in plain and "SortMergeJoin" in plain
