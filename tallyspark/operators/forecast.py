@@ -47,15 +47,25 @@ def monthly_series(
 ) -> DataFrame:
     """Month-start sums per key, empty months filled with 0, and the
     first and last month dropped when there are more than two (they are
-    treated as partial)."""
+    treated as partial).
+
+    The month sums of a key are folded into one month -> sum map (its size is
+    the number of months in the data), and the calendar is generated and
+    gap-filled in the same row: one pass over the fact, no join back.
+    """
     keys = list(keys)
     sums = orders.groupBy(*keys, F.trunc(date, "MM").alias("month")).agg(F.sum(value).alias("y"))
-    bounds = sums.groupBy(*keys).agg(F.min("month").alias("lo"), F.max("month").alias("hi"))
-    calendar = bounds.select(
-        *keys, "lo", "hi",
+    per_key = sums.groupBy(*keys).agg(
+        F.map_from_entries(F.collect_list(F.struct("month", F.col("y").cast("double")))).alias("by_month"),
+        F.min("month").alias("lo"),
+        F.max("month").alias("hi"),
+    )
+    calendar = per_key.select(
+        *keys, "lo", "hi", "by_month",
         F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH"))).alias("month"))
-    filled = calendar.join(sums, [*keys, "month"], "left").select(
-        *keys, "month", "lo", "hi", F.coalesce(F.col("y").cast("double"), F.lit(0.0)).alias("y"))
+    filled = calendar.select(
+        *keys, "month", "lo", "hi",
+        F.coalesce(F.try_element_at("by_month", F.col("month")), F.lit(0.0)).alias("y"))
     if trim_edges:
         n_months = F.months_between("hi", "lo") + 1
         filled = filled.where((n_months <= 2) | ((F.col("month") > F.col("lo")) & (F.col("month") < F.col("hi"))))
