@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import suffix_merge, suffix_tree
+from . import curriculum, decontaminate, suffix_merge, suffix_tree, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,27 @@ def op3_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_tree.remove_repeated_words(table(spark, sf_dir, "documents"), window=35).drop("kept_text")
 
 
+def tokenizer(name: str) -> str:
+    """File of a public tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.shared_path(spark, "token-files")
+    token_files.write(table(spark, sf_dir, "documents"), path, tokenizer("word_bpe_49k.json"), end_id=1)
+    return token_files.read(spark, path).drop("ids")
+
+
+def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8).drop("row_key")
+
+
+def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curriculum.mix(table(spark, sf_dir, "documents")).drop("positions", "source")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_merge, op3_suffix_tree)
+    f.__name__: f for f in (op2_suffix_merge, op3_suffix_tree, op4_token_files, op7_minhash_containment, op8_curriculum_mix)
 }

@@ -2,4 +2,53 @@
 
 from __future__ import annotations
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"[x for x in string_split_regex({}, '[\x20\x09-\x0D]+') if x <> '']"
+
 SQL: dict[str, str] = {}
+
+SQL["op3_suffix_tree"] = rf"""
+WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
+win AS (SELECT doc_id, i, hash(w[i : i + 34]) AS h FROM t, unnest(range(1, len(w) - 33)) AS r(i)),
+rep AS (SELECT doc_id, i FROM win WHERE h IN (SELECT h FROM win GROUP BY h HAVING count(*) > 1)),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS p FROM rep),
+word AS (SELECT doc_id, p, w[p] AS x FROM t, unnest(range(1, len(w) + 1)) AS r(p)),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT t.doc_id, len(t.w)::BIGINT AS n_words, (len(t.w) - coalesce(kept.n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(k, '')) AS kept_sha256
+FROM t LEFT JOIN kept USING (doc_id)
+"""
+
+SQL["op7_minhash_containment"] = rf"""
+WITH d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS.format(_LOWER)} AS w FROM benchmark),
+item AS (SELECT DISTINCT item_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+         FROM (SELECT *, least(5, len(w)) AS n FROM b WHERE len(w) > 0), unnest(range(1, len(w) - n + 2)) AS r(i)),
+doc AS (SELECT DISTINCT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS s
+        FROM d, (SELECT DISTINCT n FROM item), unnest(range(1, len(w) - n + 2)) AS r(i)),
+size AS (SELECT item_id, count(*) AS q FROM item GROUP BY item_id)
+SELECT doc_id, item_id, any_value(q)::BIGINT AS n_shingles, count(*)::BIGINT AS n_found, count(*) / any_value(q) AS containment
+FROM doc JOIN item USING (n, s) JOIN size USING (item_id)
+GROUP BY doc_id, item_id HAVING count(*) / any_value(q) >= 0.8
+"""
+
+SQL["op8_curriculum_mix"] = r"""
+WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS sid FROM s0),
+s2 AS (SELECT *, [5, 2, 1][sid % 3 + 1] AS weight, [1.5, 1.0, 0.5][sid % 3 + 1]::DOUBLE AS r FROM s1),
+s3 AS (SELECT *, ((sum(source_size) OVER ()
+                  - coalesce(sum(3 * source_size) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE
+                 / (sum(weight) OVER (ORDER BY 3.0::DOUBLE * source_size / weight, sid ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE) AS level FROM s2),
+s4 AS (SELECT *, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target, sum(source_size) OVER () AS words FROM s3),
+u AS (SELECT t.*, source_size, target, r, words,
+             (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::INT AS passes,
+             coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+      FROM t JOIN s4 ON t.source IS NOT DISTINCT FROM s4.source),
+v AS (SELECT *, passes + CASE WHEN before + size / 2 < target - passes * source_size THEN 1 ELSE 0 END AS copies,
+             least((before + size / 2) / target, 1.0::DOUBLE) AS x FROM u)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::INT AS copies,
+       CASE WHEN copies > 0 THEN 2 * x / (r + sqrt(r * r + 4 * (1 - r) * x)) * words::DOUBLE END AS position
+FROM v
+"""
