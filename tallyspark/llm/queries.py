@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import curriculum, decontaminate, suffix_merge, suffix_tree, token_files
+from . import chat, curriculum, decontaminate, lsh_forest, nbsvm, suffix_merge, suffix_tree, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(spark, path).drop("ids")
 
 
+def op5_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = nbsvm.train(docs, table(spark, sf_dir, "labels"))
+    return nbsvm.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
+
+
 def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8).drop("row_key")
 
@@ -43,6 +49,19 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.mix(table(spark, sf_dir, "documents")).drop("positions", "source")
 
 
+def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    probe = spark.sql(f"SELECT -1L AS conv_id, x.turn, x.role, '{said}' AS text FROM (VALUES (0L, 'user'), (1L, 'assistant')) AS x(turn, role)")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionAll(probe)
+    path, model = token_files.shared_path(spark, "chat"), tokenizer("byte_bpe_50k.json")
+    chat.format_conversations(rows, model).write.parquet(path)
+    return chat.read_back(spark.read.parquet(path), model)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_merge, op3_suffix_tree, op4_token_files, op7_minhash_containment, op8_curriculum_mix)
+    f.__name__: f for f in (op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks)
 }
