@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 
-from . import chat, curriculum, decontaminate, lsh_forest, nbsvm, suffix_merge, suffix_tree, token_files
+from . import chat, curriculum, curve_search, decontaminate, lsh_forest, nbsvm, suffix_merge, suffix_tree, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op5_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nbsvm.score(docs.select("doc_id", "text"), model).select("doc_id", "held_out", "score", "predicted")
 
 
+def op6_hilbert_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.nearest(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), threshold=0.8).drop("row_key")
 
@@ -63,5 +67,5 @@ def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks)
+    f.__name__: f for f in (op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op6_hilbert_curves, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks)
 }
