@@ -5,15 +5,23 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
-from . import chat, curriculum, curve_search, decontaminate, lsh_forest, nbsvm, suffix_merge, suffix_tree, token_files
+from . import chat, curriculum, curve_search, decontaminate, lm_score, lsh_forest, nbsvm, suffix_merge, suffix_tree, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Target: the documents that ``labels`` marks as good; background: all others."""
+    good = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    out = lm_score.cross_entropy_difference(table(spark, sf_dir, "documents"), good)
+    return out.withColumns({c: F.round(c, 6) for c in ("ce_target", "ce_background", "score")})
+
+
 def op2_suffix_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_merge.remove_repeats(table(spark, sf_dir, "documents"), window=400).drop("kept_text")
 
@@ -67,5 +75,5 @@ def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op6_hilbert_curves, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks)
+    f.__name__: f for f in (op1_cross_entropy_difference, op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op6_hilbert_curves, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks)
 }

@@ -7,6 +7,21 @@ _WORDS = r"[x for x in string_split_regex({}, '[\x20\x09-\x0D]+') if x <> '']"
 
 SQL: dict[str, str] = {}
 
+SQL["op1_cross_entropy_difference"] = rf"""
+WITH d AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL) AS t,
+                  list_concat([NULL], {_WORDS.format("coalesce(text, '')")}, ['</s> ']) AS w FROM documents),
+tok AS (SELECT doc_id, t, coalesce(w[i], '</s> ') AS v, w[i + 1] AS x, w[i] IS NULL AS head FROM d, unnest(range(1, len(w))) AS r(i)),
+uni AS (SELECT x, sum(t::INT)::DOUBLE AS ct, sum((NOT t)::INT)::DOUBLE AS cb FROM tok GROUP BY x),
+bi AS (SELECT head, v, x, sum(t::INT)::DOUBLE AS ct, sum((NOT t)::INT)::DOUBLE AS cb FROM tok GROUP BY head, v, x),
+n AS (SELECT sum(ct) AS nt, sum(cb) AS nb FROM uni),
+p AS (SELECT bi.head, bi.v, bi.x,
+        log2((bi.ct + 20.0::DOUBLE * ((u.ct + 1000.0::DOUBLE * ((u.ct + u.cb) / (nt + nb))) / (nt + 1000.0::DOUBLE))) / (c.ct + 20.0::DOUBLE)) AS lt,
+        log2((bi.cb + 20.0::DOUBLE * ((u.cb + 1000.0::DOUBLE * ((u.ct + u.cb) / (nt + nb))) / (nb + 1000.0::DOUBLE))) / (c.cb + 20.0::DOUBLE)) AS lb
+      FROM bi JOIN uni u ON u.x = bi.x JOIN uni c ON c.x = bi.v CROSS JOIN n)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, round(-avg(lt), 6) AS ce_target, round(-avg(lb), 6) AS ce_background, round(avg(lb) - avg(lt), 6) AS score
+FROM tok JOIN p USING (head, v, x) GROUP BY doc_id
+"""
+
 SQL["op3_suffix_tree"] = rf"""
 WITH t AS (SELECT doc_id, {_WORDS.format("coalesce(text, '')")} AS w FROM documents),
 win AS (SELECT doc_id, i, hash(w[i : i + 34]) AS h FROM t, unnest(range(1, len(w) - 33)) AS r(i)),
