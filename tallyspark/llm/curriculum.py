@@ -58,15 +58,15 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, most: i
     counted), copies, position (of the first copy, in words of the mix; null if none is
     taken) and positions of all copies. A null source is a source, the last one; a source
     without words has target 0 and is not taken; a null doc_id is ordered like an empty
-    one; rows with equal doc_id follow each other by size, so equal rows are
-    interchangeable. An empty table gives no rows. The same rows give the same result
+    one; rows with equal doc_id and size are taken alike. An empty table gives no rows. The same rows give the same result
     however they are partitioned. Sizes are written once to the shared folder, as later
     steps read them three times.
     """
     spark = docs.sparkSession
     path = shared_path(spark, "mix-sizes")
     key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
-    docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")).write.parquet(path)
+    row = F.xxhash64("doc_id", "text").alias("row_key")
+    docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key"), row).write.parquet(path)
     sizes = spark.read.parquet(path).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
     sources = targets(sizes, weights, ramps, most)
     slices = sizes.groupBy("source", "slice").agg(F.sum("size").alias("words"))
@@ -74,13 +74,13 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, most: i
     slices = slices.select("source", "slice", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
     per_slice = slices.alias("a").join(sources.alias("b"), F.col("a.source").eqNullSafe(F.col("b.source"))).select(
         F.col("a.source").alias("s"), F.col("a.slice").alias("l"), "base", "source_size", "target", "ramp", "words")
-    within = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    rows = sizes.withColumn("inner", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    within = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size")  # up to and with all equal rows
+    rows = sizes.withColumn("inner", F.sum("size").over(within))
     rows = rows.join(per_slice, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("l")))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     left = F.col("target") - F.col("passes") * F.col("source_size")
-    middle = F.col("before") + F.col("size") / 2
-    rows = rows.withColumn("before", F.col("base") + F.col("inner")).withColumn("passes", passes.cast("int"))
+    middle = F.col("upto") - F.col("size") / 2
+    rows = rows.withColumn("upto", F.col("base") + F.col("inner")).withColumn("passes", passes.cast("int"))
     rows = rows.withColumn("copies", F.col("passes") + F.when(middle < left, 1).otherwise(0))
 
     def position(copy: Column) -> Column:
@@ -92,5 +92,14 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, most: i
     positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), position))
     rows = rows.withColumn("positions", positions).withColumn("position", F.get("positions", F.lit(0)))
     return rows.select(
-        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "position", "positions", "source",
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "position", "positions", "source", "row_key",
     ).orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, most: int = 3) -> DataFrame:
+    """Rows of ``docs``, all columns, each as often as the mix takes it, sorted by training position. See ``mix``."""
+    plan = mix(docs, weights, ramps, most).where(F.col("copies") > 0).select(F.col("row_key").alias("mix_key"), F.col("positions").alias("mix_positions"))
+    plan = plan.dropDuplicates(["mix_key"])
+    rows = docs.withColumn("mix_row", F.xxhash64("doc_id", "text")).join(plan, F.col("mix_row") == F.col("mix_key"))
+    rows = rows.select(*[docs[c] for c in docs.columns], F.explode("mix_positions").alias("mix_position"))
+    return rows.orderBy("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -4,7 +4,7 @@
    node (documents with equal sets are one node).
 2. The forest: tree t orders the nodes by the signature read from its own start. Nodes that
    share the first ``DEPTH`` values of a tree are a region; a pair with similarity 0.85 shares no
-   region of any of the ``TREES`` trees with probability 4e-7.
+   region of any of the ``TREES`` trees with probability 2e-8, one with 0.8 with 3e-6.
 3. Links, first pass: in every tree's sorted order, where neighbours have the longest
    common prefixes, each node is compared by signature with the few before it, its best
    partner is confirmed on the full sets, and components are formed.
@@ -28,8 +28,7 @@ from .ship import ship
 from .text import Rolling, U64, chunks, joined, mix, word_bounds, word_hashes
 from .token_files import shared_path
 
-VALUES, TREES, DEPTH = 128, 20, 4
-NEAR = 92  # of 128 values equal: 4 standard deviations below the mean at similarity 0.85
+VALUES, TREES, DEPTH = 128, 24, 4
 BEFORE = 3
 CHUNK = 1 << 20
 MEMBERS = 20_000
@@ -39,6 +38,12 @@ _ODD = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(
 _ADD = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
 
 
+def near(percent: int) -> int:
+    """Equal values by which a pair is worth confirming: 4.2 standard deviations below the mean at the threshold."""
+    p = percent / 100
+    return int(VALUES * (p - 4.2 * (p * (1 - p) / VALUES) ** 0.5))
+
+
 def shingle_sets(texts: list[bytes | None], n: int = SHINGLE) -> list[np.ndarray]:
     """Sorted different hashes of the ``n``-word shingles of each text, A-Z lower-cased; a shorter text is one shingle."""
     data, start, end = joined(texts)
@@ -107,7 +112,7 @@ def _saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """Pairs of each row and the ``BEFORE`` rows before it in the sorted order, of one region and alike by signature."""
     tail: tuple | None = None
     for batch in batches:
@@ -121,8 +126,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             at = np.arange(max(back, skip), len(node))
             at = at[region[at] == region[at - back]]
             same = (sig[at] == sig[at - back]).sum(axis=1)
-            near = same >= NEAR
-            at, same = at[near], same[near]
+            alike = same >= least
+            at, same = at[alike], same[alike]
             for x, y in zip(found, (node[at], node[at - back], same)):
                 x.append(y)
         u, v, same = (np.concatenate(x) for x in found)
@@ -130,27 +135,27 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = tuple(x[-BEFORE:] for x in (region, node, sig))
 
 
-def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, major: int, whole: bool, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, major: int, whole: bool, least: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different components that are alike by signature; more than ``WIDE`` components are split by further values."""
     if len(np.unique(root)) > WIDE and depth < VALUES:
         key = sig[:, depth].astype(np.int64) << 8 | sig[:, min(depth + 1, VALUES - 1)]
         if len(np.unique(key)) > 1:
             order = np.argsort(key, kind="stable")
             for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                yield from across(node[part], root[part], sig[part], major, whole, depth + 2)
+                yield from across(node[part], root[part], sig[part], major, whole, least, depth + 2)
             return
-        yield from across(node, root, sig, major, whole, depth + 2)
+        yield from across(node, root, sig, major, whole, least, depth + 2)
         return
     minor = np.flatnonzero(root != major)
     others = np.arange(len(node)) if whole else np.flatnonzero(root == major)
     for m in minor.tolist():
         see = others[(root[others] != root[m]) & ((root[others] == major) | (others > m))]
-        near = see[(sig[see] == sig[m]).sum(axis=1) >= NEAR]
-        if len(near):
-            yield np.full(len(near), node[m]), node[near]
+        alike = see[(sig[see] == sig[m]).sum(axis=1) >= least]
+        if len(alike):
+            yield np.full(len(alike), node[m]), node[alike]
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
     """``across`` for every (region, part) of rows sorted by them."""
 
     def groups() -> Iterator[pa.Table]:
@@ -172,7 +177,7 @@ def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         start = t["start"][0].as_py()
         sig = np.roll(sig, -start, axis=1)
         whole = t["part"][0].as_py() == 0
-        for u, v in across(t["node"].to_numpy(), t["root"].to_numpy(), sig, t["major"][0].as_py(), whole):
+        for u, v in across(t["node"].to_numpy(), t["root"].to_numpy(), sig, t["major"][0].as_py(), whole, least):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
 
@@ -190,14 +195,15 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is its different 5-word
     shingles, or its words as one if they are fewer. Documents are linked if 100 *
-    intersection >= ``percent`` * union (85 or more, for which the forest is laid out);
+    intersection >= ``percent`` * union (80 or more, for which the forest is laid out);
     component_id is the smallest doc_id that links reach. A document without words, or null,
     is linked with nothing. Rows that share a doc_id are linked by their texts alone, and
     a null doc_id is no candidate for the smallest unless there is no other. kept: doc_id =
     component_id (both null counts). Repeated rows stay rows. An empty table gives no rows.
     """
-    if percent < 85:
-        raise ValueError("the forest is laid out for 85 percent or more")
+    if percent < 80:
+        raise ValueError("the forest is laid out for 80 percent or more")
+    least = near(percent)
     spark = docs.sparkSession
     ship(spark)
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("doc_id", "text").alias("row_key"))
@@ -223,7 +229,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # first pass: best neighbour in the sorted orders
     turned = F.concat(F.expr("substring(sig, start + 1)"), F.expr("substring(sig, 1, start)"))
     order = member.withColumn("turned", turned).repartition("region").sortWithinPartitions("region", "turned", "node").select("region", "node", "sig")
-    best = order.mapInArrow(_neighbours, "u long, v long, same int").groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v"))
+    best = order.mapInArrow(lambda x: _neighbours(x, least), "u long, v long, same int").groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v"))
     links = _saved(confirmed(best, sets, percent), "links")
     first = _saved(components(links), "components")
 
@@ -236,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     own: Column = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mixed = mixed.withColumn("part", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
     mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "start", "sig")
-    pairs = mixed.mapInArrow(_across, "u long, v long").distinct()
+    pairs = mixed.mapInArrow(lambda x: _across(x, least), "u long, v long").distinct()
     more = _saved(confirmed(pairs, sets, percent), "links")
     roots = first.withColumnRenamed("root", "r")
     for end in ("u", "v"):
@@ -247,8 +253,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
         F.coalesce("node", "root").alias("node"), F.coalesce("root2", "root").alias("root"))
     ends = ends.unionAll(second.select("node", "root")).distinct()
     named = distinct.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(least, "root").select("node", "component_id")
+    lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    named = named.join(lowest, "root").select("node", "component_id")
     out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

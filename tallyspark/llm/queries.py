@@ -58,7 +58,7 @@ def op7_minhash_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.mix(table(spark, sf_dir, "documents")).drop("positions", "source")
+    return curriculum.mix(table(spark, sf_dir, "documents")).drop("positions", "source", "row_key")
 
 
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

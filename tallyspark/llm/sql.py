@@ -59,10 +59,10 @@ s3 AS (SELECT *, ((sum(source_size) OVER ()
 s4 AS (SELECT *, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target, sum(source_size) OVER () AS words FROM s3),
 u AS (SELECT t.*, source_size, target, r, words,
              (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::INT AS passes,
-             coalesce(sum(size) OVER (PARTITION BY t.source ORDER BY k, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before
+             sum(size) OVER (PARTITION BY t.source ORDER BY k, doc_id, size)::BIGINT - size / 2 AS middle
       FROM t JOIN s4 ON t.source IS NOT DISTINCT FROM s4.source),
-v AS (SELECT *, passes + CASE WHEN before + size / 2 < target - passes * source_size THEN 1 ELSE 0 END AS copies,
-             least((before + size / 2) / target, 1.0::DOUBLE) AS x FROM u)
+v AS (SELECT *, passes + CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END AS copies,
+             least(middle / target, 1.0::DOUBLE) AS x FROM u)
 SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copies::INT AS copies,
        CASE WHEN copies > 0 THEN 2 * x / (r + sqrt(r * r + 4 * (1 - r) * x)) * words::DOUBLE END AS position
 FROM v
