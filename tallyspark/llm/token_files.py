@@ -20,6 +20,7 @@ import os
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +36,7 @@ MAGIC = b"TSEF0001"
 HEAD = struct.Struct("<8sIIIIBQQQQ")
 PART_BYTES = 16 << 20
 SHARD_IDS = 8 << 20
-MEMO_WORDS = 250_000
+MEMO_WORDS = 400_000
 
 _encoders: dict[str, Memo] = {}
 
@@ -48,22 +49,47 @@ class Memo(dict):
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        added = [x for x in self.tokenizer.get_added_tokens_decoder().items() if x[1].special and not (x[1].normalized or x[1].lstrip or x[1].rstrip)]
+        self.mark = min(added)[0] if added else None  # a token that no word gives stands between words
+        self.between = self.tokenizer.id_to_token(self.mark) if added else ""
+        self.guard = self.between[:2].encode()
         self.older: dict[bytes, bytes] = {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = self.older.get(word)
-        if ids is None:
-            ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, self.type).tobytes()
-        if len(self) >= MEMO_WORDS:
+    def learn(self, words: set[bytes]) -> None:
+        """Encode the words that are new in one call; bring back those kept from before."""
+        if len(self) + len(words) > MEMO_WORDS:
             self.older = dict(self)
             self.clear()
-        self[word] = ids
-        return ids
+        new = []
+        for w in words:
+            ids = self.older.get(w)
+            if ids is not None:
+                self[w] = ids
+            elif self.mark is None or self.guard in w:
+                self[w] = array(self.code, self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes()
+            else:
+                new.append(w)
+        if new:
+            ids = self.tokenizer.encode(self.between.join([w.decode() for w in new]), add_special_tokens=False).ids
+            at = 0
+            ids.append(self.mark)
+            for w in new:
+                end = ids.index(self.mark, at)
+                self[w] = array(self.code, ids[at:end]).tobytes()
+                at = end + 1
 
     def encode(self, text: bytes) -> bytes:
-        """Ids of a text. The tokenizer drops white space and no token crosses it, so words are encoded alone."""
-        return b"".join([self[w] for w in text.split()])
+        """Ids of a text. The tokenizer drops white space and no token crosses it, so words are encoded alone.
+
+        It lower-cases too, so A-Z are folded first, unless a special token's string might arise.
+        """
+        words = (text if not self.guard or self.guard in text else text.lower()).split()
+        ids = list(map(self.get, words))
+        if None in ids:
+            self.learn({w for w, x in zip(words, ids) if x is None})
+            ids = [self[w] if x is None else x for w, x in zip(words, ids)]
+        return b"".join(ids)
 
 
 def encoder(path: str) -> Memo:
@@ -124,8 +150,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        width = memo.type().itemsize
-        end = np.array([end_id], memo.type).tobytes()
+        end = array(memo.code, [end_id]).tobytes()
+        width = len(end)
         names, sizes, ids, count = [], [], [], 0
 
         def full() -> pa.RecordBatch:
