@@ -37,6 +37,7 @@ HEAD = struct.Struct("<8sIIIIBQQQQ")
 PART_BYTES = 16 << 20
 SHARD_IDS = 8 << 20
 MEMO_WORDS = 400_000
+MARK, MARK_BYTES = "\x01", b"\x01"
 
 _encoders: dict[str, Memo] = {}
 
@@ -50,10 +51,8 @@ class Memo(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        added = [x for x in self.tokenizer.get_added_tokens_decoder().items() if x[1].special and not (x[1].normalized or x[1].lstrip or x[1].rstrip)]
-        self.mark = min(added)[0] if added else None  # a token that no word gives stands between words
-        self.between = self.tokenizer.id_to_token(self.mark) if added else ""
-        self.guard = self.between[:2].encode()
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None  # stands between words that are encoded together
         self.older: dict[bytes, bytes] = {}
 
     def learn(self, words: set[bytes]) -> None:
@@ -66,12 +65,12 @@ class Memo(dict):
             ids = self.older.get(w)
             if ids is not None:
                 self[w] = ids
-            elif self.mark is None or self.guard in w:
+            elif self.mark is None or MARK_BYTES in w or b"<|" in w:
                 self[w] = array(self.code, self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes()
             else:
                 new.append(w)
         if new:
-            ids = self.tokenizer.encode(self.between.join([w.decode() for w in new]), add_special_tokens=False).ids
+            ids = self.tokenizer.encode(f" {MARK} ".join([w.decode() for w in new]), add_special_tokens=False).ids
             at = 0
             ids.append(self.mark)
             for w in new:
@@ -84,7 +83,7 @@ class Memo(dict):
 
         It lower-cases too, so A-Z are folded first, unless a special token's string might arise.
         """
-        words = (text if not self.guard or self.guard in text else text.lower()).split()
+        words = (text if b"<|" in text else text.lower()).split()
         ids = list(map(self.get, words))
         if None in ids:
             self.learn({w for w, x in zip(words, ids) if x is None})
