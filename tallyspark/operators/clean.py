@@ -27,8 +27,12 @@ from tallyspark.functions.exprs import (
     quarter_label,
     snake_case,
 )
+from tallyspark.plans.joins import bounded_broadcast
 from tallyspark.plans.materialize import materialize as write_and_read
 
+MAX_PAIRS = 100_000
+
+# --- fixed values: the export's required fields and the star's columns ----------
 REQUIRED = ["Order Date", "Ship Date", "Sales", "Profit", "Region"]
 CUSTOMER_FIELDS = ["Customer ID", "Customer Name", "Last Name", "Segment", "City Type", "Region", "State"]
 ORDER_FIELDS = [
@@ -36,6 +40,7 @@ ORDER_FIELDS = [
     "Sales", "Quantity", "Discount", "Profit", "Profit Margin", "Delivery Days",
     "Order Year", "Order Month", "Order Quarter", "Postal Code Missing",
 ]
+# --------------------------------------------------------------------------------
 
 
 def to_snake_case(df: DataFrame) -> DataFrame:
@@ -76,24 +81,26 @@ class Cleaned:
     usable: DataFrame
 
 
+def prepare(raw: DataFrame, strict_first_format: bool = False) -> DataFrame:
+    """The raw export without blank and repeated rows, typed."""
+    df = raw.withColumnRenamed("Category of Goods", "Category")
+    return typed(drop_blank_rows(df).dropDuplicates(), strict_first_format)
+
+
 def clean(
     raw: DataFrame,
     strict_first_format: bool = False,
     fill_mode: str | None = None,
-    materialize: bool = True,
+    prepared: DataFrame | None = None,
 ) -> Cleaned:
     """Run the whole pipeline; returns star tables (snake_case columns).
 
-    With ``materialize`` the deduplicated, typed export is written once as a
-    table in the shared checkpoint folder (``spark.checkpoint.dir``): it feeds
-    the mode, the three star tables and the surrogate-key lookup, so it is
-    computed once, survives executor loss, and downstream plans stay small.
+    The deduplicated, typed export (``prepared``, or written here) is a table in the
+    shared checkpoint folder (``spark.checkpoint.dir``): it feeds the mode, the three
+    star tables and the surrogate-key lookup, so it is computed once, survives executor
+    loss, and downstream plans stay small.
     """
-    df = raw.withColumnRenamed("Category of Goods", "Category")
-    df = drop_blank_rows(df).dropDuplicates()
-    df = typed(df, strict_first_format)
-    if materialize:
-        df = write_and_read(df, "clean_typed")
+    df = prepared if prepared is not None else write_and_read(prepare(raw, strict_first_format), "clean_typed")
     mode = fill_mode if fill_mode is not None else ship_mode_mode(df)
     df = df.withColumns({
         "Ship Mode": F.coalesce(F.col("Ship Mode"), F.lit(mode)),
@@ -107,7 +114,7 @@ def clean(
         "Order Month": F.month("Order Date"),
         "Order Quarter": quarter_label("Order Date"),
     })
-    first_key = F.struct("Order Date", "Order ID")
+    first_key = F.struct("Order Date", "Order ID", *[c for c in df.columns if c not in ("Order Date", "Order ID")])
 
     customers = df.groupBy("Customer ID").agg(
         F.min_by(F.struct(*CUSTOMER_FIELDS[1:]), first_key).alias("c")
@@ -120,9 +127,10 @@ def clean(
         "Category", "Sub-Category",
     )
 
-    # The lookup is the output of an aggregate + window, i.e. a measured shuffle
-    # stage: AQE broadcasts it when small, and keeps a shuffle join otherwise.
-    lookup = products.withColumnsRenamed({"Category": "_cat", "Sub-Category": "_sub"})
+    # A few pairs hold all rows, so the pairs are written and, if their count proves
+    # small, broadcast: the fact is not dealt by pair.
+    products = write_and_read(products, "clean_products")
+    lookup = bounded_broadcast(products, MAX_PAIRS).withColumnsRenamed({"Category": "_cat", "Sub-Category": "_sub"})
     orders = (
         df.drop("Product ID", "Product Name")
         .join(lookup, F.col("Category").eqNullSafe(F.col("_cat"))

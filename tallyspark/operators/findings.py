@@ -43,17 +43,11 @@ def _margin_partials(fact: DataFrame, key: str) -> DataFrame:
 def n2_margin_band(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """Spread (max - min) of group mean margins by region, city tier and category.
 
-    One pass over the fact: GROUPING SETS ((customer_id), (product_id)) give the
-    margin partial sums per customer and per product (map-side partial
-    aggregation first). Both consumers read the same aggregate, so its exchange
-    is computed once and reused; customer partials then join customers and are
-    grouped again with GROUPING SETS ((region), (city_type)), product partials
-    join products and group by category.
+    Margins are summed per customer and per product (two aggregates over the fact, each
+    with map-side partial sums), and only these rows meet the dimensions; customers'
+    rows are then grouped with GROUPING SETS ((region), (city_type)).
     """
-    g = orders.groupingSets([["customer_id"], ["product_id"]], "customer_id", "product_id").agg(
-        F.sum("profit_margin").alias("sm"), F.count("profit_margin").alias("nm"),
-        F.grouping_id().alias("gid"))
-    by_cust = g.where(F.col("gid") == 1).join(
+    by_cust = _margin_partials(orders, "customer_id").join(
         customers.select("customer_id", "region", "city_type"), "customer_id")
     geo = by_cust.groupingSets([["region"], ["city_type"]], "region", "city_type").agg(
         (F.sum("sm").cast("double") / F.sum("nm")).alias("avg_m"),
@@ -63,7 +57,7 @@ def n2_margin_band(orders: DataFrame, customers: DataFrame, products: DataFrame)
         F.coalesce("region", "city_type").alias("grp"),
         "avg_m",
     )
-    cat = g.where(F.col("gid") == 2).join(
+    cat = _margin_partials(orders, "product_id").join(
         products.select("product_id", "category"), "product_id").groupBy("category").agg(
         (F.sum("sm").cast("double") / F.sum("nm")).alias("avg_m")
     ).select(F.lit("category").alias("dimension"), F.col("category").alias("grp"), "avg_m")

@@ -118,8 +118,8 @@ def hw_fit(ys: str = "ys") -> Column:
             f"{_PLAIN_FOLD.format(ys=ys)})")
     fits = (f"transform({_grid_sql()}, p -> named_struct('alpha', p.a, 'beta', p.b, 'gamma', p.c, "
             f"'seasonal', {seasonal}, 'st', {fold}))")
-    best = f"aggregate({fits}, {fits}[0], (best, f) -> IF(f.st.sse < best.st.sse, f, best))"
-    return F.expr(best)
+    # the fits are one array; a null start takes the first
+    return F.expr(f"array_sort({fits}, (x, y) -> CASE WHEN x.st.sse < y.st.sse THEN -1 WHEN x.st.sse > y.st.sse THEN 1 ELSE 0 END)[0]")
 
 
 def hw_forecast_arrays(series: DataFrame, periods: int = DEFAULT_PERIODS, keys: Sequence[str] = ()) -> DataFrame:
@@ -146,19 +146,46 @@ def forecast(orders: DataFrame, keys: Sequence[str] = (), periods: int = DEFAULT
     """Forecast ``periods`` months per key; ``forecast_sales`` rounded to 2 dp."""
     s = series_arrays(monthly_series(orders, keys, value), keys)
     f = hw_forecast_arrays(s, periods, keys)
-    return f.select(*keys, "month", F.round("forecast", 2).alias("forecast_sales"),
-                    "alpha", "beta", "gamma", "seasonal")
+    done = f.select(*keys, "month", F.round("forecast", 2).alias("forecast_sales"),
+                    "alpha", "beta", "gamma", "seasonal", F.lit("ok").alias("status"))
+    return done.unionByName(_skipped(s.where(F.size("ys") < 2), done, keys))
+
+
+def _skipped(series: DataFrame, like: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each series that is too short: its last month and the reason, nothing else."""
+    known = {**{k: F.col(k) for k in keys}, "month": F.element_at("months", -1), "status": F.lit("too short")}
+    return series.select(*[known.get(f.name, F.lit(None).cast(f.dataType)).alias(f.name) for f in like.schema])
+
+
+def series_report(orders: DataFrame, keys: Sequence[str] = (), holdout: int = HOLDOUT, value: str = "sales") -> DataFrame:
+    """M12's report: range and length of each monthly series, and how a backtest would split it."""
+    keys = list(keys)
+    s = series_arrays(monthly_series(orders, keys, value), keys)
+    n = F.size("ys").cast("bigint")
+    enough = n > holdout + MIN_EXTRA_POINTS
+    return s.select(
+        *keys, F.get("months", F.lit(0)).alias("first_month"), F.element_at("months", -1).alias("last_month"), n.alias("months_total"),
+        F.when(enough, n - holdout).alias("train_months"), F.when(enough, F.lit(holdout).cast("bigint")).alias("test_months"),
+        F.when(enough, F.get("months", (n - holdout - 1).cast("int"))).alias("train_end"),
+        F.when(enough, F.lit("ok")).otherwise("too short").alias("status"))
 
 
 def backtest(orders: DataFrame, keys: Sequence[str] = (), holdout: int = HOLDOUT,
              value: str = "sales") -> DataFrame:
     """Hold out the last ``holdout`` months, fit on the rest (seasonal iff
     the *train* part has >= 24 points), and return actual vs predicted rows.
-    Series with <= holdout + 6 points are skipped."""
+    A series with <= holdout + 6 points gives one row that says so."""
+    found = backtest_errors(orders, keys, holdout, value)
+    return found.withColumns({"actual": F.round("actual", 2), "predicted": F.round("predicted", 2)})
+
+
+def backtest_errors(orders: DataFrame, keys: Sequence[str] = (), holdout: int = HOLDOUT,
+                    value: str = "sales") -> DataFrame:
+    """The rows of ``backtest`` before rounding."""
     keys = list(keys)
     s = series_arrays(monthly_series(orders, keys, value), keys)
-    s = s.where(F.size("ys") > holdout + MIN_EXTRA_POINTS)
-    train = s.select(
+    enough = F.size("ys") > holdout + MIN_EXTRA_POINTS
+    train = s.where(enough).select(
         *keys,
         F.slice("months", 1, F.size("months") - holdout).alias("months"),
         F.slice("ys", 1, F.size("ys") - holdout).alias("ys"),
@@ -166,16 +193,17 @@ def backtest(orders: DataFrame, keys: Sequence[str] = (), holdout: int = HOLDOUT
     )
     f = hw_forecast_arrays(train, holdout, keys)
     actual = train.select(*keys, F.posexplode("test_ys").alias("i", "actual")).withColumn("h", F.col("i") + 1)
-    return f.join(actual, [*keys, "h"]).select(
-        *keys, "month", "h", F.round("actual", 2).alias("actual"), F.round("forecast", 2).alias("predicted"),
-        "alpha", "beta", "gamma", "seasonal")
+    done = f.join(actual, [*keys, "h"]).select(
+        *keys, "month", "h", "actual", F.col("forecast").alias("predicted"), "alpha", "beta", "gamma", "seasonal", F.lit("ok").alias("status"))
+    return done.unionByName(_skipped(s.where(~enough), done, keys))
 
 
 def backtest_metrics(bt: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """MAPE (denominator max(|y|, eps)), MAE, RMSE per key over the holdout rows."""
+    """MAPE (denominator max(|y|, eps)), MAE, RMSE per key over the holdout rows of
+    ``backtest_errors``; rounded at the end only. A skipped series has no metrics."""
     keys = list(keys)
     err = F.col("actual") - F.col("predicted")
-    return bt.groupBy(*keys).agg(
+    return bt.where("status = 'ok'").groupBy(*keys).agg(
         F.round(F.avg(F.abs(err) / F.greatest(F.abs("actual"), F.lit(MAPE_EPS))), 6).alias("mape"),
         F.round(F.avg(F.abs(err)), 2).alias("mae"),
         F.round(F.sqrt(F.avg(err * err)), 2).alias("rmse"),

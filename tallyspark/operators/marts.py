@@ -47,9 +47,19 @@ def apply_slicers(
     return df
 
 
-def is_empty(df: DataFrame) -> bool:
-    """Empty-result guard (stops at the first row)."""
-    return df.isEmpty()
+def sliced(orders: DataFrame, products: DataFrame, customers: DataFrame, **slicers) -> DataFrame:
+    """The app's filtered frame: orders with the slicers applied, joined only to the
+    dimensions that a slicer in use needs, and those filtered first. A slicer on a dimension
+    drops orders without a match, as filtering the left join does."""
+    own = {k: slicers.get(k) for k in ("date_range", "years")}
+    out = apply_slicers(orders, **{k: v for k, v in own.items() if v})
+    of = {"regions": "region", "city_types": "city_type", "segments": "segment"}
+    if used := {k: v for k in of if (v := slicers.get(k))}:
+        dim = apply_slicers(customers, **used).select("customer_id", *(of[k] for k in used))
+        out = out.join(dim, "customer_id")
+    if values := slicers.get("categories"):
+        out = out.join(apply_slicers(products, categories=values).select("product_id", "category"), "product_id")
+    return out
 
 
 def kpi(df: DataFrame) -> DataFrame:
@@ -63,20 +73,10 @@ def kpi(df: DataFrame) -> DataFrame:
              F.round("m", 4).alias("avg_margin"))
 
 
-def filter_options(df: DataFrame, fields: Sequence[str] = ("region", "category", "city_type")) -> DataFrame:
-    """Sorted distinct non-null values per slicer field, as (field, value) rows."""
-    parts = [df.select(F.lit(f).alias("field"), F.col(f).cast("string").alias("value"))
-             .where(F.col(f).isNotNull()).distinct() for f in fields]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.orderBy("field", "value")
-
-
 def slicer_options(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """P15 over the app's left-joined frame, computed from distinct keys: the
     fact is reduced to its distinct customer / product keys map-side, and only
-    those are joined to the dimensions. Same values as ``filter_options(app_view)``."""
+    those are joined to the dimensions. """
     cust = orders.select("customer_id").distinct().join(
         customers.select("customer_id", "region", "city_type"), "customer_id")
     prod = orders.select("product_id").distinct().join(
@@ -89,7 +89,7 @@ def slicer_options(orders: DataFrame, customers: DataFrame, products: DataFrame)
 
 
 def profit_by_region_keys(orders: DataFrame, customers: DataFrame) -> DataFrame:
-    """A10 over the app's left join, pre-aggregated per customer first (orphan
+    """A10 over the app's (sliced) frame, pre-aggregated per customer first (orphan
     customers land in the NULL region, as with the left join)."""
     part = orders.groupBy("customer_id").agg(F.sum("profit").alias("p"))
     j = part.join(customers.select("customer_id", "region"), "customer_id", "left")
@@ -101,11 +101,6 @@ def date_bounds(df: DataFrame) -> DataFrame:
     return df.agg(F.min("order_date").alias("min_order_date"), F.max("order_date").alias("max_order_date"))
 
 
-def profit_by_region(df: DataFrame) -> DataFrame:
-    """A10: total profit per region, ascending."""
-    return df.groupBy("region").agg(money(F.sum("profit"), 2).alias("total_profit")).orderBy("total_profit")
-
-
 def sales_by_quarter(orders: DataFrame) -> DataFrame:
     """Total sales per quarter label."""
     return orders.groupBy("order_quarter").agg(money(F.sum("sales"), 2).alias("total_sales")).orderBy("order_quarter")
@@ -121,12 +116,10 @@ def tier_margin(df: DataFrame) -> DataFrame:
     return g.withColumn("tier_order", tier_rank("discount_tier").cast("bigint")).orderBy("tier_order")
 
 
-def pivot_sum(df: DataFrame, row: str, column: str, measure: str, values: Sequence | None = None) -> DataFrame:
-    """2-D SUMIF table. Pass ``values`` for a fixed column set (no extra
-    distinct job); otherwise Spark derives the sorted distinct values."""
-    g = df.groupBy(row)
-    g = g.pivot(column, list(values)) if values is not None else g.pivot(column)
-    out = g.agg(F.sum(measure))
+def pivot_sum(df: DataFrame, row: str, column: str, measure: str, values: Sequence) -> DataFrame:
+    """2-D SUMIF table with one column for each of ``values``, which the caller
+    takes from a dimension or the dates, so that the fact runs once."""
+    out = df.groupBy(row).pivot(column, list(values)).agg(F.sum(measure))
     cols = [c for c in out.columns if c != row]
     return out.select(row, *[money(F.col(f"`{c}`"), 2).alias(str(c)) for c in cols]).orderBy(row)
 

@@ -3,15 +3,14 @@ and a describe() including string columns (A18-A22).
 
 Everything is one-pass aggregation: per-column null counts fold into a single
 ``agg``; duplicate rows are counted from one group-by over all columns. Quartiles
-are approximate (``percentile_approx``, bounded memory per task) at scale, and
-exact only on request for bounded inputs.
+are exact: approximate ones bracket them, and the few values in each bracket are counted.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -43,20 +42,49 @@ def duplicate_counts(df: DataFrame) -> DataFrame:
     )
 
 
-def column_types(df: DataFrame) -> list[tuple[str, str]]:
-    """(column, type) pairs — schema metadata, read on the driver."""
-    return list(df.dtypes)
+def column_types(df: DataFrame) -> DataFrame:
+    """(column_name, type, rows) of every column; the types come from the schema."""
+    pairs = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(t).alias("type")) for c, t in df.dtypes])
+    return df.agg(F.count(F.lit(1)).alias("rows")).select(F.explode(pairs).alias("p"), "rows").select("p.*", "rows").orderBy("column_name")
 
 
-def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str] = (),
-                     exact_quartiles: bool = False) -> DataFrame:
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def exact_quantiles(df: DataFrame, column: str, at: Sequence[float] = QUARTILES, accuracy: int = 10_000) -> list[float | None]:
+    """Exact, linearly interpolated quantiles in bounded memory.
+
+    ``percentile_approx`` gives values whose ranks are off by 1 / ``accuracy`` of the rows at
+    most, so two of them enclose each wanted rank. One pass counts the rows below each
+    enclosure; the different values inside, with their counts, are summed up by a window
+    over those alone. Nulls are left out; no rows give nulls.
+    """
+    x = df.select(_c(column).cast("double").alias("x")).where(F.col("x").isNotNull())
+    n = x.count()
+    if not n:
+        return [None] * len(at)
+    margin = 2.0 / accuracy
+    ends = [min(1.0, max(0.0, q + d + s / n)) for q in at for d, s in ((-margin, -1), (margin, 1))]
+    cuts = x.agg(F.percentile_approx("x", ends, accuracy).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    bounds = [(cuts["lo"] if ends[2 * i] <= 0 else cuts["c"][2 * i], cuts["hi"] if ends[2 * i + 1] >= 1 else cuts["c"][2 * i + 1]) for i in range(len(at))]
+    below = x.agg(*[F.count_if(F.col("x") < lo) for lo, _ in bounds]).first()
+    out = []
+    for q, (lo, hi), base in zip(at, bounds, below):
+        rank = q * (n - 1)
+        first = int(rank)
+        inside = x.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("x").alias("n"))
+        upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy("x")) + base)
+        a, b = upto.agg(F.min(F.when(F.col("upto") > first, F.col("x"))), F.min(F.when(F.col("upto") > first + 1, F.col("x")))).first()
+        out.append(a if rank == first or b is None else a + (b - a) * (rank - first))
+    return out
+
+
+def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str] = ()) -> DataFrame:
     """Long-form describe: (column_name, statistic, value, text_value).
 
-    Numeric columns: count, mean, std (sample), min, max, plus exact linearly
-    interpolated quartiles only when ``exact_quartiles`` (they hold every
-    distinct value in one task, so use them on bounded inputs; at scale use
-    ``describe_quartiles_approx``). Text columns: count, unique, top (most
-    frequent, smallest value on a tie), freq.
+    Numeric columns: count, mean, std (sample), min, max and exact, linearly interpolated
+    quartiles. Text columns: count, unique, top (most frequent, smallest value on a
+    tie), freq, all from one grouping on the column.
     """
     aggs = []
     for c in numeric:
@@ -68,16 +96,9 @@ def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str]
             F.min(x).alias(f"{c}|min"),
             F.max(x).alias(f"{c}|max"),
         ]
-        if exact_quartiles:
-            aggs += [F.percentile(x, q).alias(f"{c}|{int(q * 100)}%") for q in (0.25, 0.5, 0.75)]
-    for c in text:
-        aggs += [
-            F.count(_c(c)).cast("double").alias(f"{c}|count"),
-            F.count_distinct(_c(c)).cast("double").alias(f"{c}|unique"),
-        ]
+        aggs += [F.lit(v).cast("double").alias(f"{c}|{int(q * 100)}%") for q, v in zip(QUARTILES, exact_quantiles(df, c))]
     wide = df.agg(*aggs)
-    names = [a for a in wide.columns]
-    long = wide.unpivot([], [F.col(f"`{n}`") for n in names], "key", "value")
+    long = wide.unpivot([], [F.col(f"`{n}`") for n in wide.columns], "key", "value")
     out = long.select(
         F.split("key", r"\|").getItem(0).alias("column_name"),
         F.split("key", r"\|").getItem(1).alias("statistic"),
@@ -85,15 +106,13 @@ def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str]
         F.lit(None).cast("string").alias("text_value"),
     )
     for c in text:
-        freq = df.where(_c(c).isNotNull()).groupBy(_c(c).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-        top = freq.agg(F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("top"),
-                       F.max("n").alias("freq"))
-        out = out.unionByName(top.select(
-            F.lit(c).alias("column_name"), F.lit("top").alias("statistic"),
-            F.lit(None).cast("double").alias("value"), F.col("top").cast("string").alias("text_value")))
-        out = out.unionByName(top.select(
-            F.lit(c).alias("column_name"), F.lit("freq").alias("statistic"),
-            F.col("freq").cast("double").alias("value"), F.lit(None).cast("string").alias("text_value")))
+        freq = df.where(_c(c).isNotNull()).groupBy(_c(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+        top = freq.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("count"), F.count("v").cast("double").alias("unique"),
+            F.max("n").cast("double").alias("freq"), F.min_by("v", F.struct((-F.col("n")).alias("a"), F.col("v").alias("b"))).alias("top"))
+        rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("statistic"), F.col(k).alias("value"), F.lit(None).cast("string").alias("text_value")) for k in ("count", "unique", "freq")],
+                       F.struct(F.lit(c).alias("column_name"), F.lit("top").alias("statistic"), F.lit(None).cast("double").alias("value"), F.col("top").alias("text_value")))
+        out = out.unionByName(top.select(F.inline(rows)))
     return out.orderBy("column_name", "statistic")
 
 

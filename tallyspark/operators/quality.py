@@ -2,10 +2,8 @@
 of ``(check, violations, passed)`` rows.
 
 * Schema checks compare column sets on the driver (metadata only).
-* Every other check comes from ONE GROUPING SETS aggregation over the fact
-  stacked with the dimensions' keys (see ``key_and_row_checks``): each input
-  is scanned once and there is one shuffle, with map-side partial
-  aggregation first, so a hot key costs one row per task.
+* Row checks are one aggregate without a key; each key's checks are one narrow
+  aggregate over the fact's and the dimension's key values (see ``key_violations``).
 * The NULL behaviour of each check follows the reference (a NULL fails a
   range check but passes an ordering / ratio check).
 """
@@ -16,14 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import fails_if, fails_unless, quarter_label
+from tallyspark.sources.schema import CUSTOMER_COLUMNS, ORDER_COLUMNS, PRODUCT_COLUMNS
 
-CUSTOMER_REQUIRED = ["customer_id", "customer_name", "last_name", "segment", "city_type", "region", "state"]
-PRODUCT_REQUIRED = ["product_id", "category", "sub_category"]
-ORDER_REQUIRED = [
-    "order_id", "customer_id", "product_id", "order_date", "ship_date", "ship_mode",
-    "sales", "quantity", "discount", "profit", "profit_margin", "delivery_days",
-    "order_year", "order_month", "order_quarter", "postal_code_missing",
-]
 CORE_FIELDS = ["order_id", "customer_id", "product_id", "sales", "profit", "order_date"]
 
 
@@ -46,13 +38,6 @@ def row_checks(orders: DataFrame) -> dict[str, Column]:
     }
 
 
-def _unique_check(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Number of key values (NULL included as one value) that appear more than once."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(F.count_if(F.col("n") > 1).cast("bigint").alias("violations")).select(
-        F.lit(name).alias("check"), "violations")
-
-
 def orphan_keys(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
     """Distinct fact keys with no match in the dimension. A NULL key is
     an orphan unless the dimension also holds a NULL key (set semantics)."""
@@ -63,71 +48,44 @@ def orphan_keys(fact: DataFrame, dim: DataFrame, key: str) -> DataFrame:
 
 def _schema_checks(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
     rows = []
-    for name, df, required in (("customers_schema", customers, CUSTOMER_REQUIRED),
-                               ("products_schema", products, PRODUCT_REQUIRED),
-                               ("orders_schema", orders, ORDER_REQUIRED)):
+    for name, df, required in (("customers_schema", customers, CUSTOMER_COLUMNS),
+                               ("products_schema", products, PRODUCT_COLUMNS),
+                               ("orders_schema", orders, ORDER_COLUMNS)):
         missing = len(set(required) - set(df.columns))
         rows.append((name, missing))
     return orders.sparkSession.createDataFrame(rows, "check string, violations bigint")
 
 
-_FACT_KEYS = ["order_id", "customer_id", "product_id"]
-# grouping_id() of each grouping set over (order_id, customer_id, product_id)
-_GID = {"order_id": 0b011, "customer_id": 0b101, "product_id": 0b110, "all": 0b111}
+def row_violations(orders: DataFrame) -> DataFrame:
+    """(check, violations) of the row checks: one aggregate without a key, so nothing but its few sums is shuffled."""
+    checks = row_checks(orders)
+    flags = [F.coalesce(F.sum(x if n == "no_null_core_fields" else x.cast("int")), F.lit(0)).cast("bigint").alias(n) for n, x in checks.items()]
+    return orders.agg(*flags).unpivot([], list(checks), "check", "violations")
 
 
-def key_and_row_checks(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
-    """Uniqueness, foreign-key and row checks in ONE aggregation.
+def key_violations(fact: DataFrame, key: str, dim: DataFrame | None, unique: str, orphan: str | None = None) -> DataFrame:
+    """(check, violations) of one key: repeated values in its own table, and fact keys its dimension lacks.
 
-    Fact rows (with their row-check flags) and the two dimensions' key columns
-    are stacked with a source tag, then grouped once with GROUPING SETS
-    ((order_id), (customer_id), (product_id), ()). Per key the counts by source
-    answer every key check: an order id seen twice in the fact, a dimension key
-    seen twice in its dimension, a fact key never seen in its dimension (NULL
-    groups with NULL, i.e. set semantics). The grand-total set sums the flags.
-    One scan of each input, one shuffle (partial aggregation first, so a hot
-    key costs one row per task), one consumer.
+    Fact keys and dimension keys are stacked with their source and counted per (key):
+    partial sums first, so a hot key is one row a task; a NULL is one value on both sides.
     """
-    checks = row_checks(orders)
-    fact = orders.select(
-        *_FACT_KEYS, F.lit("f").alias("src"),
-        *[(flag if name == "no_null_core_fields" else flag.cast("int")).alias(name)
-          for name, flag in checks.items()])
-    nulls = [F.lit(None).cast("int").alias(name) for name in checks]
-    cust = customers.select(F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"),
-                            F.col("customer_id").cast(orders.schema["customer_id"].dataType).alias("customer_id"),
-                            F.lit(None).cast(orders.schema["product_id"].dataType).alias("product_id"),
-                            F.lit("c").alias("src"), *nulls)
-    prod = products.select(F.lit(None).cast(orders.schema["order_id"].dataType).alias("order_id"),
-                           F.lit(None).cast(orders.schema["customer_id"].dataType).alias("customer_id"),
-                           F.col("product_id").cast(orders.schema["product_id"].dataType).alias("product_id"),
-                           F.lit("p").alias("src"), *nulls)
-    g = fact.unionByName(cust).unionByName(prod).groupingSets(
-        [[k] for k in _FACT_KEYS] + [[]], *_FACT_KEYS).agg(
-        F.count_if(F.col("src") == "f").alias("nf"),
-        F.count_if(F.col("src") == "c").alias("nc"),
-        F.count_if(F.col("src") == "p").alias("np"),
-        *[F.sum(name).alias(name) for name in checks],
-        F.grouping_id().alias("gid"),
-    )
-    gid = F.col("gid")
-    wide = g.agg(
-        F.count_if((gid == _GID["customer_id"]) & (F.col("nc") > 1)).alias("customer_id_unique"),
-        F.count_if((gid == _GID["product_id"]) & (F.col("np") > 1)).alias("product_id_unique"),
-        F.count_if((gid == _GID["order_id"]) & (F.col("nf") > 1)).alias("order_id_unique"),
-        F.count_if((gid == _GID["customer_id"]) & (F.col("nf") > 0) & (F.col("nc") == 0)).alias("orders_customer_fk"),
-        F.count_if((gid == _GID["product_id"]) & (F.col("nf") > 0) & (F.col("np") == 0)).alias("orders_product_fk"),
-        *[F.sum(F.when(gid == _GID["all"], F.col(name))).alias(name) for name in checks],
-    )
-    names = ["customer_id_unique", "product_id_unique", "order_id_unique",
-             "orders_customer_fk", "orders_product_fk", *checks]
-    wide = wide.select(*[F.coalesce(F.col(n), F.lit(0)).cast("bigint").alias(n) for n in names])
-    return wide.unpivot([], names, "check", "violations")
+    f = fact.select(F.col(key).alias("k"), F.lit(1).alias("f"), F.lit(0).alias("d"))
+    own = "f"
+    if dim is not None:
+        own = "d"
+        f = f.unionAll(dim.select(F.col(key).alias("k"), F.lit(0).alias("f"), F.lit(1).alias("d")))
+    g = f.groupBy("k").agg(F.sum("f").alias("f"), F.sum("d").alias("d"))
+    found = {unique: F.count_if(F.col(own) > 1)}
+    if orphan:
+        found[orphan] = F.count_if((F.col("f") > 0) & (F.col("d") == 0))
+    return g.agg(*[x.cast("bigint").alias(n) for n, x in found.items()]).unpivot([], list(found), "check", "violations")
 
 
 def run_checks(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
-    """All checks as ``(check, violations, passed)``: schema checks from
-    metadata, everything else from one aggregation (``key_and_row_checks``)."""
-    out = _schema_checks(customers, products, orders).unionByName(
-        key_and_row_checks(customers, products, orders))
+    """All checks as ``(check, violations, passed)``: schema checks from metadata, row
+    checks from one aggregate, and one narrow aggregate for each key."""
+    out = _schema_checks(customers, products, orders).unionByName(row_violations(orders))
+    out = out.unionByName(key_violations(orders, "customer_id", customers, "customer_id_unique", "orders_customer_fk"))
+    out = out.unionByName(key_violations(orders, "product_id", products, "product_id_unique", "orders_product_fk"))
+    out = out.unionByName(key_violations(orders, "order_id", None, "order_id_unique"))
     return out.withColumn("passed", F.col("violations") == 0).orderBy("check")

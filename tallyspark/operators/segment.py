@@ -3,11 +3,11 @@
 * Scaling is plain SQL: ``(x - mean) / stddev_pop`` (0 when the spread is 0),
   the population convention of the reference's scaler. The few global
   statistics come back to the driver as scalars (one row, bounded).
-* Categoricals: ``StringIndexer(handleInvalid="keep")`` + ``OneHotEncoder``;
-  the default ``dropLast`` drops exactly the unknown slot, so every real level
-  keeps a column (the reference's ignore-unknown one-hot).
+* Categoricals are one-hot encoded by ``features.encoder``, shared with the regression.
+* Scaled feature rows are written once to the shared folder; every fit reads that table.
 * k-means is Spark ML ``KMeans``; restarts (the reference's ``n_init``) fit
-  seeds 42, 43, ... and keep the lowest training cost. The sweep scores each k
+  seeds 42, 43, ... and keep the lowest training cost. All fits of a sweep are
+  independent and run ``PARALLEL`` at a time. The sweep scores each k
   with ``ClusteringEvaluator`` (squared Euclidean silhouette over all rows —
   distributed, no pairwise distances).
 * Cluster labels compare each cluster's means with the global means (strict
@@ -17,12 +17,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,11 +33,16 @@ from tallyspark.functions.exprs import (
     SEG_PREMIUM,
     SEG_SMALL,
 )
+from tallyspark.operators import features
+from tallyspark.plans.materialize import materialize
 
+# --- fixed values ---------------------------------------------------------------
 NUMERIC_FEATURES = ["sales", "quantity", "discount", "profit_margin", "delivery_days"]
 CATEGORICAL_FEATURES = ["category", "ship_mode"]
 K_RANGE = range(2, 9)
 SEED = 42
+# --------------------------------------------------------------------------------
+PARALLEL = 8
 
 
 class NoRepeatCustomers(ValueError):
@@ -46,13 +51,12 @@ class NoRepeatCustomers(ValueError):
 
 def load_order_features(orders: DataFrame, products: DataFrame) -> DataFrame:
     """M2: orders LEFT JOIN products (pruned), rows missing a feature dropped."""
-    df = orders.join(products.select("product_id", "category", "sub_category"), "product_id", "left")
-    return df.na.drop(how="any", subset=NUMERIC_FEATURES + CATEGORICAL_FEATURES)
+    return features.complete_rows(features.with_category(orders, products), NUMERIC_FEATURES + CATEGORICAL_FEATURES)
 
 
 def dropped_feature_rows(orders: DataFrame, products: DataFrame) -> DataFrame:
     """Rows dropped for missing features, and their share."""
-    df = orders.join(products.select("product_id", "category"), "product_id", "left")
+    df = features.with_category(orders, products)
     complete = F.lit(True)
     for c in NUMERIC_FEATURES + CATEGORICAL_FEATURES:
         complete = complete & F.col(c).isNotNull()
@@ -72,23 +76,11 @@ def standardize(df: DataFrame, cols: Sequence[str], prefix: str = "z_") -> DataF
     return out
 
 
-def feature_pipeline(numeric: Sequence[str], categorical: Sequence[str], prefix: str = "z_") -> Pipeline:
-    """M1: index (keep unknown) -> one-hot -> assemble with the scaled numerics."""
-    indexers = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", handleInvalid="keep",
-                              stringOrderType="alphabetAsc") for c in categorical]
-    stages = list(indexers)
-    ohe_cols = []
-    if categorical:
-        ohe_cols = [f"{c}_ohe" for c in categorical]
-        stages.append(OneHotEncoder(inputCols=[f"{c}_idx" for c in categorical], outputCols=ohe_cols))
-    stages.append(VectorAssembler(inputCols=[f"{prefix}{c}" for c in numeric] + ohe_cols, outputCol="features"))
-    return Pipeline(stages=stages)
-
-
 def featurize(df: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
               categorical: Sequence[str] = CATEGORICAL_FEATURES) -> DataFrame:
+    """M1: ``df`` with ``features``, the z-scores beside the one-hot block."""
     scaled = standardize(df, numeric)
-    return feature_pipeline(numeric, categorical).fit(scaled).transform(scaled)
+    return features.encoder([f"z_{c}" for c in numeric], categorical).fit(scaled).transform(scaled)
 
 
 @dataclass
@@ -98,33 +90,37 @@ class Fit:
     cost: float
 
 
-def fit_kmeans(features: DataFrame, k: int, n_init: int = 10, max_iter: int = 50, seed: int = SEED) -> Fit:
+def fit_kmeans(rows: DataFrame, k: int, n_init: int = 10, max_iter: int = 50, seed: int = SEED) -> Fit:
     """M3: best of ``n_init`` seeded fits by training cost (ties keep the earliest seed)."""
-    best = None
-    for i in range(n_init):
-        model = KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features",
-                       predictionCol="segment_id").fit(features)
-        cost = model.summary.trainingCost
-        if best is None or cost < best.cost:
-            best = Fit(k, model, cost)
-    return best
+    return fit_all(rows, [k], n_init, max_iter, seed)[k]
+
+
+def fit_all(rows: DataFrame, ks: Sequence[int], n_init: int, max_iter: int, seed: int = SEED) -> dict[int, Fit]:
+    """Best restart for every k; the fits share one input table and run side by side."""
 
+    def one(task: tuple[int, int]) -> Fit:
+        k, start = task
+        model = KMeans(k=k, seed=start, maxIter=max_iter, featuresCol="features", predictionCol="segment_id").fit(rows)
+        return Fit(k, model, model.summary.trainingCost)
 
-def sweep(features: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: int = 10,
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        fits = list(pool.map(one, [(k, seed + i) for k in ks for i in range(n_init)]))
+    return {k: min((f for f in fits if f.k == k), key=lambda f: f.cost) for k in ks}
+
+
+def sweep(rows: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: int = 10,
           max_iter: int = 50) -> tuple[int, DataFrame, dict[int, Fit]]:
     """M4: inertia and silhouette for each k; best k = highest silhouette (first on ties).
 
     Returns (best_k, sweep rows as a DataFrame, fitted models by k)."""
     evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="segment_id")
-    rows, fits = [], {}
-    for k in k_range:
-        fit = fit_kmeans(features, k, n_init, max_iter)
-        fits[k] = fit
-        rows.append((k, float(fit.cost), float(evaluator.evaluate(fit.model.transform(features)))))
-    best_k = max(rows, key=lambda r: (r[2], -r[0]))[0]
-    spark = features.sparkSession
-    table = spark.createDataFrame([(k, i, s, k == best_k) for k, i, s in rows],
-                                  "k int, inertia double, silhouette double, selected boolean")
+    fits = fit_all(rows, list(k_range), n_init, max_iter)
+    with ThreadPoolExecutor(PARALLEL) as pool:
+        scores = list(pool.map(lambda f: float(evaluator.evaluate(f.model.transform(rows))), fits.values()))
+    found = [(k, float(f.cost), s) for (k, f), s in zip(fits.items(), scores)]
+    best_k = max(found, key=lambda r: (r[2], -r[0]))[0]
+    table = rows.sparkSession.createDataFrame([(k, i, s, k == best_k) for k, i, s in found],
+                                              "k int, inertia double, silhouette double, selected boolean")
     return best_k, table, fits
 
 
@@ -154,6 +150,17 @@ def label_segments(assigned: DataFrame, cluster_col: str = "segment_id") -> Data
     return assigned.join(F.broadcast(labels), cluster_col, "left")  # k rows: bounded by k
 
 
+def one_hot_block(orders: DataFrame, products: DataFrame) -> DataFrame:
+    """The one-hot half of M1 as rows: orders per (field, level), counted from the encoded vectors."""
+    rows = load_order_features(orders, products)
+    fitted = features.encoder([], CATEGORICAL_FEATURES).fit(rows)
+    names = [(c, x) for c, levels in zip(CATEGORICAL_FEATURES, fitted.stages[0].labelsArray) for x in levels]
+    slots = F.posexplode(vector_to_array("features")).alias("slot", "on")
+    counts = fitted.transform(rows).select(slots).groupBy("slot").agg(F.sum("on").cast("bigint").alias("orders"))
+    table = rows.sparkSession.createDataFrame([(i, *n) for i, n in enumerate(names)], "slot int, field string, level string")
+    return counts.join(table, "slot", "full").select("field", "level", "orders").orderBy("field", "level")
+
+
 def cluster_profile(segments: DataFrame, cluster_col: str = "segment_id") -> DataFrame:
     """Mean discount, margin, sales and quantity per cluster."""
     return segments.groupBy(cluster_col).agg(
@@ -192,20 +199,19 @@ class Segmentation:
 def order_segmentation(orders: DataFrame, products: DataFrame, k_range: Sequence[int] = K_RANGE,
                        n_init: int = 10, max_iter: int = 50) -> Segmentation:
     """M7: features -> sweep -> final fit at best k -> labels."""
-    feats = featurize(load_order_features(orders, products)).cache()
-    best_k, table, fits = sweep(feats, k_range, n_init, max_iter)
-    assigned = fits[best_k].model.transform(feats)
-    keep = [c for c in orders.columns] + ["category", "sub_category", "segment_id"]
-    segments = label_segments(assigned.select(*keep))
-    return Segmentation(best_k, table, segments)
+    names = [*orders.columns, "category", "sub_category"]
+    rows = materialize(featurize(load_order_features(orders, products)).select(*names, "features"), "order-features")
+    best_k, table, fits = sweep(rows, k_range, n_init, max_iter)
+    assigned = fits[best_k].model.transform(rows).select(*names, "segment_id")
+    return Segmentation(best_k, table, label_segments(assigned))
 
 
 def rfm(orders: DataFrame) -> DataFrame:
     """Recency (days from max order date + 1), frequency (order ids),
     monetary (sales sum) per customer; raises if nobody ordered twice."""
-    per = orders.groupBy("customer_id").agg(
+    per = materialize(orders.groupBy("customer_id").agg(
         F.max("order_date").alias("last"), F.count("order_id").alias("frequency"),
-        F.sum("sales").alias("monetary"), F.count(F.lit(1)).alias("n"))
+        F.sum("sales").alias("monetary"), F.count(F.lit(1)).alias("n")), "per-customer")
     guard = per.agg(F.max("n").alias("max_n"), F.max("last").alias("max_date")).first()
     if guard is None or guard["max_n"] is None or guard["max_n"] <= 1:
         raise NoRepeatCustomers("every customer has exactly one order; RFM is not meaningful")
@@ -221,12 +227,12 @@ def rfm(orders: DataFrame) -> DataFrame:
 def rfm_segments(orders: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: int = 10,
                  max_iter: int = 50) -> Segmentation:
     """M8: scale R/F/M, sweep k, fit, one segment per customer."""
-    table = rfm(orders)
     cols = ["recency", "frequency", "monetary"]
-    feats = feature_pipeline(cols, []).fit(standardize(table, cols)).transform(standardize(table, cols)).cache()
-    best_k, sweep_table, fits = sweep(feats, k_range, n_init, max_iter)
-    seg = fits[best_k].model.transform(feats).select("customer_id", *cols, "segment_id")
-    return Segmentation(best_k, sweep_table, seg)
+    table = materialize(rfm(orders), "rfm")  # one row a customer; read by scaling, every fit and the result
+    rows = featurize(table, cols, []).select("customer_id", *cols, "features")
+    rows = materialize(rows, "rfm-features")
+    best_k, sweep_table, fits = sweep(rows, k_range, n_init, max_iter)
+    return Segmentation(best_k, sweep_table, fits[best_k].model.transform(rows).select("customer_id", *cols, "segment_id"))
 
 
 def scaled_features(orders: DataFrame, products: DataFrame) -> DataFrame:

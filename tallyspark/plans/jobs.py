@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.operators import clean, forecast, regress, segment
-from tallyspark.sources.io import write_parquet
+from tallyspark.plans.materialize import materialize
+from tallyspark.sources.io import read_csv, write_parquet
 
 
 def cleaning_job(raw: DataFrame, out_dir: str, strict_first_format: bool = False) -> DataFrame:
     """Entry 1: raw export -> customers / products / orders Parquet + stage counts."""
+    raw = materialize(raw, "raw")  # read by the cleaning and by the stage counts
     cleaned = clean.clean(raw, strict_first_format)
     write_parquet(cleaned.customers, os.path.join(out_dir, "customers"))
     write_parquet(cleaned.products, os.path.join(out_dir, "products"))
@@ -45,19 +48,28 @@ def rfm_job(orders: DataFrame, out_dir: str, n_init: int = 10, max_iter: int = 5
 
 def forecast_job(orders: DataFrame, out_dir: str, periods: int = forecast.DEFAULT_PERIODS,
                  keys: tuple[str, ...] = ()) -> DataFrame:
-    """Forecast, backtest rows and backtest metrics."""
-    fc = forecast.forecast(orders, keys, periods)
-    bt = forecast.backtest(orders, keys)
-    write_parquet(fc, os.path.join(out_dir, "forecast"))
-    write_parquet(bt, os.path.join(out_dir, "backtest"))
-    metrics = forecast.backtest_metrics(bt, keys)
+    """Series report, forecast, backtest rows and backtest metrics."""
+    write_parquet(forecast.series_report(orders, keys), os.path.join(out_dir, "series_report"))
+    write_parquet(forecast.forecast(orders, keys, periods), os.path.join(out_dir, "forecast"))
+    errors = materialize(forecast.backtest_errors(orders, keys), "backtest")
+    rounded = errors.withColumns({c: F.round(c, 2) for c in ("actual", "predicted")})
+    write_parquet(rounded, os.path.join(out_dir, "backtest"))
+    metrics = forecast.backtest_metrics(errors, keys)
     write_parquet(metrics, os.path.join(out_dir, "backtest_metrics"))
     return metrics
 
 
-def regression_job(orders: DataFrame, products: DataFrame, model_type: str = "gbt") -> DataFrame:
-    """One-row metrics DataFrame."""
-    return regress.run(orders, products, model_type)
+def regression_job(orders: DataFrame, products: DataFrame, out_dir: str, model_type: str = "gbt") -> DataFrame:
+    """Tier report of the regression rows, and one row of metrics."""
+    write_parquet(regress.tier_report(regress.regression_frame(orders, products)), os.path.join(out_dir, "tier_report"))
+    metrics = regress.run(orders, products, model_type)
+    write_parquet(metrics, os.path.join(out_dir, "metrics"))
+    return metrics
+
+
+def csv_job(path: str, out_dir: str, spark: SparkSession) -> DataFrame:
+    """CSV export -> star tables as one job."""
+    return cleaning_job(read_csv(spark, path), out_dir)
 
 
 def star_job(spark, sf_dir: str, out_dir: str, buckets: int | None = None) -> dict[str, str]:

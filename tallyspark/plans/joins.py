@@ -1,45 +1,23 @@
-"""Join helpers with an explicit, checked broadcast decision.
+"""Broadcast behind a size check.
 
-A side is broadcast only after a cheap bounded count proves it holds at most
-``max_rows`` rows (``limit(max_rows + 1).count()`` stops reading once the bound
-is passed). Beyond the bound the plain join is returned and Spark shuffles both
-sides (sort-merge), with AQE free to demote it to a broadcast at run time if
-the measured shuffle output turns out small.
+A side is broadcast only after a bounded count proves, for this very input, that it
+holds at most ``max_rows`` rows (``limit(max_rows + 1).count()`` stops reading once the
+bound is passed). Beyond the bound the plain join is returned and Spark shuffles both
+sides, with AQE free to demote it to a broadcast if the measured output is small.
+The answer is not kept: a file may grow between two plans.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_CHECKED: dict[str, bool] = {}
 
+def fits(df: DataFrame, max_rows: int) -> bool:
+    """True if ``df`` has at most ``max_rows`` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
-def fits(df: DataFrame, max_rows: int, memo_key: str | None = None) -> bool:
-    """True if ``df`` has at most ``max_rows`` rows. Optionally memoised for an
-    immutable input (e.g. one parquet table), so repeated plans skip the job."""
-    if memo_key is not None and memo_key in _CHECKED:
-        return _CHECKED[memo_key]
-    ok = df.limit(max_rows + 1).count() <= max_rows
-    if memo_key is not None:
-        _CHECKED[memo_key] = ok
-    return ok
 
-
-def bounded_broadcast(df: DataFrame, max_rows: int, memo_key: str | None = None) -> DataFrame:
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """``broadcast(df)`` when the size check passes, else ``df`` unchanged."""
-    return F.broadcast(df) if fits(df, max_rows, memo_key) else df
-
-
-def join_dim(
-    fact: DataFrame,
-    dim: DataFrame,
-    on: str | list[str] | Column,
-    how: str = "inner",
-    max_rows: int | None = None,
-    memo_key: str | None = None,
-) -> DataFrame:
-    """Fact-to-dimension join; the dimension is broadcast only when checked small."""
-    if max_rows is not None:
-        dim = bounded_broadcast(dim, max_rows, memo_key)
-    return fact.join(dim, on, how)
+    return F.broadcast(df) if fits(df, max_rows) else df

@@ -8,8 +8,9 @@ reading it back gives downstream plans a fresh, short lineage.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyspark.session import scratch_table_path
 
@@ -19,3 +20,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_table_path(df.sparkSession, f"{name}-{uuid.uuid4().hex[:12]}")
     df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table written for ``key``, built at its first use in this application.
+
+    ``key`` holds the fingerprint of the inputs (file sizes and times), so changed
+    data is built anew. The table lives in the checkpoint folder as long as the
+    application remembers it; nothing is kept in executors' memory.
+    """
+    known = spark.sparkContext.__dict__.setdefault("_tallyspark_tables", {})
+    if key not in known:
+        path = scratch_table_path(spark, f"{key[0]}-{uuid.uuid4().hex[:12]}")
+        build().write.parquet(path)
+        known[key] = path
+    return spark.read.parquet(known[key])

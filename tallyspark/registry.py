@@ -14,11 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import business, clean, findings, forecast, marts, profile, quality, regress, segment
+from tallyspark.plans.materialize import shared
 from tallyspark.sources import raw, star
 from tallyspark.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
-_SEGMENTATIONS: dict = {}
 
 
 class Star:
@@ -46,23 +46,37 @@ class Star:
         """Order-grain fact with a unique order_id."""
         return star.star_orders(self.t)
 
-    @cached_property
-    def app(self) -> DataFrame:
-        """The app's frame: orders LEFT products LEFT customers."""
-        return marts.app_view(self.orders, self.products, self.customers)
+    def sliced(self, **slicers) -> DataFrame:
+        """The app's frame under slicers, without the columns no consumer needs."""
+        return marts.sliced(self.orders, self.products, self.customers, **slicers)
+
+    def shared(self, name: str, tables: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several queries read, written once for these files (see ``materialize.shared``)."""
+        return shared(self.t.spark, (name, *self.t.fingerprint(*tables.split())), build)
 
     @cached_property
     def extract(self) -> DataFrame:
-        """The workbook's flat extract: orders JOIN customers JOIN products."""
-        return marts.flat_extract(self.orders, self.customers, self.products)
+        """The workbook's flat extract: orders JOIN customers JOIN products, written once; its marts read it pruned."""
+        tables = "lineitem orders customer nation region part"
+        return self.shared("extract", tables, lambda: marts.flat_extract(self.orders, self.customers, self.products))
+
+    def regions(self) -> list[str]:
+        return [r[0] for r in self.t.region.select("r_name").distinct().orderBy("r_name").collect()]
+
+    def years(self) -> list[int]:
+        """Years of the orders: one column of one table, a few values."""
+        return [r[0] for r in self.t.orders.select(F.year("o_orderdate").alias("y")).distinct().orderBy("y").collect()]
 
     @cached_property
     def raw_export(self) -> DataFrame:
         """The dirty flat string export the cleaning pipeline starts from."""
         return raw.raw_export(self.t)
 
-    def cleaned(self, strict_first_format: bool = False) -> clean.Cleaned:
-        return clean.clean(self.raw_export, strict_first_format)
+    @cached_property
+    def cleaned(self) -> clean.Cleaned:
+        """Star tables of the cleaned export; the typed export is written once for all of them."""
+        tables = "lineitem orders customer nation region part"
+        return clean.clean(self.raw_export, prepared=self.shared("clean-typed", tables, lambda: clean.prepare(self.raw_export)))
 
     @cached_property
     def orders_region(self) -> DataFrame:
@@ -74,17 +88,22 @@ class Star:
             "region", "order_date", "sales")
 
     def order_segmentation(self) -> segment.Segmentation:
-        """Fitted once per (session, folder): the sweep, summary and segment
-        queries share one set of k-means fits over the same immutable input."""
-        try:
-            app = self.t.spark.sparkContext.applicationId
-        except Exception:  # noqa: BLE001 - sessions without a SparkContext handle
-            app = id(self.t.spark)
-        key = (app, self.t.sf_dir)
-        if key not in _SEGMENTATIONS:
-            _SEGMENTATIONS[key] = segment.order_segmentation(
-                self.orders_og, self.products, n_init=SEG_N_INIT, max_iter=SEG_MAX_ITER)
-        return _SEGMENTATIONS[key]
+        """Sweep and assignments; both are written, and the queries on them read the tables."""
+        found: list[segment.Segmentation] = []
+
+        def fit() -> segment.Segmentation:
+            if not found:
+                found.append(segment.order_segmentation(self.orders_og, self.products))
+            return found[0]
+
+        tables = "lineitem orders part"
+        sweep = self.shared("k-sweep", tables, lambda: fit().sweep)
+        segments = self.shared("order-segments", tables, lambda: fit().segments)
+        return segment.Segmentation(sweep.where("selected").first()["k"], sweep, segments)
+
+    @cached_property
+    def dirty(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        return star.dirty_star(self.t)
 
     @cached_property
     def orders_dirty(self) -> DataFrame:
@@ -100,10 +119,8 @@ SLICERS = dict(
 )
 
 
-# k-means restarts / iterations used by the registered segmentation queries
-# (the library default is the reference's 10 restarts).
-SEG_N_INIT = 2
-SEG_MAX_ITER = 20
+# A second selection: the dashboard's year and segment slicers.
+YEAR_SLICERS = dict(years=[1996, 1997], segments=["BUILDING", "MACHINERY"])
 
 
 def _q(fn: Callable[[Star], DataFrame]) -> QueryFn:
@@ -130,16 +147,18 @@ QUERIES: dict[str, QueryFn] = {
     "n6_weak_tier": _q(lambda s: findings.n6_weak_tier(s.orders)),
     "orders_per_customer": _q(lambda s: findings.orders_per_customer(s.orders_og)),
     # app / dashboard / workbook marts
-    "kpi_overall": _q(lambda s: marts.kpi(s.app)),
-    "kpi_filtered": _q(lambda s: marts.kpi(marts.apply_slicers(s.app, **SLICERS))),
+    "kpi_overall": _q(lambda s: marts.kpi(s.orders)),
+    "kpi_filtered": _q(lambda s: marts.kpi(s.sliced(**SLICERS))),
+    "kpi_year_segment": _q(lambda s: marts.kpi(s.sliced(**YEAR_SLICERS))),
     "filter_options": _q(lambda s: marts.slicer_options(s.orders, s.customers, s.products)),
     "date_bounds": _q(lambda s: marts.date_bounds(s.orders)),
     "profit_by_region": _q(lambda s: marts.profit_by_region_keys(s.orders, s.customers)),
+    "profit_by_region_filtered": _q(lambda s: marts.profit_by_region_keys(s.sliced(**SLICERS).drop("region"), s.customers)),
     "sales_by_quarter": _q(lambda s: marts.sales_by_quarter(s.orders)),
-    "tier_margin": _q(lambda s: marts.tier_margin(s.app)),
-    "tier_margin_filtered": _q(lambda s: marts.tier_margin(marts.apply_slicers(s.app, **SLICERS))),
-    "pivot_profit_region_year": _q(lambda s: marts.pivot_sum(s.extract, "region", "order_year", "profit")),
-    "pivot_sales_city_region": _q(lambda s: marts.pivot_sum(s.extract, "city_type", "region", "sales")),
+    "tier_margin": _q(lambda s: marts.tier_margin(s.orders)),
+    "tier_margin_filtered": _q(lambda s: marts.tier_margin(s.sliced(**SLICERS))),
+    "pivot_profit_region_year": _q(lambda s: marts.pivot_sum(s.extract, "region", "order_year", "profit", s.years())),
+    "pivot_sales_city_region": _q(lambda s: marts.pivot_sum(s.extract, "city_type", "region", "sales", s.regions())),
     "region_summary": _q(lambda s: marts.group_summary(s.extract, "region")),
     "subcategory_summary": _q(lambda s: marts.group_summary(s.extract, "sub_category")),
     "flat_extract": _q(lambda s: s.extract),
@@ -147,10 +166,12 @@ QUERIES: dict[str, QueryFn] = {
     "category_scatter": _q(lambda s: marts.category_scatter(s.extract)),
     "profit_city_region": _q(lambda s: marts.profit_city_region(s.extract)),
     "preview_orders": _q(lambda s: marts.head_preview(s.orders_og, 500, ["order_date", "order_id"])),
+    "preview_filtered": _q(lambda s: marts.head_preview(
+        s.sliced(**SLICERS).select(*s.orders.columns), 500, ["order_date", "order_id", "product_id", "sales", "quantity", "discount"])),
     # cleaning pipeline on the dirty raw export
-    "clean_orders": _q(lambda s: s.cleaned().orders),
-    "clean_customers": _q(lambda s: s.cleaned().customers),
-    "clean_products": _q(lambda s: s.cleaned().products),
+    "clean_orders": _q(lambda s: s.cleaned.orders),
+    "clean_customers": _q(lambda s: s.cleaned.customers),
+    "clean_products": _q(lambda s: s.cleaned.products),
     "clean_drop_counts": _q(lambda s: clean.drop_counts(s.raw_export)),
     # audit / profile
     "null_counts": _q(lambda s: profile.null_counts(s.raw_export)),
@@ -161,6 +182,12 @@ QUERIES: dict[str, QueryFn] = {
         s.orders, ["sales", "profit", "profit_margin", "delivery_days"])),
     # data quality
     "dq_clean": _q(lambda s: quality.run_checks(s.customers, s.products, s.orders_og)),
+    "dq_every_check": _q(lambda s: quality.run_checks(*s.dirty)),
+    "orphan_customers_dirty": _q(lambda s: quality.orphan_keys(s.dirty[2], s.dirty[0], "customer_id")),
+    "orphan_products_dirty": _q(lambda s: quality.orphan_keys(s.dirty[2], s.dirty[1], "product_id")),
+    "segment_feature_drops_dirty": _q(lambda s: segment.dropped_feature_rows(
+        s.dirty[2].withColumn("quantity", F.nullif("quantity", F.lit(0))), s.products)),
+    "column_types": _q(lambda s: profile.column_types(s.orders)),
     "dq_dirty": _q(lambda s: quality.run_checks(s.customers, s.products, s.orders_dirty)),
     "orphan_customers": _q(lambda s: quality.orphan_keys(s.orders, s.customers, "customer_id")),
     "orphan_products": _q(lambda s: quality.orphan_keys(s.orders, s.products, "product_id")),
@@ -169,11 +196,13 @@ QUERIES: dict[str, QueryFn] = {
     "monthly_series_by_region": _q(lambda s: forecast.monthly_series(s.orders_region, ["region"])),
     "hw_forecast": _q(lambda s: forecast.forecast(s.orders)),
     "hw_forecast_by_region": _q(lambda s: forecast.forecast(s.orders_region, ["region"])),
+    "series_report": _q(lambda s: forecast.series_report(s.orders_region, ["region"])),
     "hw_backtest": _q(lambda s: forecast.backtest(s.orders)),
-    "hw_metrics": _q(lambda s: forecast.backtest_metrics(forecast.backtest(s.orders))),
+    "hw_metrics": _q(lambda s: forecast.backtest_metrics(forecast.backtest_errors(s.orders))),
     # customers: RFM and orders per customer (order grain)
     "rfm": _q(lambda s: segment.rfm(s.orders_og)),
-    # segmentation (order grain; sweep k = 2..8, SEG_N_INIT restarts each)
+    # segmentation (order grain; sweep k = 2..8, 10 restarts each)
+    "one_hot_block": _q(lambda s: segment.one_hot_block(s.orders_og, s.products)),
     "scaled_features": _q(lambda s: segment.scaled_features(s.orders_og, s.products)),
     "segment_feature_drops": _q(lambda s: segment.dropped_feature_rows(s.orders_og, s.products)),
     "kmeans_sweep": _q(lambda s: s.order_segmentation().sweep),
@@ -181,11 +210,11 @@ QUERIES: dict[str, QueryFn] = {
     "segment_summary": _q(lambda s: segment.segment_summary(s.order_segmentation().segments)),
     "cluster_profile": _q(lambda s: segment.cluster_profile(s.order_segmentation().segments)),
     "segment_summary_short": _q(lambda s: segment.segment_summary_short(s.order_segmentation().segments)),
-    "rfm_segments": _q(lambda s: segment.rfm_segments(
-        s.orders_og, n_init=SEG_N_INIT, max_iter=SEG_MAX_ITER).segments),
+    "rfm_segments": _q(lambda s: segment.rfm_segments(s.orders_og).segments),
     # regression
-    "reg_split": _q(lambda s: regress.split_summary(regress.load_and_engineer(s.orders_og, s.products))),
-    "reg_baseline": _q(lambda s: regress.baseline(*regress.split(regress.load_and_engineer(s.orders_og, s.products)))),
+    "reg_split": _q(lambda s: regress.split_summary(regress.regression_frame(s.orders_og, s.products))),
+    "reg_tier_margin": _q(lambda s: regress.tier_report(regress.regression_frame(s.orders_og, s.products))),
+    "reg_baseline": _q(lambda s: regress.baseline(*regress.split(regress.regression_frame(s.orders_og, s.products)))),
     "reg_metrics_linear": _q(lambda s: regress.run(s.orders_og, s.products, "linear")),
     "reg_metrics_gbt": _q(lambda s: regress.run(s.orders_og, s.products, "gbt")),
 }

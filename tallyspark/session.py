@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 DEFAULT_CONF = {
@@ -37,11 +38,11 @@ def get_spark(
 ) -> SparkSession:
     """Return (or create) the active session with the library defaults.
 
-    ``master`` defaults to ``local[*]`` only when no master is configured, so
-    the same call works under ``spark-submit`` on a cluster.
+    ``master`` defaults to ``local[*]`` only when the configuration names none,
+    so the same call works under ``spark-submit`` on a cluster.
     """
     builder = SparkSession.builder.appName(app_name)
-    if master or not os.environ.get("SPARK_MASTER"):
+    if master or not _configured_master():
         builder = builder.master(master or "local[*]")
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
@@ -55,16 +56,28 @@ def get_spark(
     return spark
 
 
+def _configured_master() -> str | None:
+    """The master of the running session, or of the launcher's configuration."""
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        return active.sparkContext.master
+    SparkContext._ensure_initialized()  # loads what spark-submit passed on
+    return SparkConf().get("spark.master", None)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names shared storage and is used as-is. Only when
-    it is unset (local tests) do we create a private scratch folder.
+    On a cluster this setting names shared storage and is used as-is. Only a
+    local master may leave it unset (tests); it then gets a private folder. On
+    a cluster such a folder would not be shared, so that is an error.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         spark.sparkContext.setCheckpointDir(configured)
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="tallyspark-ckpt-")
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)

@@ -15,31 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.sources.raw import RAW_COLUMNS
+from tallyspark.sources.schema import CUSTOMER_COLUMNS, ORDER_TYPES, PRODUCT_COLUMNS
 
 RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in RAW_COLUMNS])
 
-CUSTOMERS_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in
-                                 ["customer_id", "customer_name", "last_name", "segment", "city_type", "region", "state"]])
-PRODUCTS_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in
-                                ["product_id", "category", "sub_category"]])
-ORDERS_SCHEMA = T.StructType([
-    T.StructField("order_id", T.StringType()),
-    T.StructField("customer_id", T.StringType()),
-    T.StructField("product_id", T.StringType()),
-    T.StructField("order_date", T.DateType()),
-    T.StructField("ship_date", T.DateType()),
-    T.StructField("ship_mode", T.StringType()),
-    T.StructField("sales", T.DecimalType(12, 2)),
-    T.StructField("quantity", T.IntegerType()),
-    T.StructField("discount", T.DecimalType(4, 2)),
-    T.StructField("profit", T.DecimalType(12, 2)),
-    T.StructField("profit_margin", T.DecimalType(6, 4)),
-    T.StructField("delivery_days", T.IntegerType()),
-    T.StructField("order_year", T.IntegerType()),
-    T.StructField("order_month", T.IntegerType()),
-    T.StructField("order_quarter", T.StringType()),
-    T.StructField("postal_code_missing", T.BooleanType()),
-])
+CUSTOMERS_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in CUSTOMER_COLUMNS])
+PRODUCTS_SCHEMA = T.StructType([T.StructField(c, T.StringType(), True) for c in PRODUCT_COLUMNS])
+_TYPES = {"string": T.StringType(), "date": T.DateType(), "int": T.IntegerType(), "boolean": T.BooleanType()} | {
+    f"decimal({p},{s})": T.DecimalType(p, s) for p, s in ((12, 2), (4, 2), (6, 4))}
+ORDERS_SCHEMA = T.StructType([T.StructField(c, _TYPES[t], True) for c, t in ORDER_TYPES.items()])
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,

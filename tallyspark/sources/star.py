@@ -6,9 +6,8 @@ same star columns and types so every downstream operator runs unchanged.
 
 Scale notes
 -----------
-* ``nation`` and ``region`` have a fixed row count at every scale factor, so
-  they pass the bounded broadcast check; ``customer`` and ``part`` grow with the
-  data and are joined without a hint (planner statistics + AQE decide).
+* No dimension is joined with a hint: file statistics and AQE decide, which makes the
+  25-row geography a broadcast and lets ``customer`` and ``part`` shuffle when they grow.
 * The line-grain fact is ``lineitem JOIN orders`` on the order key: the one
   large-large join, hash-partitioned on the key at both sides.
 * The order-grain fact aggregates lines per order key *before* joining, so the
@@ -22,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import profit_margin, quarter_label
-from tallyspark.plans.joins import bounded_broadcast
+from tallyspark.sources.schema import ORDER_COLUMNS
 from tallyspark.sources.tables import Tables
 
 # --- fixed values: mapping of driver columns onto star columns --------------
@@ -39,18 +38,13 @@ DISCOUNT_SCALE = 4              # driver discounts 0-0.10 scaled to 0-0.40
 TAX_PROFIT_FACTOR = 5           # profit rate = 5 * tax - 0.02
 TAX_PROFIT_OFFSET = "0.02"
 POSTAL_MISSING_MOD = 50         # postal code missing when o_orderkey % 50 = 1
+# dirty star: customers with key % 40 = 7 and products with key % 25 = 3 occur twice;
+# order keys with remainder 5 by these numbers break one rule each
+DIRTY_CUSTOMER, DIRTY_PRODUCT = (40, 7), (25, 3)
+DIRTY_ORDERS = dict(customer=97, product=89, discount=83, quantity=79, sales=73, date=71, margin=67, year=61, month=59, quarter=53)
+DIRTY_REMAINDER = 5
 # ---------------------------------------------------------------------------
 
-ORDER_COLUMNS = [
-    "order_id", "customer_id", "product_id", "order_date", "ship_date", "ship_mode",
-    "sales", "quantity", "discount", "profit", "profit_margin", "delivery_days",
-    "order_year", "order_month", "order_quarter", "postal_code_missing",
-]
-CUSTOMER_COLUMNS = ["customer_id", "customer_name", "last_name", "segment", "city_type", "region", "state"]
-PRODUCT_COLUMNS = ["product_id", "category", "sub_category"]
-
-GEO_MAX_ROWS = 100_000  # nation x region; TPC-H fixes it at 25 rows
-
 
 def _t(spark_or_tables, sf_dir: str | None = None) -> Tables:
     if isinstance(spark_or_tables, Tables):
@@ -76,12 +70,10 @@ def city_type_of(custkey: Column) -> Column:
 
 
 def geography(t: Tables) -> DataFrame:
-    """nation JOIN region -> (nationkey, state, region); checked-small both sides."""
-    region = bounded_broadcast(t.region.select("r_regionkey", "r_name"), GEO_MAX_ROWS,
-                               memo_key=t.path("region"))
-    geo = t.nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
+    """nation JOIN region -> (nationkey, state, region); the planner sees the files' sizes."""
+    region = t.region.select("r_regionkey", "r_name")
+    return t.nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(
         "n_nationkey", F.col("n_name").alias("state"), F.col("r_name").alias("region"))
-    return bounded_broadcast(geo, GEO_MAX_ROWS, memo_key=t.path("nation") + "+region")
 
 
 def star_customers(spark_or_tables, sf_dir: str | None = None) -> DataFrame:
@@ -163,6 +155,34 @@ def star_orders_line(spark_or_tables, sf_dir: str | None = None, dirty_ship_date
     return _finish_orders(base)
 
 
+def dirty_star(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(customers, products, orders) in which every data-quality check finds something."""
+    customers, products = star_customers(t), star_products(t)
+    twice = customers.where(F.col("customer_id") % DIRTY_CUSTOMER[0] == DIRTY_CUSTOMER[1])
+    customers = customers.unionAll(twice).drop("last_name")
+    twice = products.where(F.col("product_id") % DIRTY_PRODUCT[0] == DIRTY_PRODUCT[1])
+    products = products.unionAll(twice).drop("sub_category")
+    orders = star_orders_line(t, dirty_ship_date=True)
+    key = F.substring_index("order_id", "-", 1).cast("bigint")
+    changes = {
+        "customer": ("customer_id", -F.col("customer_id")),
+        "product": ("product_id", -F.col("product_id")),
+        "discount": ("discount", F.lit("1.20")),
+        "quantity": ("quantity", F.lit(0)),
+        "sales": ("sales", F.lit(0)),
+        "date": ("order_date", F.lit(None)),
+        "margin": ("profit_margin", F.col("profit_margin") + F.lit("0.5").cast("decimal(6,4)")),
+        "year": ("order_year", F.col("order_year") + 1),
+        "month": ("order_month", F.lit(13)),
+        "quarter": ("order_quarter", F.lit("none")),
+    }
+    new = {}
+    for rule, (name, value) in changes.items():
+        hit = key % DIRTY_ORDERS[rule] == DIRTY_REMAINDER
+        new[name] = F.when(hit, value.cast(orders.schema[name].dataType)).otherwise(F.col(name))
+    return customers, products, orders.withColumns(new).drop("postal_code_missing")
+
+
 def order_grain_lines(t: Tables) -> DataFrame:
     """Lines folded to one row per order key (partial aggregation map-side)."""
     return t.lineitem.groupBy("l_orderkey").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -12,10 +13,6 @@ DRIVER_TABLES = (
 ).split()
 
 
-# Fact tables and the key their consumers join / aggregate on.
-FACT_KEYS = {"lineitem": "l_orderkey", "orders": "o_orderkey"}
-
-
 class Tables:
     """Lazy reader: ``Tables(spark, d).lineitem`` is ``spark.read.parquet(...)``.
 
@@ -31,39 +28,15 @@ class Tables:
         return os.path.join(self.sf_dir, f"{name}.parquet")
 
     def read(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(self.path(name))
-        key = FACT_KEYS.get(name)
-        if key is not None:
-            df = spread_small_scan(df, key, memo_key=self.path(name))
-        return df
+        return self.spark.read.parquet(self.path(name))
+
+    def fingerprint(self, *names: str) -> tuple:
+        """Paths, sizes and times of the files of some tables (a listing, no content is read)."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([self.path(n) for n in names])
+        stat = files.agg(F.count("path"), F.sum("length"), F.max("modificationTime"), F.sum(F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")))
+        return (self.sf_dir, *names, *stat.first())
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in DRIVER_TABLES:
             return self.read(name)
         raise AttributeError(name)
-
-
-
-_SPLITS: dict[str, int] = {}
-
-
-def spread_small_scan(df: DataFrame, key: str, memo_key: str | None = None) -> DataFrame:
-    """Hash-partition a fact scan on ``key`` when it has fewer input splits than
-    the cluster has cores (a few large row groups), so the per-row work after it
-    uses every core; the partitioning on the order key is the one the following
-    join / aggregation needs anyway, so it replaces, not adds, an exchange there.
-    On a large input (many splits) the scan is returned untouched. The split
-    count of an (immutable) input file is looked up once per path."""
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if memo_key is not None and memo_key in _SPLITS:
-            splits = _SPLITS[memo_key]
-        else:
-            splits = df.rdd.getNumPartitions()  # planning only, no job
-            if memo_key is not None:
-                _SPLITS[memo_key] = splits
-    except Exception:  # noqa: BLE001 - sessions without RDD access: leave the plan as is
-        return df
-    if splits >= cores:
-        return df
-    return df.repartition(cores, key)

@@ -20,10 +20,20 @@ def test_top3_uses_partial_window_group_limit(spark):
     assert "WindowGroupLimit" in plan and "Partial" in plan
 
 
-def test_dq_suite_scans_the_fact_once(spark):
+def test_dq_suite_shuffles_keys_and_sums_only(spark):
+    """No grouping sets: the flags are summed without a key, and each key check carries its key alone."""
     plan = _plan(entry.queries()["dq_dirty"](spark, SF))
-    assert plan.count("FileScan parquet [l_orderkey") == 1
-    assert "Expand" in plan  # the GROUPING SETS pass
+    assert "spark_grouping_id" not in plan and "partial_sum" in plan
+
+
+def test_pivot_columns_need_no_second_run(spark):
+    plan = _plan(entry.queries()["pivot_profit_region_year"](spark, SF))
+    assert "Join" not in plan  # reads the written extract
+
+
+def test_kpi_joins_no_dimension(spark):
+    plan = _plan(entry.queries()["kpi_overall"](spark, SF))
+    assert "c_custkey" not in plan and "p_partkey" not in plan
 
 
 def test_scan_reads_only_needed_columns(spark):
@@ -48,23 +58,6 @@ def test_dimension_join_not_forced_to_broadcast(spark):
     assert "partial_sum" in plan
 
 
-def test_small_scan_spread_only_when_under_split(spark):
-    import tempfile
-
-    from tallyspark.sources.tables import spread_small_scan
-
-    cores = spark.sparkContext.defaultParallelism
-    many = tempfile.mkdtemp(prefix="splits-")
-    spark.range(0, 10_000, numPartitions=cores * 2).withColumnRenamed("id", "k") \
-        .write.mode("overwrite").parquet(many)
-    big = spark.read.parquet(many)
-    assert "REPARTITION_BY_NUM" not in _plan(spread_small_scan(big, "k"))
-    one = tempfile.mkdtemp(prefix="splits1-")
-    spark.range(0, 100, numPartitions=1).withColumnRenamed("id", "k").write.mode("overwrite").parquet(one)
-    small = spark.read.parquet(one)
-    assert "hashpartitioning(k" in _plan(spread_small_scan(small, "k"))
-
-
 def test_bounded_broadcast_checks_size(spark):
     from tallyspark.plans.joins import bounded_broadcast, fits
 

@@ -59,7 +59,7 @@ def _raw(order_id, category, sub, date="01-02-2020", cust="C1"):
 def test_null_product_pair_gets_one_id(spark):
     raw = _raw_rows(spark, [_raw("O1", None, None), _raw("O2", None, None, "02-02-2020"),
                             _raw("O3", "Tech", "Phones", "03-02-2020")])
-    c = clean.clean(raw, materialize=False)
+    c = clean.clean(raw)
     products = c.products.collect()
     assert len(products) == 2
     null_id = [p["product_id"] for p in products if p["category"] is None]
@@ -73,7 +73,7 @@ def test_first_row_per_customer_is_earliest(spark):
     late = list(_raw("O9", "Tech", "Phones", "05-02-2020"))
     late[5] = "Later"
     raw = _raw_rows(spark, [tuple(late), _raw("O1", "Tech", "Phones", "01-02-2020")])
-    c = clean.clean(raw, materialize=False)
+    c = clean.clean(raw)
     assert c.customers.first()["customer_name"] == "Asha"
 
 
@@ -93,7 +93,7 @@ def test_backtest_length_rules(spark, months, expect):
     df = spark.createDataFrame(rows, "order_date date, sales decimal(12,2)")
     bt = forecast.backtest(df).collect()
     if expect is None:
-        assert bt == []
+        assert [(r.status, r.predicted) for r in bt] == [("too short", None)]
     else:
         assert len(bt) == 6 and all(r["seasonal"] is expect for r in bt)
 
@@ -127,7 +127,9 @@ def test_duplicate_null_keys_count_as_duplicates(spark):
     cust = spark.createDataFrame([(None,), (None,), ("C1",)], "customer_id string")
     prods = spark.createDataFrame([("P1", "a", "b")], "product_id string, category string, sub_category string")
     orders = spark.createDataFrame([], "order_id string, customer_id string, product_id string")
-    assert quality._unique_check(cust, "customer_id", "customer_id_unique").first()["violations"] == 1
+    facts = spark.createDataFrame([("C1",)], "customer_id string")
+    got = quality.key_violations(facts, "customer_id", cust, "customer_id_unique", "orders_customer_fk")
+    assert {r["check"]: r["violations"] for r in got.collect()} == {"customer_id_unique": 1, "orders_customer_fk": 0}
     schema = {r["check"]: r["violations"] for r in quality._schema_checks(cust, prods, orders).collect()}
     assert schema == {"customers_schema": 6, "products_schema": 0, "orders_schema": 13}
 
@@ -143,16 +145,64 @@ def _orders_frame(spark, rows):
                                        "postal_code_missing boolean")
 
 
-def test_one_pass_key_checks(spark):
+def test_key_and_row_checks(spark):
     orders = _orders_frame(spark, [("O1", "C1", "P1"), ("O1", "C9", "P1"), ("O3", None, "P2")])
     prods = spark.createDataFrame([("P1", "a", "b"), ("P1", "a", "c")], "product_id string, category string, sub_category string")
     cust = spark.createDataFrame([("C1",), ("C1",)], "customer_id string")
-    res = {r["check"]: r["violations"] for r in quality.key_and_row_checks(cust, prods, orders).collect()}
+    res = {r["check"]: r["violations"] for r in quality.run_checks(cust, prods, orders).collect()}
     assert res["order_id_unique"] == 1
     assert res["customer_id_unique"] == 1 and res["product_id_unique"] == 1
     assert res["orders_customer_fk"] == 2          # C9 and NULL
     assert res["orders_product_fk"] == 1           # P2
     assert res["sales_positive"] == 0 and res["no_null_core_fields"] == 1
     cust_null = spark.createDataFrame([("C1",), (None,)], "customer_id string")
-    res = {r["check"]: r["violations"] for r in quality.key_and_row_checks(cust_null, prods, orders).collect()}
+    res = {r["check"]: r["violations"] for r in quality.run_checks(cust_null, prods, orders).collect()}
     assert res["orders_customer_fk"] == 1          # NULL matches the dimension's NULL
+
+
+def test_short_series_say_so(spark):
+    rows = [("a", D(2020, m, 1), Decimal("10.00")) for m in range(1, 13)] + [("b", D(2020, 5, 1), Decimal("7.00"))]
+    df = spark.createDataFrame(rows, "k string, order_date date, sales decimal(12,2)")
+    got = forecast.forecast(df, ["k"]).where("status <> 'ok'").collect()
+    assert [(r.k, r.month, r.forecast_sales) for r in got] == [("b", D(2020, 5, 1), None)]
+    back = forecast.backtest(df, ["k"])
+    assert {(r.k, r.status) for r in back.collect()} == {("a", "too short"), ("b", "too short")}
+    assert forecast.backtest_metrics(forecast.backtest_errors(df, ["k"]), ["k"]).count() == 0
+    report = {r.k: (r.months_total, r.train_months, r.status) for r in forecast.series_report(df, ["k"]).collect()}
+    assert report == {"a": (10, None, "too short"), "b": (1, None, "too short")}
+
+
+def test_exact_quantiles(spark):
+    import random
+
+    from tallyspark.operators import profile
+
+    r = random.Random(1)
+    for values in ([], [3.0], [1.0, 2.0], [5.0] * 1000 + [1.0], [r.choice([r.random(), 0.5, float(r.randrange(9))]) for _ in range(3001)]):
+        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+        ordered = sorted(values)
+
+        def at(q):
+            i = q * (len(ordered) - 1)
+            a, b = ordered[int(i)], ordered[min(int(i) + 1, len(ordered) - 1)]
+            return a + (b - a) * (i - int(i))
+
+        want = [at(q) if ordered else None for q in profile.QUARTILES]
+        for accuracy in (10_000, 20):
+            assert profile.exact_quantiles(df, "x", accuracy=accuracy) == pytest.approx(want) if ordered else want == [None] * 3
+
+
+def test_cluster_names_take_the_first_matching_rule(spark):
+    from tallyspark.functions import exprs
+
+    rows = [(0, "0.40", "0.05", "10"), (1, "0.10", "0.30", "20"), (2, "0.40", "0.30", "90"), (3, "0.10", "0.05", "1"), (4, "0.10", "0.05", "95")]
+    df = spark.createDataFrame([(i, Decimal(d), Decimal(m), Decimal(s)) for i, d, m, s in rows],
+                               "segment_id int, discount decimal(4,2), profit_margin decimal(6,4), sales decimal(12,2)")
+    got = {r.segment_id: r.segment_label for r in segment.label_segments(df).collect()}
+    assert got == {0: exprs.SEG_DEEP_DISCOUNT, 1: exprs.SEG_FULL_PRICE, 2: exprs.SEG_PREMIUM, 3: exprs.SEG_SMALL, 4: exprs.SEG_MIXED}
+
+
+def test_money_text_with_three_decimals_rounds(spark):
+    df = spark.createDataFrame([("12.345",), ("12.344",), ("x",)], "s string")
+    got = [r[0] for r in df.select(F.expr("try_cast(s AS decimal(12,2))")).collect()]
+    assert got == [Decimal("12.35"), Decimal("12.34"), None]
