@@ -67,3 +67,29 @@ SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, copi
        CASE WHEN copies > 0 THEN 2 * x / (r + sqrt(r * r + 4 * (1 - r) * x)) * words::DOUBLE END AS position
 FROM v
 """
+
+SQL["op9_lsh_forest"] = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(_LOWER)} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS x
+      FROM d, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS r(i)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS shared FROM s a JOIN s b USING (x) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * shared >= 85 * (a.n + b.n - shared)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, v FROM reach JOIN link ON link.u = reach.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(other) AS component_id, d.doc_id = min(other) AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN reach ON reach.doc_id = d.doc_id GROUP BY d.doc_id
+"""
+
+_CONTROLS = r"<\|endoftext\|>|<\|startoftext\|>|<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>|<\|im_start\|>|<\|im_end\|>"
+_ESCAPED = "length({x}) + length({x}) - length(replace({x}, chr(92), '')) + 2 * len(regexp_extract_all({x}, '" + _CONTROLS + "'))"
+SQL["op10_chat_masks"] = rf"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS learned,
+             sum({_ESCAPED.format(x='role')} + {_ESCAPED.format(x='text')}) AS chars
+      FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(learned)::BIGINT AS loss_chars, sha256(learned) AS loss_sha256,
+       (chars + 13 * (2 * n_turns + 1))::BIGINT AS formatted_chars
+FROM g
+"""
