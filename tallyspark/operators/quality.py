@@ -2,8 +2,8 @@
 of ``(check, violations, passed)`` rows.
 
 * Schema checks compare column sets on the driver (metadata only).
-* Row checks are one aggregate without a key; each key's checks are one narrow
-  aggregate over the fact's and the dimension's key values (see ``key_violations``).
+* Row checks are one aggregate without a key; the key checks are one narrow aggregate
+  over the fact's and the dimensions' key values (see ``key_violations``).
 * The NULL behaviour of each check follows the reference (a NULL fails a
   range check but passes an ordering / ratio check).
 """
@@ -63,29 +63,44 @@ def row_violations(orders: DataFrame) -> DataFrame:
     return orders.agg(*flags).unpivot([], list(checks), "check", "violations")
 
 
-def key_violations(fact: DataFrame, key: str, dim: DataFrame | None, unique: str, orphan: str | None = None) -> DataFrame:
-    """(check, violations) of one key: repeated values in its own table, and fact keys its dimension lacks.
+#: Each fact key's checks: name of its uniqueness check, and of its foreign-key check if it has a dimension.
+KEY_CHECKS = {
+    "customer_id": ("customer_id_unique", "orders_customer_fk"),
+    "product_id": ("product_id_unique", "orders_product_fk"),
+    "order_id": ("order_id_unique", None),
+}
 
-    Fact keys and dimension keys are stacked with their source and counted per (key):
-    partial sums first, so a hot key is one row a task; a NULL is one value on both sides.
+
+def key_violations(fact: DataFrame, dims: dict[str, DataFrame]) -> DataFrame:
+    """(check, violations) of every key: repeated values in its own table, and fact keys its dimension lacks.
+
+    One pass over the fact's key columns alone: (field, value) pairs of the fact and of the
+    dimensions are stacked with their source and counted. Partial sums come first, so a
+    hot key is one row a task; a NULL is one value on both sides.
     """
-    f = fact.select(F.col(key).alias("k"), F.lit(1).alias("f"), F.lit(0).alias("d"))
-    own = "f"
-    if dim is not None:
-        own = "d"
-        f = f.unionAll(dim.select(F.col(key).alias("k"), F.lit(0).alias("f"), F.lit(1).alias("d")))
-    g = f.groupBy("k").agg(F.sum("f").alias("f"), F.sum("d").alias("d"))
-    found = {unique: F.count_if(F.col(own) > 1)}
-    if orphan:
-        found[orphan] = F.count_if((F.col("f") > 0) & (F.col("d") == 0))
+
+    def pairs(df: DataFrame, names: list[str], f: int, d: int) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(n).alias("field"), F.col(n).cast("string").alias("k")) for n in names])
+        return df.select(F.inline(each)).select("field", "k", F.lit(f).alias("f"), F.lit(d).alias("d"))
+
+    names = [n for n in KEY_CHECKS if n in fact.columns]
+    rows = pairs(fact, names, 1, 0)
+    for n, dim in dims.items():
+        rows = rows.unionAll(pairs(dim, [n], 0, 1))
+    g = rows.groupBy("field", "k").agg(F.sum("f").alias("f"), F.sum("d").alias("d"))
+    found = {}
+    for n in names:
+        unique, orphan = KEY_CHECKS[n]
+        mine = F.col("field") == n
+        found[unique] = F.count_if(mine & (F.col("d" if n in dims else "f") > 1))
+        if orphan and n in dims:
+            found[orphan] = F.count_if(mine & (F.col("f") > 0) & (F.col("d") == 0))
     return g.agg(*[x.cast("bigint").alias(n) for n, x in found.items()]).unpivot([], list(found), "check", "violations")
 
 
 def run_checks(customers: DataFrame, products: DataFrame, orders: DataFrame) -> DataFrame:
     """All checks as ``(check, violations, passed)``: schema checks from metadata, row
-    checks from one aggregate, and one narrow aggregate for each key."""
+    checks from one aggregate, key checks from one narrow aggregate."""
     out = _schema_checks(customers, products, orders).unionByName(row_violations(orders))
-    out = out.unionByName(key_violations(orders, "customer_id", customers, "customer_id_unique", "orders_customer_fk"))
-    out = out.unionByName(key_violations(orders, "product_id", products, "product_id_unique", "orders_product_fk"))
-    out = out.unionByName(key_violations(orders, "order_id", None, "order_id_unique"))
+    out = out.unionByName(key_violations(orders, {"customer_id": customers, "product_id": products}))
     return out.withColumn("passed", F.col("violations") == 0).orderBy("check")

@@ -128,7 +128,7 @@ def test_duplicate_null_keys_count_as_duplicates(spark):
     prods = spark.createDataFrame([("P1", "a", "b")], "product_id string, category string, sub_category string")
     orders = spark.createDataFrame([], "order_id string, customer_id string, product_id string")
     facts = spark.createDataFrame([("C1",)], "customer_id string")
-    got = quality.key_violations(facts, "customer_id", cust, "customer_id_unique", "orders_customer_fk")
+    got = quality.key_violations(facts, {"customer_id": cust})
     assert {r["check"]: r["violations"] for r in got.collect()} == {"customer_id_unique": 1, "orders_customer_fk": 0}
     schema = {r["check"]: r["violations"] for r in quality._schema_checks(cust, prods, orders).collect()}
     assert schema == {"customers_schema": 6, "products_schema": 0, "orders_schema": 13}
