@@ -10,6 +10,7 @@ inputs whose size grows with the data.
 from __future__ import annotations
 
 import os
+import shlex
 import tempfile
 
 from pyspark import SparkConf, SparkContext
@@ -57,12 +58,23 @@ def get_spark(
 
 
 def _configured_master() -> str | None:
-    """The master of the running session, or of the launcher's configuration."""
+    """The master of the running session, or the one that the launcher names.
+
+    No JVM is started to find out: it would start without the settings of this session.
+    """
     active = SparkSession.getActiveSession()
     if active is not None:
         return active.sparkContext.master
-    SparkContext._ensure_initialized()  # loads what spark-submit passed on
-    return SparkConf().get("spark.master", None)
+    if "PYSPARK_GATEWAY_PORT" in os.environ:  # under spark-submit the JVM is there
+        SparkContext._ensure_initialized()
+        return SparkConf().get("spark.master", None)
+    args = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    for i, arg in enumerate(args):
+        if arg == "--master":
+            return args[i + 1]
+        if arg.startswith(("--master=", "spark.master=")):
+            return arg.split("=", 1)[1]
+    return os.environ.get("SPARK_MASTER") or os.environ.get("MASTER")
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
