@@ -25,7 +25,7 @@ from .text import BYTE_SYMBOL, Rolling, U64, chunks, joined, mix, word_bounds, w
 
 SLOTS = 1 << 18
 SAMPLE = 6_000
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 EPOCHS, COST, SMOOTH = 20, 1.0, 1.0
 THRESHOLD = 0.3
 #: Bits by byte: upper-case, lower-case, digit, other ASCII, beyond ASCII.

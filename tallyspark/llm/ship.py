@@ -1,4 +1,4 @@
-"""Send this package to the Python workers (the usual ``addPyFile``)."""
+"""Prepare a session for tasks in Python: code on the workers, small Arrow batches."""
 
 from __future__ import annotations
 
@@ -9,12 +9,18 @@ import zipfile
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "1000"
 PACKAGE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> None:
-    """Once a session: zip the package on the driver and let Spark fetch it to every worker."""
+    """Once a session: zip the package on the driver and let Spark fetch it to every worker (``addPyFile``).
+
+    Rows hold whole texts, so an Arrow batch of the default 10,000 rows is tens of MB on
+    both sides of each worker; ``BATCH_ROWS`` bounds it.
+    """
     sc = spark.sparkContext
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     if getattr(sc, "_tallyspark_shipped", False):
         return
     buffer = io.BytesIO()

@@ -35,8 +35,8 @@ from .ship import ship
 MAGIC = b"TSEF0001"
 HEAD = struct.Struct("<8sIIIIBQQQQ")
 PART_BYTES = 16 << 20
-SHARD_IDS = 8 << 20
-MEMO_WORDS = 400_000
+SHARD_IDS = 4 << 20
+MEMO_WORDS = 300_000
 MARK, MARK_BYTES = "\x01", b"\x01"
 
 _encoders: dict[str, Memo] = {}
