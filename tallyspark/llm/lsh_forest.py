@@ -9,9 +9,11 @@
    common prefixes, each node is compared by signature with the few before it, its best
    partner is confirmed on the full sets, and components are formed.
 4. Links, second pass: only regions that still hold different components matter. Their
-   pairs across components are compared by signature and confirmed on the full sets. Pairs
-   within a component need no look: they cannot change it. A region's largest component
-   is dealt over several tasks; a region with many components is searched deeper.
+   pairs across components must have enough shingles that occur in a second set at all,
+   be alike by signature and share one of their rarest shingles; then they are confirmed
+   on the full sets. Pairs within a component need no look:
+   they cannot change it. A region's largest component is dealt over several tasks; a
+   region with many components is searched deeper.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from .token_files import shared_path
 
 VALUES, TREES, DEPTH = 128, 24, 4
 BEFORE = 3
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 MEMBERS = 20_000
 WIDE = 1_000
 SHINGLE = 5
@@ -135,27 +137,55 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         tail = tuple(x[-BEFORE:] for x in (region, node, sig))
 
 
-def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, major: int, whole: bool, least: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different components that are alike by signature; more than ``WIDE`` components are split by further values."""
+def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, rare: list[np.ndarray], size: np.ndarray, shared: np.ndarray, seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components that are alike by signature and could reach the threshold.
+
+    More than ``WIDE`` components are split by further values. ``rare``: each node's rarest
+    shingles, so many that two sets at the threshold share one of them at least. ``shared``:
+    how many of its ``size`` shingles any other node has; two sets have no more in common.
+    ``seen``: the regions of each node that are not split (zeros behind): of the regions that a
+    pair shares, only the first gives it.
+    """
     if len(np.unique(root)) > WIDE and depth < VALUES:
         key = sig[:, depth].astype(np.int64) << 8 | sig[:, min(depth + 1, VALUES - 1)]
-        if len(np.unique(key)) > 1:
-            order = np.argsort(key, kind="stable")
-            for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-                yield from across(node[part], root[part], sig[part], major, whole, least, depth + 2)
-            return
-        yield from across(node, root, sig, major, whole, least, depth + 2)
+        order = np.argsort(key, kind="stable")
+        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
+            yield from across(node[at], root[at], sig[at], [rare[i] for i in at], size[at], shared[at], seen[at], region, major, whole, least, percent, depth + 2)
         return
-    minor = np.flatnonzero(root != major)
     others = np.arange(len(node)) if whole else np.flatnonzero(root == major)
-    for m in minor.tolist():
+    for m in np.flatnonzero(root != major).tolist():
         see = others[(root[others] != root[m]) & ((root[others] == major) | (others > m))]
-        alike = see[(sig[see] == sig[m]).sum(axis=1) >= least]
-        if len(alike):
-            yield np.full(len(alike), node[m]), node[alike]
+        see = see[(100 + percent) * np.minimum(shared[see], shared[m]) >= percent * (size[see] + size[m])]
+        see = see[(sig[see] == sig[m]).sum(axis=1) >= least]
+        if len(see):
+            sizes = [len(rare[i]) for i in see]
+            hit = np.isin(np.concatenate([rare[i] for i in see]), rare[m])
+            see = see[np.unique(np.repeat(np.arange(len(see)), sizes)[hit])]
+            mine = seen[m][seen[m] != 0]
+            earlier = mine[mine < region] if region in mine else mine
+            see = see[~np.isin(seen[see], earlier).any(axis=1)]
+        if len(see):
+            yield np.full(len(see), node[m]), node[see]
+
+
+def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
+    """(node, rare, size, shared): of each set its n - ceil(percent * n / 100) + 1 rarest shingles, in one
+    order for all, its size n, and how many of its shingles occur in a second set.
+
+    Two sets that reach the threshold have ceil(percent * n / 100) elements in common of either, so
+    each has one of them among its first in any common order; the rarest first leaves
+    the fewest pairs. Shingles are cut to 32 bits, which can only add pairs.
+    """
+    each = sets.select("node", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("shingle").agg(F.count("node").alias("often"))
+    n = F.size("all")
+    first = n - F.ceil(n * percent / 100).cast("int") + 1
+    cut = F.transform(F.slice("all", F.lit(1), first), lambda x: (x["shingle"].bitwiseAND(0xFFFFFFFF)))
+    return each.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all")).select(
+        "node", cut.alias("rare"), n.cast("long").alias("size"), F.size(F.filter("all", lambda x: x["often"] > 1)).cast("long").alias("shared"))
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
     """``across`` for every (region, part) of rows sorted by them."""
 
     def groups() -> Iterator[pa.Table]:
@@ -177,7 +207,9 @@ def _across(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Record
         start = t["start"][0].as_py()
         sig = np.roll(sig, -start, axis=1)
         whole = t["part"][0].as_py() == 0
-        for u, v in across(t["node"].to_numpy(), t["root"].to_numpy(), sig, t["major"][0].as_py(), whole, least):
+        rare = [np.asarray(x, np.int64) for x in t["rare"].to_pylist()]
+        seen = np.array([(x or []) + [0] * (TREES - len(x or [])) for x in t["seen"].to_pylist()], np.int64)
+        for u, v in across(t["node"].to_numpy(), t["root"].to_numpy(), sig, rare, t["size"].to_numpy(), t["shared"].to_numpy(), seen, t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent):
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 
 
@@ -238,11 +270,14 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     sizes = rooted.groupBy("region", "root").agg(F.count("node").alias("n"))
     sizes = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("root").alias("kinds")).where("kinds > 1")
     parts = F.ceil(F.col("n") / MEMBERS).cast("int")
-    mixed = rooted.join(sizes.select("region", "major", parts.alias("parts")), "region")
+    mixed = _saved(rooted.join(sizes.select("region", "major", "kinds", parts.alias("parts")), "region"), "mixed")
+    rare = rare_shingles(sets.join(mixed.select("node").distinct(), "node", "left_semi"), percent)
+    unsplit = mixed.where(F.col("kinds") <= WIDE).groupBy("node").agg(F.collect_list("region").alias("seen"))  # TREES at most
+    mixed = mixed.join(rare, "node").join(unsplit, "node", "left")
     own: Column = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mixed = mixed.withColumn("part", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "start", "sig")
-    pairs = mixed.mapInArrow(lambda x: _across(x, least), "u long, v long").distinct()
+    mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "start", "sig", "rare", "size", "shared", "seen")
+    pairs = mixed.mapInArrow(lambda x: _across(x, least, percent), "u long, v long").distinct()
     more = _saved(confirmed(pairs, sets, percent), "links")
     roots = first.withColumnRenamed("root", "r")
     for end in ("u", "v"):

@@ -80,10 +80,37 @@ def test_across_splits_wide_regions_and_keeps_blocks_whole(monkeypatch):
     sig = g.integers(0, 256, (40, lsh_forest.VALUES)).astype(np.uint8)
     sig[20:] = sig[:20]  # 20 pairs of equal signatures
     node, root = np.arange(40), np.arange(40)
+    seen = np.zeros((40, lsh_forest.TREES), np.int64)
+    seen[:, :2] = 7, 9  # this region is the first that they share
     for wide in (1_000, 3):
         monkeypatch.setattr(lsh_forest, "WIDE", wide)
-        pairs = {(min(a, b), max(a, b)) for u, v in lsh_forest.across(node, root, sig, 0, True, 92) for a, b in zip(u.tolist(), v.tolist())}
+        pairs = {(min(a, b), max(a, b)) for u, v in lsh_forest.across(node, root, sig, [np.array([i % 20, 99]) for i in range(40)], np.full(40, 9), np.full(40, 9), seen, 7, 0, True, 92, 85) for a, b in zip(u.tolist(), v.tolist())}
         assert pairs == {(i, i + 20) for i in range(20)}
+    seen[:, 2] = -5  # an earlier one gives them
+    assert not list(lsh_forest.across(node, root, sig, [np.array([99])] * 40, np.full(40, 9), np.full(40, 9), seen, 7, 0, True, 92, 85))
+
+
+def test_rare_shingles_of_linked_sets_meet(spark):
+    r = random.Random(5)
+    base = list(range(100))
+    sets = []
+    for i in range(60):
+        x = set(base)
+        for _ in range(r.randrange(25)):
+            x.discard(r.choice(base))
+            x.add(1000 * (i + 1) + r.randrange(50))
+        sets.append(x)
+    frame = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)], "node long, shingles array<long>")
+    rows = lsh_forest.rare_shingles(frame, 85).collect()
+    rare = {x.node: set(x.rare) for x in rows}
+    for x in rows:
+        others = set().union(*[s for j, s in enumerate(sets) if j != x.node])
+        assert (x.size, x.shared) == (len(sets[x.node]), len(sets[x.node] & others))
+    for i, a in enumerate(sets):
+        assert len(rare[i]) == len(a) - -(-85 * len(a) // 100) + 1
+        for j, b in enumerate(sets[:i]):
+            if 100 * len(a & b) >= 85 * len(a | b):
+                assert rare[i] & rare[j]
 
 
 def test_components(spark):
