@@ -12,8 +12,10 @@
    pairs across components must have enough shingles that occur in a second set at all,
    be alike by signature and share one of their rarest shingles; then they are confirmed
    on the full sets. Pairs within a component need no look:
-   they cannot change it. A region's largest component is dealt over several tasks; a
-   region with many components is searched deeper.
+   they cannot change it. A region's largest component is dealt over several tasks.
+   Nodes of regions with ``WIDE`` nodes or more outside the largest component are dealt by
+   their rarest shingles instead, in cells of bounded size; every pair that could reach the
+   threshold meets in one of them, so a wide region loses no link.
 """
 
 from __future__ import annotations
@@ -35,6 +37,7 @@ BEFORE = 3
 CHUNK = 1 << 18
 MEMBERS = 20_000
 WIDE = 1_000
+CELL = 4_000
 SHINGLE = 5
 _ODD = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 _ADD = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
@@ -137,21 +140,15 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         tail = tuple(x[-BEFORE:] for x in (region, node, sig))
 
 
-def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, rare: list[np.ndarray], size: np.ndarray, shared: np.ndarray, seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int, depth: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, rare: list[np.ndarray], size: np.ndarray, shared: np.ndarray, seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of different components that are alike by signature and could reach the threshold.
 
-    More than ``WIDE`` components are split by further values. ``rare``: each node's rarest
+    ``rare``: each node's rarest
     shingles, so many that two sets at the threshold share one of them at least. ``shared``:
     how many of its ``size`` shingles any other node has; two sets have no more in common.
-    ``seen``: the regions of each node that are not split (zeros behind): of the regions that a
-    pair shares, only the first gives it.
+    ``seen``: the regions of each node that are not dealt by shingles (zeros behind): of the regions
+    that a pair shares, only the first gives it.
     """
-    if len(np.unique(root)) > WIDE and depth < VALUES:
-        key = sig[:, depth].astype(np.int64) << 8 | sig[:, min(depth + 1, VALUES - 1)]
-        order = np.argsort(key, kind="stable")
-        for at in np.split(order, np.flatnonzero(np.diff(key[order])) + 1):
-            yield from across(node[at], root[at], sig[at], [rare[i] for i in at], size[at], shared[at], seen[at], region, major, whole, least, percent, depth + 2)
-        return
     others = np.arange(len(node)) if whole else np.flatnonzero(root == major)
     for m in np.flatnonzero(root != major).tolist():
         see = others[(root[others] != root[m]) & ((root[others] == major) | (others > m))]
@@ -168,9 +165,30 @@ def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, rare: list[np.nd
             yield np.full(len(see), node[m]), node[see]
 
 
+def within(node: np.ndarray, root: np.ndarray, sig: np.ndarray, earlier: list[np.ndarray], size: np.ndarray, shared: np.ndarray, side: np.ndarray, low: int, high: int, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a cell, whose nodes have one rare shingle in common; otherwise as ``across``.
+
+    Nodes of side ``low`` meet those of side ``high``. ``earlier``: each node's smaller rare
+    shingles; a pair that has one of them in common is given there.
+    """
+    right = np.flatnonzero(side == high)
+    for m in np.flatnonzero(side == low).tolist():
+        see = right[right > m] if low == high else right
+        see = see[root[see] != root[m]]
+        see = see[(100 + percent) * np.minimum(shared[see], shared[m]) >= percent * (size[see] + size[m])]
+        see = see[(sig[see] == sig[m]).sum(axis=1) >= least]
+        if len(see) and len(earlier[m]):
+            sizes = [len(earlier[i]) for i in see]
+            hit = np.isin(np.concatenate([earlier[i] for i in see]), earlier[m])
+            see = np.delete(see, np.unique(np.repeat(np.arange(len(see)), sizes)[hit]))
+        if len(see):
+            yield np.full(len(see), node[m]), node[see]
+
+
 def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
-    """(node, rare, size, shared): of each set its n - ceil(percent * n / 100) + 1 rarest shingles, in one
-    order for all, its size n, and how many of its shingles occur in a second set.
+    """(node, rare, size, shared, common): of each set its n - ceil(percent * n / 100) + 1 rarest shingles, in one
+    order for all, its size n, how many of its shingles occur in a second set, and those of the
+    rarest that do.
 
     Two sets that reach the threshold have ceil(percent * n / 100) elements in common of either, so
     each has one of them among its first in any common order; the rarest first leaves
@@ -180,37 +198,85 @@ def rare_shingles(sets: DataFrame, percent: int) -> DataFrame:
     often = each.groupBy("shingle").agg(F.count("node").alias("often"))
     n = F.size("all")
     first = n - F.ceil(n * percent / 100).cast("int") + 1
-    cut = F.transform(F.slice("all", F.lit(1), first), lambda x: (x["shingle"].bitwiseAND(0xFFFFFFFF)))
+    rarest = F.slice("all", F.lit(1), first)
+    short = lambda x: x["shingle"].bitwiseAND(0xFFFFFFFF)
+    cut = F.transform(rarest, short)
+    common = F.array_sort(F.array_distinct(F.transform(F.filter(rarest, lambda x: x["often"] > 1), short)))
     return each.join(often, "shingle").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("all")).select(
-        "node", cut.alias("rare"), n.cast("long").alias("size"), F.size(F.filter("all", lambda x: x["often"] > 1)).cast("long").alias("shared"))
+        "node", cut.alias("rare"), n.cast("long").alias("size"), F.size(F.filter("all", lambda x: x["often"] > 1)).cast("long").alias("shared"), common.alias("common"))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """Rows with equal ``keys``, of rows sorted by them."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch[k].to_numpy() for k in keys]
+        turn = np.any([np.diff(c) != 0 for c in cols], axis=0)
+        cuts = [0, *(np.flatnonzero(turn) + 1).tolist(), batch.num_rows]
+        for i, j in zip(cuts, cuts[1:]):
+            if held and tuple(held[-1][k][0].as_py() for k in keys) != tuple(c[i] for c in cols):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _pair_rows(pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    for u, v in pairs:
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+
+def _matrix(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
 
 
 def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
     """``across`` for every (region, part) of rows sorted by them."""
-
-    def groups() -> Iterator[pa.Table]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            region, part = batch["region"].to_numpy(), batch["part"].to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(region) != 0) | (np.diff(part) != 0)) + 1).tolist(), len(region)]
-            for i, j in zip(cuts, cuts[1:]):
-                if held and (held[-1]["region"][0].as_py(), held[-1]["part"][0].as_py()) != (region[i], part[i]):
-                    yield pa.Table.from_batches(held)
-                    held = []
-                if j > i:
-                    held.append(batch.slice(i, j - i))
-        if held:
-            yield pa.Table.from_batches(held)
-
-    for t in groups():
-        sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
-        start = t["start"][0].as_py()
-        sig = np.roll(sig, -start, axis=1)
+    for t in _groups(batches, "region", "part"):
         whole = t["part"][0].as_py() == 0
         rare = [np.asarray(x, np.int64) for x in t["rare"].to_pylist()]
         seen = np.array([(x or []) + [0] * (TREES - len(x or [])) for x in t["seen"].to_pylist()], np.int64)
-        for u, v in across(t["node"].to_numpy(), t["root"].to_numpy(), sig, rare, t["size"].to_numpy(), t["shared"].to_numpy(), seen, t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent):
-            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+        yield from _pair_rows(across(t["node"].to_numpy(), t["root"].to_numpy(), _matrix(t), rare, t["size"].to_numpy(), t["shared"].to_numpy(), seen, t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent))
+
+
+def _within(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
+    """``within`` for every (shingle, low, high) of rows sorted by them."""
+    for t in _groups(batches, "shingle", "low", "high"):
+        earlier = [np.asarray(x, np.int64) for x in t["earlier"].to_pylist()]
+        yield from _pair_rows(within(t["node"].to_numpy(), t["root"].to_numpy(), _matrix(t), earlier, t["size"].to_numpy(), t["shared"].to_numpy(), t["side"].to_numpy(), t["low"][0].as_py(), t["high"][0].as_py(), least, percent))
+
+
+def majors(rows: DataFrame, key: str) -> DataFrame:
+    """(``key``, major, n, kinds, minor) of keys with several components: the largest, all nodes, components, nodes outside the largest."""
+    sizes = rows.groupBy(key, "root").agg(F.count("node").alias("n")).groupBy(key).agg(
+        F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("root").alias("kinds"), F.max("n").alias("top"))
+    return sizes.where("kinds > 1").withColumn("minor", F.col("n") - F.col("top")).drop("top")
+
+
+def wide_pairs(nodes: DataFrame, least: int, percent: int) -> DataFrame:
+    """(u, v) of different components that share a rare shingle and could reach the threshold.
+
+    ``nodes``: node, root, sig, size, shared, common (see ``rare_shingles``). A shingle's nodes outside its
+    largest component are dealt into sides of about ``CELL``, those of the largest into
+    further sides; each two sides that can hold a pair meet in one cell.
+    """
+    at = nodes.select("node", "root", F.explode("common").alias("shingle"))
+    deal = majors(at, "shingle").select(
+        "shingle", "major", F.ceil(F.col("minor") / CELL).cast("int").alias("minors"), F.ceil((F.col("n") - F.col("minor")) / CELL).cast("int").alias("mains"))
+    rows = at.join(deal, "shingle")
+    mine = F.col("root") == F.col("major")
+    spot = F.xxhash64("node")
+    side = F.when(mine, F.col("minors") + F.pmod(spot, F.col("mains"))).otherwise(F.pmod(spot, F.col("minors"))).cast("int")
+    last = F.col("minors") + F.when(mine, 0).otherwise(F.col("mains")) - 1
+    rows = rows.withColumn("side", side).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    rows = rows.select("shingle", "node", "side", F.least("side", "other").alias("low"), F.greatest("side", "other").alias("high"))
+    rows = rows.join(nodes, "node").withColumn("earlier", F.filter("common", lambda x: x < F.col("shingle")))
+    rows = rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high", "node")
+    rows = rows.select("shingle", "low", "high", "side", "node", "root", "sig", "size", "shared", "earlier")
+    return rows.mapInArrow(lambda x: _within(x, least, percent), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -267,17 +333,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # second pass: pairs of different components within a region
     rooted = member.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    sizes = rooted.groupBy("region", "root").agg(F.count("node").alias("n"))
-    sizes = sizes.groupBy("region").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("root").alias("kinds")).where("kinds > 1")
     parts = F.ceil(F.col("n") / MEMBERS).cast("int")
-    mixed = _saved(rooted.join(sizes.select("region", "major", "kinds", parts.alias("parts")), "region"), "mixed")
-    rare = rare_shingles(sets.join(mixed.select("node").distinct(), "node", "left_semi"), percent)
-    unsplit = mixed.where(F.col("kinds") <= WIDE).groupBy("node").agg(F.collect_list("region").alias("seen"))  # TREES at most
-    mixed = mixed.join(rare, "node").join(unsplit, "node", "left")
+    mixed = _saved(rooted.join(majors(rooted, "region").select("region", "major", (F.col("minor") >= WIDE).alias("wide"), parts.alias("parts")), "region"), "mixed")
+    rare = _saved(rare_shingles(sets.join(mixed.select("node").distinct(), "node", "left_semi"), percent), "rare")
+    wide = mixed.where("wide").select("node", "root", "sig").dropDuplicates(["node"]).join(rare.drop("rare"), "node")
+    mixed = mixed.where("NOT wide")
+    seen = mixed.groupBy("node").agg(F.collect_list("region").alias("seen"))  # TREES at most
+    mixed = mixed.join(rare.drop("common"), "node").join(seen, "node", "left")
     own: Column = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mixed = mixed.withColumn("part", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "start", "sig", "rare", "size", "shared", "seen")
-    pairs = mixed.mapInArrow(lambda x: _across(x, least, percent), "u long, v long").distinct()
+    mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "sig", "rare", "size", "shared", "seen")
+    pairs = mixed.mapInArrow(lambda x: _across(x, least, percent), "u long, v long")
+    pairs = pairs.unionAll(wide_pairs(_saved(wide, "wide"), least, percent)).distinct()
     more = _saved(confirmed(pairs, sets, percent), "links")
     roots = first.withColumnRenamed("root", "r")
     for end in ("u", "v"):

@@ -75,6 +75,49 @@ def test_null_and_repeated_ids_and_empty_table(spark):
     assert lsh_forest.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("wide,cell", [(1_000, 4_000), (3, 4_000), (3, 7)])
+def test_wide_regions_lose_no_link(spark, monkeypatch, wide, cell):
+    """Edited copies around the threshold, in regions wider than WIDE; the rest stays alone."""
+    monkeypatch.setattr(lsh_forest, "WIDE", wide)
+    monkeypatch.setattr(lsh_forest, "CELL", cell)
+    r = random.Random(11)
+    base = [f"w{i}" for i in range(250)]
+    texts = []
+    for i in range(120):
+        copy = list(base)
+        for j, at in enumerate(r.sample(range(250), 1 + i % 5)):
+            copy[at] = f"x{i}.{j}"
+        texts.append(" ".join(copy))
+    s = sets_of(texts)
+    pairs = [(i, j) for i in range(len(s)) for j in range(i) if 100 * len(s[i] & s[j]) >= 85 * len(s[i] | s[j])]
+    want = roots(len(texts), pairs)
+    got = {x.doc_id: x.component_id for x in lsh_forest.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert got == dict(enumerate(want)) and 1 < len(set(want)) < len(texts)
+
+
+@pytest.mark.parametrize("cell", [4_000, 7, 1])
+def test_wide_pairs_are_all_that_could_link_each_once(spark, monkeypatch, cell):
+    monkeypatch.setattr(lsh_forest, "CELL", cell)
+    r = random.Random(3)
+    base = list(range(100))
+    sets = []
+    for i in range(50):
+        x = set(base)
+        for at in r.sample(base, 4 + i % 9):
+            x.remove(at)
+            x.add(1000 * (i + 1) + at)
+        sets.append(sorted(x))
+    root = [0 if i < 20 else i for i in range(50)]
+    one = lsh_forest.signatures([np.array(x, np.uint64) for x in sets])
+    rows = [(i, root[i], bytes((one[i] & 255).astype(np.uint8))) for i in range(50)]
+    rare = lsh_forest.rare_shingles(spark.createDataFrame(list(enumerate(sets)), "node long, shingles array<long>"), 85)
+    nodes = spark.createDataFrame(rows, "node long, root long, sig binary").join(rare, "node").repartition(3)
+    got = [(x.u, x.v) for x in lsh_forest.wide_pairs(nodes, lsh_forest.near(85), 85).collect()]
+    need = {(i, j) for i in range(50) for j in range(i) if root[i] != root[j] and 100 * len({*sets[i]} & {*sets[j]}) >= 85 * len({*sets[i]} | {*sets[j]})}
+    assert len(got) == len(set(got)) and need and need <= set(got)
+    assert all(root[u] != root[v] for u, v in got)
+
+
 def test_across_splits_wide_regions_and_keeps_blocks_whole(monkeypatch):
     g = np.random.default_rng(0)
     sig = g.integers(0, 256, (40, lsh_forest.VALUES)).astype(np.uint8)
@@ -90,6 +133,17 @@ def test_across_splits_wide_regions_and_keeps_blocks_whole(monkeypatch):
     assert not list(lsh_forest.across(node, root, sig, [np.array([99])] * 40, np.full(40, 9), np.full(40, 9), seen, 7, 0, True, 92, 85))
 
 
+def test_across_keeps_pairs_that_differ_in_the_next_values(monkeypatch):
+    monkeypatch.setattr(lsh_forest, "WIDE", 3)
+    g = np.random.default_rng(0)
+    sig = g.integers(0, 256, (40, lsh_forest.VALUES)).astype(np.uint8)
+    sig[20:] = sig[:20]
+    sig[20:, :2] += 1
+    seen = np.zeros((40, lsh_forest.TREES), np.int64)
+    found = lsh_forest.across(np.arange(40), np.arange(40), sig, [np.array([99])] * 40, np.full(40, 9), np.full(40, 9), seen, 7, 0, True, 92, 85)
+    assert {(min(a, b), max(a, b)) for u, v in found for a, b in zip(u.tolist(), v.tolist())} == {(i, i + 20) for i in range(20)}
+
+
 def test_rare_shingles_of_linked_sets_meet(spark):
     r = random.Random(5)
     base = list(range(100))
