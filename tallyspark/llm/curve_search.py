@@ -9,8 +9,8 @@ all curves are merged. Equal vectors are indexed once and unfolded at the end.
 
 The window is calibrated on a documented bound of ``PROBES`` queries: their true neighbours
 are found against all rows, and the window is the rank distance that takes in the
-share ``recall`` of them. Vectors are read in blocks of ``BLOCK`` ranks, so its size costs time, not
-memory.
+share ``recall`` of them. Vectors are read in blocks of ``BLOCK`` ranks, and a block's queries are dealt
+into parts of about ``QUERIES`` and scored ``SLICE`` at a time, so its size costs time, not memory.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .token_files import shared_path
 CURVES = 16
 PROBES = 128
 BLOCK = 4096
+QUERIES = 2048
+SLICE = 256
 
 
 def _saved(df: DataFrame, name: str) -> DataFrame:
@@ -51,17 +53,19 @@ def _best(queries: pa.Table, rows: pa.Table, k: int, reach: int | None) -> pa.Ta
     ids, out = rows["cid"].to_numpy(), []
     qid = queries["cid"].to_numpy()
     if len(ids):
-        score = q @ x.T
-        if reach is not None:
-            score[np.abs(queries["rank"].to_numpy()[:, None] - rows["rank"].to_numpy()[None, :]) > reach] = -np.inf
-        for i in range(len(q)):
-            at = np.flatnonzero(score[i] > -np.inf)
-            if len(at) > k:
-                cut = np.partition(score[i][at], len(at) - k)[len(at) - k]
-                at = at[score[i][at] >= cut - 1e-9 * max(1.0, abs(cut))]
-            exact = (x[at] * q[i]).sum(axis=1)
-            at = at[order := np.lexsort((ids[at], -exact))[:k]]
-            out.append([{"cid": int(c), "score": float(s)} for c, s in zip(ids[at], exact[order])])
+        for first in range(0, len(q), SLICE):
+            part = q[first : first + SLICE]
+            score = part @ x.T
+            if reach is not None:
+                score[np.abs(queries["rank"].to_numpy()[first : first + SLICE, None] - rows["rank"].to_numpy()[None, :]) > reach] = -np.inf
+            for i in range(len(part)):
+                at = np.flatnonzero(score[i] > -np.inf)
+                if len(at) > k:
+                    cut = np.partition(score[i][at], len(at) - k)[len(at) - k]
+                    at = at[score[i][at] >= cut - 1e-9 * max(1.0, abs(cut))]
+                exact = (x[at] * part[i]).sum(axis=1)
+                at = at[order := np.lexsort((ids[at], -exact))[:k]]
+                out.append([{"cid": int(c), "score": float(s)} for c, s in zip(ids[at], exact[order])])
     else:
         out = [[] for _ in qid]
     return pa.table([pa.array(qid), pa.array(out, pa.list_(pa.struct([("cid", pa.int64()), ("score", pa.float64())])))], ["qid", "found"])
@@ -89,6 +93,23 @@ def prepare(table: DataFrame) -> tuple[DataFrame, int, float]:
     return rows.where(F.size("vector") == widths.n).select("vec_id", "vector"), widths.n, math.sqrt(widths.m)
 
 
+def deal(index: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """Queries and vectors of ``index`` by (curve, block, part): each query meets every block within ``window`` ranks of it in one part.
+
+    A block with many queries has as many parts as ``QUERIES`` asks for, and its vectors go to all of them.
+    """
+    lo, hi = (F.floor((F.col("rank") + x) / BLOCK).cast("long") for x in (-window, window))
+    wanted = index.where("query").select("curve", "cid", "rank", "vector", F.explode(F.sequence(lo, hi)).alias("block"))
+    parts = F.ceil(F.count("cid") / QUERIES).cast("int").alias("parts")
+    many = _saved(wanted.groupBy("curve", "block").agg(parts), "query-parts")
+    fresh = [F.col(c).alias(c) for c in ("curve", "block", "cid", "rank", "vector")]  # new column ids for the cogroup
+    part = F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part")
+    wanted = wanted.join(many, ["curve", "block"]).select(*fresh, part)
+    block = F.floor(F.col("rank") / BLOCK).cast("long").alias("block")
+    dealt = index.where(~F.col("query")).select("curve", "cid", "rank", "vector", block).join(many, ["curve", "block"])
+    return wanted, dealt.select("curve", "block", "cid", "rank", "vector", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+
 def nearest(table: DataFrame, every: int = 20, k: int = 20, recall: float = 0.94, curves: int = CURVES) -> DataFrame:
     """For each vec_id divisible by ``every``: the ``k`` nearest found, (query_id, rank, vec_id, score).
 
@@ -161,16 +182,12 @@ def nearest(table: DataFrame, every: int = 20, k: int = 20, recall: float = 0.94
     window = gaps.agg(F.percentile("gap", recall)).first()[0]
     window = max(2 * k, math.ceil(window or 0))
 
-    block = (F.col("rank") / BLOCK).cast("long")
-    lo, hi = (F.floor((F.col("rank") + x) / BLOCK).cast("long") for x in (-window, window))
-    fresh = [F.col(c).alias(c) for c in ("curve", "cid", "rank", "vector")]  # new column ids for the cogroup
-    wanted = index.where("query").select(*fresh, F.explode(F.sequence(lo, hi)).alias("block"))
-    dealt = data.select("curve", "cid", "rank", "vector", block.alias("block"))
+    wanted, dealt = deal(index, window)
 
     def search(q: pa.Table, x: pa.Table) -> pa.Table:
         return _best(q, x, k + 1, window)
 
-    found = wanted.groupBy("curve", "block").cogroup(dealt.groupBy("curve", "block")).applyInArrow(search, FOUND)
+    found = wanted.groupBy("curve", "block", "part").cogroup(dealt.groupBy("curve", "block", "part")).applyInArrow(search, FOUND)
     best = merged(found, k + 1).select("qid", F.explode("best").alias("b")).select("qid", F.col("b.cid").alias("cid"), (-F.col("b.less")).alias("score"))
     own = queries.select(F.col("cid").alias("qid"), "cid", F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x).alias("score"))
     best = best.where("qid <> cid").unionAll(own)

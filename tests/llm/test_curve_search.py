@@ -1,9 +1,11 @@
 """Operator 6: recall and exact scores against brute force; odd vectors."""
 
 import itertools
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from tallyspark.llm import curve_search, hilbert
 
@@ -54,6 +56,33 @@ def test_few_rows_and_none(spark):
     assert run(spark, [], every=20, k=20) == {}
 
 
+def test_scores_of_many_queries_take_bounded_memory():
+    g = np.random.default_rng(2)
+    table = lambda n: pa.table({"cid": np.arange(n), "rank": np.arange(n), "vector": list(g.standard_normal((n, 4)))})
+    q, x = table(4000), table(2000)
+    tracemalloc.start()
+    got = curve_search._best(q, x, 3, 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.num_rows == 4000 and peak < 30 << 20  # the whole matrix has 64 MB
+
+
+def test_queries_of_a_block_are_dealt(spark, monkeypatch):
+    rows = [(c, i, i, i % 2 == 0, [float(i)]) for c in (0, 1) for i in range(400)]
+    index = spark.createDataFrame(rows, "curve int, cid long, rank long, query boolean, vector array<double>")
+    monkeypatch.setattr(curve_search, "BLOCK", 50)
+    monkeypatch.setattr(curve_search, "QUERIES", 20)
+    wanted, dealt = curve_search.deal(index, 60)
+    parts = defaultdict(lambda: ([], []))
+    for side, frame in enumerate((wanted, dealt)):
+        for r in frame.collect():
+            parts[r.curve, r.block, r.part][side].append((r.cid, r.rank))
+    assert max(len(q) for q, _ in parts.values()) <= 40 and max(len(x) for _, x in parts.values()) <= 50
+    met = [(c, q, x) for (c, _, _), (qs, xs) in parts.items() for q, _ in qs for x, _ in xs]
+    near = {(c, q, x) for c in (0, 1) for q in range(0, 400, 2) for x in range(1, 400, 2) if abs(q - x) <= 60}
+    assert len(met) == len(set(met)) and near <= set(met)
+
+
 def test_curve_visits_neighbouring_cells():
     for dims, bits in ((2, 3), (3, 2)):
         cells = np.array(list(itertools.product(range(1 << bits), repeat=dims)))
