@@ -8,6 +8,7 @@ return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tallyspark.llm import curriculum, decontaminate, lsh_forest, nbsvm, token_files
 from tallyspark.llm.queries import table, tokenizer
@@ -20,10 +21,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (similarity of 0.8 or more on 5-word shingles)."""
+    """One row of each group of near copies (similarity of 0.8 or more on 5-word shingles).
+
+    It is the one with the least doc_id, null ids last, then with the least hash of doc_id
+    and text; of rows with equal doc_id and text, the least by all columns. Rows that
+    share a doc_id are separate documents. Those without words are in no group and stay.
+    """
     path = token_files.shared_path(spark, "dropped")
-    lsh_forest.near_duplicates(docs, percent=80).where("NOT kept").select("doc_id").distinct().write.parquet(path)
-    return docs.join(spark.read.parquet(path), "doc_id", "left_anti").select(*docs.columns)
+    key = F.xxhash64("doc_id", "text")  # as lsh_forest's row_key
+    near = lsh_forest.near_duplicates(docs, percent=80).where("component IS NOT NULL")
+    rows = near.groupBy("component", "row_key").agg(F.first("doc_id").alias("doc_id"), F.count("component").alias("copies"))
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key")).alias("first"))
+    rows = rows.join(first, "component").select("row_key", "copies", (F.col("row_key") == F.col("first.row_key")).alias("stays"))
+    rows.where("NOT stays OR copies > 1").select(F.col("row_key").alias("near_key"), "stays").write.parquet(path)
+    dropped = spark.read.parquet(path)
+    keyed = docs.withColumn("near_key", key)
+    single = keyed.join(dropped, "near_key", "left_anti").select(*docs.columns)
+    copies = keyed.join(dropped.where("stays"), "near_key").groupBy("near_key").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return single.unionAll(copies.select("row.*"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -289,7 +289,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text; further columns are ignored): n_shingles, component_id, kept.
+    """One row per row of ``docs`` (doc_id, text; further columns are ignored): n_shingles, component_id, kept, row_key, component.
 
     Words ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z; a document's set is its different 5-word
     shingles, or its words as one if they are fewer. Documents are linked if 100 *
@@ -297,7 +297,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     component_id is the smallest doc_id that links reach. A document without words, or null,
     is linked with nothing. Rows that share a doc_id are linked by their texts alone, and
     a null doc_id is no candidate for the smallest unless there is no other. kept: doc_id =
-    component_id (both null counts). Repeated rows stay rows. An empty table gives no rows.
+    component_id (both null counts). Repeated rows stay rows. row_key is a hash of doc_id and text;
+    component is a key of the linked texts that does not depend on ids, null for a document
+    without words. An empty table gives no rows.
     """
     if percent < 80:
         raise ValueError("the forest is laid out for 80 percent or more")
@@ -356,10 +358,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     ends = ends.unionAll(second.select("node", "root")).distinct()
     named = distinct.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = named.join(lowest, "root").select("node", "component_id")
-    out = signed.select("doc_id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = named.join(lowest, "root").select("node", "component_id", F.col("root").alias("component"))
+    out = signed.select("doc_id", "n_shingles", "node", "row_key").join(named, "node", "left")
+    least_id = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.withColumn("component_id", least_id).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "kept", "row_key", "component")
 
 
 def _set_rows(batch: pa.RecordBatch, sets: list[np.ndarray]) -> pa.RecordBatch:

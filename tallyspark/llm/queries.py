@@ -62,7 +62,7 @@ def op8_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"), percent=85).drop("row_key", "component")
 
 
 def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -59,6 +59,20 @@ def test_one_of_each_group_of_near_copies_stays(kept):
     assert {r.doc_id for r in kept[2].collect()} == {i for i in ids if find(i) == i}
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(5, a, "s"), (5, b, "s"), (3, b, "s"),  # 5 has a text of its own
+            (None, c, "s"), (None, c + " more", "s"), (None, c, "r"),  # null ids
+            (7, d, "t"), (7, d, "s"), (None, d, "a"),  # equal but for the source
+            (None, None, "s"), (None, None, "s"), (8, "", "s"), (8, "", "s")]  # without words
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()]
+    null_c = [r for r in got if r[1] and r[1].startswith("c0")]
+    assert len(null_c) == 1 and null_c[0] in [(None, c, "r"), (None, c + " more", "s")]
+    rest = [(5, a, "s"), (3, b, "s"), (7, d, "s"), *rows[9:]]
+    assert sorted(map(str, got)) == sorted(map(str, rest + null_c))
+
+
 def test_contaminated_documents_go(spark, kept):
     items = [shingles(r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     clean = {r.doc_id for r in kept[2].collect() if not any(len(q & s) >= 0.8 * len(q) for s in [shingles(r.text)] for q in items if q)}
