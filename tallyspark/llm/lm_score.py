@@ -149,8 +149,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """
     ship(docs.sparkSession)
     n = groups.group_count(docs, GROUP_BYTES)
-    pid = F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("pid")
-    base = docs.select("doc_id", F.col("text").cast("binary").alias("text"), pid)
+    base = groups.text_groups(docs, n)  # by doc_id and text: rows that share a doc_id are spread
 
     def labels(batches):
         for b in batches:
@@ -158,6 +157,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
                 [pa.array(np.zeros(b.num_rows, np.int32)), b["pid"], pa.array([marshal.dumps(x) for x in b["doc_id"].to_pylist()], pa.binary())],
                 ["bucket", "pid", "blob"])
 
-    chosen = target.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().select("doc_id", pid).mapInArrow(labels, groups.LETTER)
+    chosen = target.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    chosen = chosen.join(base.select("doc_id", "pid").distinct(), "doc_id").mapInArrow(labels, groups.LETTER)
     mail = groups.answer(groups.ask(base, chosen, lambda *x: _send(n, *x)), _add)
     return groups.finish(base, mail, _score, SCHEMA)

@@ -42,6 +42,21 @@ def test_matches_plain_model(spark):
         assert g[2:] == pytest.approx(w[1:], abs=1e-9)
 
 
+def test_rows_of_one_id_are_spread_and_keep_their_class(spark, monkeypatch):
+    docs = [(i, f"w{k} x{k % 3} y") for i in (None, 7) for k in range(20)] + [(8, "w1 y")]
+    seen, ask = [], lm_score.groups.ask
+    monkeypatch.setattr(lm_score, "GROUP_BYTES", 300)
+    monkeypatch.setattr(lm_score.groups, "ask", lambda base, *x: seen.append(base) or ask(base, *x))
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    out = lm_score.cross_entropy_difference(rows, spark.createDataFrame([(7,), (None,)], "doc_id long")).collect()
+    for i in (None, 7):
+        assert len({r.pid for r in seen[0].collect() if r.doc_id == i}) > 2
+    want = sorted(((d[0], *w) for d, w in zip(docs, brute(docs, {7}))), key=lambda x: (x[0] or 0, x[1], round(x[2], 9), round(x[3], 9)))
+    got = sorted((tuple(r) for r in out), key=lambda x: (x[0] or 0, x[1], round(x[2], 9), round(x[3], 9)))
+    for g, w in zip(got, want, strict=True):
+        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=1e-8)
+
+
 def test_no_target_and_empty(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "a")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long")
