@@ -98,8 +98,8 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, most: i
 
 def apply_mix(docs: DataFrame, weights: tuple = WEIGHTS, ramps: tuple = RAMPS, most: int = 3) -> DataFrame:
     """Rows of ``docs``, all columns, each as often as the mix takes it, sorted by training position. See ``mix``."""
-    plan = mix(docs, weights, ramps, most).where(F.col("copies") > 0).select(F.col("row_key").alias("mix_key"), F.col("positions").alias("mix_positions"))
-    plan = plan.dropDuplicates(["mix_key"])
-    rows = docs.withColumn("mix_row", F.xxhash64("doc_id", "text")).join(plan, F.col("mix_row") == F.col("mix_key"))
+    plan = mix(docs, weights, ramps, most).where(F.col("copies") > 0).select(F.col("row_key").alias("mix_key"), F.col("source").alias("mix_source"), F.col("positions").alias("mix_positions"))
+    plan = plan.dropDuplicates(["mix_key", "mix_source"])
+    rows = docs.withColumn("mix_row", F.xxhash64("doc_id", "text")).join(plan, (F.col("mix_row") == F.col("mix_key")) & F.col("source").eqNullSafe(F.col("mix_source")))
     rows = rows.select(*[docs[c] for c in docs.columns], F.explode("mix_positions").alias("mix_position"))
     return rows.orderBy("mix_position").select(*[F.col(f"`{c}`") for c in docs.columns])

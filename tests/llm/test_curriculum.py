@@ -70,3 +70,11 @@ def test_empty(spark):
     assert curriculum.mix(none).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, "", "a")], "doc_id long, text string, source string")
     assert [(x.size, x.taken, x.target) for x in curriculum.mix(blank).collect()] == [(0, 0, 0.0)] * 2
+
+
+def test_equal_rows_of_two_sources_get_their_own_copies(spark):
+    rows = [(1, "w w w w", "a"), (1, "w w w w", "b"), (1, "w w w w", None), *((10 + i, "w w", "b") for i in range(40))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = {x.source: x.copies for x in curriculum.mix(frame).collect() if x.doc_id == 1}
+    got = [x.source for x in curriculum.apply_mix(frame).collect() if x.doc_id == 1]
+    assert len(set(want.values())) > 1 and {s: got.count(s) for s in want} == want
