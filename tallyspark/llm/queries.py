@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import chat, curriculum, curve_search, decontaminate, lm_score, lsh_forest, nbsvm, suffix_merge, suffix_tree, token_files
+from . import chat, curriculum, curve_search, decontaminate, lm_score, lsh_forest, nbsvm, repair, suffix_merge, suffix_tree, token_files
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,11 @@ def op10_chat_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(spark.read.parquet(path), model)
 
 
+def op11_checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    damaged = repair.damage(table(spark, sf_dir, "conversations"))
+    return repair.report(repair.repair(damaged, copies="copies"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cross_entropy_difference, op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op6_hilbert_curves, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks)
+    f.__name__: f for f in (op1_cross_entropy_difference, op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op6_hilbert_curves, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks, op11_checkpoint_repair)
 }

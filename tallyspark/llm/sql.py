@@ -93,3 +93,48 @@ SELECT conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length
        (chars + 13 * (2 * n_turns + 1))::BIGINT AS formatted_chars
 FROM g
 """
+
+_CRC32 = ("xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ascii(c)::BIGINT for c in string_split({x}, '')]), "
+          "lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda r, z: xor(r >> 1, (r & 1) * 3988292384))))")
+SQL["op11_checkpoint_repair"] = rf"""
+WITH RECURSIVE src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+f AS (SELECT *, {_CRC32.format(x='k')} % 20 AS fault FROM src),
+d AS (SELECT conv_id, turn, CASE fault WHEN 4 THEN 'user' ELSE role END AS role,
+             CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text
+      FROM f, unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS r(copy)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+             rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM d),
+w AS (SELECT *, said = '' AS blank, said <> '' AND row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+             left(role, 1) AS c, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS c0 FROM o),
+rows_ AS (SELECT *, blank OR again AS gone, NOT blank AND NOT again AND right(said, 1) NOT IN ('.', '!', '?') AS cut FROM w),
+ins(st, via, letters, price) AS (VALUES ('e', 'e', '', 0), ('e', 'u', 'I', 3), ('e', 'a', 'II', 6), ('s', 's', '', 0), ('s', 'u', 'I', 3), ('s', 'a', 'II', 6),
+                                        ('u', 'u', '', 0), ('u', 'a', 'I', 3), ('a', 'a', '', 0), ('a', 'u', 'I', 3)),
+op(via, c, letter, st2, price) AS (VALUES ('e', 's', 'K', 's', 0), ('e', 'u', 'K', 'u', 0), ('s', 'u', 'K', 'u', 0), ('a', 'u', 'K', 'u', 0), ('u', 'a', 'K', 'a', 0),
+                                          ('e', NULL, 'R', 'u', 3), ('s', NULL, 'R', 'u', 3), ('a', NULL, 'R', 'u', 3), ('u', NULL, 'R', 'a', 3),
+                                          ('e', NULL, 'D', 'e', 4), ('s', NULL, 'D', 's', 4), ('u', NULL, 'D', 'u', 4), ('a', NULL, 'D', 'a', 4)),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+dp AS (SELECT conv_id, 0::BIGINT AS i, 'e' AS st, {{'cost': 0::BIGINT, 'audit': ''}} AS best FROM convs
+       UNION ALL
+       SELECT dp.conv_id, r.i, op.st2, min({{'cost': (best.cost + ins.price + op.price + CASE WHEN cut AND letter <> 'D' THEN 3 ELSE 0 END)::BIGINT,
+                                             'audit': best.audit || ins.letters || op.letter}})
+       FROM dp JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM dp.conv_id AND r.i = dp.i + 1
+       JOIN ins ON ins.st = dp.st JOIN op ON op.via = ins.via AND (op.c IS NULL OR op.c = r.c) AND (op.letter = 'D' OR NOT r.gone)
+       GROUP BY dp.conv_id, r.i, op.st2),
+n AS (SELECT conv_id, max(i) AS n FROM dp GROUP BY conv_id),
+e AS (SELECT dp.conv_id, min({{'cost': best.cost + ins.price, 'audit': best.audit || ins.letters}}) AS best
+      FROM dp JOIN n ON n.conv_id IS NOT DISTINCT FROM dp.conv_id AND n.n = dp.i JOIN ins ON ins.st = dp.st AND ins.via IN ('e', 'a') GROUP BY dp.conv_id),
+l AS (SELECT conv_id, p, best.audit[p] AS x, sum(CASE WHEN best.audit[p] = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY p) AS i
+      FROM e, unnest(range(1, length(best.audit) + 1)) AS r(p)),
+k AS (SELECT l.conv_id, p, x, role, text, c, row_number() OVER (PARTITION BY l.conv_id ORDER BY p) AS q
+      FROM l LEFT JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM l.conv_id AND r.i = l.i AND l.x <> 'I' WHERE x <> 'D'),
+m AS (SELECT *, q - max(CASE WHEN q = 1 AND x = 'K' AND c = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS place FROM k),
+out_ AS (SELECT conv_id, string_agg(CASE WHEN x = 'K' THEN role WHEN place % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN x = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS said
+         FROM m GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, sum(blank::INT) AS blank, sum(again::INT) AS duplicate,
+                  sum(cut::INT) AS truncated, sum((c0 IS NOT NULL AND c0 || c NOT IN ('su', 'ua', 'au'))::INT) AS illegal FROM rows_ GROUP BY conv_id)
+SELECT e.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+       sha256(coalesce(said, '')) AS repaired_sha256
+FROM e LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN out_ ON out_.conv_id IS NOT DISTINCT FROM e.conv_id
+"""
