@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-from . import chat, curriculum, curve_search, decontaminate, lm_score, lsh_forest, nbsvm, repair, suffix_merge, suffix_tree, token_files, whiten
+from . import bpe_stream, chat, curriculum, curve_search, decontaminate, lm_score, lsh_forest, nbsvm, repair, suffix_merge, suffix_tree, token_files, whiten
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -79,11 +79,16 @@ def op11_checkpoint_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.report(repair.repair(damaged, copies="copies"))
 
 
+def op12_streaming_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer("word_bpe_49k.json")
+    return bpe_stream.digests(bpe_stream.encode(table(spark, sf_dir, "documents"), model), model)
+
+
 def op13_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = whiten.integers(table(spark, sf_dir, "embeddings"))
     return whiten.transform(rows, whiten.fit(rows, count=4))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_cross_entropy_difference, op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op6_hilbert_curves, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks, op11_checkpoint_repair, op13_bidiagonal_whitening)
+    f.__name__: f for f in (op1_cross_entropy_difference, op2_suffix_merge, op3_suffix_tree, op4_token_files, op5_nb_svm, op6_hilbert_curves, op7_minhash_containment, op8_curriculum_mix, op9_lsh_forest, op10_chat_masks, op11_checkpoint_repair, op12_streaming_bpe, op13_bidiagonal_whitening)
 }
