@@ -6,11 +6,12 @@ keeps the symbols of a word that are not settled yet, merges them whenever a win
 emits every token that ends L or more before the window's end and starts the next window behind
 it. What is emitted never changes, and memory is a window, however long a word is.
 
-A text is read in slices. Its parts between ASCII white space are normalised, cut into words
-and sent through the transducer on their own, because the tokenizer drops white space and joins
-nothing across it; the ids of the parts seen last are remembered. A part too long to
-be remembered is fed piece by piece. Decoding feeds ids through a state machine that carries an
-unfinished character and whether a separator is due.
+Texts are read in slices, cut at white space, which the tokenizer drops and joins nothing across.
+Words of Latin text are found, told apart and looked up for many texts at once (numpy over their
+bytes); a new word that fits a window goes through all its merges together with the other new
+ones of its length, a longer one through the transducer, and the ids of the words seen last are
+remembered. A slice without white space is fed piece by piece. Decoding feeds ids through a state machine that
+carries an unfinished character and whether a separator is due.
 """
 
 from __future__ import annotations
@@ -24,18 +25,21 @@ import unicodedata
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ship import ship
+from .text import joined, word_hashes
 
-SLICE = 1 << 18
+SLICE = 1 << 20
+BATCH = 1 << 20
 PIECE = 1 << 14
-LONG = 1 << 10
+TOGETHER = 32
 WINDOW = 256
-MEMO = 150_000
+MEMO = 1_000_000
 DECODE_IDS = 1 << 16
 NEVER = 1 << 30
 _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
@@ -43,7 +47,8 @@ _SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
 _NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _WORDS = regex.compile(_SPLIT.replace(r"\s", r"\p{White_Space}"))
-_LATIN_END = "ɐ"
+_LATIN_END = "Ȁ"  # two bytes of UTF-8 up to here, the first one C8 at most
+GAP, LETTER, DIGIT, OTHER = range(4)
 
 
 def byte_letters() -> list[str]:
@@ -108,6 +113,12 @@ class Model:
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in bpe["merges"]]
         pairs = [(vocab[a], vocab[b]) for a, b in merges]
         self.product = [vocab[a + b] for a, b in merges]
+        keys = np.array([a << 32 | b for a, b in pairs], np.int64)
+        self._by_key = np.argsort(keys, kind="stable")
+        self._keys = keys[self._by_key]
+        self.products = np.array(self.product, np.int64)
+        self.kinds = np.array([_kind(chr(c)) for c in range(ord(_LATIN_END))], np.uint8)
+        self.inners, self.finals = np.array(self.inner), np.array(self.final)
         self.rank = {a << 32 | b: r for r, (a, b) in enumerate(pairs)}
         made = {c: r for r, c in enumerate(self.product)}
         if len(made) < len(merges) or any(made.get(x, -1) >= r for r, pair in enumerate(pairs) for x in pair):
@@ -117,7 +128,6 @@ class Model:
             self.size[c] = self.size[a] + self.size[b]
         self.lookahead = lookahead(pairs, self.product, self.size.__getitem__)
         self.window = self.lookahead + max(self.size.values()) + WINDOW
-        self.code = "H" if max([*vocab.values(), *self.specials.values()]) < 1 << 16 else "I"
         self.tokens = {i: t for t, i in vocab.items()} | {i: t for t, i in self.specials.items()}
         self.decoder = (spec.get("decoder") or {}).get("type")
         if self.decoder not in (None, "ByteLevel"):
@@ -140,6 +150,36 @@ class Model:
                 ranks[i] = rank.get(ids[i] << 32 | ids[i + 1], NEVER)
         return ids
 
+    def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys = left << 32 | right
+        at = np.minimum(np.searchsorted(self._keys, keys), len(self._keys) - 1)
+        return np.where(self._keys[at] == keys, self._by_key[at], NEVER)
+
+    def merge_many(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``merge`` of many words of one length (rows): rows of ids, and how many of each row count."""
+        out, sizes, who = ids.copy(), np.full(len(ids), ids.shape[1]), np.arange(len(ids))
+        ranks = self.ranks(ids[:, :-1], ids[:, 1:])
+        while ids.shape[1] > 1:
+            n = ids.shape[1]
+            at = ranks.argmin(axis=1)
+            least = ranks[np.arange(len(at)), at]
+            live = least < NEVER
+            if not live.all():
+                out[who[~live], :n], sizes[who[~live]] = ids[~live], n
+                who, ids, ranks, at, least = who[live], ids[live], ranks[live], at[live], least[live]
+            if not len(who):
+                return out, sizes
+            row, cols = np.arange(len(who)), np.arange(n - 1)
+            ids = np.take_along_axis(ids, cols + (cols > at[:, None]), axis=1)
+            ids[row, at] = self.products[least]
+            cols = cols[:-1]
+            ranks = np.take_along_axis(ranks, cols + (cols >= at[:, None]), axis=1)
+            for k, some in ((at - 1, at > 0), (at, at < n - 2)):
+                r, c = row[some], k[some]
+                ranks[r, c] = self.ranks(ids[r, c], ids[r, c + 1])
+        out[who, :1], sizes[who] = ids, 1
+        return out, sizes
+
     def normal(self, text: str) -> str:
         """Normalised text without regard to white space; Latin text by Python's rules, which agree there."""
         if text.isascii() or max(text) < _LATIN_END:
@@ -185,34 +225,183 @@ class Transducer:
             self.pending = b""
 
 
+def _kind(c: str) -> int:
+    return GAP if regex.match(r"\p{White_Space}", c) else LETTER if regex.match(r"\p{L}", c) else DIGIT if regex.match(r"\p{N}", c) else OTHER
+
+
+def latin_words(data: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in the bytes of normalised Latin text that ends with a space."""
+    kind = kinds[np.minimum(data, 127)]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        kind[lead] = kind[lead + 1] = kinds[(data[lead].astype(np.int64) & 31) << 6 | data[lead + 1] & 63]
+    start = np.empty(len(data), bool)
+    start[0] = True
+    start[1:] = kind[1:] != kind[:-1]
+    start |= (kind == DIGIT) & ((data & 0xC0) != 0x80)
+    start &= kind != GAP
+    # an apostrophe that starts a word and is followed by a contraction's letters
+    q = np.flatnonzero(start & (data == 39))
+    q = q[kind[q + 1] == LETTER]
+    if len(q):
+        one, two = data[q + 1], data[np.minimum(q + 2, len(data) - 1)]
+        size = np.where(np.isin(one, list(b"stmd")), 1, 0)
+        size[((one == 114) | (one == 118)) & (two == 101) | (one == 108) & (two == 108)] = 2
+        q, size = q[size > 0], size[size > 0]
+        start[q + 1] = False
+        rest = q + 1 + size
+        start[rest] = kind[rest] != GAP
+    last = kind != GAP
+    last[:-1] &= start[1:] | (kind[1:] == GAP)
+    return np.flatnonzero(start), np.flatnonzero(last) + 1
+
+
+def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The slices [start, start + size) of ``values``, one after the other."""
+    ends = np.cumsum(size)
+    return values[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class Memo:
+    """Ids of words by a 64-bit hash of their bytes; the bytes are compared at each look-up."""
+
+    def __init__(self):
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.ids, self.ids_at, self.ids_size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Slot of each hash, -1 if there is none."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.slots[at], -1)
+
+    def add(self, hashes: np.ndarray, text: np.ndarray, text_size: np.ndarray, ids: np.ndarray, ids_size: np.ndarray) -> np.ndarray:
+        """Remember new words (``hashes`` ascending); returns their slots."""
+        slots = len(self.text_at) + np.arange(len(hashes))
+        place = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.slots = np.insert(self.hashes, place, hashes), np.insert(self.slots, place, slots)
+        self.text_at = np.concatenate((self.text_at, len(self.text) + np.cumsum(text_size) - text_size))
+        self.ids_at = np.concatenate((self.ids_at, len(self.ids) + np.cumsum(ids_size) - ids_size))
+        self.text, self.ids = np.concatenate((self.text, text)), np.concatenate((self.ids, ids))
+        self.text_size, self.ids_size = np.concatenate((self.text_size, text_size)), np.concatenate((self.ids_size, ids_size))
+        return slots
+
+
 class Encoder:
-    """Ids of whole texts. Of the parts between white space seen last, 2 * MEMO at most are remembered."""
+    """Ids of whole texts. About MEMO words are remembered at most; then all are forgotten."""
 
     def __init__(self, model: Model):
-        self.model, self.memo, self.older, self.words = model, {}, {}, {}
-
-    def _word(self, word: bytes) -> bytes:
-        ids = self.words.get(word)
-        if ids is None:
-            found = array(self.model.code)
-            t = Transducer(self.model, found)
-            t.feed(word)
-            t.close()
-            ids = found.tobytes()
-            if len(word) <= LONG:
-                if len(self.words) >= MEMO:
-                    self.words.clear()
-                self.words[word] = ids
-        return ids
+        self.model, self.memo = model, Memo()
+
+    def texts(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Ids of each text. Slices of Latin text go together, BATCH bytes at a time; others alone."""
+        out: list[list[np.ndarray]] = [[] for _ in texts]
+        waiting, size = [], 0
+        for k, text in enumerate(texts):
+            for part in slices(text):
+                place = len(out[k])
+                out[k].append(None)
+                plain = self._latin(part)
+                if plain is None:
+                    out[k][place] = self._alone(part)
+                    continue
+                waiting.append((k, place, plain))
+                size += len(plain)
+                if size >= BATCH:
+                    self._flush(waiting, out)
+                    waiting, size = [], 0
+        self._flush(waiting, out)
+        return [x[0] if len(x) == 1 else np.concatenate(x) if x else np.zeros(0, np.uint32) for x in out]
+
+    def _latin(self, part: bytes) -> bytes | None:
+        """A slice in lower case, if numpy can take it: two-byte letters at most, bounded, no special token."""
+        if len(part) > 4 * SLICE or self.model.special is not None and b"<|" in part and self.model.special.search(part):
+            return None
+        part = part.lower() if part.isascii() else part.decode().lower().encode()
+        return None if _BEYOND_LATIN.search(part) else part
+
+    def _flush(self, waiting: list, out: list) -> None:
+        if waiting:
+            data, starts, ends = joined([x[2] for x in waiting])
+            ids, word_at, sizes = self._together(data)
+            edge = np.concatenate(([0], np.cumsum(sizes)))
+            first, last = edge[np.searchsorted(word_at, starts)], edge[np.searchsorted(word_at, ends)]
+            for (k, place, _), a, b in zip(waiting, first.tolist(), last.tolist()):
+                out[k][place] = ids[a:b]
+
+    def _together(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all words of ``data``, the words' starts, and the number of ids of each."""
+        begin, end = latin_words(data, self.model.kinds)
+        if not len(begin):
+            return np.zeros(0, np.uint32), begin, np.zeros(0, np.int64)
+        hashes, first, which = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
+        size = end - begin
+        if len(self.memo.slots) + len(hashes) > MEMO:
+            self.memo = Memo()
+        memo = self.memo
+        slot = memo.find(hashes)
+        new = np.flatnonzero(slot < 0)
+        if len(new):
+            ids, ids_size = self._merged(data, begin[first[new]], size[first[new]])
+            slot[new] = memo.add(hashes[new], gathered(data, begin[first[new]], size[first[new]]), size[first[new]], ids, ids_size)
+        slot = slot[which]
+        same = memo.text_size[slot] == size
+        at = np.where(same, memo.text_at[slot], 0)
+        differ = gathered(memo.text, at[same], size[same]) != gathered(data, begin[same], size[same])
+        ids_at, ids_size, ids = memo.ids_at[slot], memo.ids_size[slot], memo.ids
+        odd = np.flatnonzero(~same)
+        if differ.any():
+            odd = np.union1d(odd, np.flatnonzero(same)[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(differ), "right")])
+        if len(odd):  # words whose hash another word has
+            more, more_size = self._merged(data, begin[odd], size[odd])
+            ids_at[odd], ids_size[odd] = len(ids) + np.cumsum(more_size) - more_size, more_size
+            ids = np.concatenate((ids, more))
+        return gathered(ids, ids_at, ids_size), begin, ids_size
+
+    def _merged(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, one after the other, and how many each has."""
+        m, found, counts = self.model, [None] * len(begin), np.zeros(len(begin), np.int64)
+        for n in np.unique(size).tolist():
+            these = np.flatnonzero(size == n)
+            if n > TOGETHER:
+                for k in these.tolist():
+                    found[k] = self._word(data[begin[k] : begin[k] + n].tobytes())
+                    counts[k] = len(found[k])
+                continue
+            letters = data[begin[these][:, None] + np.arange(n)]
+            symbols = m.inners[letters]
+            symbols[:, -1] = m.finals[letters[:, -1]]
+            rows, counts[these] = m.merge_many(symbols)
+            for k, row, c in zip(these.tolist(), rows.astype(np.uint32), counts[these].tolist()):
+                found[k] = row[:c]
+        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), counts
+
+    def _word(self, word: bytes) -> np.ndarray:
+        t = Transducer(self.model, array("I"))
+        t.feed(word)
+        t.close()
+        return np.array(t.out, np.uint32)
+
+    def _alone(self, part: bytes) -> np.ndarray:
+        """Ids of a slice by its own: its parts between white space, special tokens among them."""
+        out = array("I")
+        for x in part.split():
+            out.frombytes(self._part(x))
+        return np.array(out, np.uint32)
 
     def _plain(self, part: bytes) -> bytes:
         """Ids of a part without special tokens."""
+        out = array("I")
         if len(part) > PIECE:
-            out = array(self.model.code)
             self._stream(part, out)
-            return out.tobytes()
-        m = self.model
-        return b"".join([self._word(w) for w in m.split(m.normal(part.decode()))])
+        else:
+            m, t = self.model, Transducer(self.model, out)
+            for w in m.split(m.normal(part.decode())):
+                t.feed(w)
+                t.close()
+        return out.tobytes()
 
     def _part(self, part: bytes) -> bytes:
         """Ids of a part without ASCII white space; special tokens are found in the text as it is."""
@@ -221,7 +410,7 @@ class Encoder:
             return self._plain(part)
         out, at = [], 0
         for hit in m.special.finditer(part):
-            out += [self._plain(part[at : hit.start()]), array(m.code, [m.specials[hit[0].decode()]]).tobytes()]
+            out += [self._plain(part[at : hit.start()]), array("I", [m.specials[hit[0].decode()]]).tobytes()]
             at = hit.end()
         return b"".join([*out, self._plain(part[at:])])
 
@@ -252,32 +441,18 @@ class Encoder:
                 tail = "-" if end == "'" else end  # one letter of the same kind that starts no contraction
         t.close()
 
-    def learn(self, parts: set[bytes]) -> None:
-        if len(self.memo) + len(parts) > MEMO:
-            self.older, self.memo = self.memo, {}
-        for p in parts:
-            ids = self.older.get(p)
-            self.memo[p] = self._part(p) if ids is None else ids
-
-    def slices(self, text: bytes) -> Iterator[array]:
-        """Ids of a text, slice by slice."""
-        at, n = 0, len(text)
-        while at < n:
-            end = n
-            if n - at > SLICE:
-                hit = _SPACE.search(text, at + SLICE)
-                end = hit.start() if hit else n
-            parts = (text if end - at == n else text[at:end]).split()
-            ids = list(map(self.memo.get, parts))
-            if None in ids:
-                new = {p for p, x in zip(parts, ids) if x is None}
-                long = {p: self._part(p) for p in new if len(p) > LONG}
-                self.learn(new - long.keys())
-                ids = [(long[p] if p in long else self.memo[p]) if x is None else x for p, x in zip(parts, ids)]
-            out = array(self.model.code)
-            out.frombytes(b"".join(ids))
-            yield out
-            at = end
+
+_BEYOND_LATIN = re.compile(b"[\xc8-\xff]")
+
+
+def slices(text: bytes) -> Iterator[bytes]:
+    """A text in slices of about SLICE bytes, cut in front of white space; without any, a slice goes on."""
+    at, n = 0, len(text)
+    while at < n:
+        hit = _SPACE.search(text, at + SLICE) if n - at > SLICE else None
+        end = hit.start() if hit else n
+        yield text if end - at == n else text[at:end]
+        at = end
 
 
 def joins_back(c: str) -> bool:
@@ -328,7 +503,11 @@ class Decoder:
     def __init__(self, model: Model):
         byte_level = model.decoder == "ByteLevel"
         self.joint = b"" if byte_level else b" "
-        self.pieces = {i: self._bytes(model, t) if byte_level else t.encode() for i, t in model.tokens.items()}
+        known = {i: self.joint + (self._bytes(model, t) if byte_level else t.encode()) for i, t in model.tokens.items()}
+        pieces = [known.get(i, b"") for i in range(max(known) + 1)]
+        self.letters = np.frombuffer(b"".join(pieces), np.uint8)
+        self.size = np.array([*map(len, pieces), 0])
+        self.start = np.cumsum(self.size) - self.size
         self.reset()
 
     @staticmethod
@@ -338,16 +517,11 @@ class Decoder:
     def reset(self) -> None:
         self.characters, self.started = codecs.getincrementaldecoder("utf-8")("replace"), False
 
-    def feed(self, ids: list[int]) -> str:
-        found = list(map(self.pieces.get, ids))
-        if None in found:
-            found = [x for x in found if x is not None]
-        if not found:
-            return ""
-        data = self.joint.join(found)
-        if self.started:
-            data = self.joint + data
-        self.started = True
+    def feed(self, ids: np.ndarray | list[int]) -> str:
+        ids = np.minimum(np.asarray(ids, np.int64), len(self.size) - 1)
+        data = gathered(self.letters, self.start[ids], self.size[ids]).tobytes()
+        if data and not self.started:
+            self.started, data = True, data[len(self.joint) :]
         return self.characters.decode(data)
 
     def close(self) -> str:
@@ -380,14 +554,9 @@ def encode(docs: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in batches:
-            counts, blobs = [], []
-            for text in batch["text"].to_pylist():
-                ids = array("I")
-                for part in encoder.slices(text):
-                    ids.extend(part) if part.typecode == "I" else ids.extend(array("I", part))
-                counts.append(len(ids))
-                blobs.append(ids.tobytes())
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(counts, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids = encoder.texts(batch["text"].to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch["doc_id"], pa.array(list(map(len, ids)), pa.int64()), pa.array([x.astype("<u4").tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     return rows.mapInArrow(run, "doc_id long, n_tokens long, ids binary")
@@ -402,11 +571,10 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def _ids(blob: bytes) -> Iterator[list[int]]:
+def _ids(blob: bytes) -> Iterator[np.ndarray]:
     """Ids of a row of ``encode``, some at a time."""
-    view = memoryview(blob).cast("I")
-    for i in range(0, len(view), DECODE_IDS):
-        yield view[i : i + DECODE_IDS].tolist()
+    for i in range(0, len(blob), 4 * DECODE_IDS):
+        yield np.frombuffer(blob[i : i + 4 * DECODE_IDS], "<u4")
 
 
 def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
@@ -429,13 +597,15 @@ def digests(encoded: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load(tokenizer)
         decoder = Decoder(model)
-        number = {i: str(i).encode() for i in model.tokens}
+        numbers = [b" %d" % i for i in range(max(model.tokens) + 1)]
+        digits, size = np.frombuffer(b"".join(numbers), np.uint8), np.array(list(map(len, numbers)))
+        start = np.cumsum(size) - size
         for batch in batches:
             counts, out_ids, out_texts = [], [], []
             for blob in batch["ids"].to_pylist():
                 of_ids, of_text, n = hashlib.sha256(), hashlib.sha256(), 0
                 for ids in _ids(blob):
-                    of_ids.update((b" " if n else b"") + b" ".join(map(number.__getitem__, ids)))
+                    of_ids.update(gathered(digits, start[ids], size[ids])[0 if n else 1 :].tobytes())
                     of_text.update(decoder.feed(ids).encode())
                     n += len(ids)
                 of_text.update(decoder.close().encode())

@@ -25,7 +25,7 @@ def library(path):
 
 
 def whole(encoder, text):
-    return [i for part in encoder.slices(text.encode()) for i in part]
+    return encoder.texts([text.encode()])[0].tolist()
 
 
 def odd_texts(rng, n):
@@ -39,7 +39,8 @@ def odd_texts(rng, n):
 def test_small_windows_and_pieces_equal_the_library(path, library, monkeypatch):
     """Words over many windows, parts over many pieces, texts over many slices."""
     monkeypatch.setattr(bpe, "PIECE", 7)
-    monkeypatch.setattr(bpe, "LONG", 20)
+    monkeypatch.setattr(bpe, "TOGETHER", 20)
+    monkeypatch.setattr(bpe, "BATCH", 200)
     monkeypatch.setattr(bpe, "SLICE", 50)
     monkeypatch.setattr(bpe, "MEMO", 100)
     monkeypatch.setattr(bpe, "WINDOW", 5)
