@@ -3,16 +3,19 @@ and a describe() including string columns (A18-A22).
 
 Everything is one-pass aggregation: per-column null counts fold into a single
 ``agg``; duplicate rows are counted from one group-by over all columns. Quartiles
-are exact: approximate ones bracket them, and the few values in each bracket are counted.
+are exact, by distributed selection: histograms narrow the range that holds a wanted
+rank, all columns and ranks in each pass, until few values are left.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.plans.materialize import materialize
+
 
 def _c(name: str):
     return F.col(f"`{name}`")
@@ -51,31 +54,83 @@ def column_types(df: DataFrame) -> DataFrame:
 QUARTILES = (0.25, 0.5, 0.75)
 
 
-def exact_quantiles(df: DataFrame, column: str, at: Sequence[float] = QUARTILES, accuracy: int = 10_000) -> list[float | None]:
-    """Exact, linearly interpolated quantiles in bounded memory.
+BINS = 4096
+FEW = 20_000
+
 
-    ``percentile_approx`` gives values whose ranks are off by 1 / ``accuracy`` of the rows at
-    most, so two of them enclose each wanted rank. One pass counts the rows below each
-    enclosure; the different values inside, with their counts, are summed up by a window
-    over those alone. Nulls are left out; no rows give nulls.
+def _range_counts(df: DataFrame, ranges: list[tuple[str, float, float]]) -> dict[int, list[tuple[float, float, int]]]:
+    """For each (column, low, high) its values' bins in order, as (least, greatest, count); one job over all ranges.
+
+    Counts are summed map-side, so a task sends BINS rows a range at most, however many rows it has.
     """
-    x = df.select(_c(column).cast("double").alias("x")).where(F.col("x").isNotNull())
-    n = x.count()
-    if not n:
-        return [None] * len(at)
-    margin = 2.0 / accuracy
-    ends = [min(1.0, max(0.0, q + d + s / n)) for q in at for d, s in ((-margin, -1), (margin, 1))]
-    cuts = x.agg(F.percentile_approx("x", ends, accuracy).alias("c"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
-    bounds = [(cuts["lo"] if ends[2 * i] <= 0 else cuts["c"][2 * i], cuts["hi"] if ends[2 * i + 1] >= 1 else cuts["c"][2 * i + 1]) for i in range(len(at))]
-    below = x.agg(*[F.count_if(F.col("x") < lo) for lo, _ in bounds]).first()
-    out = []
-    for q, (lo, hi), base in zip(at, bounds, below):
-        rank = q * (n - 1)
-        first = int(rank)
-        inside = x.where(F.col("x").between(lo, hi)).groupBy("x").agg(F.count("x").alias("n"))
-        upto = inside.withColumn("upto", F.sum("n").over(Window.orderBy("x")) + base)
-        a, b = upto.agg(F.min(F.when(F.col("upto") > first, F.col("x"))), F.min(F.when(F.col("upto") > first + 1, F.col("x")))).first()
-        out.append(a if rank == first or b is None else a + (b - a) * (rank - first))
+    slots = []
+    for i, (c, lo, hi) in enumerate(ranges):
+        x = _c(c)
+        # halves, so that the width of the range is no infinity
+        bin_ = F.least(F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * BINS), F.lit(BINS - 1)) if hi / 2 > lo / 2 else F.lit(0).cast("long")
+        slots.append(F.when(x.between(lo, hi), F.struct(F.lit(i).alias("i"), bin_.cast("long").alias("bin"), x.alias("x"))))
+    found = df.select(F.explode(F.array_compact(F.array(*slots))).alias("s")).groupBy("s.i", "s.bin").agg(
+        F.min("s.x").alias("lo"), F.max("s.x").alias("hi"), F.count("s.x").alias("n"))
+    out: dict[int, list[tuple[float, float, int]]] = {i: [] for i in range(len(ranges))}
+    for r in sorted(found.collect()):
+        out[r["i"]].append((r["lo"], r["hi"], r["n"]))
+    return out
+
+
+def _values(df: DataFrame, ranges: list[tuple[str, float, float]]) -> dict[int, list[tuple[float, int]]]:
+    """The different values of each range with their counts, ascending; one job. Ranges hold FEW values each, or one."""
+    slots = [F.when(_c(c).between(lo, hi), F.struct(F.lit(i).alias("i"), _c(c).alias("x"))) for i, (c, lo, hi) in enumerate(ranges)]
+    found = df.select(F.explode(F.array_compact(F.array(*slots))).alias("s")).groupBy("s.i", "s.x").count()
+    out: dict[int, list[tuple[float, int]]] = {i: [] for i in range(len(ranges))}
+    for i, x, n in sorted(map(tuple, found.collect())):
+        out[i].append((x, n))
+    return out
+
+
+def exact_quantiles(df: DataFrame, bounds: dict[str, tuple[int, float, float]], at: Sequence[float] = QUARTILES) -> dict[str, list[float | None]]:
+    """Exact, linearly interpolated quantiles of several double columns, by distributed selection.
+
+    ``bounds``: each column's number of values, least and greatest. A pass cuts every range that
+    holds a wanted rank into BINS parts and counts them; the part with the rank is the next
+    range, until it holds FEW values at most or a single one. As many wanted ranks as there
+    are columns and quantiles go through each pass together: one pass for up to BINS * FEW evenly spread
+    rows, one more for each further factor of BINS. Then one job brings the ranges' values. Nulls are left out;
+    no values give None. Values are finite.
+    """
+    wanted = {}  # (column, rank) -> (low, high, rows below, rows inside)
+    for c, (n, lo, hi) in bounds.items():
+        for q in at if n else ():
+            first = int(q * (n - 1))
+            for rank in {first, min(first + 1, n - 1)}:
+                wanted[c, rank] = (lo, hi, 0, n)
+    while True:
+        open_ = sorted({(c, lo, hi) for (c, _), (lo, hi, _, inside) in wanted.items() if inside > FEW and lo < hi})
+        if not open_:
+            break
+        counts = _range_counts(df, open_)
+        for (c, rank), (lo, hi, below, _) in list(wanted.items()):
+            if (c, lo, hi) in open_:
+                for a, b, n in counts[open_.index((c, lo, hi))]:
+                    if rank < below + n:
+                        wanted[c, rank] = (a, b, below, n)
+                        break
+                    below += n
+    left = sorted({(c, lo, hi) for (c, _), (lo, hi, _, _) in wanted.items() if lo < hi})
+    values = _values(df, left) if left else {}
+    found = {}
+    for (c, rank), (lo, hi, below, _) in wanted.items():
+        for x, n in values[left.index((c, lo, hi))] if lo < hi else [(lo, rank - below + 1)]:
+            if rank < below + n:
+                found[c, rank] = x
+                break
+            below += n
+    out: dict[str, list[float | None]] = {}
+    for c, (n, _, _) in bounds.items():
+        out[c] = []
+        for q in at:
+            rank = q * (n - 1)
+            a = found.get((c, int(rank)))
+            out[c].append(a if a is None or rank == int(rank) else a + (found[c, int(rank) + 1] - a) * (rank - int(rank)))
     return out
 
 
@@ -84,27 +139,21 @@ def describe_columns(df: DataFrame, numeric: Sequence[str], text: Sequence[str]
 
     Numeric columns: count, mean, std (sample), min, max and exact, linearly interpolated
     quartiles. Text columns: count, unique, top (most frequent, smallest value on a
-    tie), freq, all from one grouping on the column.
+    tie), freq, all from one grouping on the column. The numeric columns are written once as
+    a narrow table; that, one aggregate and the selection's passes run when this is called.
     """
-    aggs = []
-    for c in numeric:
-        x = _c(c).cast("double")
-        aggs += [
-            F.count(x).cast("double").alias(f"{c}|count"),
-            F.avg(x).alias(f"{c}|mean"),
-            F.stddev_samp(x).alias(f"{c}|std"),
-            F.min(x).alias(f"{c}|min"),
-            F.max(x).alias(f"{c}|max"),
-        ]
-        aggs += [F.lit(v).cast("double").alias(f"{c}|{int(q * 100)}%") for q, v in zip(QUARTILES, exact_quantiles(df, c))]
-    wide = df.agg(*aggs)
-    long = wide.unpivot([], [F.col(f"`{n}`") for n in wide.columns], "key", "value")
-    out = long.select(
-        F.split("key", r"\|").getItem(0).alias("column_name"),
-        F.split("key", r"\|").getItem(1).alias("statistic"),
-        F.round("value", 4).alias("value"),
-        F.lit(None).cast("string").alias("text_value"),
-    )
+    spark = df.sparkSession
+    stats = ("count", "mean", "std", "min", "max")
+    if numeric:
+        df_numbers = materialize(df.select(*[_c(c).cast("double").alias(c) for c in numeric]), "describe")
+        row = df_numbers.agg(*[f(_c(c)).alias(f"{c}|{k}") for c in numeric for f, k in zip((F.count, F.avg, F.stddev_samp, F.min, F.max), stats)]).first()
+        quartiles = exact_quantiles(df_numbers, {c: (row[f"{c}|count"], row[f"{c}|min"], row[f"{c}|max"]) for c in numeric})
+        found = [(c, k, None if row[f"{c}|{k}"] is None else float(row[f"{c}|{k}"])) for c in numeric for k in stats]
+        found += [(c, f"{int(q * 100)}%", v) for c in numeric for q, v in zip(QUARTILES, quartiles[c])]
+    else:
+        found = []
+    out = spark.createDataFrame(found, "column_name string, statistic string, value double").select(
+        "column_name", "statistic", F.round("value", 4).alias("value"), F.lit(None).cast("string").alias("text_value"))
     for c in text:
         freq = df.where(_c(c).isNotNull()).groupBy(_c(c).cast("string").alias("v")).agg(F.count(F.lit(1)).alias("n"))
         top = freq.agg(

@@ -4,12 +4,10 @@
   the population convention of the reference's scaler. The few global
   statistics come back to the driver as scalars (one row, bounded).
 * Categoricals are one-hot encoded by ``features.encoder``, shared with the regression.
-* Scaled feature rows are written once to the shared folder; every fit reads that table.
-* k-means is Spark ML ``KMeans``; restarts (the reference's ``n_init``) fit
-  seeds 42, 43, ... and keep the lowest training cost. All fits of a sweep are
-  independent and run ``PARALLEL`` at a time. The sweep scores each k
-  with ``ClusteringEvaluator`` (squared Euclidean silhouette over all rows —
-  distributed, no pairwise distances).
+* Scaled feature rows are written once to the shared folder; every scan reads that table.
+* k-means fits all restarts of all k in one scan an iteration, from deterministic
+  starts (``kmeans``); the sweep scores each k by the squared Euclidean silhouette
+  over all rows (distributed, no pairwise distances).
 * Cluster labels compare each cluster's means with the global means (strict
   ``>``), computed from the k-row profile with a window over those k rows.
 """
@@ -17,11 +15,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,16 +28,14 @@ from tallyspark.functions.exprs import (
     SEG_PREMIUM,
     SEG_SMALL,
 )
-from tallyspark.operators import features
+from tallyspark.operators import features, kmeans
 from tallyspark.plans.materialize import materialize
 
 # --- fixed values ---------------------------------------------------------------
 NUMERIC_FEATURES = ["sales", "quantity", "discount", "profit_margin", "delivery_days"]
 CATEGORICAL_FEATURES = ["category", "ship_mode"]
 K_RANGE = range(2, 9)
-SEED = 42
 # --------------------------------------------------------------------------------
-PARALLEL = 8
 
 
 class NoRepeatCustomers(ValueError):
@@ -83,45 +76,25 @@ def featurize(df: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
     return features.encoder([f"z_{c}" for c in numeric], categorical).fit(scaled).transform(scaled)
 
 
-@dataclass
-class Fit:
-    k: int
-    model: object
-    cost: float
-
-
-def fit_kmeans(rows: DataFrame, k: int, n_init: int = 10, max_iter: int = 50, seed: int = SEED) -> Fit:
-    """M3: best of ``n_init`` seeded fits by training cost (ties keep the earliest seed)."""
-    return fit_all(rows, [k], n_init, max_iter, seed)[k]
-
-
-def fit_all(rows: DataFrame, ks: Sequence[int], n_init: int, max_iter: int, seed: int = SEED) -> dict[int, Fit]:
-    """Best restart for every k; the fits share one input table and run side by side."""
-
-    def one(task: tuple[int, int]) -> Fit:
-        k, start = task
-        model = KMeans(k=k, seed=start, maxIter=max_iter, featuresCol="features", predictionCol="segment_id").fit(rows)
-        return Fit(k, model, model.summary.trainingCost)
-
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        fits = list(pool.map(one, [(k, seed + i) for k in ks for i in range(n_init)]))
-    return {k: min((f for f in fits if f.k == k), key=lambda f: f.cost) for k in ks}
-
-
 def sweep(rows: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: int = 10,
-          max_iter: int = 50) -> tuple[int, DataFrame, dict[int, Fit]]:
-    """M4: inertia and silhouette for each k; best k = highest silhouette (first on ties).
-
-    Returns (best_k, sweep rows as a DataFrame, fitted models by k)."""
-    evaluator = ClusteringEvaluator(featuresCol="features", predictionCol="segment_id")
-    fits = fit_all(rows, list(k_range), n_init, max_iter)
-    with ThreadPoolExecutor(PARALLEL) as pool:
-        scores = list(pool.map(lambda f: float(evaluator.evaluate(f.model.transform(rows))), fits.values()))
-    found = [(k, float(f.cost), s) for (k, f), s in zip(fits.items(), scores)]
-    best_k = max(found, key=lambda r: (r[2], -r[0]))[0]
+          max_iter: int = 50) -> tuple[int, DataFrame, dict[int, kmeans.Model]]:
+    """M3 + M4: inertia and silhouette for each k; best k = highest silhouette (to six places, first on ties).
+
+    ``rows`` has key and x (see ``kmeans.sweep``). Returns (best_k, sweep rows as a
+    DataFrame, best model by k); the scans run when this is called. No rows: best_k 0, no sweep rows."""
+    models, scores, _ = kmeans.sweep(rows, list(k_range), n_init, max_iter)
+    found = [(m.k, round(m.inertia, 4), round(s, 6)) for m, s in zip(models, scores)]
+    best_k = max(found, key=lambda r: (r[2], -r[0]))[0] if found else 0
     table = rows.sparkSession.createDataFrame([(k, i, s, k == best_k) for k, i, s in found],
                                               "k int, inertia double, silhouette double, selected boolean")
-    return best_k, table, fits
+    return best_k, table, {m.k: m for m in models}
+
+
+def _assigned(rows: DataFrame, models: dict[int, kmeans.Model], best_k: int) -> DataFrame:
+    """``rows`` with segment_id; without rows there is no model, and no row to assign."""
+    if not best_k:
+        return rows.drop("key", "x").withColumn("segment_id", F.lit(0))
+    return kmeans.assign(rows, models[best_k]).drop("key")
 
 
 def label_segments(assigned: DataFrame, cluster_col: str = "segment_id") -> DataFrame:
@@ -185,7 +158,7 @@ def segment_summary_short(segments: DataFrame) -> DataFrame:
     """Per label count and mean margin, by count descending."""
     return segments.groupBy("segment_label").agg(
         F.count("order_id").cast("bigint").alias("orders"),
-        F.avg(F.col("profit_margin").cast("double")).alias("avg_margin"),
+        F.round(F.avg(F.col("profit_margin").cast("double")), 6).alias("avg_margin"),
     ).orderBy(F.col("orders").desc(), "segment_label")
 
 
@@ -200,10 +173,11 @@ def order_segmentation(orders: DataFrame, products: DataFrame, k_range: Sequence
                        n_init: int = 10, max_iter: int = 50) -> Segmentation:
     """M7: features -> sweep -> final fit at best k -> labels."""
     names = [*orders.columns, "category", "sub_category"]
-    rows = materialize(featurize(load_order_features(orders, products)).select(*names, "features"), "order-features")
-    best_k, table, fits = sweep(rows, k_range, n_init, max_iter)
-    assigned = fits[best_k].model.transform(rows).select(*names, "segment_id")
-    return Segmentation(best_k, table, label_segments(assigned))
+    rows = featurize(load_order_features(orders, products))
+    rows = rows.select(*names, F.col("order_id").alias("key"), vector_to_array("features").alias("x"))
+    rows = materialize(kmeans.spread(rows), "order-features")
+    best_k, table, models = sweep(rows, k_range, n_init, max_iter)
+    return Segmentation(best_k, table, label_segments(_assigned(rows, models, best_k)))
 
 
 def rfm(orders: DataFrame) -> DataFrame:
@@ -229,10 +203,10 @@ def rfm_segments(orders: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: in
     """M8: scale R/F/M, sweep k, fit, one segment per customer."""
     cols = ["recency", "frequency", "monetary"]
     table = materialize(rfm(orders), "rfm")  # one row a customer; read by scaling, every fit and the result
-    rows = featurize(table, cols, []).select("customer_id", *cols, "features")
-    rows = materialize(rows, "rfm-features")
-    best_k, sweep_table, fits = sweep(rows, k_range, n_init, max_iter)
-    return Segmentation(best_k, sweep_table, fits[best_k].model.transform(rows).select("customer_id", *cols, "segment_id"))
+    rows = featurize(table, cols, []).select("customer_id", *cols, F.col("customer_id").cast("string").alias("key"), vector_to_array("features").alias("x"))
+    rows = materialize(kmeans.spread(rows), "rfm-features")
+    best_k, sweep_table, models = sweep(rows, k_range, n_init, max_iter)
+    return Segmentation(best_k, sweep_table, _assigned(rows, models, best_k))
 
 
 def scaled_features(orders: DataFrame, products: DataFrame) -> DataFrame:

@@ -215,6 +215,6 @@ QUERIES: dict[str, QueryFn] = {
     "reg_split": _q(lambda s: regress.split_summary(regress.regression_frame(s.orders_og, s.products))),
     "reg_tier_margin": _q(lambda s: regress.tier_report(regress.regression_frame(s.orders_og, s.products))),
     "reg_baseline": _q(lambda s: regress.baseline(*regress.split(regress.regression_frame(s.orders_og, s.products)))),
-    "reg_metrics_linear": _q(lambda s: regress.run(s.orders_og, s.products, "linear")),
+    "reg_metrics_linear": _q(lambda s: regress.rounded(regress.run(s.orders_og, s.products, "linear"))),
     "reg_metrics_gbt": _q(lambda s: regress.run(s.orders_og, s.products, "gbt")),
 }

@@ -1,9 +1,13 @@
 """Invariants for the non-SQL operators (k-means, regression, approximate quartiles)."""
 
+import hashlib
+from decimal import Decimal
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import SEG_DEEP_DISCOUNT, SEG_FULL_PRICE, SEG_MIXED, SEG_PREMIUM, SEG_SMALL
-from tallyspark.operators import profile, regress, segment
+from tallyspark.operators import kmeans, profile, regress, segment
 from tallyspark.registry import Star
 
 SF = "/root/testdata/sf0.001"
@@ -21,12 +25,75 @@ def test_order_segmentation_invariants(spark):
     assert [r.k for r in sweep] == [2, 3, 4] and sum(r.selected for r in sweep) == 1
 
 
-def test_restarts_never_worse(spark):
-    st = Star(spark, SF)
-    feats = segment.featurize(segment.load_order_features(st.orders_og, st.products)).cache()
-    one = segment.fit_kmeans(feats, 3, n_init=1, max_iter=10).cost
-    three = segment.fit_kmeans(feats, 3, n_init=3, max_iter=10).cost
-    assert three <= one
+def _lloyd(x, centres, most):
+    for _ in range(most):
+        near = ((x[:, None] - centres) ** 2).sum(axis=2).round(9).argmin(axis=1)
+        moved = np.array([x[near == c].mean(axis=0) if (near == c).any() else centres[c] for c in range(len(centres))])
+        if np.abs(moved - centres).max() <= 1e-9:
+            break
+        centres = moved
+    d = ((x[:, None] - centres) ** 2).sum(axis=2)
+    near = d.round(9).argmin(axis=1)
+    return centres, near, d[np.arange(len(x)), near].sum()
+
+
+def _silhouette(x, near):
+    """All pairs of rows, as the definition has it."""
+    d = ((x[:, None] - x) ** 2).sum(axis=2)
+    out = []
+    for i, c in enumerate(near):
+        mine = near == c
+        if mine.sum() == 1:
+            out.append(0.0)
+            continue
+        a = d[i, mine].sum() / (mine.sum() - 1)
+        b = min(d[i, near == o].mean() for o in set(near) - {c})
+        out.append((b - a) / max(a, b) if max(a, b) else 0.0)
+    return float(np.mean(out))
+
+
+def test_many_models_at_once_equal_one_at_a_time(spark):
+    """Starts, centres, inertia, silhouette and assignment against plain numpy, with repeated rows and a lone outlier."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(c, 0.6, (40, 3)) for c in ((0, 0, 0), (4, 0, 1), (0, 5, 2))] + [np.full((1, 3), 30.0), np.ones((25, 3))])
+    keys = [f"k{i:03d}" for i in range(len(x))]
+    rows = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, x)], "key string, x array<double>").repartition(5)
+    ks, n_init, most = [2, 3, 4], 3, 20
+    starts = []
+    for r in range(n_init):
+        first = min(range(len(x)), key=lambda i: (hashlib.md5(f"{r}:{keys[i]}".encode()).hexdigest(), keys[i]))
+        chosen = [first]
+        while len(chosen) < max(ks):
+            d = ((x[:, None] - x[chosen]) ** 2).sum(axis=2).min(axis=1).round(9)
+            chosen.append(min(range(len(x)), key=lambda i: (-d[i], keys[i])))
+        starts.append(x[chosen])
+    assert np.allclose(kmeans.starts(rows, n_init, max(ks)), starts)
+    best, scores, scans = kmeans.sweep(rows, ks, n_init, most)
+    assert scans <= most
+    for model, score in zip(best, scores):
+        plain = [_lloyd(x, s[: model.k], most) for s in starts]
+        want = min(range(n_init), key=lambda r: (round(plain[r][2], 4), r))
+        assert model.restart == want and np.allclose(model.centres, plain[want][0]) and abs(model.inertia - plain[want][2]) < 1e-6
+        assert abs(score - _silhouette(x, plain[want][1])) < 1e-9
+        got = {r.key: r.segment_id for r in kmeans.assign(rows, model).collect()}
+        assert got == dict(zip(keys, plain[want][1].tolist()))
+    assert kmeans.sweep(rows.limit(0), ks, n_init, most) == ([], [], 0)
+
+
+def test_linear_model_against_dense_least_squares(spark):
+    """Collinear and constant columns, a level unseen in training, doubles and decimals."""
+    rng = np.random.default_rng(8)
+    rows = [(Decimal(int(a)) / 100, float(b), 7, "xyz"[i % 3], Decimal(int(y)) / 10000) for i, (a, b, y) in enumerate(
+        zip(rng.integers(0, 10**6, 90), rng.integers(0, 50, 90) / 8, rng.integers(-9000, 9000, 90)))]
+    rows = [(a, b, c, Decimal(2) * a, lv, y) for a, b, c, lv, y in rows]
+    schema = "a decimal(12,2), b double, c int, twice decimal(14,2), level string, y decimal(6,4)"
+    model = regress.fit_linear(spark.createDataFrame(rows, schema), ["a", "b", "c", "twice"], ["level"], "y")
+    dense = np.array([[1, float(a), b, lv == "y", lv == "z"] for a, b, _, _, lv, _ in rows], float)
+    beta, *_ = np.linalg.lstsq(dense, np.array([float(r[-1]) for r in rows]), rcond=None)
+    test = spark.createDataFrame([*rows, (Decimal(1), 2.0, 7, Decimal(2), "new", Decimal(0))], schema).select(model.predict().alias("p"))
+    assert np.allclose([r.p for r in test.collect()], np.concatenate((dense, [[1, 1, 2, 0, 0]])) @ beta, atol=1e-9)
+    empty = regress.fit_linear(spark.createDataFrame([], schema), ["a"], ["level"], "y")
+    assert empty.constant == 0 and empty.levels == {"level": {}}
 
 
 def test_linear_regression_metrics_sane(spark):
@@ -44,7 +111,6 @@ def test_approx_quartiles_close_to_exact(spark):
     for q, key in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75")):
         rank = sum(v <= getattr(approx["sales"], key) for v in values)
         assert abs(rank - q * n) <= n * 0.001 + 1, (q, rank)
-    assert approx["delivery_days"].p50 == profile.exact_quantiles(orders, "delivery_days", [0.5])[0]
 
 
 def test_shared_tables_follow_their_files(spark, tmp_path):

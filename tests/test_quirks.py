@@ -172,24 +172,31 @@ def test_short_series_say_so(spark):
     assert report == {"a": (10, None, "too short"), "b": (1, None, "too short")}
 
 
-def test_exact_quantiles(spark):
+def test_exact_quantiles(spark, monkeypatch):
+    """Several columns at once, in one pass and in many, with a heavy value, a far outlier and no values."""
     import random
 
     from tallyspark.operators import profile
 
     r = random.Random(1)
-    for values in ([], [3.0], [1.0, 2.0], [5.0] * 1000 + [1.0], [r.choice([r.random(), 0.5, float(r.randrange(9))]) for _ in range(3001)]):
-        df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
-        ordered = sorted(values)
-
-        def at(q):
-            i = q * (len(ordered) - 1)
-            a, b = ordered[int(i)], ordered[min(int(i) + 1, len(ordered) - 1)]
-            return a + (b - a) * (i - int(i))
-
-        want = [at(q) if ordered else None for q in profile.QUARTILES]
-        for accuracy in (10_000, 20):
-            assert profile.exact_quantiles(df, "x", accuracy=accuracy) == pytest.approx(want) if ordered else want == [None] * 3
+    columns = {
+        "none": [], "one": [3.0], "two": [1.0, 2.0], "heavy": [5.0] * 1000 + [1.0], "far": [r.random() for _ in range(900)] + [1e300, -1e300],
+        "mixed": [r.choice([r.random(), 0.5, float(r.randrange(9))]) for _ in range(3001)],
+    }
+    size = max(map(len, columns.values())) + 1
+    df = spark.createDataFrame([tuple(v[i] if i < len(v) else None for v in columns.values()) for i in range(size)], ", ".join(f"{c} double" for c in columns))
+    bounds = {c: (len(v), min(v, default=None), max(v, default=None)) for c, v in columns.items()}
+
+    def at(values, q):
+        i = q * (len(values) - 1)
+        return values[int(i)] + (values[min(int(i) + 1, len(values) - 1)] - values[int(i)]) * (i - int(i))
+
+    want = {c: [at(sorted(v), q) for q in profile.QUARTILES] if v else [None] * 3 for c, v in columns.items()}
+    for bins, few in ((4096, 20_000), (64, 10), (2, 1)):
+        monkeypatch.setattr(profile, "BINS", bins)
+        monkeypatch.setattr(profile, "FEW", few)
+        got = profile.exact_quantiles(df, bounds)
+        assert {c: pytest.approx(v) if v[0] is not None else v for c, v in got.items()} == want
 
 
 def test_cluster_names_take_the_first_matching_rule(spark):
