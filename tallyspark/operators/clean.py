@@ -48,9 +48,9 @@ def to_snake_case(df: DataFrame) -> DataFrame:
     return df.toDF(*[snake_case(c) for c in df.columns])
 
 
-def drop_blank_rows(df: DataFrame) -> DataFrame:
-    """Drop rows where every column is NULL."""
-    return df.na.drop(how="all")
+def drop_blank_rows(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
+    """Drop rows where every column (or every one of ``fields``) is NULL."""
+    return df.na.drop(how="all", subset=fields)
 
 
 def typed(df: DataFrame, strict_first_format: bool = False) -> DataFrame:
@@ -81,10 +81,15 @@ class Cleaned:
     usable: DataFrame
 
 
-def prepare(raw: DataFrame, strict_first_format: bool = False) -> DataFrame:
-    """The raw export without blank and repeated rows, typed."""
+def prepare(raw: DataFrame, strict_first_format: bool = False, ordinal: str | None = None) -> DataFrame:
+    """The raw export without blank and repeated rows, typed. With ``ordinal`` (a column of
+    places in the file) the first copy of a row is the one that stays."""
     df = raw.withColumnRenamed("Category of Goods", "Category")
-    return typed(drop_blank_rows(df).dropDuplicates(), strict_first_format)
+    if ordinal is None:
+        return typed(drop_blank_rows(df).dropDuplicates(), strict_first_format)
+    names = [c for c in df.columns if c != ordinal]
+    df = drop_blank_rows(df, names).groupBy(*[F.col(f"`{c}`") for c in names]).agg(F.min(ordinal).alias(ordinal))
+    return typed(df, strict_first_format)
 
 
 def clean(
@@ -92,15 +97,19 @@ def clean(
     strict_first_format: bool = False,
     fill_mode: str | None = None,
     prepared: DataFrame | None = None,
+    ordinal: str | None = None,
 ) -> Cleaned:
     """Run the whole pipeline; returns star tables (snake_case columns).
 
+    First rows (a customer's fields, the numbering of products) are taken by date and order id; with
+    ``ordinal``, a column of places in the file (``quarantine.ordinal``), by file order instead.
+
     The deduplicated, typed export (``prepared``, or written here) is a table in the
     shared checkpoint folder (``spark.checkpoint.dir``): it feeds the mode, the three
     star tables and the surrogate-key lookup, so it is computed once, survives executor
     loss, and downstream plans stay small.
     """
-    df = prepared if prepared is not None else write_and_read(prepare(raw, strict_first_format), "clean_typed")
+    df = prepared if prepared is not None else write_and_read(prepare(raw, strict_first_format, ordinal), "clean_typed")
     mode = fill_mode if fill_mode is not None else ship_mode_mode(df)
     df = df.withColumns({
         "Ship Mode": F.coalesce(F.col("Ship Mode"), F.lit(mode)),
@@ -114,7 +123,7 @@ def clean(
         "Order Month": F.month("Order Date"),
         "Order Quarter": quarter_label("Order Date"),
     })
-    first_key = F.struct("Order Date", "Order ID", *[c for c in df.columns if c not in ("Order Date", "Order ID")])
+    first_key = F.col(ordinal) if ordinal else F.struct("Order Date", "Order ID", *[c for c in df.columns if c not in ("Order Date", "Order ID")])
 
     customers = df.groupBy("Customer ID").agg(
         F.min_by(F.struct(*CUSTOMER_FIELDS[1:]), first_key).alias("c")

@@ -8,7 +8,7 @@ the workbook extract joins INNER (orphans dropped). Both are kept, per query.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -160,3 +160,72 @@ def profit_city_region(df: DataFrame) -> DataFrame:
 def head_preview(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
     """First ``n`` rows under an explicit order (a top-n is the feature)."""
     return df.orderBy(*order_by).limit(n)
+
+
+def customer_ledger(orders: DataFrame, customers: DataFrame) -> DataFrame:
+    """Every customer with the number, sum and span of their orders (0 and NULL without any).
+
+    On tables bucketed by customer_id neither the join nor the grouping needs an exchange.
+    """
+    sums = orders.groupBy("customer_id").agg(
+        F.count(F.lit(1)).alias("orders"), F.sum("sales").alias("s"), F.sum("profit").alias("p"),
+        F.min("order_date").alias("first_order"), F.max("order_date").alias("last_order"))
+    joined = customers.select("customer_id", "region", "segment").join(sums, "customer_id", "left")
+    return joined.select("customer_id", "region", "segment", F.coalesce("orders", F.lit(0)).cast("bigint").alias("orders"),
+                         money("s", 2).alias("total_sales"), money("p", 2).alias("total_profit"), "first_order", "last_order")
+
+
+SKETCH_BITS = 14  # standard error of a count: 0.83 / sqrt(2^14), about 0.65 %
+SLICES = ("order_year", "order_quarter", "ship_mode")
+
+
+def customer_sketches(orders: DataFrame, by: Sequence[str] = SLICES) -> DataFrame:
+    """One mergeable sketch of the customers, with orders, sales and profit, for each combination of slicer values.
+
+    It has a row a combination, not a customer, so a dashboard's slices read it instead of the fact.
+    """
+    return orders.groupBy(*by).agg(F.hll_sketch_agg("customer_id", F.lit(SKETCH_BITS)).alias("customers"),
+                                   F.count(F.lit(1)).alias("orders"), F.sum("sales").alias("s"), F.sum("profit").alias("p"))
+
+
+def sketched_kpi(sketches: DataFrame, by: str) -> DataFrame:
+    """A6 / A12 by one slicer from the sketches alone: estimated distinct customers, orders, sales, profit."""
+    merged = sketches.groupBy(by).agg(F.hll_union_agg("customers").alias("u"), F.sum("orders").cast("bigint").alias("orders"), F.sum("s").alias("s"), F.sum("p").alias("p"))
+    return merged.select(by, F.hll_sketch_estimate("u").alias("estimated_customers"), "orders", money("s", 2).alias("total_sales"), money("p", 2).alias("total_profit"))
+
+
+def checked_customers(orders: DataFrame, sketches: DataFrame, by: str, bound: float = 0.03) -> DataFrame:
+    """The slicer's rows with the exact count of customers beside, and whether the estimate is within ``bound`` of it."""
+    exact = orders.select(by, "customer_id").distinct().groupBy(by).agg(F.count("customer_id").alias("customers"))
+    joined = sketched_kpi(sketches, by).join(exact, by)
+    return joined.select(by, "customers", (F.abs(F.col("estimated_customers") - F.col("customers")) <= bound * F.col("customers")).alias("sketch_within_bound"),
+                         "orders", "total_sales", "total_profit")
+
+
+def guarded_kpi(df: DataFrame) -> DataFrame:
+    """The KPI row with a status, in one aggregate: ``ok``, or ``no rows`` with zero sums and no margin.
+
+    Nothing runs twice to find out whether a slice is empty; a filter that the optimiser can
+    prove empty becomes an empty relation and reads no file.
+    """
+    card = kpi(df)
+    none = F.col("orders") == 0
+    return card.select(F.when(none, "no rows").otherwise("ok").alias("status"), "orders",
+                       *[F.when(none, 0.0).otherwise(F.col(c)).alias(c) for c in ("total_sales", "total_profit")], "avg_margin")
+
+
+def guarded(df: DataFrame, *outputs: Callable[[DataFrame], DataFrame]) -> list[DataFrame] | None:
+    """The dashboard's frames of a slice, or None if it has no rows; the check stops at the first row found."""
+    return None if df.isEmpty() else [f(df) for f in outputs]
+
+
+def year_totals(extract: DataFrame) -> DataFrame:
+    """Rows and sales of an extract by year."""
+    return extract.groupBy("order_year").agg(F.count(F.lit(1)).alias("orders"), money(F.sum("sales"), 2).alias("total_sales")).orderBy("order_year")
+
+
+def load_summary(loaded) -> DataFrame:
+    """A CSV load (``quarantine.Loaded``) in one row: lines, good and bad ones, and the sums of the good ones."""
+    counts = loaded.report.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("lines", "good", "bad")])
+    sums = loaded.good.agg(money(F.sum("sales"), 2).alias("total_sales"), F.sum("quantity").alias("total_quantity"), F.max("order_date").alias("last_date"))
+    return counts.crossJoin(sums)  # one row each

@@ -35,3 +35,20 @@ def shared(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> D
         build().write.parquet(path)
         known[key] = path
     return spark.read.parquet(known[key])
+
+
+def bucketed(spark: SparkSession, key: tuple, column: str, buckets: int, build: Callable[[], DataFrame]) -> DataFrame:
+    """As ``shared``, written as ``buckets`` sorted files by the hash of ``column``.
+
+    Tables with equal buckets of their key columns are joined and grouped by them without an exchange. The
+    rows are dealt by the column before the write, so a bucket is one file; the number
+    of buckets is the caller's, by size (some 128 MB a bucket). The table is external, in the shared folder.
+    """
+    known = spark.sparkContext.__dict__.setdefault("_tallyspark_tables", {})
+    key = (*key, column, buckets)
+    if key not in known:
+        name = f"{key[0]}_{uuid.uuid4().hex[:12]}"
+        rows = build().repartition(buckets, column)
+        rows.write.bucketBy(buckets, column).sortBy(column).option("path", scratch_table_path(spark, name)).saveAsTable(name)
+        known[key] = name
+    return spark.table(known[key])

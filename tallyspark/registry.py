@@ -7,6 +7,7 @@ their whole extent; nothing is sampled, capped or filtered by key ranges.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -14,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.operators import business, clean, findings, forecast, marts, profile, quality, regress, segment
-from tallyspark.plans.materialize import shared
-from tallyspark.sources import raw, star
+from tallyspark.plans.materialize import bucketed, shared
+from tallyspark.session import scratch_table_path
+from tallyspark.sources import quarantine, raw, star, versions
 from tallyspark.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -60,6 +62,33 @@ class Star:
         tables = "lineitem orders customer nation region part"
         return self.shared("extract", tables, lambda: marts.flat_extract(self.orders, self.customers, self.products))
 
+    def bucketed(self, name: str, tables: str, build: Callable[[], DataFrame], buckets: int = 8) -> DataFrame:
+        """A star table bucketed by customer_id, written once for these files."""
+        return bucketed(self.t.spark, (name, *self.t.fingerprint(*tables.split())), "customer_id", buckets, build)
+
+    @cached_property
+    def sketches(self) -> DataFrame:
+        """Customer sketches of all slicer combinations, written once."""
+        return self.shared("customer-sketches", "lineitem orders", lambda: marts.customer_sketches(self.orders))
+
+    def refreshed_extract(self) -> DataFrame:
+        """The flat extract, replaced twice at one path, as its readers see it."""
+        path = scratch_table_path(self.t.spark, f"extract-{uuid.uuid4().hex[:12]}")
+        versions.refresh(self.extract.where("order_year < 1998"), path, partition_by=("order_year",))
+        versions.refresh(self.extract, path, partition_by=("order_year",))
+        return versions.read_current(self.t.spark, path)
+
+    def damaged_csv(self) -> quarantine.Loaded:
+        """The order-grain fact as CSV text, with malformed lines by key rules, read back."""
+        path = scratch_table_path(self.t.spark, f"csv-{uuid.uuid4().hex[:12]}")
+        key = F.regexp_extract("order_id", r"(\d+)$", 1).cast("bigint")
+        quantity = F.when(key % 89 == 4, "x").otherwise(F.col("quantity").cast("string"))
+        line = F.concat_ws(",", "order_id", "order_date", "sales", quantity)
+        line = F.when(key % 83 == 5, line).otherwise(F.concat_ws(",", line, "discount"))
+        line = F.when(key % 97 == 3, F.concat(line, F.lit(",more"))).otherwise(line)
+        self.orders_og.select(line.alias("value")).write.text(path)
+        return quarantine.load_csv(self.t.spark, path, CSV_SCHEMA, header=False)
+
     def regions(self) -> list[str]:
         return [r[0] for r in self.t.region.select("r_name").distinct().orderBy("r_name").collect()]
 
@@ -110,6 +139,8 @@ class Star:
         return star.star_orders_line(self.t, dirty_ship_date=True)
 
 
+CSV_SCHEMA = "order_id string, order_date date, sales decimal(12,2), quantity int, discount decimal(4,2)"
+
 # Slicer settings of the registered filtered KPI (a dashboard selection).
 SLICERS = dict(
     regions=["ASIA", "EUROPE"],
@@ -168,6 +199,16 @@ QUERIES: dict[str, QueryFn] = {
     "preview_orders": _q(lambda s: marts.head_preview(s.orders_og, 500, ["order_date", "order_id"])),
     "preview_filtered": _q(lambda s: marts.head_preview(
         s.sliced(**SLICERS).select(*s.orders.columns), 500, ["order_date", "order_id", "product_id", "sales", "quantity", "discount"])),
+    # slices with a status; distinct customers from sketches; bucketed, refreshed and quarantined tables
+    "kpi_status_filtered": _q(lambda s: marts.guarded_kpi(s.sliced(**SLICERS))),
+    "kpi_status_empty": _q(lambda s: marts.guarded_kpi(s.sliced(years=[1900], regions=["ASIA"]))),
+    "customers_by_year_sketch": _q(lambda s: marts.checked_customers(s.orders, s.sketches, "order_year")),
+    "customers_by_ship_mode_sketch": _q(lambda s: marts.checked_customers(s.orders, s.sketches, "ship_mode")),
+    "customer_ledger": _q(lambda s: marts.customer_ledger(
+        s.bucketed("orders_bucketed", "lineitem orders", lambda: s.orders),
+        s.bucketed("customers_bucketed", "customer nation region", lambda: s.customers))),
+    "refreshed_extract_by_year": _q(lambda s: marts.year_totals(s.refreshed_extract())),
+    "csv_quarantine": _q(lambda s: marts.load_summary(s.damaged_csv())),
     # cleaning pipeline on the dirty raw export
     "clean_orders": _q(lambda s: s.cleaned.orders),
     "clean_customers": _q(lambda s: s.cleaned.customers),

@@ -8,8 +8,11 @@ idempotent on reruns.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,24 +80,66 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite",
     w.saveAsTable(name)
 
 
+def manifest(spark: SparkSession, table: str) -> tuple[int, int]:
+    """Files and bytes of a table, from a listing of its folder (no content is read)."""
+    location = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+    listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(location)
+    files, size = listing.agg(F.count("path"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return files, size
+
+
+@contextmanager
+def using_database(spark: SparkSession, database: str | None) -> Iterator[None]:
+    """``USE database`` (created if absent) inside the block; the database before is current again after it."""
+    if not database:
+        yield
+        return
+    before = spark.catalog.currentDatabase()
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+    spark.sql(f"USE {database}")
+    try:
+        yield
+    finally:
+        spark.sql(f"USE {before}")
+
+
+def _root_message(error: Exception) -> str:
+    """First line of the innermost cause's message."""
+    text = str(error)
+    causes = [line.split(": ", 1)[-1] for line in text.splitlines() if line.startswith("Caused by: ")]
+    while getattr(error, "_cause", None) is not None:
+        error = error._cause
+    return (str(error).splitlines() or causes[-1:] or [text])[0][:500]
+
+
 def load_star(tables: dict[str, DataFrame], mode: str = "overwrite", database: str | None = None) -> DataFrame:
-    """Load star tables parents first (customers, products, orders) and
-    report (table, status, rows). Row counts come from an ``Observation`` on the
-    write itself, not from a second scan."""
+    """Load star tables parents first (customers, products, orders) in ``database`` and
+    report (table, status, rows, files, bytes, error).
+
+    Row counts come from an ``Observation`` on the write itself, not from a second scan; files and
+    bytes from a listing after it. A table that fails is reported as FAILED with its error;
+    tables behind it are SKIPPED, as they refer to it.
+    """
     spark = next(iter(tables.values())).sparkSession
-    if database:
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
-    report = []
-    for name in ("customers", "products", "orders"):
-        if name not in tables:
-            continue
-        obs = Observation(f"load_{name}")
-        df = tables[name].observe(obs, F.count(F.lit(1)).alias("rows"))
-        target = f"{database}.{name}" if database else name
-        partition = ["order_year"] if name == "orders" and "order_year" in df.columns else None
-        save_table(df, target, mode, partition_by=partition)
-        report.append((target, "OK", int(obs.get["rows"])))
-    return spark.createDataFrame(report, "table string, status string, rows bigint")
+    report, failed = [], False
+    with using_database(spark, database):
+        for name in ("customers", "products", "orders"):
+            if name not in tables:
+                continue
+            target = f"{database}.{name}" if database else name
+            if failed:
+                report.append((target, "SKIPPED", None, None, None, None))
+                continue
+            obs = Observation(f"load_{name}")
+            df = tables[name].observe(obs, F.count(F.lit(1)).alias("rows"))
+            partition = ["order_year"] if name == "orders" and "order_year" in df.columns else None
+            try:
+                save_table(df, name, mode, partition_by=partition)
+                report.append((target, "OK", int(obs.get["rows"]), *manifest(spark, name), None))
+            except (PySparkException, Py4JJavaError) as e:
+                failed = True
+                report.append((target, "FAILED", None, None, None, _root_message(e)))
+    return spark.createDataFrame(report, "table string, status string, rows bigint, files bigint, bytes bigint, error string")
 
 
 def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append",
