@@ -20,7 +20,6 @@ import os
 import struct
 import uuid
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,70 +29,68 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import bpe_stream
 from .ship import ship
 
 MAGIC = b"TSEF0001"
 HEAD = struct.Struct("<8sIIIIBQQQQ")
 PART_BYTES = 16 << 20
 SHARD_IDS = 4 << 20
-MEMO_WORDS = 300_000
+CALL_BYTES = 1 << 17
 MARK, MARK_BYTES = "\x01", b"\x01"
 
-_encoders: dict[str, Memo] = {}
+_encoders: dict[str, LibraryEncoder] = {}
 
 
-class Memo(dict):
-    """Ids of words, as packed bytes; of the words seen last ``2 * MEMO_WORDS`` at most are kept."""
+class LibraryEncoder(bpe_stream.Encoder):
+    """Ids of whole texts by the tokenizers library.
+
+    Words are found, told apart and remembered as ``bpe_stream`` does it; the library encodes
+    each new word, many in one call with a mark between them, and whole slices of text that are not plain Latin.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer = Tokenizer.from_file(path)
-        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
-        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None  # stands between words that are encoded together
-        self.older: dict[bytes, bytes] = {}
-
-    def learn(self, words: set[bytes]) -> None:
-        """Encode the words that are new in one call; bring back those kept from before."""
-        if len(self) + len(words) > MEMO_WORDS:
-            self.older = dict(self)
-            self.clear()
-        new = []
-        for w in words:
-            ids = self.older.get(w)
-            if ids is not None:
-                self[w] = ids
-            elif self.mark is None or MARK_BYTES in w or b"<|" in w:
-                self[w] = array(self.code, self.tokenizer.encode(w.decode(), add_special_tokens=False).ids).tobytes()
-            else:
-                new.append(w)
-        if new:
-            ids = self.tokenizer.encode(f" {MARK} ".join([w.decode() for w in new]), add_special_tokens=False).ids
-            at = 0
-            ids.append(self.mark)
-            for w in new:
-                end = ids.index(self.mark, at)
-                self[w] = array(self.code, ids[at:end]).tobytes()
-                at = end + 1
-
-    def encode(self, text: bytes) -> bytes:
-        """Ids of a text. The tokenizer drops white space and no token crosses it, so words are encoded alone.
-
-        It lower-cases too, so A-Z are folded first, unless a special token's string might arise.
-        """
-        words = (text if b"<|" in text else text.lower()).split()
-        ids = list(map(self.get, words))
-        if None in ids:
-            self.learn({w for w, x in zip(words, ids) if x is None})
-            ids = [self[w] if x is None else x for w, x in zip(words, ids)]
-        return b"".join(ids)
-
-
-def encoder(path: str) -> Memo:
+        super().__init__(bpe_stream.load(path))
+        self.tokenizer = self.model.library
+        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        mark = self._ids(MARK)
+        self.mark = int(mark[0]) if len(mark) == 1 else None
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _alone(self, part: bytes) -> np.ndarray:
+        return self._ids(part.decode())
+
+    def _merged(self, data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = [data[b : b + n].tobytes() for b, n in zip(begin.tolist(), size.tolist())]
+        found: list[np.ndarray | None] = [None] * len(words)
+        together: list[int] = []
+        waiting = 0
+
+        def flush() -> None:
+            ids = self._ids(f" {MARK} ".join([words[k].decode() for k in together]))
+            for k, some in zip(together, np.split(ids, np.flatnonzero(ids == self.mark))):
+                found[k] = some[1:] if k != together[0] else some
+
+        for k, w in enumerate(words):
+            if self.mark is None or MARK_BYTES in w:
+                found[k] = self._ids(w.decode())
+                continue
+            together.append(k)
+            waiting += len(w)
+            if waiting >= CALL_BYTES:
+                flush()
+                together, waiting = [], 0
+        if together:
+            flush()
+        counts = np.array(list(map(len, found)), np.int64)
+        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), counts
+
+
+def encoder(path: str) -> LibraryEncoder:
     if path not in _encoders:
-        _encoders[path] = Memo(path)
+        _encoders[path] = LibraryEncoder(path)
     return _encoders[path]
 
 
@@ -136,7 +133,7 @@ def counts(content: bytes) -> list[tuple[int, int, int]]:
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode (doc_id, text) and write the shards to ``path`` in ascending doc_id order (nulls first).
 
-    ``tokenizer``: file of a tokenizers model that drops white space; its special tokens are
+    ``tokenizer``: file of a tokenizers model that ``bpe_stream`` can read (it drops white space); its special tokens are
     not added; ``end_id`` ends each document. A null text counts as empty; rows with the same
     doc_id follow each other by text hash; further columns are ignored.
     """
@@ -148,9 +145,9 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     rows = rows.repartitionByRange(parts, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
-        end = array(memo.code, [end_id]).tobytes()
-        width = len(end)
+        library, part, number = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        width = library.width
+        end = np.array([end_id], f"<u{width}").tobytes()
         names, sizes, ids, count = [], [], [], 0
 
         def full() -> pa.RecordBatch:
@@ -158,8 +155,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["shard"])
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                got = memo.encode(text) + end
+            for name, found in zip(batch["doc_id"].to_pylist(), library.texts(batch["text"].to_pylist())):
+                got = found.astype(f"<u{width}").tobytes() + end
                 names.append(name)
                 sizes.append(len(got) // width)
                 ids.append(got)

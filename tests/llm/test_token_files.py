@@ -52,12 +52,15 @@ def test_files_round_trip(spark, path):
 
 
 def test_small_shards_and_empty_table(spark, path, monkeypatch):
-    monkeypatch.setattr(token_files, "MEMO_WORDS", 5)
-    memo = token_files.Memo(path)
+    monkeypatch.setattr(token_files, "CALL_BYTES", 50)
+    monkeypatch.setattr(token_files.bpe_stream, "MEMO", 5)
+    memo = token_files.LibraryEncoder(path)
     words = [f"w{i}x{i * 7}," for i in range(200)]
     for w in (words, words[::-1]):
         text = " ".join(w)
-        assert memo.encode(text.encode()) == np.array(memo.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16).tobytes()
+        got = memo.texts([text.encode(), b"", (text + " \x01 a\x01b <|endoftext|> é").encode()])
+        want = [memo.tokenizer.encode(t, add_special_tokens=False).ids for t in (text, "", text + " \x01 a\x01b <|endoftext|> é")]
+        assert [x.tolist() for x in got] == want
     a, b = (token_files.shard(0, n, [n], [3], b"abcdef", 2) + b"\n" for n in (0, 1))
     assert [(x[1], x[2], x[3].tolist()) for x in token_files.shards(a + b)] == [(0, [0], [0, 3]), (1, [1], [0, 3])]
     out = token_files.shared_path(spark, "test-none")
