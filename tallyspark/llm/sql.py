@@ -49,7 +49,7 @@ GROUP BY doc_id, item_id HAVING count(*) / any_value(q) >= 0.8
 
 SQL["op8_curriculum_mix"] = r"""
 WITH t AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-                  md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+                  md5(coalesce(doc_id::VARCHAR, '') || ':' || coalesce(text, '')) AS k FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM t GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS sid FROM s0),
 s2 AS (SELECT *, [5, 2, 1][sid % 3 + 1] AS weight, [1.5, 1.0, 0.5][sid % 3 + 1]::DOUBLE AS r FROM s1),
@@ -59,7 +59,7 @@ s3 AS (SELECT *, ((sum(source_size) OVER ()
 s4 AS (SELECT *, least((3 * source_size)::DOUBLE, max(level) OVER () * weight) AS target, sum(source_size) OVER () AS words FROM s3),
 u AS (SELECT t.*, source_size, target, r, words,
              (CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END)::INT AS passes,
-             sum(size) OVER (PARTITION BY t.source ORDER BY k, doc_id, size)::BIGINT - size / 2 AS middle
+             sum(size) OVER (PARTITION BY t.source ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)::BIGINT - size / 2 AS middle
       FROM t JOIN s4 ON t.source IS NOT DISTINCT FROM s4.source),
 v AS (SELECT *, passes + CASE WHEN middle < target - passes * source_size THEN 1 ELSE 0 END AS copies,
              least(middle / target, 1.0::DOUBLE) AS x FROM u)

@@ -78,3 +78,21 @@ def test_equal_rows_of_two_sources_get_their_own_copies(spark):
     want = {x.source: x.copies for x in curriculum.mix(frame).collect() if x.doc_id == 1}
     got = [x.source for x in curriculum.apply_mix(frame).collect() if x.doc_id == 1]
     assert len(set(want.values())) > 1 and {s: got.count(s) for s in want} == want
+
+
+def test_sources_of_null_and_repeated_ids_meet_their_targets(spark):
+    """400 rows with null ids, 400 with one id, and 5,000 fully equal rows each end near their source's target."""
+    rows = [(None, f"w{i} x y z", "a") for i in range(400)] + [(7, f"w{i} x y z", "b") for i in range(400)] + [(9, "all the same", "c")] * 5000
+    rows += [(1000 + i, "one two three", "d") for i in range(1500)]
+    frame = spark.createDataFrame([(*x, {"k": 1}, 0.5) for x in rows], "doc_id long, text string, source string, mix_position map<string, int>, row_key double")
+    out = curriculum.mix(frame).collect()
+    assert len(out) == len(rows)
+    for s in "abcd":
+        mine = [x for x in out if x.source == s]
+        assert abs(sum(x.taken for x in mine) - mine[0].target) <= max(x.size for x in mine)
+        assert all(x.copies <= 3 for x in mine)
+    mixed = curriculum.apply_mix(frame)
+    assert mixed.columns == frame.columns
+    got = {s: n for s, n in mixed.groupBy("source").count().collect()}
+    assert got == {s: sum(x.copies for x in out if x.source == s) for s in "abcd"}
+    assert mixed.first().asDict()["mix_position"] == {"k": 1}
