@@ -9,12 +9,12 @@
    common prefixes, each node is compared by signature with the few before it, its best
    partner is confirmed on the full sets, and components are formed.
 4. Links, second pass: only regions that still hold different components matter. Their
-   pairs across components must have enough shingles that occur in a second set at all,
-   be alike by signature and share one of their rarest shingles; then they are confirmed
-   on the full sets. Pairs within a component need no look:
+   rows carry the full sets, so a pair across components that is alike by signature is settled on the
+   spot, and a link is given only if it joins two components of the cell: at most
+   one a node, however many pairs are near the threshold. Pairs within a component need no look:
    they cannot change it. A region's largest component is dealt over several tasks.
-   Nodes of regions with ``WIDE`` nodes or more outside the largest component are dealt by
-   their rarest shingles instead, in cells of bounded size; every pair that could reach the
+   Nodes of regions with ``WIDE`` nodes or ``CELL_SHINGLES`` shingles or more outside the largest component are dealt by
+   their rarest shingles instead, in cells of bounded size, and confirmed behind them; every pair that could reach the
    threshold meets in one of them, so a wide region loses no link.
 """
 
@@ -36,6 +36,7 @@ VALUES, TREES, DEPTH = 128, 24, 4
 BEFORE = 3
 CHUNK = 1 << 18
 MEMBERS = 20_000
+CELL_SHINGLES = 4_000_000
 WIDE = 1_000
 CELL = 4_000
 SHINGLE = 5
@@ -140,28 +141,42 @@ def _neighbours(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.Re
         tail = tuple(x[-BEFORE:] for x in (region, node, sig))
 
 
-def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, rare: list[np.ndarray], size: np.ndarray, shared: np.ndarray, seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of different components that are alike by signature and could reach the threshold.
+def shared_counts(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many elements each of ``others`` has in common with ``mine``; all sorted, without repeats."""
+    out = np.empty(len(others), np.int64)
+    for i in range(0, len(others), 256):
+        some = others[i : i + 256]
+        values = np.concatenate(some)
+        hit = mine[np.minimum(np.searchsorted(mine, values), len(mine) - 1)] == values
+        out[i : i + 256] = np.add.reduceat(hit.astype(np.int64), np.cumsum([0, *map(len, some)])[:-1])
+    return out
+
+
+def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between different components of a cell that join them, and no others.
 
-    ``rare``: each node's rarest
-    shingles, so many that two sets at the threshold share one of them at least. ``shared``:
-    how many of its ``size`` shingles any other node has; two sets have no more in common.
+    A node is compared with the nodes of other components, of those with enough equal signature values
+    in full (``sets``); a link joins the two components, so none is given between them again.
     ``seen``: the regions of each node that are not dealt by shingles (zeros behind): of the regions
-    that a pair shares, only the first gives it.
+    that a pair shares, only the first compares it.
     """
+    label = np.unique(root, return_inverse=True)[1]
+    size = np.array(list(map(len, sets)), np.int64)
     others = np.arange(len(node)) if whole else np.flatnonzero(root == major)
     for m in np.flatnonzero(root != major).tolist():
-        see = others[(root[others] != root[m]) & ((root[others] == major) | (others > m))]
-        see = see[(100 + percent) * np.minimum(shared[see], shared[m]) >= percent * (size[see] + size[m])]
+        see = others[(label[others] != label[m]) & ((root[others] == major) | (others > m))]
+        see = see[100 * np.minimum(size[see], size[m]) >= percent * np.maximum(size[see], size[m])]
         see = see[(sig[see] == sig[m]).sum(axis=1) >= least]
         if len(see):
-            sizes = [len(rare[i]) for i in see]
-            hit = np.isin(np.concatenate([rare[i] for i in see]), rare[m])
-            see = see[np.unique(np.repeat(np.arange(len(see)), sizes)[hit])]
             mine = seen[m][seen[m] != 0]
             earlier = mine[mine < region] if region in mine else mine
             see = see[~np.isin(seen[see], earlier).any(axis=1)]
         if len(see):
+            both = shared_counts(sets[m], [sets[i] for i in see])
+            see = see[100 * both >= percent * (size[see] + size[m] - both)]
+        if len(see):
+            see = see[np.unique(label[see], return_index=True)[1]]
+            label[np.isin(label, label[see])] = label[m]
             yield np.full(len(see), node[m]), node[see]
 
 
@@ -237,9 +252,12 @@ def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iter
     """``across`` for every (region, part) of rows sorted by them."""
     for t in _groups(batches, "region", "part"):
         whole = t["part"][0].as_py() == 0
-        rare = [np.asarray(x, np.int64) for x in t["rare"].to_pylist()]
+        column = t["shingles"].combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        flat, edge = column.flatten().to_numpy(), np.cumsum([0, *t["size"].to_pylist()])
+        sets = [np.sort(flat[i:j]) for i, j in zip(edge, edge[1:])]
         seen = np.array([(x or []) + [0] * (TREES - len(x or [])) for x in t["seen"].to_pylist()], np.int64)
-        yield from _pair_rows(across(t["node"].to_numpy(), t["root"].to_numpy(), _matrix(t), rare, t["size"].to_numpy(), t["shared"].to_numpy(), seen, t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent))
+        yield from _pair_rows(across(t["node"].to_numpy(), t["root"].to_numpy(), _matrix(t), sets, seen, t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent))
 
 
 def _within(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -250,10 +268,13 @@ def _within(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iter
 
 
 def majors(rows: DataFrame, key: str) -> DataFrame:
-    """(``key``, major, n, kinds, minor) of keys with several components: the largest, all nodes, components, nodes outside the largest."""
-    sizes = rows.groupBy(key, "root").agg(F.count("node").alias("n")).groupBy(key).agg(
-        F.max_by("root", F.struct("n", "root")).alias("major"), F.sum("n").alias("n"), F.count("root").alias("kinds"), F.max("n").alias("top"))
-    return sizes.where("kinds > 1").withColumn("minor", F.col("n") - F.col("top")).drop("top")
+    """(``key``, major, n, held, minor, minor_held) of keys with several components: the largest, all nodes and
+    their shingles (column ``size``), and those outside the largest."""
+    one = rows.groupBy(key, "root").agg(F.count("node").alias("n"), F.sum("size").alias("held"))
+    sizes = one.groupBy(key).agg(F.max_by(F.struct("root", "n", "held"), F.struct("n", "root")).alias("top"),
+                                 F.sum("n").alias("n"), F.sum("held").alias("held"), F.count("root").alias("kinds"))
+    return sizes.where("kinds > 1").select(key, F.col("top.root").alias("major"), "n", "held",
+                                           (F.col("n") - F.col("top.n")).alias("minor"), (F.col("held") - F.col("top.held")).alias("minor_held"))
 
 
 def wide_pairs(nodes: DataFrame, least: int, percent: int) -> DataFrame:
@@ -263,10 +284,10 @@ def wide_pairs(nodes: DataFrame, least: int, percent: int) -> DataFrame:
     largest component are dealt into sides of about ``CELL``, those of the largest into
     further sides; each two sides that can hold a pair meet in one cell.
     """
-    at = nodes.select("node", "root", F.explode("common").alias("shingle"))
+    at = nodes.select("node", "root", "size", F.explode("common").alias("shingle"))
     deal = majors(at, "shingle").select(
         "shingle", "major", F.ceil(F.col("minor") / CELL).cast("int").alias("minors"), F.ceil((F.col("n") - F.col("minor")) / CELL).cast("int").alias("mains"))
-    rows = at.join(deal, "shingle")
+    rows = at.drop("size").join(deal, "shingle")
     mine = F.col("root") == F.col("major")
     spot = F.xxhash64("node")
     side = F.when(mine, F.col("minors") + F.pmod(spot, F.col("mains"))).otherwise(F.pmod(spot, F.col("minors"))).cast("int")
@@ -317,9 +338,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     keys = nodes.select("node", F.explode("regions").alias("region"))
     shared = keys.groupBy("region").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("region")
     picked = nodes.join(distinct.select("row_key", "node"), ["row_key", "node"], "left_semi").dropDuplicates(["row_key"])
-    member = picked.select("node", "sig", F.posexplode("regions").alias("tree", "region"))
+    member = picked.select("node", "sig", F.col("n_shingles").alias("size"), F.posexplode("regions").alias("tree", "region"))
     start = ((F.col("tree") + 1) * DEPTH).cast("int")
-    member = _saved(member.join(shared, "region").select("region", "node", "sig", start.alias("start")), "members")
+    member = _saved(member.join(shared, "region").select("region", "node", "sig", "size", start.alias("start")), "members")
 
     # full sets of the nodes that share a region
     wanted = _saved(member.select("node").distinct().join(distinct.select("node", "row_key"), "node"), "wanted")
@@ -335,19 +356,22 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
 
     # second pass: pairs of different components within a region
     rooted = member.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = F.ceil(F.col("n") / MEMBERS).cast("int")
-    mixed = _saved(rooted.join(majors(rooted, "region").select("region", "major", (F.col("minor") >= WIDE).alias("wide"), parts.alias("parts")), "region"), "mixed")
-    rare = _saved(rare_shingles(sets.join(mixed.select("node").distinct(), "node", "left_semi"), percent), "rare")
-    wide = mixed.where("wide").select("node", "root", "sig").dropDuplicates(["node"]).join(rare.drop("rare"), "node")
+    parts = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("held") / CELL_SHINGLES)).cast("int")
+    wide = (F.col("minor") >= WIDE) | (F.col("minor_held") >= CELL_SHINGLES)
+    deal = majors(rooted, "region").select("region", "major", wide.alias("wide"), parts.alias("parts"))
+    mixed = _saved(rooted.join(deal, "region"), "mixed")
+    wide = mixed.where("wide").select("node", "root", "sig").dropDuplicates(["node"])
+    rare = rare_shingles(sets.join(wide.select("node"), "node", "left_semi"), percent).drop("rare")
+    wide = _saved(wide.join(rare, "node"), "wide")
     mixed = mixed.where("NOT wide")
     seen = mixed.groupBy("node").agg(F.collect_list("region").alias("seen"))  # TREES at most
-    mixed = mixed.join(rare.drop("common"), "node").join(seen, "node", "left")
+    mixed = mixed.join(seen, "node").join(sets, "node")
     own: Column = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mixed = mixed.withColumn("part", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "sig", "rare", "size", "shared", "seen")
+    mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "sig", "size", "seen", "shingles")
     pairs = mixed.mapInArrow(lambda x: _across(x, least, percent), "u long, v long")
-    pairs = pairs.unionAll(wide_pairs(_saved(wide, "wide"), least, percent)).distinct()
-    more = _saved(confirmed(pairs, sets, percent), "links")
+    by_rare = confirmed(wide_pairs(wide, least, percent).distinct(), sets, percent)
+    more = _saved(pairs.unionAll(by_rare).distinct(), "links")
     roots = first.withColumnRenamed("root", "r")
     for end in ("u", "v"):
         more = more.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")

@@ -127,10 +127,10 @@ def test_across_splits_wide_regions_and_keeps_blocks_whole(monkeypatch):
     seen[:, :2] = 7, 9  # this region is the first that they share
     for wide in (1_000, 3):
         monkeypatch.setattr(lsh_forest, "WIDE", wide)
-        pairs = {(min(a, b), max(a, b)) for u, v in lsh_forest.across(node, root, sig, [np.array([i % 20, 99]) for i in range(40)], np.full(40, 9), np.full(40, 9), seen, 7, 0, True, 92, 85) for a, b in zip(u.tolist(), v.tolist())}
+        pairs = {(min(a, b), max(a, b)) for u, v in lsh_forest.across(node, root, sig, [np.array([i % 20, 99]) for i in range(40)], seen, 7, 0, True, 92, 85) for a, b in zip(u.tolist(), v.tolist())}
         assert pairs == {(i, i + 20) for i in range(20)}
     seen[:, 2] = -5  # an earlier one gives them
-    assert not list(lsh_forest.across(node, root, sig, [np.array([99])] * 40, np.full(40, 9), np.full(40, 9), seen, 7, 0, True, 92, 85))
+    assert not list(lsh_forest.across(node, root, sig, [np.array([99])] * 40, seen, 7, 0, True, 92, 85))
 
 
 def test_across_keeps_pairs_that_differ_in_the_next_values(monkeypatch):
@@ -140,10 +140,19 @@ def test_across_keeps_pairs_that_differ_in_the_next_values(monkeypatch):
     sig[20:] = sig[:20]
     sig[20:, :2] += 1
     seen = np.zeros((40, lsh_forest.TREES), np.int64)
-    found = lsh_forest.across(np.arange(40), np.arange(40), sig, [np.array([99])] * 40, np.full(40, 9), np.full(40, 9), seen, 7, 0, True, 92, 85)
+    found = lsh_forest.across(np.arange(40), np.arange(40), sig, [np.array([99])] * 40, seen, 7, 0, True, 92, 85)
     assert {(min(a, b), max(a, b)) for u, v in found for a, b in zip(u.tolist(), v.tolist())} == {(i, i + 20) for i in range(20)}
 
 
+def test_across_gives_a_link_only_where_it_joins():
+    """60 equal nodes: 59 links at most, and one component; a node of another set is linked with none."""
+    sig = np.zeros((61, lsh_forest.VALUES), np.uint8)
+    sets = [np.arange(100)] * 60 + [np.arange(50, 150)]
+    found = [(a, b) for u, v in lsh_forest.across(np.arange(61), np.arange(61), sig, sets, np.zeros((61, lsh_forest.TREES), np.int64), 7, 0, True, 92, 85)
+             for a, b in zip(u.tolist(), v.tolist())]
+    assert len(found) == 59 and len(set(roots(61, found))) == 2
+
+
 def test_rare_shingles_of_linked_sets_meet(spark):
     r = random.Random(5)
     base = list(range(100))
