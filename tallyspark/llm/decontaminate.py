@@ -92,5 +92,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n:
     """Rows of ``docs``, all columns, that contain no item; see ``matches`` for what that means."""
     path = shared_path(docs.sparkSession, "contaminated")
     matches(docs, items, threshold, n).select("row_key").distinct().write.parquet(path)
-    bad = docs.sparkSession.read.parquet(path).withColumnRenamed("row_key", "contaminated_key")
-    return docs.join(bad, row_key() == F.col("contaminated_key"), "left_anti")
+    bad = docs.sparkSession.read.parquet(path)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_")  # columns may have any name
+    return docs.select(whole, row_key().alias("row_key")).join(bad, "row_key", "left_anti").select("doc_.*")

@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -147,24 +148,28 @@ def _batches(batches: Iterator[pa.RecordBatch], step) -> Iterator[pa.RecordBatch
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple:
     """Model from the labelled rows that are not held out, of these the ``sample`` with the least hash of doc_id.
 
-    Labels that are null, or whose doc_id is null or not in ``docs``, teach nothing; one
+    The bound holds for the rows that are fitted: labels are bounded first, and the rows that
+    they meet (a doc_id may stand in many) once more, by doc_id, label and a hash of the text. Labels that are null, or whose doc_id is null or not in ``docs``, teach nothing; one
     doc_id with several labels or texts gives several rows. Only text and quality are used.
     """
     ship(docs.sparkSession)
     some = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
-    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(some, "doc_id").select("doc_id", "quality", "text")
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("tie")).join(some, "doc_id").select("doc_id", "quality", "tie", "text")
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _batches(batches, lambda b, f: pa.RecordBatch.from_arrays(
-            [b["doc_id"], b["quality"], pa.array([x.astype(np.int32) for x in f], pa.list_(pa.int32()))], ["doc_id", "quality", "f"]))
+            [b["doc_id"], b["quality"], b["tie"], pa.array([x.astype(np.int32) for x in f], pa.list_(pa.int32()))], ["doc_id", "quality", "tie", "f"]))
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-        weights, *rest = fit([np.array(x, np.int64) for x in table["f"].to_pylist()], table["quality"].to_numpy())
+        order = pa.compute.sort_indices(table.select(["doc_id", "quality", "tie"]), sort_keys=[(c, "ascending") for c in ("doc_id", "quality", "tie")]).to_numpy()
+        rows = [np.asarray(part.flatten()) for chunk in table["f"].chunks for part in (chunk.slice(i, 1) for i in range(len(chunk)))]
+        weights, *rest = fit([rows[i] for i in order], table["quality"].to_numpy()[order])
         return pa.table([pa.array([weights.tobytes()]), *[pa.array([float(x)]) for x in rest]], ["weights", "bias", "slope", "shift"])
 
-    got = rows.mapInArrow(extract, "doc_id long, quality int, f array<int>").withColumn("all", F.lit(0)).groupBy("all").applyInArrow(
+    found = rows.mapInArrow(extract, "doc_id long, quality int, tie long, f array<int>")
+    found = found.orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "tie").limit(sample)
+    got = found.withColumn("all", F.lit(0)).groupBy("all").applyInArrow(
         learn, "weights binary, bias double, slope double, shift double").collect()
     if not got:
         return fit([], np.zeros(0))

@@ -61,3 +61,15 @@ def test_features_do_not_depend_on_neighbours():
     texts = [b"same same", b"same", b"", b"x same", None, b"same same"]
     alone = [nbsvm.features([t])[0].tolist() for t in texts]
     assert [f.tolist() for f in nbsvm.features(texts)] == alone
+
+
+def test_bound_holds_for_the_rows_that_are_fitted(spark, monkeypatch):
+    """500 texts under one labelled id: no more than the bound are fitted, whatever the partitioning."""
+    docs = [(i, f"good fine text {i}" if i % 2 else f"bad poor junk {i}") for i in range(60)] + [(1, f"good fine text again {i}") for i in range(500)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    one = nbsvm.train(frame.repartition(3), labels, sample=100)
+    two = nbsvm.train(frame.repartition(7), labels, sample=100)
+    assert np.array_equal(one[0], two[0]) and one[1:] == two[1:]
+    few = nbsvm.train(frame, labels, sample=2)
+    assert not np.array_equal(one[0], few[0])
