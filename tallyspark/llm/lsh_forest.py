@@ -13,7 +13,9 @@
    spot, and a link is given only if it joins two components of the cell: at most
    one a node, however many pairs are near the threshold. Pairs within a component need no look:
    they cannot change it. A region's largest component is dealt over several tasks.
-   Nodes of regions with ``WIDE`` nodes or ``CELL_SHINGLES`` shingles or more outside the largest component are dealt by
+   Regions with ``WIDE`` nodes or more are first dealt at random into cells of about that
+   size, ``ROUNDS`` times, so that a large group of copies becomes one component by at most one link a node.
+   Nodes of regions that then still have ``WIDE`` nodes or ``CELL_SHINGLES`` shingles or more outside the largest component are dealt by
    their rarest shingles instead, in cells of bounded size, and confirmed behind them; every pair that could reach the
    threshold meets in one of them, so a wide region loses no link.
 """
@@ -38,6 +40,7 @@ CHUNK = 1 << 18
 MEMBERS = 20_000
 CELL_SHINGLES = 4_000_000
 WIDE = 1_000
+ROUNDS = 2
 CELL = 4_000
 SHINGLE = 5
 _ODD = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
@@ -248,10 +251,10 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """``across`` for every (region, part) of rows sorted by them."""
+def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int, whole_parts: bool = False) -> Iterator[pa.RecordBatch]:
+    """``across`` for every (region, part) of rows sorted by them; the first part, or every one, is compared as a whole."""
     for t in _groups(batches, "region", "part"):
-        whole = t["part"][0].as_py() == 0
+        whole = whole_parts or t["part"][0].as_py() == 0
         column = t["shingles"].combine_chunks()
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         flat, edge = column.flatten().to_numpy(), np.cumsum([0, *t["size"].to_pylist()])
@@ -309,6 +312,39 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "u").join(y, "v").select("u", "v", "a", "b", both.alias("both")).where(100 * F.col("both") >= percent * either).select("u", "v")
 
 
+def _contracted(first: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after ``links`` between nodes have joined the components of ``first``."""
+    roots = first.withColumnRenamed("root", "r")
+    for end in ("u", "v"):
+        links = links.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
+    second = _saved(components(links.select("u", "v")), "components")
+    ends = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("root2")), "root", "full").select(
+        F.coalesce("node", "root").alias("node"), F.coalesce("root2", "root").alias("root"))
+    return _saved(ends.unionAll(second.select("node", "root")).distinct(), "components")
+
+
+def _dealt(member: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows of regions with several components, with their root, and each region's deal."""
+    rooted = member.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    deal = majors(rooted, "region")
+    wide = (F.col("minor") >= WIDE) | (F.col("minor_held") >= CELL_SHINGLES)
+    parts = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("held") / CELL_SHINGLES)).cast("int")
+    cells = F.ceil(F.greatest(F.col("n") / WIDE, F.col("held") / CELL_SHINGLES)).cast("int")
+    return rooted, deal.select("region", "major", wide.alias("wide"), parts.alias("parts"), cells.alias("cells"))
+
+
+def _wide_round(member: DataFrame, first: DataFrame, sets: DataFrame, number: int, least: int, percent: int) -> DataFrame | None:
+    """``first`` after the nodes of wide regions have met in random cells; None if no region is wide."""
+    rooted, deal = _dealt(member, first)
+    deal = _saved(deal.where("wide"), "wide-regions")
+    if deal.isEmpty():
+        return None
+    cell = F.pmod(F.xxhash64("node", F.lit(number)), F.col("cells")).cast("int")
+    rows = rooted.join(deal, "region").withColumn("part", cell).withColumn("seen", F.array().cast("array<long>")).join(sets, "node")
+    rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "sig", "size", "seen", "shingles")
+    return _contracted(first, _saved(rows.mapInArrow(lambda x: _across(x, least, percent, True), "u long, v long").distinct(), "links"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text; further columns are ignored): n_shingles, component_id, kept, row_key, component.
 
@@ -355,10 +391,13 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = _saved(components(links), "components")
 
     # second pass: pairs of different components within a region
-    rooted = member.join(first, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    parts = F.ceil(F.greatest(F.col("n") / MEMBERS, F.col("held") / CELL_SHINGLES)).cast("int")
-    wide = (F.col("minor") >= WIDE) | (F.col("minor_held") >= CELL_SHINGLES)
-    deal = majors(rooted, "region").select("region", "major", wide.alias("wide"), parts.alias("parts"))
+    for number in range(ROUNDS):
+        found = _wide_round(member, first, sets, number, least, percent)
+        if found is None:
+            break
+        first = found
+    rooted, deal = _dealt(member, first)
+    deal = deal.drop("cells")
     mixed = _saved(rooted.join(deal, "region"), "mixed")
     wide = mixed.where("wide").select("node", "root", "sig").dropDuplicates(["node"])
     rare = rare_shingles(sets.join(wide.select("node"), "node", "left_semi"), percent).drop("rare")
@@ -372,14 +411,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     pairs = mixed.mapInArrow(lambda x: _across(x, least, percent), "u long, v long")
     by_rare = confirmed(wide_pairs(wide, least, percent).distinct(), sets, percent)
     more = _saved(pairs.unionAll(by_rare).distinct(), "links")
-    roots = first.withColumnRenamed("root", "r")
-    for end in ("u", "v"):
-        more = more.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("r", end)).drop("r")
-    second = _saved(components(more.select("u", "v")), "components")
-
-    ends = first.join(second.select(F.col("node").alias("root"), F.col("root").alias("root2")), "root", "full").select(
-        F.coalesce("node", "root").alias("node"), F.coalesce("root2", "root").alias("root"))
-    ends = ends.unionAll(second.select("node", "root")).distinct()
+    ends = _contracted(first, more)
     named = distinct.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
     lowest = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = named.join(lowest, "root").select("node", "component_id", F.col("root").alias("component"))
