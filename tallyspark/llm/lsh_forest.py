@@ -8,10 +8,10 @@
 3. Links, first pass: in every tree's sorted order, where neighbours have the longest
    common prefixes, each node is compared by signature with the few before it, its best
    partner is confirmed on the full sets, and components are formed.
-4. Links, second pass: only regions that still hold different components matter. Their
-   rows carry the full sets, so a pair across components that is alike by signature is settled on the
-   spot, and a link is given only if it joins two components of the cell: at most
-   one a node, however many pairs are near the threshold. Pairs within a component need no look:
+4. Links, second pass: only regions that still hold different components matter. A cell's nodes are
+   first compared by signature alone; those alike to a node of another component come again with
+   their full sets, so a pair is settled on the spot, and a link is given only if it joins two
+   components of the cell: at most one a node, however many pairs are near the threshold. Pairs within a component need no look:
    they cannot change it. A region's largest component is dealt over several tasks.
    Regions with ``WIDE`` nodes or more are first dealt at random into cells of about that
    size, ``ROUNDS`` times, so that a large group of copies becomes one component by at most one link a node.
@@ -155,25 +155,45 @@ def shared_counts(mine: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links between different components of a cell that join them, and no others.
+def partners(m: int, see: np.ndarray, sig: np.ndarray, size: np.ndarray, seen: np.ndarray, region: int, least: int, percent: int) -> np.ndarray:
+    """Of the nodes ``see`` of a cell those that could reach the threshold with node ``m`` by size and signature.
 
-    A node is compared with the nodes of other components, of those with enough equal signature values
-    in full (``sets``); a link joins the two components, so none is given between them again.
     ``seen``: the regions of each node that are not dealt by shingles (zeros behind): of the regions
     that a pair shares, only the first compares it.
     """
+    see = see[100 * np.minimum(size[see], size[m]) >= percent * np.maximum(size[see], size[m])]
+    see = see[(sig[see] == sig[m]).sum(axis=1) >= least]
+    if len(see):
+        mine = seen[m][seen[m] != 0]
+        earlier = mine[mine < region] if region in mine else mine
+        see = see[~np.isin(seen[see], earlier).any(axis=1)]
+    return see
+
+
+def alike(root: np.ndarray, sig: np.ndarray, size: np.ndarray, seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int) -> np.ndarray:
+    """Which nodes of a cell have ``partners`` of another component; the others can give no link there."""
+    keep = np.zeros(len(root), bool)
+    others = np.arange(len(root)) if whole else np.flatnonzero(root == major)
+    for m in np.flatnonzero(root != major).tolist():
+        see = others[(root[others] != root[m]) & ((root[others] == major) | (others > m))]
+        see = partners(m, see, sig, size, seen, region, least, percent)
+        keep[see] = True
+        keep[m] |= len(see) > 0
+    return keep
+
+
+def across(node: np.ndarray, root: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], seen: np.ndarray, region: int, major: int, whole: bool, least: int, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links between different components of a cell that join them, and no others.
+
+    A node is compared with the nodes of other components, its ``partners`` in full (``sets``); a link
+    joins the two components, so none is given between them again.
+    """
     label = np.unique(root, return_inverse=True)[1]
     size = np.array(list(map(len, sets)), np.int64)
     others = np.arange(len(node)) if whole else np.flatnonzero(root == major)
     for m in np.flatnonzero(root != major).tolist():
         see = others[(label[others] != label[m]) & ((root[others] == major) | (others > m))]
-        see = see[100 * np.minimum(size[see], size[m]) >= percent * np.maximum(size[see], size[m])]
-        see = see[(sig[see] == sig[m]).sum(axis=1) >= least]
-        if len(see):
-            mine = seen[m][seen[m] != 0]
-            earlier = mine[mine < region] if region in mine else mine
-            see = see[~np.isin(seen[see], earlier).any(axis=1)]
+        see = partners(m, see, sig, size, seen, region, least, percent)
         if len(see):
             both = shared_counts(sets[m], [sets[i] for i in see])
             see = see[100 * both >= percent * (size[see] + size[m] - both)]
@@ -251,7 +271,20 @@ def _matrix(t: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(-1, VALUES)
 
 
-def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int, whole_parts: bool = False) -> Iterator[pa.RecordBatch]:
+def _seen(t: pa.Table) -> np.ndarray:
+    return np.array([(x or []) + [0] * (TREES - len(x or [])) for x in t["seen"].to_pylist()], np.int64)
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: int, percent: int, whole_parts: bool) -> Iterator[pa.RecordBatch]:
+    """The rows that ``alike`` keeps of every (region, part) of rows sorted by them; parts as in ``_across``."""
+    for t in _groups(batches, "region", "part"):
+        whole = whole_parts or t["part"][0].as_py() == 0
+        keep = alike(t["root"].to_numpy(), _matrix(t), t["size"].to_numpy(), _seen(t), t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent)
+        if keep.any():
+            yield from t.filter(pa.array(keep)).to_batches()
+
+
+def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int, whole_parts: bool) -> Iterator[pa.RecordBatch]:
     """``across`` for every (region, part) of rows sorted by them; the first part, or every one, is compared as a whole."""
     for t in _groups(batches, "region", "part"):
         whole = whole_parts or t["part"][0].as_py() == 0
@@ -259,8 +292,7 @@ def _across(batches: Iterator[pa.RecordBatch], least: int, percent: int, whole_p
         column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
         flat, edge = column.flatten().to_numpy(), np.cumsum([0, *t["size"].to_pylist()])
         sets = [np.sort(flat[i:j]) for i, j in zip(edge, edge[1:])]
-        seen = np.array([(x or []) + [0] * (TREES - len(x or [])) for x in t["seen"].to_pylist()], np.int64)
-        yield from _pair_rows(across(t["node"].to_numpy(), t["root"].to_numpy(), _matrix(t), sets, seen, t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent))
+        yield from _pair_rows(across(t["node"].to_numpy(), t["root"].to_numpy(), _matrix(t), sets, _seen(t), t["region"][0].as_py(), t["major"][0].as_py(), whole, least, percent))
 
 
 def _within(batches: Iterator[pa.RecordBatch], least: int, percent: int) -> Iterator[pa.RecordBatch]:
@@ -333,16 +365,36 @@ def _dealt(member: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rooted, deal.select("region", "major", wide.alias("wide"), parts.alias("parts"), cells.alias("cells"))
 
 
-def _wide_round(member: DataFrame, first: DataFrame, sets: DataFrame, number: int, least: int, percent: int) -> DataFrame | None:
+def _full_sets(rows: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of ``nodes`` (node, repeats do no harm), from one of each node's texts."""
+    wanted = _saved(nodes.distinct().join(distinct.select("node", "row_key"), "node"), "wanted")
+    return _saved(rows.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text").mapInArrow(
+        lambda x: _batches(x, _set_rows), "node long, shingles array<long>"), "sets")
+
+
+def _cell_links(cells: DataFrame, full_sets, least: int, percent: int, whole_parts: bool = False) -> DataFrame:
+    """(u, v) of the links that join components of a cell (region, part): by signature first, then on full sets."""
+    columns = ["region", "part", "node", "root", "major", "sig", "size", "seen"]
+
+    def sorted_cells(df: DataFrame, *more: str) -> DataFrame:
+        return df.repartition("region", "part").sortWithinPartitions("region", "part", "node").select(*columns, *more)
+
+    some = _saved(sorted_cells(cells).mapInArrow(
+        lambda x: _alike(x, least, percent, whole_parts),
+        "region long, part int, node long, root long, major long, sig binary, size long, seen array<long>"), "alike")
+    rows = sorted_cells(some.join(full_sets(some.select("node")), "node"), "shingles")
+    return rows.mapInArrow(lambda x: _across(x, least, percent, whole_parts), "u long, v long")
+
+
+def _wide_round(member: DataFrame, first: DataFrame, full_sets, number: int, least: int, percent: int) -> DataFrame | None:
     """``first`` after the nodes of wide regions have met in random cells; None if no region is wide."""
     rooted, deal = _dealt(member, first)
     deal = _saved(deal.where("wide"), "wide-regions")
     if deal.isEmpty():
         return None
     cell = F.pmod(F.xxhash64("node", F.lit(number)), F.col("cells")).cast("int")
-    rows = rooted.join(deal, "region").withColumn("part", cell).withColumn("seen", F.array().cast("array<long>")).join(sets, "node")
-    rows = rows.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "sig", "size", "seen", "shingles")
-    return _contracted(first, _saved(rows.mapInArrow(lambda x: _across(x, least, percent, True), "u long, v long").distinct(), "links"))
+    rows = rooted.join(deal, "region").withColumn("part", cell).withColumn("seen", F.array().cast("array<long>"))
+    return _contracted(first, _saved(_cell_links(rows, full_sets, least, percent, True).distinct(), "links"))
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -371,45 +423,44 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     # regions with more than one node, and the rows of their nodes
     distinct = nodes.groupBy("node").agg(F.min("row_key").alias("row_key"), F.min("doc_id").alias("doc_id"))
     distinct = _saved(distinct, "nodes")
-    keys = nodes.select("node", F.explode("regions").alias("region"))
-    shared = keys.groupBy("region").agg(F.min("node").alias("x"), F.max("node").alias("y")).where("x < y").select("region")
-    picked = nodes.join(distinct.select("row_key", "node"), ["row_key", "node"], "left_semi").dropDuplicates(["row_key"])
-    member = picked.select("node", "sig", F.col("n_shingles").alias("size"), F.posexplode("regions").alias("tree", "region"))
+    keys = nodes.select("node", "regions").dropDuplicates(["node"]).select("node", F.posexplode("regions").alias("tree", "region"))
+    shared = keys.groupBy("region").agg(F.count("node").alias("n")).where("n > 1").select("region")
     start = ((F.col("tree") + 1) * DEPTH).cast("int")
-    member = _saved(member.join(shared, "region").select("region", "node", "sig", "size", start.alias("start")), "members")
+    own = nodes.select("node", "sig", F.col("n_shingles").alias("size")).dropDuplicates(["node"])
+    member = keys.join(shared, "region").select("region", "node", start.alias("start"))
+    member = _saved(member.join(own, "node").select("region", "node", "sig", "size", "start"), "members")
 
-    # full sets of the nodes that share a region
-    wanted = _saved(member.select("node").distinct().join(distinct.select("node", "row_key"), "node"), "wanted")
-    sets = _saved(rows.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text").mapInArrow(
-        lambda x: _batches(x, _set_rows), "node long, shingles array<long>"), "sets")
+    def full_sets(wanted: DataFrame) -> DataFrame:
+        return _full_sets(rows, distinct, wanted)
 
     # first pass: best neighbour in the sorted orders
     turned = F.concat(F.expr("substring(sig, start + 1)"), F.expr("substring(sig, 1, start)"))
     order = member.withColumn("turned", turned).repartition("region").sortWithinPartitions("region", "turned", "node").select("region", "node", "sig")
     best = order.mapInArrow(lambda x: _neighbours(x, least), "u long, v long, same int").groupBy("u").agg(F.max_by("v", F.struct("same", "v")).alias("v"))
-    links = _saved(confirmed(best, sets, percent), "links")
+    best = _saved(best, "best")
+    ends = best.select(F.explode(F.array("u", "v")).alias("node"))
+    links = _saved(confirmed(best, full_sets(ends), percent), "links")
     first = _saved(components(links), "components")
 
     # second pass: pairs of different components within a region
     for number in range(ROUNDS):
-        found = _wide_round(member, first, sets, number, least, percent)
+        found = _wide_round(member, first, full_sets, number, least, percent)
         if found is None:
             break
         first = found
     rooted, deal = _dealt(member, first)
     deal = deal.drop("cells")
     mixed = _saved(rooted.join(deal, "region"), "mixed")
-    wide = mixed.where("wide").select("node", "root", "sig").dropDuplicates(["node"])
-    rare = rare_shingles(sets.join(wide.select("node"), "node", "left_semi"), percent).drop("rare")
-    wide = _saved(wide.join(rare, "node"), "wide")
+    wide = _saved(mixed.where("wide").select("node", "root", "sig").dropDuplicates(["node"]), "wide")
+    wide_sets = full_sets(wide.select("node"))
+    wide = _saved(wide.join(rare_shingles(wide_sets, percent).drop("rare"), "node"), "wide")
     mixed = mixed.where("NOT wide")
     seen = mixed.groupBy("node").agg(F.collect_list("region").alias("seen"))  # TREES at most
-    mixed = mixed.join(seen, "node").join(sets, "node")
+    mixed = mixed.join(seen, "node")
     own: Column = F.array(F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     mixed = mixed.withColumn("part", F.explode(F.when(F.col("root") == F.col("major"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))))
-    mixed = mixed.repartition("region", "part").sortWithinPartitions("region", "part", "node").select("region", "part", "node", "root", "major", "sig", "size", "seen", "shingles")
-    pairs = mixed.mapInArrow(lambda x: _across(x, least, percent), "u long, v long")
-    by_rare = confirmed(wide_pairs(wide, least, percent).distinct(), sets, percent)
+    pairs = _cell_links(mixed, full_sets, least, percent)
+    by_rare = confirmed(wide_pairs(wide, least, percent).distinct(), wide_sets, percent)
     more = _saved(pairs.unionAll(by_rare).distinct(), "links")
     ends = _contracted(first, more)
     named = distinct.join(ends, "node", "left").withColumn("root", F.coalesce("root", "node"))
