@@ -50,6 +50,47 @@ def test_ties_copies_and_odd_vectors(spark):
     assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
 
 
+def test_repeated_rows_are_rows(spark):
+    a, b, c = [1.0, 0.0], [0.5, 0.5], [0.0, 2.0]
+    rows = [(20, a)] * 3 + [(20, b)] + [(3, a)] * 2 + [(5, c), (1, b), (40, c)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    got = sorted(tuple(r) for r in curve_search.nearest(frame, every=20, k=5).collect())
+    want = []
+    for i, (q, v) in enumerate(rows):
+        if q % 20 == 0:
+            others = sorted((-float(np.dot(v, x)), j) for n, (j, x) in enumerate(rows) if n != i)
+            want += [(q, r, j, -s) for r, (s, j) in enumerate(others[:5], 1)]
+    assert got == sorted(want)
+    many = spark.createDataFrame([(20, a)] * 60 + [(21, a)] * 30, "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in curve_search.nearest(many, k=5).distinct().orderBy("rank").collect()] == [(20, r, 20, 1.0) for r in range(1, 6)]
+    assert curve_search.nearest(many, k=5).count() == 300
+
+
+def test_lengths_beyond_a_double(spark):
+    rows = [(0, [1e-200, 2e-200]), (20, [1e200, -1e200]), (40, [1.7e308, 1.7e308]), (60, [5e-324, 0.0]), (7, [1.0, 3.0]), (9, [-1e200, 1e200]), (11, [2.0, 1.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in curve_search.nearest(frame, every=20, k=20).orderBy("query_id", "rank").collect():
+        got[r.query_id].append((r.vec_id, r.score))
+    inf = float("inf")
+    assert set(got) == {0, 20, 40, 60} and all(len(v) == 6 for v in got.values())
+    assert got[20][0] == (11, 1e200) and got[20][-1] == (9, -inf) and dict(got[20])[40] == 0.0 and dict(got[20])[7] == -2e200
+    assert got[40][:2] == [(7, inf), (11, inf)] and dict(got[40])[0] == 1e-200 * 1.7e308 + 2e-200 * 1.7e308
+    assert [i for i, _ in got[60]] == [40, 20, 11, 7, 0, 9] and dict(got[60])[7] == 5e-324 and dict(got[60])[0] == 0.0
+
+
+def test_recall_on_the_table_of_embeddings(spark):
+    frame = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet")
+    table = frame.select("vec_id", "embedding").toArrow()
+    ids = table["vec_id"].to_pylist()
+    want = brute(ids, np.array(table["embedding"].to_pylist(), "f8"), 20, 20)
+    got = defaultdict(set)
+    for r in curve_search.nearest(frame, every=20, k=20).collect():
+        got[r.query_id].add(r.vec_id)
+    assert got.keys() == want.keys()
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * sum(map(len, want.values()))
+
+
 def test_few_rows_and_none(spark):
     assert run(spark, [(0, [1.0, 2.0]), (1, [2.0, 1.0])], every=20, k=20) == {0: [(1, 4.0)]}
     assert run(spark, [(20, [1.0, 2.0])], every=20, k=20) == {}
