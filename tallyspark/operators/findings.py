@@ -36,32 +36,29 @@ def n1_tier_share(orders: DataFrame) -> DataFrame:
     ).orderBy("discount_bucket")
 
 
-def _margin_partials(fact: DataFrame, key: str) -> DataFrame:
-    return fact.groupBy(key).agg(F.sum("profit_margin").alias("sm"), F.count("profit_margin").alias("nm"))
-
-
 def n2_margin_band(orders: DataFrame, customers: DataFrame, products: DataFrame) -> DataFrame:
     """Spread (max - min) of group mean margins by region, city tier and category.
 
-    Margins are summed per customer and per product (two aggregates over the fact, each
-    with map-side partial sums), and only these rows meet the dimensions; customers'
-    rows are then grouped with GROUPING SETS ((region), (city_type)).
+    One pass over the fact: each row counts for its customer and for its product, and
+    margins are summed by (kind, id) with map-side partial sums. Only these rows meet the
+    dimensions, stacked the same way with the groups that each member belongs to.
     """
-    by_cust = _margin_partials(orders, "customer_id").join(
-        customers.select("customer_id", "region", "city_type"), "customer_id")
-    geo = by_cust.groupingSets([["region"], ["city_type"]], "region", "city_type").agg(
-        (F.sum("sm").cast("double") / F.sum("nm")).alias("avg_m"),
-        F.grouping("region").alias("g_region"),
-    ).select(
-        F.when(F.col("g_region") == 0, F.lit("region")).otherwise(F.lit("city_type")).alias("dimension"),
-        F.coalesce("region", "city_type").alias("grp"),
-        "avg_m",
-    )
-    cat = _margin_partials(orders, "product_id").join(
-        products.select("product_id", "category"), "product_id").groupBy("category").agg(
-        (F.sum("sm").cast("double") / F.sum("nm")).alias("avg_m")
-    ).select(F.lit("category").alias("dimension"), F.col("category").alias("grp"), "avg_m")
-    groups = geo.unionByName(cat)
+    types = {f.schema[c].dataType for f, c in ((orders, "customer_id"), (orders, "product_id"), (customers, "customer_id"), (products, "product_id"))}
+    id_type = types.pop() if len(types) == 1 else "string"
+
+    def member(kind: str, key: str):
+        return F.struct(F.lit(kind).alias("kind"), F.col(key).cast(id_type).alias("id"))
+
+    def group(dimension: str):
+        return F.struct(F.lit(dimension).alias("dimension"), F.col(dimension).cast("string").alias("grp"))
+
+    stacked = orders.select(F.inline(F.array(member("customer", "customer_id"), member("product", "product_id"))), "profit_margin")
+    sums = stacked.groupBy("kind", "id").agg(F.sum("profit_margin").alias("sm"), F.count("profit_margin").alias("nm"))
+    members = customers.select(member("customer", "customer_id").alias("m"), F.array(group("region"), group("city_type")).alias("groups"))
+    members = members.unionAll(products.select(member("product", "product_id").alias("m"), F.array(group("category")).alias("groups")))
+    joined = sums.join(members.select("m.*", "groups"), ["kind", "id"])
+    groups = joined.select("sm", "nm", F.inline("groups")).groupBy("dimension", "grp").agg(
+        (F.sum("sm").cast("double") / F.sum("nm")).alias("avg_m"))
     return groups.groupBy("dimension").agg(
         F.count(F.lit(1)).cast("bigint").alias("n_groups"),
         F.round(F.min("avg_m"), 4).alias("min_avg_margin"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.sources.star import Tables, star_customers, star_orders, star_products
 
-# --- fixed values: dirt-injection rules on o_orderkey ----------------------
+# --- fixed values: dirt-injection rules on o_orderkey, and the export's columns
 BAD_DATE_MOD, BAD_DATE_REM = 700, 5      # 'n/a' order date (checked first)
 ALT_FORMAT_MOD = 33                      # yyyy/MM/dd order date when key % 33 = 0
 NULL_SHIP_MOD, NULL_SHIP_REM = 100, 7    # ship mode missing
@@ -23,13 +23,12 @@ NULL_POSTAL_MOD, NULL_POSTAL_REM = 50, 1
 DUPLICATE_MOD = 250                      # rows exported twice when key % 250 = 0
 BLANK_ROWS = 5                           # fully empty trailing rows
 POSTAL_BASE, POSTAL_SPAN = 100000, 800000
-# ---------------------------------------------------------------------------
-
 RAW_COLUMNS = [
     "Order ID", "Order Date", "Ship Date", "Ship Mode", "Customer ID", "Customer Name",
     "Last Name", "Segment", "City Type", "Region", "State", "Postal Code", "Category",
     "Sub-Category", "Sales", "Quantity", "Discount", "Profit",
 ]
+# ---------------------------------------------------------------------------
 
 
 def _null_when(cond, value):

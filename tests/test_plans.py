@@ -75,3 +75,10 @@ def test_bounded_broadcast_checks_size(spark):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "BroadcastHashJoin" in hinted
     assert "BroadcastHashJoin" not in plain and "SortMergeJoin" in plain
+
+
+def test_margin_band_reads_the_fact_once(spark):
+    """Customers' and products' margins come from one scan; partial sums run before the exchange."""
+    plan = _plan(entry.queries()["n2_margin_band"](spark, SF))
+    assert sum("FileScan parquet" in x and "l_orderkey" in x for x in plan.splitlines()) == 1
+    assert "partial_sum(UnscaledValue(profit_margin" in plan
