@@ -9,6 +9,13 @@ Starts are deterministic: a restart's first centre is the row whose key has the
 number, the next ones are farthest-first (the row with the greatest distance to its nearest
 centre so far). One sequence serves every k of its restart, so starts take max(k) scans.
 
+A row is ``x``, an array of doubles, and optionally ``on``, the places of the ones in a one-hot block
+behind it (as many in every row). Centres hold both parts in full. Rows with equal ``on`` that
+follow each other share that part of the distances, so a row costs its few numbers, not a number a level.
+
+The scans of a sweep read the rows as blocks of numbers, written once (``pack``): a block is one
+value to Spark, so a scan costs little beside the sums.
+
 A scan sends (models x k) sums a task, added up in Spark; rows never leave their
 partitions, and the driver holds centres only. Squared distances are rounded to nine places
 before they are compared, so ties fall to the first centre or least key on every layout.
@@ -21,111 +28,198 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.plans.materialize import materialize
+
 PLACES = 9
 STILL = 1e-9
-BLOCK = 1024
+BLOCK = 512
 
 
 @dataclass
 class Model:
-    """Centres of one k (rows), and the sum of squared distances of all rows to their centres."""
+    """Centres of one k (rows), the sum of squared distances of all rows to their centres, and the length of the one-hot block."""
 
     k: int
     restart: int
     centres: np.ndarray
     inertia: float = 0.0
+    slots: int = 0
+
+
+def _points(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``on``, empty where there is no one-hot block."""
+    return rows if "on" in rows.columns else rows.withColumn("on", F.array().cast("array<int>"))
+
+
+def _tools() -> tuple[Callable, Callable, Callable]:
+    """Functions for tasks, made here so that they travel by value (workers need not have this package)."""
+    block, places, kept = BLOCK, PLACES, {}
+
+    def space(name: str, shape: tuple, kind: type = float) -> np.ndarray:
+        """Memory kept from block to block; fresh pages for each would cost more than the sums."""
+        size = int(np.prod(shape))
+        if name not in kept or kept[name].size < size:
+            kept[name] = np.empty(size, kind)
+        return kept[name][:size].reshape(shape)
+
+    def blocks(x: pa.Array, on: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks of rows with equal ``on``: first row, matrix (x, 1 and the square of the whole row; a column a row), on."""
+        n = len(x)
+        if not n:
+            return
+        x = x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        on = on.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+        rows = np.empty((x.shape[1] + 2, n))
+        rows[:-2], rows[-2], rows[-1] = x.T, 1, (x**2).sum(axis=1) + on.shape[1]
+        edges = [0, *(np.flatnonzero((on[1:] != on[:-1]).any(axis=1)) + 1).tolist(), n]
+        for a, b in zip(edges, edges[1:]):
+            for k in range(a, b, block):
+                yield k, np.ascontiguousarray(rows[:, k : min(k + block, b)]), on[a]
+
+    def apart(rows: np.ndarray, on: np.ndarray, centres: np.ndarray, squares: np.ndarray, name: str = "d") -> np.ndarray:
+        """|row|^2 - 2 row . centre + squares, for each centre (first axis) and row; valid until the next call with this ``name``."""
+        p = len(rows) - 2
+        form = np.empty((len(centres), p + 2))
+        form[:, :p] = centres[:, :p]
+        form[:, p] = centres[:, p + on].sum(axis=1)
+        form[:, : p + 1] *= -2
+        form[:, p] += squares
+        form[:, -1] = 1
+        return np.matmul(form, rows, out=space(name, (len(centres), rows.shape[1])))
+
+    def nearest(d: np.ndarray, edges: Sequence[int]) -> np.ndarray:
+        """Whether each row belongs to each centre of all models: 1 for the first centre with the least rounded distance."""
+        near, i, size = space("near", d.shape), 0, np.diff(edges)
+        while i < len(size):
+            j = i
+            while j < len(size) and size[j] == size[i]:
+                j += 1
+            part = d[edges[i] : edges[j]].reshape(j - i, size[i], -1)
+            least = part.min(axis=1)
+            hit = np.less_equal(part, (least + 2 * 10.0**-places)[:, None], out=space("hit", part.shape, bool))
+            if np.count_nonzero(hit) > least.size:  # only these can tie once they are rounded
+                m, r = np.nonzero(np.count_nonzero(hit, axis=1) > 1)
+                first = np.maximum(part[m, :, r], 0).round(places).argmin(axis=1)
+                hit[m, :, r] = first[:, None] == np.arange(size[i])
+            near[edges[i] : edges[j]] = hit.reshape(-1, d.shape[1])
+            i = j
+        return near
+
+    return blocks, apart, nearest
+
+
+def pack(rows: DataFrame) -> DataFrame:
+    """Blocks of rows with equal ``on``: on, and the block's matrix (x, 1 and the square of the row; a column a row) as doubles."""
+    blocks, _, _ = _tools()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(on.tolist(), some.tobytes()) for _, some, on in blocks(*batch.columns)]
+            if found:
+                on, some = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), pa.array(some, pa.binary())], ["on", "block"])
+
+    return _points(rows).select("x", "on").mapInArrow(run, "on array<int>, block binary")
 
 
-def _sums(rows: DataFrame, size: int, part: Callable) -> np.ndarray:
-    """Sum of ``part(x)``, ``size`` doubles a block of rows, over the column ``x``."""
-    block = BLOCK
+def _sums(packed: DataFrame, height: int, size: int, part: Callable) -> np.ndarray:
+    """Sum of what ``part(total, rows, on)`` adds to ``size`` doubles, over all blocks; ``height``: length of x and two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            if batch.num_rows:
-                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-                for k in range(0, len(x), block):
-                    total += part(x[k : k + block])
+            for on, some in zip(*batch.columns):
+                part(total, np.frombuffer(some.as_buffer()).reshape(height, -1), np.array(on.as_py(), int))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["i", "value"])
 
     out = np.zeros(size)
-    for i, value in rows.select("x").mapInArrow(run, "i int, value double").groupBy("i").agg(F.sum("value")).collect():
-        out[i] = value
+    found = packed.select("on", "block").mapInArrow(run, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).toArrow()
+    out[found["i"].to_numpy()] = found["value"].to_numpy()
     return out
 
 
-def _farthest(rows: DataFrame, chosen: np.ndarray) -> list[list[float]]:
+def _farthest(rows: DataFrame, chosen: np.ndarray) -> list[tuple[list[float], list[int]]]:
     """For each restart (first axis) the row farthest from all of its centres; the least key on a tie."""
-    places = PLACES
+    places, (blocks, apart, _) = PLACES, _tools()
+    restarts, centres = len(chosen), chosen.reshape(-1, chosen.shape[2])
+    squares = (centres**2).sum(axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = [None] * len(chosen)
+        best = [None] * restarts
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(0).to_pylist()
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            for r, centres in enumerate(chosen):
-                d = np.min([((x - c) ** 2).sum(axis=1) for c in centres], axis=0).round(places)
-                for i in np.flatnonzero(d == d.max()).tolist():
-                    new = (-d[i], keys[i], x[i])
-                    if best[r] is None or new[:2] < best[r][:2]:
-                        best[r] = new
+            keys, xs, ons = batch.columns
+            for start, some, on in blocks(xs, ons):
+                d = apart(some, on, centres, squares).reshape(restarts, -1, some.shape[1]).min(axis=1)
+                d = np.maximum(d, 0).round(places)
+                for r, most in enumerate(d.max(axis=1).tolist()):
+                    if best[r] is None or -most <= best[r][0]:
+                        ties = np.flatnonzero(d[r] == most) + start
+                        key, i = min(zip(keys.take(pa.array(ties)).to_pylist(), ties.tolist()))
+                        if best[r] is None or (-most, key) < best[r][:2]:
+                            best[r] = (-most, key, xs[i].as_py(), ons[i].as_py())
         got = [(r, *b) for r, b in enumerate(best) if b]
-        r, d, k, x = zip(*got) if got else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(r, pa.int32()), pa.array(d, pa.float64()), pa.array(k, pa.string()),
-                                          pa.array([v.tolist() for v in x], pa.list_(pa.float64()))], ["r", "d", "k", "x"])
+        columns = zip(*got) if got else [()] * 5
+        kinds = [pa.int32(), pa.float64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["r", "d", "k", "x", "on"])
 
-    got = rows.select("key", "x").mapInArrow(run, "r int, d double, k string, x array<double>")
-    return [x for _, x in sorted(got.groupBy("r").agg(F.min_by("x", F.struct("d", "k"))).collect())]
+    got = rows.select("key", "x", "on").mapInArrow(run, "r int, d double, k string, x array<double>, on array<int>")
+    return [tuple(point) for _, point in sorted(got.groupBy("r").agg(F.min_by(F.struct("x", "on"), F.struct("d", "k"))).collect())]
+
+
+def _full(points: Sequence[tuple[list[float], list[int]]], slots: int) -> np.ndarray:
+    """Points in full length, the ones of their one-hot block set."""
+    out = np.zeros((len(points), len(points[0][0]) + slots))
+    for row, (x, on) in zip(out, points):
+        row[: len(x)] = x
+        row[[len(x) + i for i in on]] = 1
+    return out
 
 
 def starts(rows: DataFrame, n_init: int, most: int) -> np.ndarray:
     """Farthest-first centres of every restart: (n_init, most, dimensions)."""
-    first = rows.agg(*[F.min_by("x", F.struct(F.md5(F.concat(F.lit(f"{r}:"), "key").cast("binary")), "key")).alias(f"r{r}") for r in range(n_init)]).first()
-    chosen = np.array([[list(x)] for x in first], float)
+    rows = _points(rows)
+    first = [F.min_by(F.struct("x", "on"), F.struct(F.md5(F.concat(F.lit(f"{r}:"), "key").cast("binary")), "key")).alias(f"r{r}") for r in range(n_init)]
+    *first, last = rows.agg(*first, F.max(F.array_max("on"))).first()
+    slots = 0 if last is None else last + 1
+    chosen = _full([tuple(point) for point in first], slots)[:, None]
     while chosen.shape[1] < most:
-        chosen = np.concatenate((chosen, np.array(_farthest(rows, chosen), float)[:, None, :]), axis=1)
+        chosen = np.concatenate((chosen, _full(_farthest(rows, chosen), slots)[:, None]), axis=1)
     return chosen
 
 
-def _nearest(x: np.ndarray, centres: np.ndarray, edges: Sequence[int], places: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each row (second axis) belongs to each centre of all models, and the squared distances."""
-    d = centres @ x.T
-    d *= -2
-    d += (x**2).sum(axis=1)
-    d += (centres**2).sum(axis=1)[:, None]
-    np.maximum(d, 0, out=d)
-    near, row, compared = np.zeros(d.shape), np.arange(len(x)), d.round(places)
-    for a, b in zip(edges, edges[1:]):
-        near[a + compared[a:b].argmin(axis=0), row] = 1
-    return near, d
+def _cluster_sums(packed: DataFrame, edges: list[int], centres: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sum of squares and sum of the rows of each centre of all models, in one scan."""
+    blocks, apart, nearest = _tools()
+    squares, width = (centres**2).sum(axis=1), centres.shape[1] + 2
+
+    def part(total: np.ndarray, some: np.ndarray, on: np.ndarray) -> None:
+        total, p = total.reshape(len(centres), width), len(some) - 2
+        near = nearest(apart(some, on, centres, squares), edges)
+        sums = near @ some.T
+        total[:, : p + 2] += sums
+        total[:, p + 2 + on] += sums[:, p, None]
+
+    p = centres.shape[1] - slots
+    found = _sums(packed, p + 2, len(centres) * width, part).reshape(len(centres), width)
+    return found[:, p], found[:, p + 1], np.delete(found, [p, p + 1], axis=1)
 
 
-def lloyd(rows: DataFrame, models: list[Model], max_iter: int) -> int:
+def lloyd(packed: DataFrame, models: list[Model], max_iter: int) -> int:
     """Move all models' centres to the means of their rows, in one scan an iteration; returns the scans.
 
     A centre without rows stays where it is.
     """
     live, scans = list(models), 0
-    nearest, places = _closed(_nearest), PLACES
     while live and scans < max_iter:
         edges = np.cumsum([0, *(m.k for m in live)]).tolist()
         centres = np.concatenate([m.centres for m in live])
-        size = centres.shape[1] + 1
-
-        def part(x: np.ndarray) -> np.ndarray:
-            near, _ = nearest(x, centres, edges, places)
-            return np.concatenate((near.sum(axis=1)[:, None], near @ x), axis=1).ravel()
-
-        found = _sums(rows, edges[-1] * size, part).reshape(edges[-1], size)
+        count, _, sums = _cluster_sums(packed, edges, centres, models[0].slots)
         scans += 1
-        count = found[:, :1]
-        moved = np.where(count > 0, found[:, 1:] / np.maximum(count, 1), centres)
+        count = count[:, None]
+        moved = np.where(count > 0, sums / np.maximum(count, 1), centres)
         still = []
         for m, a, b in zip(live, edges, edges[1:]):
             if np.abs(moved[a:b] - m.centres).max() > STILL:
@@ -135,28 +229,26 @@ def lloyd(rows: DataFrame, models: list[Model], max_iter: int) -> int:
     return scans
 
 
-def _closed(f: Callable) -> Callable:
-    """A copy of a module function that travels to the workers by value (they need not have this package)."""
-    import types
+def _height(models: list[Model]) -> int:
+    return models[0].centres.shape[1] - models[0].slots + 2
 
-    return types.FunctionType(f.__code__, {"np": np, "__builtins__": __builtins__}, f"{f.__name__}_copy")
 
-
-def costs(rows: DataFrame, models: list[Model]) -> None:
+def costs(packed: DataFrame, models: list[Model]) -> None:
     """Fill in every model's inertia, in one scan."""
     edges = np.cumsum([0, *(m.k for m in models)]).tolist()
     centres = np.concatenate([m.centres for m in models])
-    nearest, places = _closed(_nearest), PLACES
+    squares = (centres**2).sum(axis=1)
+    _, apart, nearest = _tools()
 
-    def part(x: np.ndarray) -> np.ndarray:
-        near, d = nearest(x, centres, edges, places)
-        return np.add.reduceat((near * d).sum(axis=1), edges[:-1])
+    def part(total: np.ndarray, some: np.ndarray, on: np.ndarray) -> None:
+        d = np.maximum(apart(some, on, centres, squares), 0)
+        total += np.add.reduceat((nearest(d, edges) * d).sum(axis=1), edges[:-1])
 
-    for m, cost in zip(models, _sums(rows, len(models), part)):
+    for m, cost in zip(models, _sums(packed, _height(models), len(models), part)):
         m.inertia = float(cost)
 
 
-def silhouettes(rows: DataFrame, models: list[Model]) -> list[float]:
+def silhouettes(packed: DataFrame, models: list[Model]) -> list[float]:
     """Mean silhouette of squared distances of each model over all rows, in two scans.
 
     A row's mean squared distance to a cluster follows from the cluster's size, sum and sum
@@ -164,57 +256,65 @@ def silhouettes(rows: DataFrame, models: list[Model]) -> list[float]:
     """
     edges = np.cumsum([0, *(m.k for m in models)]).tolist()
     centres = np.concatenate([m.centres for m in models])
-    nearest, places, size = _closed(_nearest), PLACES, centres.shape[1] + 2
-
-    def totals(x: np.ndarray) -> np.ndarray:
-        near, _ = nearest(x, centres, edges, places)
-        return np.concatenate((near.sum(axis=1)[:, None], (near @ (x**2).sum(axis=1))[:, None], near @ x), axis=1).ravel()
-
-    found = _sums(rows, edges[-1] * size, totals).reshape(edges[-1], size)
-    count, squares, sums = found[:, 0], found[:, 1], found[:, 2:]
+    squares = (centres**2).sum(axis=1)
+    count, within, sums = _cluster_sums(packed, edges, centres, models[0].slots)
     filled = np.maximum(count, 1)
+    means, spreads = sums / filled[:, None], within / filled
+    _, apart, nearest = _tools()
 
-    def part(x: np.ndarray) -> np.ndarray:
-        near = nearest(x, centres, edges, places)[0].T
-        apart = (x**2).sum(axis=1)[:, None] + squares / filled - 2 * x @ sums.T / filled
-        out = []
-        for a, b in zip(edges, edges[1:]):
+    def part(total: np.ndarray, some: np.ndarray, on: np.ndarray) -> None:
+        near = nearest(apart(some, on, centres, squares), edges).T
+        mean = apart(some, on, means, spreads, "mean").T
+        for k, (a, b) in enumerate(zip(edges, edges[1:])):
             mine = near[:, a:b] > 0
             n = np.broadcast_to(count[a:b], mine.shape)[mine]
-            own = apart[:, a:b][mine] * n / np.maximum(n - 1, 1)
-            other = np.where(mine | (count[a:b] == 0), np.inf, apart[:, a:b]).min(axis=1)
+            own = mean[:, a:b][mine] * n / np.maximum(n - 1, 1)
+            other = np.where(mine | (count[a:b] == 0), np.inf, mean[:, a:b]).min(axis=1)
             greater = np.maximum(own, other)
-            out.append(np.where((n > 1) & (greater > 0) & np.isfinite(other), (other - own) / np.where(greater > 0, greater, 1), 0.0).sum())
-        return np.array(out)
+            total[k] += np.where((n > 1) & (greater > 0) & np.isfinite(other), (other - own) / np.where(greater > 0, greater, 1), 0.0).sum()
 
     n = count[: edges[1]].sum()
-    return [float(s / n) if n else 0.0 for s in _sums(rows, len(models), part)]
+    return [float(s / n) if n else 0.0 for s in _sums(packed, _height(models), len(models), part)]
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt evenly over all cores: a scan is computation, so a small table should not be one task."""
+    """Rows dealt evenly over all cores: a scan is computation, so a small table should not be one task. Equal ``on`` lie together."""
     spark = rows.sparkSession
-    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return dealt.sortWithinPartitions("on") if "on" in rows.columns else dealt
 
 
 def sweep(rows: DataFrame, ks: Sequence[int], n_init: int = 10, max_iter: int = 50) -> tuple[list[Model], list[float], int]:
     """Best restart of every k (least inertia to four places, then the first), their silhouettes, and the Lloyd scans.
 
-    ``rows``: key (unique string) and x (array<double>, one length, no nulls). Without rows there are no models.
+    ``rows``: key (unique string), x (array<double>, one length, no nulls) and perhaps on (array<int>, one length). Without rows there are no models.
     """
     if rows.isEmpty():
         return [], [], 0
+    rows = _points(rows)
     chosen = starts(rows, n_init, max(ks))
-    models = [Model(k, r, chosen[r, :k]) for k in ks for r in range(n_init)]
-    scans = lloyd(rows, models, max_iter)
-    costs(rows, models)
+    slots = chosen.shape[2] - len(rows.first()["x"])
+    models = [Model(k, r, chosen[r, :k], slots=slots) for k in ks for r in range(n_init)]
+    packed = materialize(pack(rows), "k-blocks")
+    scans = lloyd(packed, models, max_iter)
+    costs(packed, models)
     best = [min((m for m in models if m.k == k), key=lambda m: (round(m.inertia, 4), m.restart)) for k in ks]
-    return best, silhouettes(rows, best), scans
+    return best, silhouettes(packed, best), scans
 
 
 def assign(rows: DataFrame, model: Model, column: str = "segment_id") -> DataFrame:
-    """``rows`` with the number of each one's centre, by DataFrame functions; ``x`` is dropped."""
-    centres = F.array(*[F.array(*map(F.lit, c)) for c in model.centres.tolist()])
-    distance = F.transform(centres, lambda c: F.round(F.aggregate(
-        F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v), PLACES))
-    return rows.withColumn(column, (F.array_position(distance, F.array_min(distance)) - 1).cast("int")).drop("x")
+    """``rows`` with the number of each one's centre, by DataFrame functions; ``x`` and ``on`` are dropped."""
+    slots = model.slots
+    p = model.centres.shape[1] - slots
+    parts = [F.struct(F.array(*map(F.lit, c[:p])).alias("x"), F.array(*map(F.lit, c[p:])).cast("array<double>").alias("levels"),
+                      F.lit(sum(v * v for v in c[p:])).alias("square")) for c in model.centres.tolist()]
+
+    def apart(c: Column) -> Column:
+        numbers = F.aggregate(F.zip_with("x", c["x"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+        if not slots:
+            return F.round(numbers, PLACES)
+        shared = F.aggregate("on", F.lit(0.0), lambda s, i: s + F.get(c["levels"], i))
+        return F.round(numbers + (c["square"] + F.size("on") - 2 * shared), PLACES)
+
+    distance = F.transform(F.array(*parts), apart)
+    return rows.withColumn(column, (F.array_position(distance, F.array_min(distance)) - 1).cast("int")).drop("x", "on")

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import (
@@ -76,11 +76,20 @@ def featurize(df: DataFrame, numeric: Sequence[str] = NUMERIC_FEATURES,
     return features.encoder([f"z_{c}" for c in numeric], categorical).fit(scaled).transform(scaled)
 
 
+def point(frame: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> list[Column]:
+    """The row of ``featurize`` as k-means reads it: x, the z-scores, and on, the places of the ones in the one-hot block."""
+    places, before = [], 0
+    for c in categorical:
+        places.append((F.col(f"{c}__number") + before).cast("int"))
+        before += frame.schema[f"{c}__levels"].metadata["ml_attr"]["num_attrs"]
+    return [F.array(*[F.col(f"z_{c}").cast("double") for c in numeric]).alias("x"), *([F.array(*places).alias("on")] if places else [])]
+
+
 def sweep(rows: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: int = 10,
           max_iter: int = 50) -> tuple[int, DataFrame, dict[int, kmeans.Model]]:
     """M3 + M4: inertia and silhouette for each k; best k = highest silhouette (to six places, first on ties).
 
-    ``rows`` has key and x (see ``kmeans.sweep``). Returns (best_k, sweep rows as a
+    ``rows`` has key, x and on (see ``kmeans.sweep``). Returns (best_k, sweep rows as a
     DataFrame, best model by k); the scans run when this is called. No rows: best_k 0, no sweep rows."""
     models, scores, _ = kmeans.sweep(rows, list(k_range), n_init, max_iter)
     found = [(m.k, round(m.inertia, 4), round(s, 6)) for m, s in zip(models, scores)]
@@ -93,7 +102,7 @@ def sweep(rows: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: int = 10,
 def _assigned(rows: DataFrame, models: dict[int, kmeans.Model], best_k: int) -> DataFrame:
     """``rows`` with segment_id; without rows there is no model, and no row to assign."""
     if not best_k:
-        return rows.drop("key", "x").withColumn("segment_id", F.lit(0))
+        return rows.drop("key", "x", "on").withColumn("segment_id", F.lit(0))
     return kmeans.assign(rows, models[best_k]).drop("key")
 
 
@@ -173,8 +182,9 @@ def order_segmentation(orders: DataFrame, products: DataFrame, k_range: Sequence
                        n_init: int = 10, max_iter: int = 50) -> Segmentation:
     """M7: features -> sweep -> final fit at best k -> labels."""
     names = [*orders.columns, "category", "sub_category"]
-    rows = featurize(load_order_features(orders, products))
-    rows = rows.select(*names, F.col("order_id").alias("key"), vector_to_array("features").alias("x"))
+    # the star is built once; scaling, encoding and the features read it
+    rows = featurize(materialize(load_order_features(orders, products), "order-rows"))
+    rows = rows.select(*names, F.col("order_id").alias("key"), *point(rows, NUMERIC_FEATURES, CATEGORICAL_FEATURES))
     rows = materialize(kmeans.spread(rows), "order-features")
     best_k, table, models = sweep(rows, k_range, n_init, max_iter)
     return Segmentation(best_k, table, label_segments(_assigned(rows, models, best_k)))
@@ -203,7 +213,7 @@ def rfm_segments(orders: DataFrame, k_range: Sequence[int] = K_RANGE, n_init: in
     """M8: scale R/F/M, sweep k, fit, one segment per customer."""
     cols = ["recency", "frequency", "monetary"]
     table = materialize(rfm(orders), "rfm")  # one row a customer; read by scaling, every fit and the result
-    rows = featurize(table, cols, []).select("customer_id", *cols, F.col("customer_id").cast("string").alias("key"), vector_to_array("features").alias("x"))
+    rows = featurize(table, cols, []).select("customer_id", *cols, F.col("customer_id").cast("string").alias("key"), *point(table, cols, []))
     rows = materialize(kmeans.spread(rows), "rfm-features")
     best_k, sweep_table, models = sweep(rows, k_range, n_init, max_iter)
     return Segmentation(best_k, sweep_table, _assigned(rows, models, best_k))

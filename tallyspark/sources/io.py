@@ -81,8 +81,9 @@ def save_table(df: DataFrame, name: str, mode: str = "overwrite",
 
 
 def manifest(spark: SparkSession, table: str) -> tuple[int, int]:
-    """Files and bytes of a table, from a listing of its folder (no content is read)."""
-    location = spark.sql(f"DESCRIBE FORMATTED {table}").where("col_name = 'Location'").first()["data_type"]
+    """Files and bytes of a table, from a listing of its folder (no content is read). A temporary view of that name is passed over."""
+    name = table if "." in table else f"`{spark.catalog.currentDatabase()}`.{table}"
+    location = spark.sql(f"DESCRIBE FORMATTED {name}").where("col_name = 'Location'").first()["data_type"]
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(location)
     files, size = listing.agg(F.count("path"), F.coalesce(F.sum("length"), F.lit(0))).first()
     return files, size

@@ -80,6 +80,25 @@ def test_many_models_at_once_equal_one_at_a_time(spark):
     assert kmeans.sweep(rows.limit(0), ks, n_init, most) == ([], [], 0)
 
 
+def test_one_hot_places_equal_the_full_vectors(spark):
+    """Rows given by the places of their ones get the sweep, starts and segments of their full vectors, in any order of rows."""
+    rng = np.random.default_rng(5)
+    on = np.stack((rng.integers(0, 3, 90), 3 + rng.integers(0, 2, 90)), axis=1)
+    on[:5] = (0, 3), (1, 4), (2, 3), (0, 4), (1, 3)
+    x = rng.integers(-2, 3, (90, 2)).astype(float)  # few values, so distances tie
+    block = np.zeros((90, 5))
+    np.put_along_axis(block, on, 1, axis=1)
+    keys = [f"k{i:02d}" for i in range(90)]
+    short = spark.createDataFrame([(k, v.tolist(), o.tolist()) for k, v, o in zip(keys, x, on)], "key string, x array<double>, on array<int>").repartition(3)
+    full = spark.createDataFrame([(k, v.tolist()) for k, v in zip(keys, np.concatenate((x, block), axis=1))], "key string, x array<double>").repartition(4)
+    assert np.array_equal(kmeans.starts(short, 2, 4), kmeans.starts(full, 2, 4))
+    got, want = kmeans.sweep(short, [2, 4], 2, 15), kmeans.sweep(full, [2, 4], 2, 15)
+    assert np.allclose(got[1], want[1])
+    for a, b in zip(got[0], want[0]):
+        assert a.restart == b.restart and np.allclose(a.centres, b.centres) and abs(a.inertia - b.inertia) < 1e-9
+        assert {(r.key, r.segment_id) for r in kmeans.assign(short, a).collect()} == {(r.key, r.segment_id) for r in kmeans.assign(full, b).collect()}
+
+
 def test_linear_model_against_dense_least_squares(spark):
     """Collinear and constant columns, a level unseen in training, doubles and decimals."""
     rng = np.random.default_rng(8)
