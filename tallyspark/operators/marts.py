@@ -26,6 +26,19 @@ def flat_extract(orders: DataFrame, customers: DataFrame, products: DataFrame) -
     return orders.join(customers, "customer_id").join(products, "product_id")
 
 
+def flat_extract_of(lines: DataFrame, headers: DataFrame, customers: DataFrame, products: DataFrame, key: str,
+                    columns: Callable[[DataFrame, list[str]], DataFrame]) -> DataFrame:
+    """``flat_extract`` of a fact that is still in two narrow tables, lines and their orders.
+
+    Products join the lines and customers join the orders, so that no wide row crosses an exchange twice; ``columns``
+    derives the fact's columns last, with the dimensions' columns behind them.
+    """
+    own = [c for c in customers.columns if c != "customer_id"] + [c for c in products.columns if c != "product_id"]
+    joined = lines.join(products, "product_id").join(headers.join(customers, "customer_id"), key)
+    rows = columns(joined, own)
+    return rows.select("product_id", "customer_id", *[c for c in rows.columns if c not in ("product_id", "customer_id")])
+
+
 def apply_slicers(
     df: DataFrame,
     regions: Sequence[str] | None = None,

@@ -37,6 +37,7 @@ CITY_TIER2_BELOW = 17
 DISCOUNT_SCALE = 4              # driver discounts 0-0.10 scaled to 0-0.40
 TAX_PROFIT_FACTOR = 5           # profit rate = 5 * tax - 0.02
 TAX_PROFIT_OFFSET = "0.02"
+ORDER_KEY = "o_orderkey"         # the key of lines and orders
 POSTAL_MISSING_MOD = 50         # postal code missing when o_orderkey % 50 = 1
 # dirty star: customers with key % 40 = 7 and products with key % 25 = 3 occur twice;
 # order keys with remainder 5 by these numbers break one rule each
@@ -128,20 +129,32 @@ def star_orders_line(spark_or_tables, sf_dir: str | None = None, dirty_ship_date
     ``dirty_ship_date`` takes the ship date from ``l_shipdate`` instead, so
     ship-before-order rows exist for the data-quality checks.
     """
-    t = _t(spark_or_tables, sf_dir)
-    li = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity",
-                           "l_extendedprice", "l_discount", "l_tax",
-                           *(["l_shipdate"] if dirty_ship_date else []))
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    j = li.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, headers = line_tables(_t(spark_or_tables, sf_dir), dirty_ship_date)
+    return line_columns(lines.join(headers, ORDER_KEY), dirty_ship_date=dirty_ship_date)
+
+
+def headers_of(t: Tables) -> DataFrame:
+    """The order's own columns, one row an order."""
+    return t.orders.select(F.col("o_orderkey").alias(ORDER_KEY), F.col("o_custkey").alias("customer_id"), "o_orderdate", "o_orderpriority")
+
+
+def line_tables(t: Tables, dirty_ship_date: bool = False) -> tuple[DataFrame, DataFrame]:
+    """The line-grain fact in its two narrow tables, lines and orders, which ``line_columns`` reads once joined."""
+    lines = t.lineitem.select(F.col("l_orderkey").alias(ORDER_KEY), F.col("l_partkey").alias("product_id"), "l_linenumber", "l_quantity",
+                              "l_extendedprice", "l_discount", "l_tax", *(["l_shipdate"] if dirty_ship_date else []))
+    return lines, headers_of(t)
+
+
+def line_columns(j: DataFrame, extra: list[str] | None = None, dirty_ship_date: bool = False) -> DataFrame:
+    """The star's columns of joined lines and orders, and ``extra`` columns behind them."""
     order_date = F.col("o_orderdate").cast("date")
     ship_date = (F.col("l_shipdate").cast("date") if dirty_ship_date
                  else F.date_add(order_date, F.col("l_linenumber")))
     m = _money_columns(F.col("l_extendedprice"), F.col("l_discount"), F.col("l_tax"))
     base = j.select(
-        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("l_partkey").alias("product_id"),
+        F.concat(F.col(ORDER_KEY).cast("string"), F.lit("-"), F.col("l_linenumber").cast("string")).alias("order_id"),
+        "customer_id",
+        "product_id",
         order_date.alias("order_date"),
         ship_date.alias("ship_date"),
         ship_mode_of("o_orderpriority").alias("ship_mode"),
@@ -150,9 +163,10 @@ def star_orders_line(spark_or_tables, sf_dir: str | None = None, dirty_ship_date
         m["discount"].alias("discount"),
         m["profit"].alias("profit"),
         F.datediff(ship_date, order_date).alias("delivery_days"),
-        ((F.col("o_orderkey") % POSTAL_MISSING_MOD) == 1).alias("postal_code_missing"),
+        ((F.col(ORDER_KEY) % POSTAL_MISSING_MOD) == 1).alias("postal_code_missing"),
+        *(extra or []),
     )
-    return _finish_orders(base)
+    return _finish_orders(base, extra)
 
 
 def dirty_star(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -197,16 +211,23 @@ def order_grain_lines(t: Tables) -> DataFrame:
 
 def star_orders(spark_or_tables, sf_dir: str | None = None, keep_order_key: bool = False) -> DataFrame:
     """Order-grain fact, unique ``order_id`` = ``ORD-`` + 8-digit order key."""
-    t = _t(spark_or_tables, sf_dir)
-    lines = order_grain_lines(t)
-    o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    j = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    lines, headers = order_tables(_t(spark_or_tables, sf_dir))
+    return order_columns(lines.join(headers, ORDER_KEY), [ORDER_KEY] if keep_order_key else None)
+
+
+def order_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The order-grain fact in its two narrow tables, folded lines and orders, which ``order_columns`` reads once joined."""
+    return order_grain_lines(t).withColumnRenamed("l_orderkey", ORDER_KEY), headers_of(t)
+
+
+def order_columns(j: DataFrame, extra: list[str] | None = None) -> DataFrame:
+    """The star's columns of joined folded lines and orders, and ``extra`` columns behind them."""
     order_date = F.col("o_orderdate").cast("date")
     ship_date = F.date_add(order_date, F.col("first_line"))
     m = _money_columns(F.col("sales_raw"), F.col("discount_raw"), F.col("tax_raw"))
     base = j.select(
-        F.format_string("ORD-%08d", F.col("o_orderkey")).alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
+        F.format_string("ORD-%08d", F.col(ORDER_KEY)).alias("order_id"),
+        "customer_id",
         "product_id",
         order_date.alias("order_date"),
         ship_date.alias("ship_date"),
@@ -216,10 +237,10 @@ def star_orders(spark_or_tables, sf_dir: str | None = None, keep_order_key: bool
         m["discount"].alias("discount"),
         m["profit"].alias("profit"),
         F.datediff(ship_date, order_date).alias("delivery_days"),
-        ((F.col("o_orderkey") % POSTAL_MISSING_MOD) == 1).alias("postal_code_missing"),
-        "o_orderkey",
+        ((F.col(ORDER_KEY) % POSTAL_MISSING_MOD) == 1).alias("postal_code_missing"),
+        *(extra or []),
     )
-    return _finish_orders(base, ["o_orderkey"] if keep_order_key else None)
+    return _finish_orders(base, extra)
 
 
 def register_star(spark: SparkSession, sf_dir: str, grain: str = "line") -> None:

@@ -82,3 +82,40 @@ def test_margin_band_reads_the_fact_once(spark):
     plan = _plan(entry.queries()["n2_margin_band"](spark, SF))
     assert sum("FileScan parquet" in x and "l_orderkey" in x for x in plan.splitlines()) == 1
     assert "partial_sum(UnscaledValue(profit_margin" in plan
+
+
+def test_flat_extract_derives_columns_after_its_joins(spark, tmp_path):
+    """Rows of the plain joins, with orphans, null and repeated keys; no derived column crosses an exchange."""
+    import datetime as dt
+
+    from tallyspark.operators import marts
+    from tallyspark.sources import star
+    from tallyspark.sources.tables import Tables
+
+    t = Tables(spark, str(tmp_path))
+    day = dt.datetime(1997, 5, 4)
+    for name, rows, schema in (
+        ("region", [(0, "ASIA")], "r_regionkey int, r_name string"),
+        ("nation", [(7, "JAPAN", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        ("customer", [(1, "C#1", 7, "A"), (1, "C#1b", 7, "B"), (2, "C#2", 99, "A"), (None, "C", 7, "A")], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string"),
+        ("part", [(5, "T", "b"), (5, "T", "c"), (6, None, None), (None, "T", "b")], "p_partkey long, p_type string, p_brand string"),
+        ("orders", [(10, 1, day, "2-HIGH"), (10, 2, day, None), (11, None, None, "5-LOW"), (51, 1, None, "1-URGENT"), (None, 1, day, "2-HIGH")], "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"),
+        ("lineitem", [(10, 5, 1, 2.0, 9.5, 0.1, 0.02), (10, 5, 1, 2.0, 9.5, 0.1, 0.02), (51, 6, 3, None, 0.0, None, 0.0), (51, None, 1, 1.0, 1.0, 0.0, 0.0), (12, 5, 1, 1.0, 1.0, 0.0, 0.0), (None, 5, 1, 1.0, 1.0, 0.0, 0.0)],
+         "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double"),
+    ):
+        spark.createDataFrame(rows, schema).write.parquet(t.path(name))
+    c, p = star.star_customers(t), star.star_products(t)
+    got = marts.flat_extract_of(*star.line_tables(t), c, p, star.ORDER_KEY, star.line_columns)
+    want = marts.flat_extract(star.star_orders_line(t), c, p)
+    assert got.columns == want.columns and got.count() == want.count() == 10
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = marts.flat_extract_of(*star.line_tables(t), c, p, star.ORDER_KEY, star.line_columns)
+        text = plan._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    lines = text.splitlines()
+    exchanged = [lines[i + 1] for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    assert exchanged and not any("order_quarter" in line or "profit_margin" in line for line in exchanged)
