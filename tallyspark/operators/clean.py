@@ -17,7 +17,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyspark.functions.exprs import (
@@ -92,6 +92,17 @@ def prepare(raw: DataFrame, strict_first_format: bool = False, ordinal: str | No
     return typed(df, strict_first_format)
 
 
+def first_seen(df: DataFrame, first_key: Column, date: str | None) -> DataFrame:
+    """Least ``first_key`` of each (category, sub-category). The key is a struct, whose least would need every row sorted;
+    with ``date``, its first field, only the rows of a pair's first date are compared."""
+    pair = ["Category", "Sub-Category"]
+    if date:
+        firsts = write_and_read(df.groupBy(*pair).agg(F.min(date).alias("_date")), "clean_dates").withColumnsRenamed({"Category": "_cat", "Sub-Category": "_sub"})
+        same = F.col("Category").eqNullSafe(F.col("_cat")) & F.col("Sub-Category").eqNullSafe(F.col("_sub")) & (F.col(date) == F.col("_date"))
+        df = df.join(bounded_broadcast(firsts, MAX_PAIRS), same, "left_semi")
+    return df.groupBy(*pair).agg(F.min(first_key).alias("first_seen"))
+
+
 def clean(
     raw: DataFrame,
     strict_first_format: bool = False,
@@ -129,7 +140,7 @@ def clean(
         F.min_by(F.struct(*CUSTOMER_FIELDS[1:]), first_key).alias("c")
     ).select("Customer ID", "c.*")
 
-    pairs = df.groupBy("Category", "Sub-Category").agg(F.min(first_key).alias("first_seen"))
+    pairs = first_seen(df, first_key, None if ordinal else "Order Date")
     numbering = Window.orderBy("first_seen", "Category", "Sub-Category")
     products = pairs.select(
         F.format_string(PRODUCT_ID_FORMAT, F.row_number().over(numbering)).alias("Product ID"),

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyspark.sources.star import Tables, star_customers, star_orders, star_products
+from tallyspark.sources.star import ORDER_KEY, Tables, order_columns, order_tables, star_customers, star_products
 
 # --- fixed values: dirt-injection rules on o_orderkey, and the export's columns
 BAD_DATE_MOD, BAD_DATE_REM = 700, 5      # 'n/a' order date (checked first)
@@ -36,11 +36,12 @@ def _null_when(cond, value):
 
 
 def raw_export(tables: Tables) -> DataFrame:
-    o = star_orders(tables, keep_order_key=True)
-    c = star_customers(tables)
-    p = star_products(tables)
-    j = o.join(c, "customer_id").join(p, "product_id")
-    k = F.col("o_orderkey")
+    # dimensions join the narrow tables; the fact's columns are derived last, so no wide row crosses these exchanges
+    lines, headers = order_tables(tables)
+    c, p = star_customers(tables), star_products(tables)
+    own = [x for x in (*c.columns, *p.columns) if x not in ("customer_id", "product_id")]
+    j = order_columns(lines.join(headers.join(c, "customer_id"), ORDER_KEY).join(p, "product_id"), [ORDER_KEY, *own])
+    k = F.col(ORDER_KEY)
     order_text = (
         F.when(k % BAD_DATE_MOD == BAD_DATE_REM, F.lit("n/a"))
         .when(k % ALT_FORMAT_MOD == 0, F.date_format("order_date", "yyyy/MM/dd"))
