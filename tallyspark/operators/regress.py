@@ -32,6 +32,7 @@ CATEGORICAL = ["category", "ship_mode"]
 LABEL = "profit_margin"
 REQUIRED = ["sales", "profit", "discount", "quantity", "category", "ship_mode", "delivery_days", "profit_margin"]
 TRAIN_BUCKETS = 8   # of 10
+PART_ROWS = 500_000  # most training rows in a partition
 # --------------------------------------------------------------------------------
 
 
@@ -168,6 +169,12 @@ def tier_report(frame: DataFrame) -> DataFrame:
     return marts.tier_margin(frame)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """``rows`` in partitions of about ``PART_ROWS`` at most: the trees keep their rows in memory, much larger than in the file."""
+    parts = -(-rows.count() // PART_ROWS)
+    return rows.repartition(parts) if parts > rows.rdd.getNumPartitions() else rows
+
+
 def run(orders: DataFrame, products: DataFrame, model: str | Estimator = "gbt") -> DataFrame:
     """One row: rows used, baseline RMSE, model RMSE / MAE / R^2, improvement over the unrounded baseline. Fitting runs when this is called."""
     frame = regression_frame(orders, products)
@@ -179,7 +186,7 @@ def run(orders: DataFrame, products: DataFrame, model: str | Estimator = "gbt")
         name = model if isinstance(model, str) else type(model).__name__
         chosen = estimator(model) if isinstance(model, str) else model
         double = lambda df: df.withColumn(LABEL, F.col(LABEL).cast("double"))
-        predicted = features.encoder(NUMERIC, CATEGORICAL, chosen).fit(double(train)).transform(double(test))
+        predicted = features.encoder(NUMERIC, CATEGORICAL, chosen).fit(bounded(double(train))).transform(double(test))
     base = metrics(test.withColumn("prediction", F.lit(train_mean(train)))).select(F.col("rmse").alias("baseline_rmse"))
     found = metrics(predicted).crossJoin(base)  # one row each
     rows = frame.agg(F.count("order_id").cast("bigint").alias("rows"))

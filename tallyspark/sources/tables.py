@@ -30,6 +30,11 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(self.path(name))
 
+    def size(self, *names: str) -> int:
+        """Bytes of the files of some tables (a listing)."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([self.path(n) for n in names])
+        return files.agg(F.sum("length")).first()[0] or 0
+
     def fingerprint(self, *names: str) -> tuple:
         """Paths, sizes and times of the files of some tables (a listing, no content is read)."""
         files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([self.path(n) for n in names])

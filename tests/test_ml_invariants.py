@@ -122,6 +122,13 @@ def test_linear_regression_metrics_sane(spark):
     assert m.rmse < m.baseline_rmse * 1.10
 
 
+def test_training_rows_stay_in_bounded_partitions(spark, monkeypatch):
+    monkeypatch.setattr(regress, "PART_ROWS", 100)
+    rows = regress.bounded(spark.range(0, 1050, 1, 2))
+    assert rows.rdd.getNumPartitions() == 11 and max(map(len, rows.rdd.glom().collect())) <= 130 and rows.count() == rows.distinct().count() == 1050
+    assert regress.bounded(spark.range(0, 50, 1, 3)).rdd.getNumPartitions() == 3
+
+
 def test_approx_quartiles_close_to_exact(spark):
     orders = Star(spark, SF).orders
     approx = {r.column_name: r for r in profile.describe_quartiles_approx(orders, ["sales", "delivery_days"]).collect()}

@@ -107,6 +107,22 @@ def test_bucketed_star_joins_without_an_exchange(spark):
     assert ledger.agg(F.sum("orders")).first()[0] == star.orders.join(star.customers, "customer_id", "left_semi").count()
 
 
+def test_manifest_passes_over_a_temporary_view(spark):
+    spark.range(3).write.mode("overwrite").saveAsTable("manifest_check")
+    spark.range(3).createOrReplaceTempView("manifest_check")
+    try:
+        assert io.manifest(spark, "manifest_check")[0] > 0
+    finally:
+        spark.catalog.dropTempView("manifest_check")
+
+
+def test_buckets_grow_with_the_files():
+    from tallyspark.registry import BUCKET_INPUT, buckets_for
+
+    assert buckets_for(0) == buckets_for(BUCKET_INPUT) == 8
+    assert buckets_for(100 * BUCKET_INPUT) == 100 and buckets_for(100 * BUCKET_INPUT + 1) == 101
+
+
 def test_load_reports_files_and_a_failure(spark):
     tables = {
         "customers": spark.createDataFrame([("C1",)], "customer_id string"),
