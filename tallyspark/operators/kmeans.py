@@ -14,7 +14,10 @@ behind it (as many in every row). Centres hold both parts in full. Rows with equ
 follow each other share that part of the distances, so a row costs its few numbers, not a number a level.
 
 The scans of a sweep read the rows as blocks of numbers, written once (``pack``): a block is one
-value to Spark, so a scan costs little beside the sums.
+value to Spark, so a scan costs little beside the sums. A block's rows lie near each other and it knows
+the box that they fill and their sum. If the whole box is nearest to one centre of a model, the block
+counts for it by its sum; only blocks that a model divides are read row by row for it. The more rows there are, the
+smaller the boxes and the fewer the divided blocks. No row is left out.
 
 A scan sends (models x k) sums a task, added up in Spark; rows never leave their
 partitions, and the driver holds centres only. Squared distances are rounded to nine places
@@ -25,6 +28,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +39,8 @@ from tallyspark.plans.materialize import materialize
 
 PLACES = 9
 STILL = 1e-9
-BLOCK = 512
+MARGIN = 1e-6
+BLOCK = 256
 
 
 @dataclass
@@ -54,9 +59,9 @@ def _points(rows: DataFrame) -> DataFrame:
     return rows if "on" in rows.columns else rows.withColumn("on", F.array().cast("array<int>"))
 
 
-def _tools() -> tuple[Callable, Callable, Callable]:
+def _tools() -> SimpleNamespace:
     """Functions for tasks, made here so that they travel by value (workers need not have this package)."""
-    block, places, kept = BLOCK, PLACES, {}
+    block, places, margin, kept = BLOCK, PLACES, MARGIN, {}
 
     def space(name: str, shape: tuple, kind: type = float) -> np.ndarray:
         """Memory kept from block to block; fresh pages for each would cost more than the sums."""
@@ -65,30 +70,78 @@ def _tools() -> tuple[Callable, Callable, Callable]:
             kept[name] = np.empty(size, kind)
         return kept[name][:size].reshape(shape)
 
-    def blocks(x: pa.Array, on: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """Blocks of rows with equal ``on``: first row, matrix (x, 1 and the square of the whole row; a column a row), on."""
+    def leaves(x: np.ndarray) -> Iterator[np.ndarray]:
+        """Places of the rows of ``x`` in pieces of at most a block, halved at the median of the widest column."""
+        waiting = [np.arange(len(x))]
+        while waiting:
+            at = waiting.pop()
+            if len(at) <= block:
+                yield at
+                continue
+            some, half = x[at], len(at) // 2
+            order = np.argpartition(some[:, np.ptp(some, axis=0).argmax()], half)
+            waiting += [at[order[half:]], at[order[:half]]]
+
+    def blocks(x: pa.Array, on: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Blocks of near rows with equal ``on``: places of the rows, matrix (x, 1 and the square of the whole row; a column a row), on."""
         n = len(x)
         if not n:
             return
         x = x.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
         on = on.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-        rows = np.empty((x.shape[1] + 2, n))
-        rows[:-2], rows[-2], rows[-1] = x.T, 1, (x**2).sum(axis=1) + on.shape[1]
-        edges = [0, *(np.flatnonzero((on[1:] != on[:-1]).any(axis=1)) + 1).tolist(), n]
+        order = np.lexsort(on.T) if on.shape[1] else np.arange(n)
+        edges = [0, *(np.flatnonzero((np.diff(on[order], axis=0) != 0).any(axis=1)) + 1).tolist(), n]
         for a, b in zip(edges, edges[1:]):
-            for k in range(a, b, block):
-                yield k, np.ascontiguousarray(rows[:, k : min(k + block, b)]), on[a]
-
-    def apart(rows: np.ndarray, on: np.ndarray, centres: np.ndarray, squares: np.ndarray, name: str = "d") -> np.ndarray:
-        """|row|^2 - 2 row . centre + squares, for each centre (first axis) and row; valid until the next call with this ``name``."""
-        p = len(rows) - 2
-        form = np.empty((len(centres), p + 2))
+            for at in leaves(x[order[a:b]]):
+                at = order[a:b][at]
+                rows = np.empty((x.shape[1] + 2, len(at)))
+                rows[:-2], rows[-2], rows[-1] = x[at].T, 1, (x[at] ** 2).sum(axis=1) + on.shape[1]
+                yield at, rows, on[at[0]]
+
+    def alike(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The blocks of a batch by ``on``: places in the batch, boxes (least x, greatest x, sum of the rows; a row a block), on."""
+        n = batch.num_rows
+        if n:
+            boxes = np.frombuffer(b"".join(batch["box"].to_pylist())).reshape(n, -1)
+            on = batch["on"].flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+            kinds, which = np.unique(on, axis=0, return_inverse=True) if on.shape[1] else (on[:1], np.zeros(n, int))
+            for k, kind in enumerate(kinds):
+                at = np.flatnonzero(which.ravel() == k)
+                yield at, boxes[at], kind.astype(int)
+
+    def matrix(some: pa.Scalar, height: int) -> np.ndarray:
+        return np.frombuffer(some.as_buffer()).reshape(height, -1)
+
+    def form_of(on: np.ndarray, centres: np.ndarray, squares: np.ndarray, height: int) -> np.ndarray:
+        """Matrix whose product with the rows of a block is |row|^2 - 2 row . centre + squares, a row a centre."""
+        p = height - 2
+        form = np.empty((len(centres), height))
         form[:, :p] = centres[:, :p]
         form[:, p] = centres[:, p + on].sum(axis=1)
         form[:, : p + 1] *= -2
         form[:, p] += squares
         form[:, -1] = 1
-        return np.matmul(form, rows, out=space(name, (len(centres), rows.shape[1])))
+        return form
+
+    def apart(rows: np.ndarray, form: np.ndarray, name: str = "d") -> np.ndarray:
+        """The product, for each centre (first axis) and row; valid until the next call with this ``name``."""
+        return np.matmul(form, rows, out=space(name, (len(form), rows.shape[1])))
+
+    def rivals(boxes: np.ndarray, form: np.ndarray, edges: Sequence[int]) -> np.ndarray:
+        """Whether each centre could be the nearest one of its model to a point of the box: boxes x centres.
+
+        What the centre nearest to the box's middle is nearer by there is compared with what another could
+        gain up to the box's farthest corner; those that lose by ``MARGIN`` at least are out. One rival owns the box.
+        """
+        p = form.shape[1] - 2
+        middle, half = (boxes[:, :p] + boxes[:, p : 2 * p]) / 2, (boxes[:, p : 2 * p] - boxes[:, :p]) / 2
+        at, out, each = middle @ form[:, :p].T + form[:, p], np.empty((len(boxes), len(form)), bool), np.arange(len(boxes))
+        for a, b in zip(edges, edges[1:]):
+            k, part, own = b - a, form[a:b, :p], at[:, a:b]
+            best = own.argmin(axis=1)
+            gain = (half @ np.abs(part[:, None] - part).reshape(k * k, p).T).reshape(-1, k, k)[each, best]
+            out[:, a:b] = own - own[each, best][:, None] - gain <= margin
+        return out
 
     def nearest(d: np.ndarray, edges: Sequence[int]) -> np.ndarray:
         """Whether each row belongs to each centre of all models: 1 for the first centre with the least rounded distance."""
@@ -108,64 +161,86 @@ def _tools() -> tuple[Callable, Callable, Callable]:
             i = j
         return near
 
-    return blocks, apart, nearest
+    return SimpleNamespace(**{f.__name__: f for f in (blocks, alike, matrix, form_of, apart, rivals, nearest)})
 
 
 def pack(rows: DataFrame) -> DataFrame:
-    """Blocks of rows with equal ``on``: on, and the block's matrix (x, 1 and the square of the row; a column a row) as doubles."""
-    blocks, _, _ = _tools()
+    """Blocks of near rows with equal ``on``: on, the block's matrix (x, 1 and the square of the row; a column a row) as
+    doubles, its box (least x, greatest x, sum of the rows), and its keys (ends and bytes; a null is empty, others follow a letter)."""
+    tools = _tools()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.compute as pc
+
         for batch in batches:
-            found = [(on.tolist(), some.tobytes()) for _, some, on in blocks(*batch.columns)]
+            names = pc.fill_null(pc.binary_join_element_wise("k", batch["key"].cast(pa.string()), ""), "")
+            found = []
+            for at, some, on in tools.blocks(batch["x"], batch["on"]):
+                x = some[:-2]
+                box = np.concatenate((x.min(axis=1), x.max(axis=1), some.sum(axis=1)))
+                key = names.take(pa.array(at)).to_pylist()
+                key = [k.encode() for k in key]
+                found.append((on.tolist(), some.tobytes(), box.tobytes(), np.cumsum([0, *map(len, key)]).tobytes() + b"".join(key)))
             if found:
-                on, some = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(on, pa.list_(pa.int32())), pa.array(some, pa.binary())], ["on", "block"])
+                kinds = [pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), kinds)], ["on", "block", "box", "keys"])
 
-    return _points(rows).select("x", "on").mapInArrow(run, "on array<int>, block binary")
+    return _points(rows).select("key", "x", "on").mapInArrow(run, "on array<int>, block binary, box binary, keys binary")
 
 
-def _sums(packed: DataFrame, height: int, size: int, part: Callable) -> np.ndarray:
-    """Sum of what ``part(total, rows, on)`` adds to ``size`` doubles, over all blocks; ``height``: length of x and two."""
+def _sums(packed: DataFrame, size: int, part: Callable) -> np.ndarray:
+    """Sum of what ``part(total, batch)`` adds to ``size`` doubles, over all batches of blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
-            for on, some in zip(*batch.columns):
-                part(total, np.frombuffer(some.as_buffer()).reshape(height, -1), np.array(on.as_py(), int))
+            part(total, batch)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(size, dtype=np.int32)), pa.array(total)], ["i", "value"])
 
     out = np.zeros(size)
-    found = packed.select("on", "block").mapInArrow(run, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).toArrow()
+    found = packed.select("on", "block", "box").mapInArrow(run, "i int, value double").groupBy("i").agg(F.sum("value").alias("value")).toArrow()
     out[found["i"].to_numpy()] = found["value"].to_numpy()
     return out
 
 
-def _farthest(rows: DataFrame, chosen: np.ndarray) -> list[tuple[list[float], list[int]]]:
-    """For each restart (first axis) the row farthest from all of its centres; the least key on a tie."""
-    places, (blocks, apart, _) = PLACES, _tools()
+def _farthest(packed: DataFrame, chosen: np.ndarray, slots: int) -> list[tuple[list[float], list[int]]]:
+    """For each restart (first axis) the row farthest from all of its centres; the least key on a tie.
+
+    A block is read only if its box could hold a row as far as the farthest so far.
+    """
+    places, margin, tools = PLACES, MARGIN, _tools()
     restarts, centres = len(chosen), chosen.reshape(-1, chosen.shape[2])
-    squares = (centres**2).sum(axis=1)
+    squares, height = (centres**2).sum(axis=1), centres.shape[1] - slots + 2
+    p = height - 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = [None] * restarts
         for batch in batches:
-            keys, xs, ons = batch.columns
-            for start, some, on in blocks(xs, ons):
-                d = apart(some, on, centres, squares).reshape(restarts, -1, some.shape[1]).min(axis=1)
-                d = np.maximum(d, 0).round(places)
-                for r, most in enumerate(d.max(axis=1).tolist()):
-                    if best[r] is None or -most <= best[r][0]:
-                        ties = np.flatnonzero(d[r] == most) + start
-                        key, i = min(zip(keys.take(pa.array(ties)).to_pylist(), ties.tolist()))
-                        if best[r] is None or (-most, key) < best[r][:2]:
-                            best[r] = (-most, key, xs[i].as_py(), ons[i].as_py())
-        got = [(r, *b) for r, b in enumerate(best) if b]
+            for at, boxes, on in tools.alike(batch):
+                form = tools.form_of(on, centres, squares, height)
+                rest = form[:, p] - (centres[:, :p] ** 2).sum(axis=1) + len(on)  # the one-hot block's part
+                far = np.maximum(np.abs(boxes[:, None, :p] - centres[:, :p]), np.abs(boxes[:, None, p : 2 * p] - centres[:, :p]))
+                bound = ((far**2).sum(axis=2) + rest).reshape(len(at), restarts, -1).min(axis=2)
+                for i in np.argsort(-bound.max(axis=1), kind="stable").tolist():
+                    could = [r for r in range(restarts) if best[r] is None or bound[i, r] + margin >= -best[r][0]]
+                    if not could:
+                        continue
+                    some = tools.matrix(batch["block"][int(at[i])], height)
+                    d = tools.apart(some, form).reshape(restarts, -1, some.shape[1])[could].min(axis=1)
+                    d = np.maximum(d, 0).round(places)
+                    for r, of, most in zip(could, d, d.max(axis=1).tolist()):
+                        if best[r] is None or -most <= best[r][0]:
+                            blob, n = batch["keys"][int(at[i])].as_py(), some.shape[1]
+                            ends = np.frombuffer(blob, np.int64, n + 1) + 8 * (n + 1)
+                            key, j = min((blob[ends[j] : ends[j + 1]], j) for j in np.flatnonzero(of == most).tolist())
+                            if best[r] is None or (-most, key) < best[r][:2]:
+                                best[r] = (-most, key, some[:p, j].tolist(), on.tolist())
+        got = [(r, d, key[1:].decode() if key else None, x, on) for r, (d, key, x, on) in ((r, b) for r, b in enumerate(best) if b)]
         columns = zip(*got) if got else [()] * 5
         kinds = [pa.int32(), pa.float64(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["r", "d", "k", "x", "on"])
 
-    got = rows.select("key", "x", "on").mapInArrow(run, "r int, d double, k string, x array<double>, on array<int>")
+    got = packed.select("on", "block", "box", "keys").mapInArrow(run, "r int, d double, k string, x array<double>, on array<int>")
     return [tuple(point) for _, point in sorted(got.groupBy("r").agg(F.min_by(F.struct("x", "on"), F.struct("d", "k"))).collect())]
 
 
@@ -178,32 +253,46 @@ def _full(points: Sequence[tuple[list[float], list[int]]], slots: int) -> np.nda
     return out
 
 
-def starts(rows: DataFrame, n_init: int, most: int) -> np.ndarray:
-    """Farthest-first centres of every restart: (n_init, most, dimensions)."""
+def starts(rows: DataFrame, n_init: int, most: int, packed: DataFrame | None = None) -> np.ndarray:
+    """Farthest-first centres of every restart: (n_init, most, dimensions). ``packed``: the blocks of ``rows``, if they are written."""
     rows = _points(rows)
     first = [F.min_by(F.struct("x", "on"), F.struct(F.md5(F.concat(F.lit(f"{r}:"), "key").cast("binary")), "key")).alias(f"r{r}") for r in range(n_init)]
     *first, last = rows.agg(*first, F.max(F.array_max("on"))).first()
     slots = 0 if last is None else last + 1
     chosen = _full([tuple(point) for point in first], slots)[:, None]
+    packed = pack(rows) if packed is None else packed
     while chosen.shape[1] < most:
-        chosen = np.concatenate((chosen, _full(_farthest(rows, chosen), slots)[:, None]), axis=1)
+        chosen = np.concatenate((chosen, _full(_farthest(packed, chosen, slots), slots)[:, None]), axis=1)
     return chosen
 
 
 def _cluster_sums(packed: DataFrame, edges: list[int], centres: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, sum of squares and sum of the rows of each centre of all models, in one scan."""
-    blocks, apart, nearest = _tools()
-    squares, width = (centres**2).sum(axis=1), centres.shape[1] + 2
-
-    def part(total: np.ndarray, some: np.ndarray, on: np.ndarray) -> None:
-        total, p = total.reshape(len(centres), width), len(some) - 2
-        near = nearest(apart(some, on, centres, squares), edges)
-        sums = near @ some.T
-        total[:, : p + 2] += sums
-        total[:, p + 2 + on] += sums[:, p, None]
-
-    p = centres.shape[1] - slots
-    found = _sums(packed, p + 2, len(centres) * width, part).reshape(len(centres), width)
+    """Rows, sum of squares and sum of the rows of each centre of all models, in one scan.
+
+    A block that lies whole in a model's cluster gives its sum; only models that may divide a block look at its rows.
+    """
+    tools = _tools()
+    squares, width, height = (centres**2).sum(axis=1), centres.shape[1] + 2, centres.shape[1] - slots + 2
+    p, model = height - 2, np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+
+    def part(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        total = total.reshape(len(centres), width)
+        for at, boxes, on in tools.alike(batch):
+            form = tools.form_of(on, centres, squares, height)
+            near = tools.rivals(boxes, form, edges)
+            rivals = np.add.reduceat(near, edges[:-1], axis=1, dtype=int)
+            whole = near & (rivals == 1)[:, model]
+            sums = whole.T.astype(float) @ boxes[:, 2 * p :]
+            for i in np.flatnonzero((rivals > 1).any(axis=1)).tolist():
+                mine = np.flatnonzero(near[i] & ~whole[i])
+                mine = mine[np.argsort(rivals[i, model[mine]], kind="stable")]  # models with equally many go together
+                some = tools.matrix(batch["block"][int(at[i])], height)
+                hit = tools.nearest(tools.apart(some, form[mine]), np.cumsum([0, *np.sort(rivals[i][rivals[i] > 1])]).tolist())
+                sums[mine] += hit @ some.T
+            total[:, : p + 2] += sums
+            total[:, p + 2 + on] += sums[:, p, None]
+
+    found = _sums(packed, len(centres) * width, part).reshape(len(centres), width)
     return found[:, p], found[:, p + 1], np.delete(found, [p, p + 1], axis=1)
 
 
@@ -229,22 +318,21 @@ def lloyd(packed: DataFrame, models: list[Model], max_iter: int) -> int:
     return scans
 
 
-def _height(models: list[Model]) -> int:
-    return models[0].centres.shape[1] - models[0].slots + 2
-
-
 def costs(packed: DataFrame, models: list[Model]) -> None:
     """Fill in every model's inertia, in one scan."""
     edges = np.cumsum([0, *(m.k for m in models)]).tolist()
     centres = np.concatenate([m.centres for m in models])
-    squares = (centres**2).sum(axis=1)
-    _, apart, nearest = _tools()
+    squares, height = (centres**2).sum(axis=1), centres.shape[1] - models[0].slots + 2
+    tools = _tools()
 
-    def part(total: np.ndarray, some: np.ndarray, on: np.ndarray) -> None:
-        d = np.maximum(apart(some, on, centres, squares), 0)
-        total += np.add.reduceat((nearest(d, edges) * d).sum(axis=1), edges[:-1])
+    def part(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for at, _, on in tools.alike(batch):
+            form = tools.form_of(on, centres, squares, height)
+            for i in at.tolist():
+                d = np.maximum(tools.apart(tools.matrix(batch["block"][i], height), form), 0)
+                total += np.add.reduceat((tools.nearest(d, edges) * d).sum(axis=1), edges[:-1])
 
-    for m, cost in zip(models, _sums(packed, _height(models), len(models), part)):
+    for m, cost in zip(models, _sums(packed, len(models), part)):
         m.inertia = float(cost)
 
 
@@ -256,32 +344,40 @@ def silhouettes(packed: DataFrame, models: list[Model]) -> list[float]:
     """
     edges = np.cumsum([0, *(m.k for m in models)]).tolist()
     centres = np.concatenate([m.centres for m in models])
-    squares = (centres**2).sum(axis=1)
+    squares, height = (centres**2).sum(axis=1), centres.shape[1] - models[0].slots + 2
     count, within, sums = _cluster_sums(packed, edges, centres, models[0].slots)
     filled = np.maximum(count, 1)
     means, spreads = sums / filled[:, None], within / filled
-    _, apart, nearest = _tools()
-
-    def part(total: np.ndarray, some: np.ndarray, on: np.ndarray) -> None:
-        near = nearest(apart(some, on, centres, squares), edges).T
-        mean = apart(some, on, means, spreads, "mean").T
-        for k, (a, b) in enumerate(zip(edges, edges[1:])):
-            mine = near[:, a:b] > 0
-            n = np.broadcast_to(count[a:b], mine.shape)[mine]
-            own = mean[:, a:b][mine] * n / np.maximum(n - 1, 1)
-            other = np.where(mine | (count[a:b] == 0), np.inf, mean[:, a:b]).min(axis=1)
-            greater = np.maximum(own, other)
-            total[k] += np.where((n > 1) & (greater > 0) & np.isfinite(other), (other - own) / np.where(greater > 0, greater, 1), 0.0).sum()
+    tools = _tools()
+
+    def part(total: np.ndarray, batch: pa.RecordBatch) -> None:
+        for at, _, on in tools.alike(batch):
+            form, of_means = tools.form_of(on, centres, squares, height), tools.form_of(on, means, spreads, height)
+            for i in at.tolist():
+                some = tools.matrix(batch["block"][i], height)
+                near = tools.nearest(tools.apart(some, form), edges).T
+                mean = tools.apart(some, of_means, "mean").T
+                for k, (a, b) in enumerate(zip(edges, edges[1:])):
+                    mine = near[:, a:b] > 0
+                    n = np.broadcast_to(count[a:b], mine.shape)[mine]
+                    own = mean[:, a:b][mine] * n / np.maximum(n - 1, 1)
+                    other = np.where(mine | (count[a:b] == 0), np.inf, mean[:, a:b]).min(axis=1)
+                    greater = np.maximum(own, other)
+                    total[k] += np.where((n > 1) & (greater > 0) & np.isfinite(other), (other - own) / np.where(greater > 0, greater, 1), 0.0).sum()
 
     n = count[: edges[1]].sum()
-    return [float(s / n) if n else 0.0 for s in _sums(packed, _height(models), len(models), part)]
+    return [float(s / n) if n else 0.0 for s in _sums(packed, len(models), part)]
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows dealt evenly over all cores: a scan is computation, so a small table should not be one task. Equal ``on`` lie together."""
+    """Rows dealt evenly over all cores: a scan is computation, so a small table should not be one task.
+
+    Rows that are near lie together, by ``on`` and ``x``; the key's hash parts equal rows.
+    """
     spark = rows.sparkSession
-    dealt = rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return dealt.sortWithinPartitions("on") if "on" in rows.columns else dealt
+    order = [c for c in ("on", "x") if c in rows.columns]
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartitionByRange(parts, *order, F.xxhash64("key")).sortWithinPartitions(*order)
 
 
 def sweep(rows: DataFrame, ks: Sequence[int], n_init: int = 10, max_iter: int = 50) -> tuple[list[Model], list[float], int]:
@@ -292,10 +388,10 @@ def sweep(rows: DataFrame, ks: Sequence[int], n_init: int = 10, max_iter: int =
     if rows.isEmpty():
         return [], [], 0
     rows = _points(rows)
-    chosen = starts(rows, n_init, max(ks))
+    packed = materialize(pack(rows), "k-blocks")
+    chosen = starts(rows, n_init, max(ks), packed)
     slots = chosen.shape[2] - len(rows.first()["x"])
     models = [Model(k, r, chosen[r, :k], slots=slots) for k in ks for r in range(n_init)]
-    packed = materialize(pack(rows), "k-blocks")
     scans = lloyd(packed, models, max_iter)
     costs(packed, models)
     best = [min((m for m in models if m.k == k), key=lambda m: (round(m.inertia, 4), m.restart)) for k in ks]

@@ -99,6 +99,33 @@ def test_one_hot_places_equal_the_full_vectors(spark):
         assert {(r.key, r.segment_id) for r in kmeans.assign(short, a).collect()} == {(r.key, r.segment_id) for r in kmeans.assign(full, b).collect()}
 
 
+def test_boxes_settle_blocks_and_lose_no_centre(spark, monkeypatch):
+    """A row's nearest centre is always among its block's rivals; most blocks of near rows have one rival a model; equal rows part."""
+    monkeypatch.setattr(kmeans, "BLOCK", 16)
+    rng = np.random.default_rng(9)
+    x, on = rng.normal(size=(6000, 2)).round(2), rng.integers(0, 2, (6000, 1))
+    data = [(None if i == 7 else f"k{i}", v.tolist(), o.tolist()) for i, (v, o) in enumerate(zip(x, on))]
+    rows = spark.createDataFrame(data, "key string, x array<double>, on array<int>")
+    packed = kmeans.pack(kmeans.spread(rows).coalesce(2)).toArrow().combine_chunks().to_batches()[0]
+    centres = np.concatenate((rng.normal(size=(5, 2)), rng.random((5, 2))), axis=1)
+    tools, edges, alone, seen = kmeans._tools(), [0, 2, 5], 0, 0
+    for at, boxes, kind in tools.alike(packed):
+        form = tools.form_of(kind, centres, (centres**2).sum(axis=1), 4)
+        rivals = tools.rivals(boxes, form, edges)
+        alone += (rivals.sum(axis=1) == 2).sum()
+        for i, b in enumerate(at.tolist()):
+            some = tools.matrix(packed["block"][b], 4)
+            near = tools.nearest(tools.apart(some, form), edges)
+            assert some.shape[1] <= 16 and (rivals[i] >= near.any(axis=1)).all()
+            seen += some.shape[1]
+    assert seen == 6000 and alone > packed.num_rows / 2
+    best, scores, _ = kmeans.sweep(rows, [2, 3], 2, 8)
+    plain, want, _ = kmeans.sweep(rows.repartition(3), [2, 3], 2, 8)
+    assert np.allclose(scores, want) and all(np.allclose(a.centres, b.centres) for a, b in zip(best, plain))
+    same = spark.createDataFrame([(f"k{i}", [1.0]) for i in range(2000)], "key string, x array<double>")
+    assert max(map(len, kmeans.spread(same).rdd.glom().collect())) < 1000
+
+
 def test_linear_model_against_dense_least_squares(spark):
     """Collinear and constant columns, a level unseen in training, doubles and decimals."""
     rng = np.random.default_rng(8)
