@@ -42,6 +42,7 @@ CELL_SHINGLES = 4_000_000
 WIDE = 1_000
 ROUNDS = 2
 CELL = 4_000
+PLACES = 1 << 21
 SHINGLE = 5
 _ODD = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xA0761D6478BD642F)) | U64(1)
 _ADD = mix(np.arange(1, VALUES + 1, dtype=U64) * U64(0xE7037ED1A0B428DB))
@@ -366,9 +367,16 @@ def _dealt(member: DataFrame, first: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _full_sets(rows: DataFrame, distinct: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, shingles) of ``nodes`` (node, repeats do no harm), from one of each node's texts."""
+    """(node, shingles) of ``nodes`` (node, repeats do no harm), from one of each node's texts.
+
+    Texts whose key's remainder no wanted key has stay where they are: the remainders, ``PLACES`` at
+    most, go to every task, and the join by the full key has few texts to move.
+    """
     wanted = _saved(nodes.distinct().join(distinct.select("node", "row_key"), "node"), "wanted")
-    return _saved(rows.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text").mapInArrow(
+    place = F.pmod("row_key", F.lit(PLACES))
+    places = wanted.select(place.alias("place")).distinct()
+    some = rows.withColumn("place", place).join(F.broadcast(places), "place", "left_semi").drop("place")
+    return _saved(some.join(wanted, "row_key").dropDuplicates(["row_key"]).select("node", "text").mapInArrow(
         lambda x: _batches(x, _set_rows), "node long, shingles array<long>"), "sets")
 
 

@@ -6,6 +6,7 @@ import string
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import lsh_forest
 from tallyspark.llm.components import components
@@ -184,3 +185,18 @@ def test_components(spark):
     got = {x.node: x.root for x in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {i: want[i] for e in edges for i in e if e[0] != e[1]}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_only_texts_that_may_be_wanted_are_moved(spark):
+    """The full sets of a few nodes take a filter by remainders in front of the exchange of texts."""
+    rows = spark.range(0, 400, 1, 4).select(F.xxhash64("id").alias("row_key"), F.concat(F.lit("a b c d e "), F.col("id").cast("string")).cast("binary").alias("text"))
+    distinct = rows.select(F.hash("row_key").cast("long").alias("node"), "row_key")
+    nodes, seen = distinct.limit(3).select("node"), []
+    saved = lsh_forest._saved
+    try:
+        lsh_forest._saved = lambda df, name: seen.append(df._jdf.queryExecution().optimizedPlan().toString()) or saved(df, name)
+        got = lsh_forest._full_sets(rows.unionAll(rows), distinct, nodes)
+        assert got.count() == 3 and got.select("node").exceptAll(nodes).isEmpty()
+    finally:
+        lsh_forest._saved = saved
+    assert "LeftSemi" in seen[-1] and "pmod(" in seen[-1].lower()
