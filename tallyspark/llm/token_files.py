@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -31,12 +32,14 @@ from pyspark.sql import functions as F
 
 from . import bpe_stream
 from .ship import ship
+from .text import chunks
 
 MAGIC = b"TSEF0001"
 HEAD = struct.Struct("<8sIIIIBQQQQ")
-PART_BYTES = 16 << 20
+PART_BYTES = 8 << 20
 SHARD_IDS = 4 << 20
 CALL_BYTES = 1 << 17
+TEXT_BYTES = 1 << 19
 MARK, MARK_BYTES = "\x01", b"\x01"
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -130,6 +133,15 @@ def counts(content: bytes) -> list[tuple[int, int, int]]:
     return out
 
 
+def encoded(batches: Iterator[pa.RecordBatch], library: LibraryEncoder) -> Iterator[tuple[int | None, np.ndarray]]:
+    """doc_id and ids of each row, about TEXT_BYTES of text at a time: no more texts and ids are held."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch["text"]), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for i, j in chunks(sizes, TEXT_BYTES):
+            some = batch.slice(i, j - i)
+            yield from zip(some["doc_id"].to_pylist(), library.texts(some["text"].to_pylist()))
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode (doc_id, text) and write the shards to ``path`` in ascending doc_id order (nulls first).
 
@@ -154,16 +166,15 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
             data = shard(part, number, names, sizes, b"".join(ids), width)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["shard"])
 
-        for batch in batches:
-            for name, found in zip(batch["doc_id"].to_pylist(), library.texts(batch["text"].to_pylist())):
-                got = found.astype(f"<u{width}").tobytes() + end
-                names.append(name)
-                sizes.append(len(got) // width)
-                ids.append(got)
-                count += sizes[-1]
-                if count >= SHARD_IDS:
-                    yield full()
-                    names, sizes, ids, count, number = [], [], [], 0, number + 1
+        for name, found in encoded(batches, library):
+            got = found.astype(f"<u{width}").tobytes() + end
+            names.append(name)
+            sizes.append(len(got) // width)
+            ids.append(got)
+            count += sizes[-1]
+            if count >= SHARD_IDS:
+                yield full()
+                names, sizes, ids, count, number = [], [], [], 0, number + 1
         if names:
             yield full()
 

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -66,3 +67,17 @@ def test_small_shards_and_empty_table(spark, path, monkeypatch):
     out = token_files.shared_path(spark, "test-none")
     token_files.write(spark.createDataFrame([], "doc_id long, text string"), out, path)
     assert token_files.read(spark, out).count() == 0
+
+
+def test_texts_are_encoded_a_bounded_part_at_a_time(path, monkeypatch):
+    """A batch of many texts reaches the encoder in runs of TEXT_BYTES; ids are those of all at once."""
+    library, calls = token_files.encoder(path), []
+    texts = [b"some words 12" * (i % 5) + b" x%d" % i for i in range(200)] + [None, b"", b"long " * 400]
+    want = [x.tolist() for x in library.texts([t or b"" for t in texts])]
+    monkeypatch.setattr(token_files, "TEXT_BYTES", 1000)
+    plain = library.texts
+    monkeypatch.setattr(library, "texts", lambda some: calls.append(sum(map(len, some))) or plain(some))
+    batch = pa.RecordBatch.from_arrays([pa.array([*range(202), None]), pa.array([t or b"" for t in texts], pa.binary())], ["doc_id", "text"])
+    got = list(token_files.encoded(iter([batch]), library))
+    assert [n for n, _ in got] == [*range(202), None] and [x.tolist() for _, x in got] == want
+    assert len(calls) > 5 and max(calls) <= 2000 and list(token_files.encoded(iter([batch.slice(0, 0)]), library)) == []
