@@ -262,38 +262,76 @@ def gathered(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndar
     return values[np.repeat(start - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
 
 
+class Run:
+    """An array that grows at its end, in memory that doubles (what is not yet filled takes no room)."""
+
+    def __init__(self, kind: type | str):
+        self.kept, self.size = np.empty(1024, kind), 0
+
+    def __len__(self) -> int:
+        return self.size
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.kept[: self.size]
+
+    def extend(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.kept):
+            wider = np.empty(max(size, 2 * len(self.kept)), self.kept.dtype)
+            wider[: self.size] = self.all
+            self.kept = wider
+        self.kept[self.size : size] = more
+        self.size = size
+
+
 class Memo:
-    """Ids of words by a 64-bit hash of their bytes; the bytes are compared at each look-up."""
+    """Ids of words by a 64-bit hash of their bytes; the bytes are compared at each look-up.
 
-    def __init__(self):
-        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.text, self.text_at, self.text_size = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.ids_at, self.ids_size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    Words lie one after the other in ``text`` and their ids in ``ids``, as numbers of ``kind``; ``text_end`` and ``ids_end`` say where each ends.
+    """
+
+    def __init__(self, kind: type = np.uint32):
+        self.hashes, self.slots = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.text, self.ids = Run(np.uint8), Run(kind)
+        self.text_end, self.ids_end = Run(np.int64), Run(np.int64)
+        self.text_end.extend(np.zeros(1, np.int64))
+        self.ids_end.extend(np.zeros(1, np.int64))
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 if there is none."""
         if not len(self.hashes):
             return np.full(len(hashes), -1)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.slots[at], -1)
+        return np.where(self.hashes[at] == hashes, self.slots[at], -1).astype(np.int64)
 
     def add(self, hashes: np.ndarray, text: np.ndarray, text_size: np.ndarray, ids: np.ndarray, ids_size: np.ndarray) -> np.ndarray:
         """Remember new words (``hashes`` ascending); returns their slots."""
-        slots = len(self.text_at) + np.arange(len(hashes))
+        slots = len(self.slots) + np.arange(len(hashes))
         place = np.searchsorted(self.hashes, hashes)
         self.hashes, self.slots = np.insert(self.hashes, place, hashes), np.insert(self.slots, place, slots)
-        self.text_at = np.concatenate((self.text_at, len(self.text) + np.cumsum(text_size) - text_size))
-        self.ids_at = np.concatenate((self.ids_at, len(self.ids) + np.cumsum(ids_size) - ids_size))
-        self.text, self.ids = np.concatenate((self.text, text)), np.concatenate((self.ids, ids))
-        self.text_size, self.ids_size = np.concatenate((self.text_size, text_size)), np.concatenate((self.ids_size, ids_size))
+        self.text_end.extend(len(self.text) + np.cumsum(text_size))
+        self.ids_end.extend(len(self.ids) + np.cumsum(ids_size))
+        self.text.extend(text)
+        self.ids.extend(ids)
         return slots
 
+    def words(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the words of these slots start in ``text``, and their sizes."""
+        at = self.text_end.all[slot]
+        return at, self.text_end.all[slot + 1] - at
+
+    def found(self, slot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of these slots start in ``ids``, and how many they are."""
+        at = self.ids_end.all[slot]
+        return at, self.ids_end.all[slot + 1] - at
+
 
 class Encoder:
-    """Ids of whole texts. About MEMO words are remembered at most; then all are forgotten."""
+    """Ids of whole texts. About MEMO words are remembered at most, their ids as ``kind``; then all are forgotten."""
 
-    def __init__(self, model: Model):
-        self.model, self.memo = model, Memo()
+    def __init__(self, model: Model, kind: type = np.uint32):
+        self.model, self.kind, self.memo = model, kind, Memo(kind)
 
     def texts(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text. Slices of Latin text go together, BATCH bytes at a time; others alone."""
@@ -339,7 +377,7 @@ class Encoder:
         hashes, first, which = np.unique(word_hashes(data, begin, end), return_index=True, return_inverse=True)
         size = end - begin
         if len(self.memo.slots) + len(hashes) > MEMO:
-            self.memo = Memo()
+            self.memo = Memo(self.kind)
         memo = self.memo
         slot = memo.find(hashes)
         new = np.flatnonzero(slot < 0)
@@ -347,10 +385,10 @@ class Encoder:
             ids, ids_size = self._merged(data, begin[first[new]], size[first[new]])
             slot[new] = memo.add(hashes[new], gathered(data, begin[first[new]], size[first[new]]), size[first[new]], ids, ids_size)
         slot = slot[which]
-        same = memo.text_size[slot] == size
-        at = np.where(same, memo.text_at[slot], 0)
-        differ = gathered(memo.text, at[same], size[same]) != gathered(data, begin[same], size[same])
-        ids_at, ids_size, ids = memo.ids_at[slot], memo.ids_size[slot], memo.ids
+        at, known = memo.words(slot)
+        same = known == size
+        differ = gathered(memo.text.all, at[same], size[same]) != gathered(data, begin[same], size[same])
+        (ids_at, ids_size), ids = memo.found(slot), memo.ids.all
         odd = np.flatnonzero(~same)
         if differ.any():
             odd = np.union1d(odd, np.flatnonzero(same)[np.searchsorted(np.cumsum(size[same]), np.flatnonzero(differ), "right")])

@@ -21,6 +21,8 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
@@ -37,9 +39,10 @@ from .text import chunks
 MAGIC = b"TSEF0001"
 HEAD = struct.Struct("<8sIIIIBQQQQ")
 PART_BYTES = 8 << 20
-SHARD_IDS = 4 << 20
-CALL_BYTES = 1 << 17
-TEXT_BYTES = 1 << 19
+SHARD_IDS = 1 << 19
+BATCH_ROWS = 256
+CALL_BYTES = 1 << 15
+TEXT_BYTES = 1 << 17
 MARK, MARK_BYTES = "\x01", b"\x01"
 
 _encoders: dict[str, LibraryEncoder] = {}
@@ -50,17 +53,19 @@ class LibraryEncoder(bpe_stream.Encoder):
 
     Words are found, told apart and remembered as ``bpe_stream`` does it; the library encodes
     each new word, many in one call with a mark between them, and whole slices of text that are not plain Latin.
+    Of the model only its text rules stay in memory, as the library has the merges.
     """
 
     def __init__(self, path: str):
-        super().__init__(bpe_stream.load(path))
-        self.tokenizer = self.model.library
+        model = bpe_stream.Model(path)
+        self.tokenizer = model.library
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        super().__init__(SimpleNamespace(special=model.special, kinds=model.kinds), np.uint16 if self.width == 2 else np.uint32)
         mark = self._ids(MARK)
         self.mark = int(mark[0]) if len(mark) == 1 else None
 
     def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind)
 
     def _alone(self, part: bytes) -> np.ndarray:
         return self._ids(part.decode())
@@ -88,7 +93,7 @@ class LibraryEncoder(bpe_stream.Encoder):
         if together:
             flush()
         counts = np.array(list(map(len, found)), np.int64)
-        return (np.concatenate(found) if found else np.zeros(0, np.uint32)), counts
+        return (np.concatenate(found) if found else np.zeros(0, self.kind)), counts
 
 
 def encoder(path: str) -> LibraryEncoder:
@@ -97,14 +102,17 @@ def encoder(path: str) -> LibraryEncoder:
     return _encoders[path]
 
 
-def shard(part: int, number: int, doc_ids: list[int | None], sizes: list[int], ids: bytes, width: int) -> bytes:
+def shard(part: int, number: int, doc_ids: list[int | None], sizes: list[int], ids: bytes | list[bytes], width: int) -> bytes:
+    """The bytes of a shard; ``ids`` in one or in pieces."""
     from . import elias_fano
 
+    ids = ids if isinstance(ids, list) else [ids]
+    total = sum(map(len, ids))
     starts = elias_fano.encode(np.concatenate(([0], np.cumsum(np.array(sizes, np.int64)))))
     known = np.array([x for x in doc_ids if x is not None], np.int64)
     names = elias_fano.encode(known)
-    head = HEAD.pack(MAGIC, part, number, len(doc_ids), len(doc_ids) - len(known), width, len(ids) // width, len(starts), len(names), len(ids))
-    return head + starts + names + ids
+    head = HEAD.pack(MAGIC, part, number, len(doc_ids), len(doc_ids) - len(known), width, total // width, len(starts), len(names), total)
+    return b"".join([head, starts, names, *ids])
 
 
 def shards(content: bytes) -> Iterator[tuple[int, int, list[int | None], np.ndarray, np.ndarray]]:
@@ -142,6 +150,18 @@ def encoded(batches: Iterator[pa.RecordBatch], library: LibraryEncoder) -> Itera
             yield from zip(some["doc_id"].to_pylist(), library.texts(some["text"].to_pylist()))
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside the block pass ``rows`` rows at most to Python at a time, not a whole partition; the setting before is back after it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encode (doc_id, text) and write the shards to ``path`` in ascending doc_id order (nulls first).
 
@@ -163,7 +183,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
         names, sizes, ids, count = [], [], [], 0
 
         def full() -> pa.RecordBatch:
-            data = shard(part, number, names, sizes, b"".join(ids), width)
+            data = shard(part, number, names, sizes, ids, width)
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["shard"])
 
         for name, found in encoded(batches, library):
@@ -178,7 +198,8 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
         if names:
             yield full()
 
-    rows.mapInArrow(encode, "shard binary").select(F.col("shard").cast("string")).write.mode("overwrite").text(path)
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        rows.mapInArrow(encode, "shard binary").select(F.col("shard").cast("string")).write.mode("overwrite").text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

@@ -81,3 +81,30 @@ def test_texts_are_encoded_a_bounded_part_at_a_time(path, monkeypatch):
     got = list(token_files.encoded(iter([batch]), library))
     assert [n for n, _ in got] == [*range(202), None] and [x.tolist() for _, x in got] == want
     assert len(calls) > 5 and max(calls) <= 2000 and list(token_files.encoded(iter([batch.slice(0, 0)]), library)) == []
+
+
+def test_encoder_keeps_rules_and_compact_words_only(path):
+    """The library has the merges, so no second copy stays; remembered words cost their bytes, two bytes an id and two bounds."""
+    library = token_files.LibraryEncoder(path)
+    letters = "abcdefghijklmno"
+    text = " ".join(a + b + c for a in letters for b in letters for c in letters).encode()
+    assert library.texts([text])[0].tolist() == library.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+    assert not hasattr(library.model, "rank") and library.memo.ids.kept.itemsize == library.width == 2
+    memo, n = library.memo, len(library.memo.slots)
+    assert n == len(letters) ** 3 and memo.slots.itemsize == 4 and len(memo.text_end) == len(memo.ids_end) == n + 1
+
+
+def test_few_rows_go_to_python_at_a_time(spark):
+    """Inside the block a batch has so many rows at most; the setting before is back, after an error too."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        yield from (pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"]) for b in batches)
+
+    with token_files.batches_of(spark, 7):
+        assert max(r.n for r in spark.range(0, 100, 1, 1).mapInArrow(sizes, "n long").collect()) == 7
+    assert spark.conf.get(name) == before
+    with pytest.raises(ZeroDivisionError), token_files.batches_of(spark, 7):
+        1 / 0
+    assert spark.conf.get(name) == before
