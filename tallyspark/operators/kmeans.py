@@ -16,8 +16,8 @@ follow each other share that part of the distances, so a row costs its few numbe
 The scans of a sweep read the rows as blocks of numbers, written once (``pack``): a block is one
 value to Spark, so a scan costs little beside the sums. A block's rows lie near each other and it knows
 the box that they fill and their sum. If the whole box is nearest to one centre of a model, the block
-counts for it by its sum; only blocks that a model divides are read row by row for it. The more rows there are, the
-smaller the boxes and the fewer the divided blocks. No row is left out.
+counts for it by its sum; only blocks that a model divides are read row by row for it, many of them at once. The more rows
+there are, the smaller the boxes and the fewer the divided blocks. No row is left out.
 
 A scan sends (models x k) sums a task, added up in Spark; rows never leave their
 partitions, and the driver holds centres only. Squared distances are rounded to nine places
@@ -40,7 +40,9 @@ from tallyspark.plans.materialize import materialize
 PLACES = 9
 STILL = 1e-9
 MARGIN = 1e-6
-BLOCK = 256
+BLOCK = 32  # rows of a block; a box is tested at the cost of a few rows
+PIECE = 131_072  # rows that are halved into blocks together
+SLICE = 4_096  # rows whose distances are in memory at once
 
 
 @dataclass
@@ -61,7 +63,7 @@ def _points(rows: DataFrame) -> DataFrame:
 
 def _tools() -> SimpleNamespace:
     """Functions for tasks, made here so that they travel by value (workers need not have this package)."""
-    block, places, margin, kept = BLOCK, PLACES, MARGIN, {}
+    block, places, margin, together, kept = BLOCK, PLACES, MARGIN, SLICE, {}
 
     def space(name: str, shape: tuple, kind: type = float) -> np.ndarray:
         """Memory kept from block to block; fresh pages for each would cost more than the sums."""
@@ -71,14 +73,14 @@ def _tools() -> SimpleNamespace:
         return kept[name][:size].reshape(shape)
 
     def leaves(x: np.ndarray) -> Iterator[np.ndarray]:
-        """Places of the rows of ``x`` in pieces of at most a block, halved at the median of the widest column."""
+        """Places of the rows of ``x`` in pieces of at most a block, halved in the widest column."""
         waiting = [np.arange(len(x))]
         while waiting:
             at = waiting.pop()
             if len(at) <= block:
                 yield at
                 continue
-            some, half = x[at], len(at) // 2
+            some, half = x[at], -(-len(at) // (2 * block)) * block  # whole blocks
             order = np.argpartition(some[:, np.ptp(some, axis=0).argmax()], half)
             waiting += [at[order[half:]], at[order[:half]]]
 
@@ -112,6 +114,20 @@ def _tools() -> SimpleNamespace:
     def matrix(some: pa.Scalar, height: int) -> np.ndarray:
         return np.frombuffer(some.as_buffer()).reshape(height, -1)
 
+    def stack(batch: pa.RecordBatch, at: np.ndarray, height: int) -> np.ndarray:
+        """The blocks at some places as one array: height, blocks, rows. Short ones end in rows of zeros, which count nowhere."""
+        found = [matrix(some, height) for some in batch["block"].take(pa.array(at))]
+        out = np.zeros((height, len(found), max((some.shape[1] for some in found), default=1)))
+        for i, some in enumerate(found):
+            out[:, i, : some.shape[1]] = some
+        return out
+
+    def slices(stacked: np.ndarray, at: np.ndarray) -> Iterator[np.ndarray]:
+        """The rows of the stacked blocks at some places, side by side, in pieces of about ``SLICE``."""
+        step = max(1, together // stacked.shape[2])
+        for a in range(0, len(at), step):
+            yield stacked.take(at[a : a + step], axis=1).reshape(len(stacked), -1)
+
     def form_of(on: np.ndarray, centres: np.ndarray, squares: np.ndarray, height: int) -> np.ndarray:
         """Matrix whose product with the rows of a block is |row|^2 - 2 row . centre + squares, a row a centre."""
         p = height - 2
@@ -135,13 +151,14 @@ def _tools() -> SimpleNamespace:
         """
         p = form.shape[1] - 2
         middle, half = (boxes[:, :p] + boxes[:, p : 2 * p]) / 2, (boxes[:, p : 2 * p] - boxes[:, :p]) / 2
-        at, out, each = middle @ form[:, :p].T + form[:, p], np.empty((len(boxes), len(form)), bool), np.arange(len(boxes))
+        at, half, out = form[:, :p] @ middle.T + form[:, p, None], half.T, np.empty((len(form), len(boxes)), bool)
         for a, b in zip(edges, edges[1:]):
-            k, part, own = b - a, form[a:b, :p], at[:, a:b]
-            best = own.argmin(axis=1)
-            gain = (half @ np.abs(part[:, None] - part).reshape(k * k, p).T).reshape(-1, k, k)[each, best]
-            out[:, a:b] = own - own[each, best][:, None] - gain <= margin
-        return out
+            k, part, own = b - a, form[a:b, :p], at[a:b]
+            best, least = own.argmin(axis=0), own.min(axis=0)
+            gain = np.matmul(np.abs(part[:, None] - part).reshape(k * k, p), half, out=space("gain", (k * k, len(boxes)))).reshape(k, k, -1)
+            mine = np.take_along_axis(gain, best[None, None], axis=0)[0]
+            np.less_equal(own - least - mine, margin, out=out[a:b])
+        return out.T
 
     def nearest(d: np.ndarray, edges: Sequence[int]) -> np.ndarray:
         """Whether each row belongs to each centre of all models: 1 for the first centre with the least rounded distance."""
@@ -161,18 +178,30 @@ def _tools() -> SimpleNamespace:
             i = j
         return near
 
-    return SimpleNamespace(**{f.__name__: f for f in (blocks, alike, matrix, form_of, apart, rivals, nearest)})
+    return SimpleNamespace(**{f.__name__: f for f in (blocks, alike, matrix, stack, slices, form_of, apart, rivals, nearest)})
 
 
 def pack(rows: DataFrame) -> DataFrame:
     """Blocks of near rows with equal ``on``: on, the block's matrix (x, 1 and the square of the row; a column a row) as
     doubles, its box (least x, greatest x, sum of the rows), and its keys (ends and bytes; a null is empty, others follow a letter)."""
-    tools = _tools()
+    tools, piece = _tools(), PIECE
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows in batches of about ``PIECE``."""
+        waiting, n = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            n += batch.num_rows
+            if n >= piece:
+                yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
+                waiting, n = [], 0
+        if n:
+            yield from pa.Table.from_batches(waiting).combine_chunks().to_batches()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in pieces(batches):
             names = pc.fill_null(pc.binary_join_element_wise("k", batch["key"].cast(pa.string()), ""), "")
             found = []
             for at, some, on in tools.blocks(batch["x"], batch["on"]):
@@ -280,15 +309,13 @@ def _cluster_sums(packed: DataFrame, edges: list[int], centres: np.ndarray, slot
         for at, boxes, on in tools.alike(batch):
             form = tools.form_of(on, centres, squares, height)
             near = tools.rivals(boxes, form, edges)
-            rivals = np.add.reduceat(near, edges[:-1], axis=1, dtype=int)
-            whole = near & (rivals == 1)[:, model]
-            sums = whole.T.astype(float) @ boxes[:, 2 * p :]
-            for i in np.flatnonzero((rivals > 1).any(axis=1)).tolist():
-                mine = np.flatnonzero(near[i] & ~whole[i])
-                mine = mine[np.argsort(rivals[i, model[mine]], kind="stable")]  # models with equally many go together
-                some = tools.matrix(batch["block"][int(at[i])], height)
-                hit = tools.nearest(tools.apart(some, form[mine]), np.cumsum([0, *np.sort(rivals[i][rivals[i] > 1])]).tolist())
-                sums[mine] += hit @ some.T
+            divided = np.add.reduceat(near, edges[:-1], axis=1, dtype=int) > 1
+            sums = (near & ~divided[:, model]).T.astype(float) @ boxes[:, 2 * p :]
+            read = np.flatnonzero(divided.any(axis=1))
+            stacked = tools.stack(batch, at[read], height)
+            for of, a, b in zip(divided[read].T, edges, edges[1:]):
+                for some in tools.slices(stacked, np.flatnonzero(of)):
+                    sums[a:b] += tools.nearest(tools.apart(some, form[a:b]), [0, b - a]) @ some.T
             total[:, : p + 2] += sums
             total[:, p + 2 + on] += sums[:, p, None]
 
@@ -319,21 +346,13 @@ def lloyd(packed: DataFrame, models: list[Model], max_iter: int) -> int:
 
 
 def costs(packed: DataFrame, models: list[Model]) -> None:
-    """Fill in every model's inertia, in one scan."""
+    """Fill in every model's inertia, in one scan: a cluster's follows from its size, sum and sum of squares."""
     edges = np.cumsum([0, *(m.k for m in models)]).tolist()
     centres = np.concatenate([m.centres for m in models])
-    squares, height = (centres**2).sum(axis=1), centres.shape[1] - models[0].slots + 2
-    tools = _tools()
-
-    def part(total: np.ndarray, batch: pa.RecordBatch) -> None:
-        for at, _, on in tools.alike(batch):
-            form = tools.form_of(on, centres, squares, height)
-            for i in at.tolist():
-                d = np.maximum(tools.apart(tools.matrix(batch["block"][i], height), form), 0)
-                total += np.add.reduceat((tools.nearest(d, edges) * d).sum(axis=1), edges[:-1])
-
-    for m, cost in zip(models, _sums(packed, len(models), part)):
-        m.inertia = float(cost)
+    count, within, sums = _cluster_sums(packed, edges, centres, models[0].slots)
+    cost = within - 2 * (sums * centres).sum(axis=1) + count * (centres**2).sum(axis=1)
+    for m, a, b in zip(models, edges, edges[1:]):
+        m.inertia = float(max(cost[a:b].sum(), 0))
 
 
 def silhouettes(packed: DataFrame, models: list[Model]) -> list[float]:
@@ -353,8 +372,7 @@ def silhouettes(packed: DataFrame, models: list[Model]) -> list[float]:
     def part(total: np.ndarray, batch: pa.RecordBatch) -> None:
         for at, _, on in tools.alike(batch):
             form, of_means = tools.form_of(on, centres, squares, height), tools.form_of(on, means, spreads, height)
-            for i in at.tolist():
-                some = tools.matrix(batch["block"][i], height)
+            for some in tools.slices(tools.stack(batch, at, height), np.arange(len(at))):
                 near = tools.nearest(tools.apart(some, form), edges).T
                 mean = tools.apart(some, of_means, "mean").T
                 for k, (a, b) in enumerate(zip(edges, edges[1:])):
@@ -402,15 +420,15 @@ def assign(rows: DataFrame, model: Model, column: str = "segment_id") -> DataFra
     """``rows`` with the number of each one's centre, by DataFrame functions; ``x`` and ``on`` are dropped."""
     slots = model.slots
     p = model.centres.shape[1] - slots
-    parts = [F.struct(F.array(*map(F.lit, c[:p])).alias("x"), F.array(*map(F.lit, c[p:])).cast("array<double>").alias("levels"),
-                      F.lit(sum(v * v for v in c[p:])).alias("square")) for c in model.centres.tolist()]
+    ones = round(model.centres[0, p:].sum())  # of a row, and so of a mean of rows
 
-    def apart(c: Column) -> Column:
-        numbers = F.aggregate(F.zip_with("x", c["x"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
+    def apart(c: list[float]) -> Column:
+        numbers = sum(((F.get("x", F.lit(i)) - v) * (F.get("x", F.lit(i)) - v) for i, v in enumerate(c[:p])), F.lit(0.0))
         if not slots:
             return F.round(numbers, PLACES)
-        shared = F.aggregate("on", F.lit(0.0), lambda s, i: s + F.get(c["levels"], i))
-        return F.round(numbers + (c["square"] + F.size("on") - 2 * shared), PLACES)
+        levels = F.array(*map(F.lit, c[p:])).cast("array<double>")
+        shared = sum((F.get(levels, F.get("on", F.lit(i))) for i in range(ones)), F.lit(0.0))
+        return F.round(numbers + (F.lit(sum(v * v for v in c[p:])) + ones - 2 * shared), PLACES)
 
-    distance = F.transform(F.array(*parts), apart)
+    distance = F.array(*map(apart, model.centres.tolist()))
     return rows.withColumn(column, (F.array_position(distance, F.array_min(distance)) - 1).cast("int")).drop("x", "on")

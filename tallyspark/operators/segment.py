@@ -185,8 +185,9 @@ def order_segmentation(orders: DataFrame, products: DataFrame, k_range: Sequence
     # the star is built once; scaling, encoding and the features read it
     rows = featurize(materialize(load_order_features(orders, products), "order-rows"))
     rows = rows.select(*names, F.col("order_id").alias("key"), *point(rows, NUMERIC_FEATURES, CATEGORICAL_FEATURES))
-    rows = materialize(kmeans.spread(rows), "order-features")
-    best_k, table, models = sweep(rows, k_range, n_init, max_iter)
+    # only the features move; the orders' other columns stay where they are
+    points = materialize(kmeans.spread(rows.select("key", "x", "on")), "order-features")
+    best_k, table, models = sweep(points, k_range, n_init, max_iter)
     return Segmentation(best_k, table, label_segments(_assigned(rows, models, best_k)))
 
 

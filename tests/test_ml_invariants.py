@@ -126,6 +126,35 @@ def test_boxes_settle_blocks_and_lose_no_centre(spark, monkeypatch):
     assert max(map(len, kmeans.spread(same).rdd.glom().collect())) < 1000
 
 
+def test_blocks_are_full_and_inertia_follows_from_their_sums(spark, monkeypatch):
+    """Small Arrow batches do not cut blocks; short blocks count nowhere twice; inertia equals the rows' own distances."""
+    monkeypatch.setattr(kmeans, "BLOCK", 16)
+    monkeypatch.setattr(kmeans, "SLICE", 50)
+    rng = np.random.default_rng(3)
+    x, on = rng.normal(size=(3001, 2)), rng.integers(0, 2, (3001, 1))
+    rows = spark.createDataFrame([(f"k{i}", v.tolist(), o.tolist()) for i, (v, o) in enumerate(zip(x, on))], "key string, x array<double>, on array<int>")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        packed = kmeans.pack(kmeans.spread(rows).coalesce(1)).toArrow()
+        best, scores, _ = kmeans.sweep(rows, [3], 2, 5)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert packed.num_rows <= 3001 / 16 + 2
+    full = np.concatenate((x, on == 0, on == 1), axis=1).astype(float)
+    d = ((full[:, None] - best[0].centres) ** 2).sum(axis=2)
+    assert abs(best[0].inertia - d.min(axis=1).sum()) < 1e-6 and abs(scores[0] - _silhouette(full, d.argmin(axis=1))) < 1e-9
+
+
+def test_order_segmentation_moves_features_only(spark, monkeypatch):
+    written, plain = {}, segment.materialize
+    monkeypatch.setattr(segment, "materialize", lambda frame, name: written.setdefault(name, plain(frame, name)))
+    st = Star(spark, SF)
+    seg = segment.order_segmentation(st.orders_og, st.products, k_range=range(2, 4), n_init=1, max_iter=3)
+    assert written["order-features"].columns == ["key", "x", "on"]
+    assert seg.segments.count() == written["order-features"].count()
+
+
 def test_linear_model_against_dense_least_squares(spark):
     """Collinear and constant columns, a level unseen in training, doubles and decimals."""
     rng = np.random.default_rng(8)
